@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.llm import mixing, sharding
+from fernlog.llm import mixing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", taken)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
@@ -26,5 +30,5 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op8_shard": op8_shard}
-ORACLES = {"op3_mix_sources": mixing.ORACLE}
+QUERIES = {"op3_mix_sources": op3_mix_sources, "op5_warc": op5_warc, "op8_shard": op8_shard}
+ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE}
