@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.llm import mixing, sharding, warc
+from fernlog.llm import mixing, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, rows=False)
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     taken = (F.col("size") * F.col("copies")).alias("taken")
@@ -30,5 +36,5 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op5_warc": op5_warc, "op8_shard": op8_shard}
+QUERIES = {"op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op5_warc": op5_warc, "op8_shard": op8_shard}
 ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE}
