@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.llm import mixing, sharding, simhash, warc
+from fernlog.llm import mixing, sharding, simhash, toxicity, warc
+from fernlog.llm.common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +37,13 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op5_warc": op5_warc, "op8_shard": op8_shard}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = toxicity.toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    scored = docs.select("doc_id", held, score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op5_warc": op5_warc, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity}
 ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE}
