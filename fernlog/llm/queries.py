@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.llm import langid, mixing, sharding, simhash, toxicity, warc
+from fernlog.llm import decontam, langid, mixing, sharding, simhash, toxicity, warc
 from fernlog.llm.common import fold
 
 
@@ -29,6 +29,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -49,5 +54,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op5_warc": op5_warc, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity}
+QUERIES = {"op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity}
 ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE}
