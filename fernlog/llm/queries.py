@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.llm import decontam, langid, lm, mixing, sharding, simhash, toxicity, warc
+from fernlog.llm import ann, decontam, langid, lm, mixing, sharding, simhash, toxicity, warc
 from fernlog.llm.common import fold
 
 
@@ -29,6 +29,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", taken)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -58,5 +63,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op4_neighbours": op4_neighbours, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity}
 ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE}
