@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fernlog.llm import mixing, sharding
+from fernlog.llm import decontam, mixing, sharding, simhash, toxicity
 from fernlog.llm.common import stored
 
 #: SQL cannot express the toxicity model.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose every window is likelier harmless than toxic; null and empty texts stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return docs.where(toxicity.toxicity(docs, labels) < 0.5)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near copies."""
+    return simhash.near_duplicates(docs).where(F.col("keep")).select("_row.*")
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontam.clean(docs, benchmark)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or thinned until each source meets its target share of words."""
     return mixing.emit(mixing.mix(docs))
@@ -21,14 +39,20 @@ def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return sharding.shard(docs).select("_row.*", "shard", "slot")
 
 
-STAGES = [("mixing", mix_sources), ("sharding", place_in_shards)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix_sources),
+    ("sharding", place_in_shards),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``; each result is written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
+            docs = stored(docs, f"stage-{k}")
     return docs

@@ -1,42 +1,16 @@
 import random
-from collections import Counter
 
 from pyspark.sql import Row
 
 from fernlog.llm import decontam
-
-
-def tokens(text):
-    return [x for x in "".join(" " if c in " \t\n\x0b\x0c\r" else chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split(" ") if x]
-
-
-def brute(docs, items, threshold=0.8):
-    """Best similarity of every window of an item's size, for each document and item."""
-    out = {}
-    for i, text in items:
-        w = tokens(text)
-        if len(w) < 5:
-            continue
-        theirs = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
-        for d, t in docs:
-            own = tokens(t)
-            grams = [tuple(own[k : k + 5]) for k in range(len(own) - 4)]
-            if not theirs.keys() & set(grams):
-                continue
-            for s in range(max(1, len(own) - len(w) + 1)):
-                window = Counter(grams[s : s + len(w) - 4])
-                same = sum((window & theirs).values())
-                score = same / (window.total() + theirs.total() - same)
-                if score >= threshold and score > out.get((d, i), (0,))[0]:
-                    out[d, i] = (score, s)
-    return out
+from tests_llm_brute import leaks_of
 
 
 def compare(spark, docs, items):
     d = spark.createDataFrame([Row(doc_id=a, text=b) for a, b in docs], "doc_id bigint, text string").repartition(3)
     b = spark.createDataFrame([Row(item_id=a, text=b) for a, b in items], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontam.leaks(d, b).collect()}
-    want = brute(docs, items)
+    want = leaks_of(docs, items)
     assert got.keys() == want.keys()
     for k, (score, start) in want.items():
         assert abs(got[k][0] - score) < 1e-9 and got[k][1] == start
