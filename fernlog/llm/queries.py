@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.llm import ann, decontam, langid, lm, mixing, sharding, simhash, toxicity, warc
+from fernlog.llm import ann, decontam, langid, lm, mixing, secret_scan, sharding, simhash, toxicity, warc
 from fernlog.llm.common import fold
 
 
@@ -63,5 +63,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op4_neighbours": op4_neighbours, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # what was found is told by its digest: the value itself stays in the documents
+    return found.select("doc_id", "word_no", "part", F.sha2("candidate", 256).alias("digest"), F.length("candidate").alias("length"), "held_out", "score", "secret")
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op4_neighbours": op4_neighbours, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity, "op10_secrets": op10_secrets}
 ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE}

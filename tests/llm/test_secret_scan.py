@@ -1,0 +1,50 @@
+import random
+
+from pyspark.sql import functions as F
+
+from fernlog.llm import secret_scan
+
+
+def corpus(n=160):
+    rng = random.Random(6)
+    plain = "the house of a river under stone bridge light water garden".split()
+    rows, secrets = [], set()
+    for k in range(n):
+        w = [rng.choice(plain) for _ in range(40)]
+        hexed = "".join(rng.choice("0123456789abcdef") for _ in range(24)) + "a1"
+        key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        kind = k % 6
+        put = [f"password={hexed}", f'token = "{hexed}"', key + "2"[:0], f"mail{k}.garden@example.com", f"https://example.com/river/{k}/stone", f"{rng.randrange(10**15, 10**16)}"][kind]
+        w.insert(rng.randrange(40), put)
+        rows.append((k, " ".join(w)))
+        if kind < 3:
+            secrets.add(k)
+    return rows, secrets
+
+
+def test_forest_keeps_secrets_and_drops_the_rest(spark):
+    rows, secrets = corpus()
+    docs = spark.createDataFrame([(*r, 0.3) for r in rows], "doc_id bigint, text string, score double").repartition(3)
+    got = secret_scan.scan(docs).collect()
+    with_digit = {r.doc_id for r in got}
+    assert secrets & with_digit >= {i for i in secrets if any(c.isdigit() for c in rows[i][1])}
+    held = [r for r in got if r.held_out]
+    assert held and sum(r.secret == (r.doc_id in secrets) for r in held) / len(held) > 0.95
+
+
+def test_candidates_of_a_text(spark):
+    text = 'say token = "0641917ea4e9feb9" then password=3d4bc476f7469ffa8a, see https://a.example/x/12345 and 4994099174078313.'
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (None, "x" * 50_000 + "1"), (4, " \n ")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.word_no): r for r in secret_scan.candidates(docs).collect()}
+    assert got[1, 3].candidate == "0641917ea4e9feb9" and got[1, 3].before == "say token =" and got[1, 3].quoted == 1
+    assert got[1, 5].candidate == "3d4bc476f7469ffa8a" and got[1, 5].key == "password"
+    assert {k for k in got if k[0] == 1} == {(1, 3), (1, 5), (1, 7), (1, 9)}
+    assert len(got[None, 0].candidate) == 50_001
+
+
+def test_labels_and_models_without_both(spark):
+    docs = spark.createDataFrame([(1, "call 4994099174078313 now"), (1, "call 4994099174078313 now")], "doc_id bigint, text string")
+    got = secret_scan.scan(docs).collect()
+    assert len(got) == 2 and not any(r.secret for r in got)
+    assert secret_scan.scan(docs.limit(0)).count() == 0
+    assert secret_scan.scan(docs.where(F.lit(False))).columns == ["doc_id", "word_no", "part", "candidate", "held_out", "label", "score", "secret"]
