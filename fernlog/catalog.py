@@ -1,6 +1,640 @@
-"""Registry of the library's own queries and their SQL."""
+"""Registry of the library's own queries and the SQL that says the same.
+
+Each query reads the given tables, or what ``testlines`` derives from them row by row, and covers them whole.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fernlog import patterns as P
+from fernlog.operators import audit, compare, har, intelligence, inventory, logs, platform_rules, query, sanitize
+from fernlog.functions import scalars as S
+from fernlog.testlines import SQL, derived
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _with(*names: str, more: str = "") -> str:
+    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + (f",\n{more}" if more else "") + "\n"
+
+
+def query_of(name: str, sql: str | None = None):
+    """Registers a function from (table, lines...) under a name with its SQL."""
+
+    def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stamp(col: str, name: str | None = None):
+    return F.date_format(col, "yyyy-MM-dd HH:mm:ss").alias(name or col)
+
+
+# ---- SQL of the scalar functions ----
+
+
+def _rr(x: str, pattern: str, to: str) -> str:
+    return f"regexp_replace({x}, {_q(pattern)}, {_q(to)}, 'g')"
+
+
+def _fingerprint(x: str) -> str:
+    x = _rr(x, P.TIMESTAMP, "<TIMESTAMP>")
+    x = _rr(x, P.VOLATILE_ID, r"\1\2<ID>")
+    for p, label in ((P.UUID, "<UUID>"), (P.IP, "<IP>"), (P.NUMBER, "<NUMBER>")):
+        x = _rr(x, p, label)
+    return f"substr(trim({_rr(x, r'\s+', ' ')}), 1, 240)"
+
+
+def _normal(x: str) -> str:
+    x = _rr(x, P.TIMESTAMP, "<TIMESTAMP>")
+    x = _rr(x, P.B_VOLATILE_ID, r"\1\2<ID>")
+    for p, label in ((P.B_UUID, "<UUID>"), (P.B_IP, "<IP>"), (P.NUMBER, "<NUMBER>")):
+        x = _rr(x, p, label)
+    return f"substr(trim({_rr(x, r'\s+', ' ')}), 1, 500)"
+
+
+def _first(x: str, pattern: str, group: int) -> str:
+    return f"nullif(regexp_extract({x}, {_q(pattern)}, {group}), '')"
+
+
+_TS = f"try_cast(replace({_first('line', P.TIMESTAMP, 0)}, 'Z', '') AS TIMESTAMP)"
+_SEVERITY = "CASE WHEN lower(line) LIKE '%critical%' OR lower(line) LIKE '%fatal%' THEN 'critical' WHEN lower(line) LIKE '%error%' OR lower(line) LIKE '%failed%' THEN 'error' WHEN lower(line) LIKE '%warn%' THEN 'warning' WHEN lower(line) LIKE '%debug%' THEN 'debug' ELSE 'info' END"
+_LEVEL_WORD = f"upper(coalesce({_first('line', P.B_LEVEL, 1)}, ''))"
+_PARSED_A = f"a AS (SELECT *, {_TS} AS ts, {_SEVERITY} AS severity, {_first('line', P.CORRELATION, 1)} AS correlation_id FROM lines)"
+_PARSED_B = f"""b AS (SELECT *, {_TS} AS ts, CASE WHEN {_LEVEL_WORD} IN ('WARN', 'WARNING') THEN 'WARNING' WHEN {_LEVEL_WORD} IN ('FATAL', 'CRITICAL') THEN 'CRITICAL'
+  WHEN {_LEVEL_WORD} IN ('DEBUG', 'ERROR') THEN {_LEVEL_WORD} ELSE 'INFO' END AS level, coalesce({_first('line', P.B_SERVICE, 1)}, 'unknown') AS service,
+  {_first('line', P.B_CORRELATION, 1)} AS correlation_id FROM lines)"""
+_FMT = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+
+
+def _rules(rows: list[tuple]) -> str:
+    return "rules(rule_id, title, severity, category, pattern) AS (VALUES " + ", ".join("(" + ", ".join(_q(x) for x in r) + ")" for r in rows) + ")"
+
+
+_FINDINGS = f"""f AS (SELECT bundle_id, artifact, rule_id, title, severity, category, 'unknown' AS component, {_fingerprint('line')} AS fingerprint,
+  count(*) AS occurrences, min(line_no) AS line_start, max(line_no) AS line_end, arg_min(trim(line), line_no) AS excerpt
+  FROM lines JOIN rules ON regexp_matches(line, pattern) GROUP BY ALL),
+found AS (SELECT *, 'Observed ' || occurrences || ' matching event(s) in ' || artifact || ' between lines ' || line_start || ' and ' || line_end || '.' AS summary, 'strong' AS confidence FROM f)"""
+_FOUND = _rules(P.LOG_RULES) + ",\n" + _FINDINGS
+
+
+def _lines(spark, d):
+    return derived(spark, d, "lines")
+
+
+def _findings(spark, d):
+    return logs.log_findings(_lines(spark, d))
+
+
+def _parsed_b(spark, d):
+    return logs.parse_log_b(_lines(spark, d))
+
+
+# ---- logs ----
+
+
+@query_of("log_findings", _with("lines", more=_FOUND) + "SELECT * FROM found")
+def log_findings(spark, d):
+    return logs.sort_findings(_findings(spark, d))
+
+
+@query_of("log_timeline", _with("lines", more=_PARSED_A) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, 'log' AS source, 'unknown' AS component, severity, 'application-log' AS category, trim(line) AS message, correlation_id FROM a WHERE ts IS NOT NULL AND severity IN ('warning', 'error', 'critical')")
+def log_timeline(spark, d):
+    t = logs.log_timeline(logs.parse_log_a(_lines(spark, d)))
+    return logs.sort_timeline(t).withColumn("ts", stamp("ts"))
+
+
+@query_of("parse_dialect_a", _with("lines", more=_PARSED_A) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, severity, 'unknown' AS component, correlation_id FROM a")
+def parse_dialect_a(spark, d):
+    return logs.parse_log_a(_lines(spark, d)).select(*logs.K, "line_no", stamp("ts"), "severity", "component", "correlation_id")
+
+
+@query_of("parse_dialect_b", _with("lines", more=_PARSED_B) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, level, service, correlation_id FROM b")
+def parse_dialect_b(spark, d):
+    return _parsed_b(spark, d).select(*logs.K, "line_no", stamp("ts"), "level", "service", "correlation_id")
+
+
+@query_of("fingerprints", _with("lines") + f"SELECT {_fingerprint('line')} AS fingerprint, count(*) AS lines FROM lines GROUP BY 1")
+def fingerprints(spark, d):
+    return _lines(spark, d).groupBy(S.fingerprint(F.col("line")).alias("fingerprint")).agg(F.count("*").alias("lines"))
+
+
+@query_of("capped_timeline", _with("lines", more=_PARSED_A) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, severity FROM a WHERE ts IS NOT NULL AND severity IN ('warning', 'error', 'critical') QUALIFY row_number() OVER (PARTITION BY bundle_id, artifact ORDER BY line_no) <= 100")
+def capped_timeline(spark, d):
+    t = logs.cap_timeline(logs.log_timeline(logs.parse_log_a(_lines(spark, d))), 100)
+    return t.select(*logs.K, "line_no", stamp("ts"), "severity")
+
+
+@query_of("capped_findings", _with("lines", more=_FOUND) + "SELECT bundle_id, artifact, rule_id, component, fingerprint, occurrences FROM found QUALIFY row_number() OVER (PARTITION BY bundle_id ORDER BY artifact, rule_id, component, fingerprint) <= 20")
+def capped_findings(spark, d):
+    return logs.cap_findings(_findings(spark, d), 20).select(*logs.K, "rule_id", "component", "fingerprint", "occurrences")
+
+
+@query_of("fleet_patterns", _with("lines", more=_FOUND) + "SELECT rule_id, fingerprint, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(DISTINCT bundle_id) AS bundles FROM found GROUP BY ALL")
+def fleet_patterns(spark, d):
+    return logs.fleet_patterns(_findings(spark, d))
+
+
+def _privacy_sql(source: str, keys: str, text: str, kinds: list[tuple[str, str]]) -> str:
+    sums = ", ".join(f"sum(len(regexp_extract_all({text}, {_q(p)}))) AS {k}" for k, p in kinds)
+    names = ", ".join(k for k, _ in kinds)
+    return f"c AS (SELECT {keys}, {sums} FROM {source} GROUP BY {keys})\nSELECT {keys}, kind, CAST(matches AS BIGINT) AS matches FROM (UNPIVOT c ON {names} INTO NAME kind VALUE matches) WHERE matches > 0"
+
+
+@query_of("log_privacy", _with("lines", more=_privacy_sql("lines", "bundle_id, artifact", "line", P.STRICT_KINDS)))
+def log_privacy(spark, d):
+    return logs.privacy_counts(_lines(spark, d), "line", logs.K)
+
+
+@query_of("log_privacy_b", _with("lines", more=_privacy_sql("lines", "bundle_id, artifact", "line", P.B_SENSITIVE)))
+def log_privacy_b(spark, d):
+    return intelligence.privacy_counts_b(_lines(spark, d))
+
+
+@query_of("doc_privacy", "WITH " + _privacy_sql("documents", "source", "text", P.STRICT_KINDS))
+def doc_privacy(spark, d):
+    return logs.privacy_counts(table(spark, d, "documents"), "text", ["source"])
+
+
+_PAGE_HOST = r"coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1), ''), 'unknown')"
+
+
+@query_of("page_privacy", f"WITH p AS (SELECT {_PAGE_HOST} AS host, html FROM pages), " + _privacy_sql("p", "host", "html", P.STRICT_KINDS))
+def page_privacy(spark, d):
+    pages = table(spark, d, "pages").select(S.url_host(F.col("url")).alias("host"), "html")
+    return logs.privacy_counts(pages, "html", ["host"])
+
+
+@query_of("malformed_lines", _with("lines") + "SELECT bundle_id, artifact, count(*) AS lines, count(*) FILTER (WHERE contains(line, chr(0))) AS malformed FROM lines GROUP BY ALL")
+def malformed_lines(spark, d):
+    return logs.split_malformed(_lines(spark, d)).groupBy(*logs.K).agg(F.count("*").alias("lines"), F.count_if("malformed").alias("malformed"))
+
+
+# ---- log intelligence ----
+
+_ERRORS_SQL = _PARSED_B + f",\ne AS (SELECT *, {_normal('line')} AS fingerprint FROM b WHERE level IN ('ERROR', 'CRITICAL'))"
+_GROUPS_SQL = _ERRORS_SQL + f""",
+g AS (SELECT bundle_id, artifact, fingerprint, count(*) AS occurrences, min(line_no) AS first_line, max(line_no) AS last_line, {_FMT.format('arg_min(ts, line_no) FILTER (WHERE ts IS NOT NULL)')} AS first_ts,
+  {_FMT.format('arg_max(ts, line_no) FILTER (WHERE ts IS NOT NULL)')} AS last_ts, arg_min(substr(line, 1, 300), line_no) AS example, CASE WHEN count(*) < 5 THEN 'medium' ELSE 'high' END AS severity FROM e GROUP BY ALL)"""
+
+
+def _groups(spark, d):
+    return intelligence.error_groups(_parsed_b(spark, d))
+
+
+@query_of("error_groups", _with("lines", more=_GROUPS_SQL) + "SELECT * FROM g")
+def error_groups(spark, d):
+    return _groups(spark, d).withColumns({"first_ts": stamp("first_ts"), "last_ts": stamp("last_ts")})
+
+
+@query_of("top_error_groups", _with("lines", more=_GROUPS_SQL) + "SELECT bundle_id, artifact, fingerprint, occurrences, row_number() OVER (PARTITION BY bundle_id, artifact ORDER BY occurrences DESC, fingerprint) AS rank FROM g QUALIFY rank <= 3")
+def top_error_groups(spark, d):
+    return intelligence.top_groups(_groups(spark, d), 3).select(*logs.K, "fingerprint", "occurrences", "rank")
+
+
+@query_of("correlation_chains", _with("lines", more=_PARSED_B) + f"SELECT bundle_id, artifact, correlation_id, line_no, {_FMT.format('ts')} AS ts, service, level, row_number() OVER (PARTITION BY bundle_id, artifact, correlation_id ORDER BY line_no) AS position FROM b WHERE correlation_id IS NOT NULL QUALIFY position <= 100")
+def correlation_chains(spark, d):
+    return intelligence.correlation_chains(_parsed_b(spark, d)).withColumn("ts", stamp("ts"))
+
+
+@query_of("error_bursts", _with("lines", more=_ERRORS_SQL) + f""", w AS (SELECT x.bundle_id, x.artifact, x.line_no, x.ts, count(*) AS errors, min(y.ts) AS started FROM e x JOIN e y
+  ON x.bundle_id = y.bundle_id AND x.artifact = y.artifact AND y.ts >= x.ts - INTERVAL 60 SECONDS AND y.line_no <= x.line_no GROUP BY ALL)
+SELECT bundle_id, artifact, line_no, {_FMT.format('started')} AS started_at, {_FMT.format('ts')} AS ended_at, errors FROM w WHERE errors = 5""")
+def error_bursts(spark, d):
+    out = intelligence.error_bursts(_parsed_b(spark, d))
+    return out.withColumns({"started_at": stamp("started_at"), "ended_at": stamp("ended_at")})
+
+
+ORACLES["error_bursts_unordered"] = ORACLES["error_bursts"]
+
+
+@query_of("error_bursts_unordered", ORACLES["error_bursts"])
+def error_bursts_unordered(spark, d):
+    out = intelligence.error_bursts_unordered(_parsed_b(spark, d))
+    return out.withColumns({"started_at": stamp("started_at"), "ended_at": stamp("ended_at")})
+
+
+@query_of("log_summary", _with("lines", more=_PARSED_B) + "SELECT bundle_id, artifact, count(*) AS lines, count(*) FILTER (WHERE contains(line, chr(0))) AS malformed_lines, count(DISTINCT correlation_id) AS correlations FROM b GROUP BY ALL")
+def log_summary(spark, d):
+    return intelligence.log_summary(logs.split_malformed(_parsed_b(spark, d)))
+
+
+# ---- HTTP archives ----
+
+_HAR_SUMMARY = """h AS (SELECT bundle_id, artifact, count(*) AS requests, CAST(sum(CASE WHEN body_size > 0 THEN body_size WHEN content_size > 0 THEN content_size ELSE 0 END) AS BIGINT) AS bytes,
+  count(*) FILTER (WHERE status BETWEEN 400 AND 499) AS http4xx, count(*) FILTER (WHERE status >= 500) AS http5xx, count(*) FILTER (WHERE status BETWEEN 300 AND 399) AS redirects,
+  count(*) FILTER (WHERE time_ms >= 2000) AS slow FROM har GROUP BY ALL)"""
+
+
+def _entries(spark, d):
+    return derived(spark, d, "har").withColumn("headers", F.array(F.struct(F.col("header_name").alias("name"), F.col("header_value").alias("value"))))
+
+
+@query_of("har_summary", _with("har", more=_HAR_SUMMARY) + "SELECT * FROM h")
+def har_summary(spark, d):
+    return har.har_summary(_entries(spark, d))
+
+
+@query_of("har_domains", _with("har") + f"SELECT bundle_id, artifact, {_PAGE_HOST} AS host, count(*) AS requests FROM har WHERE {_PAGE_HOST} <> 'unknown' GROUP BY ALL")
+def har_domains(spark, d):
+    return har.har_domains(_entries(spark, d))
+
+
+@query_of("har_findings", _with("har", more=_HAR_SUMMARY) + """SELECT bundle_id, artifact, r.rule_id, r.title, r.severity, r.category, r.occurrences, 'Observed ' || r.occurrences || ' matching request(s) in ' || artifact || '.' AS summary, 'exact' AS confidence, '/log/entries' AS json_pointer
+FROM (SELECT bundle_id, artifact, unnest([{'rule_id': 'HAR_HTTP_5XX', 'title': 'HTTP server errors observed', 'severity': 'high', 'category': 'server-error', 'occurrences': http5xx},
+ {'rule_id': 'HAR_HTTP_4XX', 'title': 'HTTP client or authorization errors observed', 'severity': 'medium', 'category': 'client-error', 'occurrences': http4xx},
+ {'rule_id': 'HAR_SLOW_REQUESTS', 'title': 'Slow HTTP requests observed', 'severity': 'medium', 'category': 'latency', 'occurrences': slow}]) AS r FROM h) WHERE r.occurrences > 0""")
+def har_findings(spark, d):
+    return har.har_findings(har.har_summary(_entries(spark, d)))
+
+
+_SAFE = r"CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) || '://' || regexp_extract(url, '://([^/?#]*)', 1) || replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ' ', '%20') ELSE 'invalid-url' END"
+
+
+@query_of("har_timeline", _with("har") + f"""SELECT bundle_id, artifact, entry, replace(replace(started, 'T', ' '), 'Z', '') AS ts, 'har' AS source, {_PAGE_HOST} AS component,
+CASE WHEN status >= 500 THEN 'error' WHEN status >= 400 OR time_ms >= 2000 THEN 'warning' ELSE 'info' END AS severity, 'http-request' AS category,
+method || ' ' || {_SAFE} || ' returned ' || status || ' in ' || CAST(round_even(time_ms, 0) AS BIGINT) || ' ms' AS message, '/log/entries/' || entry AS json_pointer FROM har""")
+def har_timeline(spark, d):
+    return har.har_timeline(_entries(spark, d)).withColumn("ts", stamp("ts"))
+
+
+_HAR_KINDS = ", ".join(f"sum(len(regexp_extract_all(header_value, {_q(p)})) + len(regexp_extract_all(url, {_q(p)}))) AS {k}" for k, p in P.STRICT_KINDS)
+
+
+@query_of("har_privacy", _with("har", more=f"""c AS (SELECT bundle_id, artifact, sum(CASE WHEN header_name = 'Authorization' THEN 1 ELSE 0 END) AS authorization_, sum(CASE WHEN header_name = 'Cookie' THEN 1 ELSE 0 END) AS cookie,
+ {_HAR_KINDS}, sum(CASE WHEN has_body THEN 1 ELSE 0 END) AS request_or_cookie_body FROM har GROUP BY ALL)""") + f"SELECT bundle_id, artifact, rtrim(kind, '_') AS kind, CAST(matches AS BIGINT) AS matches FROM (UNPIVOT c ON authorization_, cookie, {', '.join(k for k, _ in P.STRICT_KINDS)}, request_or_cookie_body INTO NAME kind VALUE matches) WHERE matches > 0")
+def har_privacy(spark, d):
+    return har.har_privacy(_entries(spark, d))
+
+
+# ---- platform logs ----
+
+
+def _platform(spark, d):
+    return derived(spark, d, "platform_lines")
+
+
+@query_of("web_findings", _with("platform_lines", more=_rules([(r, t, s, "web", p) for r, s, t, p in P.WEB_RULES])) + f"""SELECT bundle_id, artifact, rule_id, severity, title, count(*) AS occurrences, min(line_no) AS line_start, arg_min(substr(trim(line), 1, 300), line_no) AS excerpt
+FROM platform_lines JOIN rules ON regexp_matches(line, pattern) GROUP BY ALL
+UNION ALL SELECT bundle_id, artifact, 'WEB_REPEATED_5XX', 'medium', 'Repeated HTTP 5xx responses', count(*), 1, 'Repeated HTTP 5xx status records' FROM platform_lines WHERE regexp_matches(line, {_q(P.HTTP_5XX)}) GROUP BY ALL HAVING count(*) >= 5""")
+def web_findings(spark, d):
+    return platform_rules.web_findings(_platform(spark, d))
+
+
+@query_of("thread_states", _with("platform_lines") + f"SELECT bundle_id, artifact, {_first('line', P.THREAD_STATE, 1)} AS state, count(*) AS threads FROM platform_lines WHERE regexp_matches(line, {_q(P.THREAD_STATE)}) GROUP BY ALL")
+def thread_states(spark, d):
+    return platform_rules.thread_states(_platform(spark, d))
+
+
+@query_of("gc_pauses", _with("platform_lines") + f"SELECT bundle_id, artifact, count(*) AS long_pauses FROM platform_lines WHERE CAST({_first('line', P.GC_PAUSE, 1)} AS DOUBLE) > 1000 GROUP BY ALL")
+def gc_pauses(spark, d):
+    return platform_rules.gc_pauses(_platform(spark, d))
+
+
+@query_of("jvm_findings", _with("platform_lines", more=f"""l AS (SELECT *, lower(line) AS low, {_first('line', P.THREAD_STATE, 1)} AS state, CAST({_first('line', P.GC_PAUSE, 1)} AS DOUBLE) AS pause FROM platform_lines),
+j AS (SELECT bundle_id, artifact, bool_or(contains(low, 'found one java-level deadlock')) OR (bool_or(contains(low, 'found a total of')) AND bool_or(contains(low, 'deadlock'))) AS dead,
+ coalesce(min(CASE WHEN contains(low, 'deadlock') THEN line_no END), 0) AS dead_line, bool_or(contains(low, 'outofmemoryerror')) AS oom, coalesce(min(CASE WHEN contains(low, 'outofmemoryerror') THEN line_no END), 0) AS oom_line,
+ count(*) FILTER (WHERE state = 'BLOCKED') AS blocked, count(*) FILTER (WHERE pause > 1000) AS pauses FROM l GROUP BY ALL)""") + """SELECT bundle_id, artifact, 'JVM_DEADLOCK_INDICATOR' AS rule_id, 'critical' AS severity, dead_line AS line_start, 1 AS occurrences FROM j WHERE dead
+UNION ALL SELECT bundle_id, artifact, 'JVM_OUT_OF_MEMORY', 'high', oom_line, 1 FROM j WHERE oom
+UNION ALL SELECT bundle_id, artifact, 'JVM_BLOCKED_THREADS', 'medium', 0, blocked FROM j WHERE blocked >= 3
+UNION ALL SELECT bundle_id, artifact, 'JVM_LONG_GC_PAUSE', 'high', 0, pauses FROM j WHERE pauses > 0""")
+def jvm_findings(spark, d):
+    return platform_rules.jvm_findings(_platform(spark, d))
+
+
+_IDS = [4625, 6008, 7031, 1000, 7, 1014, 99999]
+_WINDOWS = "w AS (SELECT 'b' || (user_id % 3) AS bundle_id, 'events' || (user_id % 4) || '.xml' AS artifact, event_id AS position, [" + ", ".join(map(str, _IDS)) + "][CAST(event_id % 7 AS INT) + 1] AS event_id, repeat(event_type || ' ', 40) || event_id AS message FROM events)"
+
+
+@query_of("windows_findings", "WITH " + _WINDOWS + ", known(event_id, rule_id, severity, title) AS (VALUES " + ", ".join(f"({e}, {_q(r)}, {_q(s)}, {_q(t)})" for e, r, s, t in P.WINDOWS_EVENTS) + ") SELECT bundle_id, artifact, event_id, rule_id, severity, title, count(*) AS occurrences, arg_min(CASE WHEN length(message) > 300 THEN substr(message, 1, 300) || '…' ELSE message END, position) AS excerpt FROM w JOIN known USING (event_id) GROUP BY ALL")
+def windows_findings(spark, d):
+    e = table(spark, d, "events")
+    number = F.element_at(F.array(*map(F.lit, _IDS)), (F.col("event_id") % 7).cast("int") + 1)
+    message = F.concat(F.repeat(F.concat("event_type", F.lit(" ")), 40), "event_id")
+    rows = e.select(F.concat(F.lit("b"), F.col("user_id") % 3).alias("bundle_id"), F.concat(F.lit("events"), F.col("user_id") % 4, F.lit(".xml")).alias("artifact"), F.col("event_id").alias("position"), number.alias("event_id"), message.alias("message"))
+    return platform_rules.windows_findings(rows)
+
+
+# ---- artifacts ----
+
+_CONTENT = "CASE CAST(n % 4 AS INT) WHEN 0 THEN '2024-01-01 INFO ' || content WHEN 1 THEN '{\"timestamp\": 1, \"level\": \"' || content || '\"}' WHEN 2 THEN 'apiVersion: v1 kind: Pod ' || content ELSE '[gc,x] ' || content END"
+_PATHS = f"x AS (SELECT bundle_id, side, folder || '/' || n || '/' || name AS path, {_CONTENT} AS body FROM artifacts)"
+_TYPE = """CASE WHEN lower(path) LIKE '%.hprof' THEN 'recognized-large-binary-artifact' WHEN lower(path) LIKE '%.evtx' THEN 'windows-event-binary' WHEN contains(body, '[gc,') THEN 'jvm-gc-log'
+ WHEN contains(path, 'php') AND path LIKE '%.log' THEN 'php-log' WHEN contains(path, 'nginx') AND contains(path, 'access') THEN 'nginx-access' WHEN path LIKE '%.env' THEN 'env-config'
+ WHEN path LIKE '%.yaml' AND contains(body, 'apiVersion:') AND contains(body, 'kind:') THEN 'kubernetes-manifest' WHEN path LIKE '%.yaml' THEN 'yaml-config'
+ WHEN path LIKE '%.json' AND contains(body, '"timestamp"') AND contains(body, '"level"') THEN 'json-log' WHEN path LIKE '%.json' THEN 'json-config'
+ WHEN path LIKE '%netstat%' THEN 'network-diagnostic' WHEN path LIKE '%.log' OR path LIKE '%.txt' THEN 'generic-log' ELSE 'unknown-text' END"""
+_INVENTORY = _PATHS + f", i AS (SELECT bundle_id, side, path, substr(sha256(body), 1, 16) AS id, {_TYPE} AS type, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS size FROM x)"
+_ROUTE = "CASE WHEN type IN ('generic-log', 'json-log', 'php-log', 'nginx-access', 'jvm-gc-log') THEN 'log' WHEN type = 'har' THEN 'har' WHEN type = 'archive' THEN 'nested-archive' ELSE 'privacy-only' END"
+
+
+def _files(spark, d):
+    a = derived(spark, d, "artifacts")
+    body = (
+        F.when(F.col("n") % 4 == 0, F.concat(F.lit("2024-01-01 INFO "), "content"))
+        .when(F.col("n") % 4 == 1, F.concat(F.lit('{"timestamp": 1, "level": "'), "content", F.lit('"}')))
+        .when(F.col("n") % 4 == 2, F.concat(F.lit("apiVersion: v1 kind: Pod "), "content"))
+        .otherwise(F.concat(F.lit("[gc,x] "), "content"))
+    )
+    return a.select("bundle_id", "side", F.concat_ws("/", "folder", "n", "name").alias("path"), body.cast("binary").alias("content"))
+
+
+def _inventory(spark, d):
+    return inventory.inventory(_files(spark, d))
+
+
+@query_of("inventory", _with("artifacts", more=_INVENTORY) + "SELECT bundle_id, path, id, type, sha256, size FROM i")
+def inventory_(spark, d):
+    return inventory.sort_artifacts(_inventory(spark, d))
+
+
+@query_of("classify_artifacts", _with("artifacts", more=_INVENTORY) + "SELECT type, count(*) AS artifacts FROM i GROUP BY ALL")
+def classify_artifacts(spark, d):
+    return _inventory(spark, d).groupBy("type").agg(F.count("*").alias("artifacts"))
+
+
+@query_of("artifact_routes", _with("artifacts", more=_INVENTORY) + f"SELECT bundle_id, path, {_ROUTE} AS route FROM i")
+def artifact_routes(spark, d):
+    return inventory.route(_inventory(spark, d)).select("bundle_id", "path", "route")
+
+
+_ANALYZERS = [
+    ("jvm", ["jvm-thread-dump", "jvm-gc-log", "jvm-arguments", "jvm-properties", "jvm-heap-dump"]),
+    ("logs", ["generic-log", "json-log", "syslog", "docker-log"]),
+    ("web", ["php-log", "php-config", "nginx-access", "nginx-error", "apache-access", "apache-error"]),
+    ("windows", ["windows-event-xml", "windows-evtx"]),
+]
+
+
+@query_of("analyzer_plan", _with("artifacts", more=_INVENTORY) + ", n(name, type) AS (VALUES " + ", ".join(f"({_q(n)}, {_q(t)})" for n, ts in _ANALYZERS for t in ts) + "), y AS (SELECT bundle_id, path, CASE type WHEN 'windows-event-binary' THEN 'windows-evtx' WHEN 'recognized-large-binary-artifact' THEN 'jvm-heap-dump' ELSE type END AS type FROM i) SELECT bundle_id, path, type, name FROM y JOIN n USING (type)")
+def analyzer_plan(spark, d):
+    return inventory.plan_analyzers(_inventory(spark, d), spark.createDataFrame(_ANALYZERS, "name string, supported array<string>"))
+
+
+@query_of("bundle_warnings", _with("artifacts", more=_INVENTORY) + f", r AS (SELECT bundle_id, {_ROUTE} AS route FROM i) SELECT bundle_id, concat_ws('; ', CASE WHEN count(*) FILTER (WHERE route = 'log') = 0 THEN 'no supported logs found' END, CASE WHEN count(*) FILTER (WHERE route = 'har') = 0 THEN 'no HTTP archive found' END) AS warnings, 'completed_with_warnings' AS status FROM r GROUP BY ALL")
+def bundle_warnings(spark, d):
+    return inventory.bundle_warnings(inventory.route(_inventory(spark, d))).withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@query_of("heap_dumps", _with("artifacts", more=_INVENTORY) + "SELECT bundle_id, path AS artifact, 'JVM_HEAP_DUMP_RECOGNIZED' AS rule_id, 'info' AS severity, 0 AS line_start, 1 AS occurrences FROM i WHERE type = 'recognized-large-binary-artifact'")
+def heap_dumps(spark, d):
+    return platform_rules.heap_dumps(_inventory(spark, d))
+
+
+@query_of("sanitizable", _with("artifacts", more=_PATHS) + "SELECT 'sanitized' AS status, count(*) AS artifacts FROM x GROUP BY ALL")
+def sanitizable(spark, d):
+    return inventory.sanitizable(_files(spark, d)).groupBy("status").agg(F.count("*").alias("artifacts"))
+
+
+_AUDIT = r"""p AS (SELECT *, CASE WHEN name LIKE '/%' OR regexp_matches(name, '^[A-Za-z]:') OR name IN ('../etc/passwd', 'x/../..') THEN 'path-traversal' ELSE 'ok' END AS verdict,
+ lower(CASE name WHEN 'a//b/./same.log' THEN 'a/b/same.log' ELSE name END) AS path FROM entries WHERE mode <> 'directory'),
+q AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, CASE WHEN verdict = 'ok' THEN path END ORDER BY entry_no) AS copy, row_number() OVER (PARTITION BY bundle_id ORDER BY entry_no) AS files FROM p),
+v AS (SELECT *, CASE WHEN mode <> 'file' THEN 'unsafe-entry' WHEN compressed > 0 AND size > compressed * 1500 THEN 'ratio-exceeded' WHEN verdict <> 'ok' THEN verdict WHEN copy > 1 THEN 'duplicate-path' END AS code FROM q)"""
+
+
+@query_of("entry_audit", _with("entries", more=_AUDIT) + "SELECT bundle_id, min(CASE WHEN code IS NOT NULL THEN entry_no END) AS bad_entry, coalesce(arg_min(code, entry_no) FILTER (WHERE code IS NOT NULL), 'ok') AS code, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM v GROUP BY ALL")
+def entry_audit(spark, d):
+    return inventory.audit_entries(derived(spark, d, "entries"), inventory.Limits(ratio=1500))
+
+
+# ---- comparison ----
+
+_SIDES = "s AS (SELECT bundle_id AS pair, side, folder || '/' || name AS path, max(sha256(content)) AS sha256 FROM artifacts GROUP BY ALL), a AS (SELECT * FROM s WHERE side = 'baseline'), b AS (SELECT * FROM s WHERE side = 'incident')"
+# two bundles' findings stand for baseline and incident; their key is (rule, component, title), their pair the artifact
+_PAIR = _FOUND + ", z AS (SELECT artifact AS pair, rule_id, component, title || ' ' || CAST(line_start % 3 AS VARCHAR) AS title, severity, fingerprint || line_start AS id, bundle_id FROM found), a AS (SELECT * FROM z WHERE bundle_id = 'b0'), b AS (SELECT * FROM z WHERE bundle_id = 'b1')"
+_LAST = "row_number() OVER (PARTITION BY pair, rule_id, component, title ORDER BY CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END, id DESC) = 1"
+
+
+def _sides(spark, d):
+    a = derived(spark, d, "artifacts").groupBy(F.col("bundle_id").alias("pair"), "side", F.concat_ws("/", "folder", "name").alias("path")).agg(F.max(F.sha2("content", 256)).alias("sha256"))
+    return a.where("side = 'baseline'"), a.where("side = 'incident'")
+
+
+def _pair(spark, d):
+    z = _findings(spark, d).select(F.col("artifact").alias("pair"), "rule_id", "component", F.concat("title", F.lit(" "), F.col("line_start") % 3).alias("title"), "severity", F.concat("fingerprint", "line_start").alias("id"), "bundle_id")
+    return z.where("bundle_id = 'b0'"), z.where("bundle_id = 'b1'")
+
+
+@query_of("artifact_diff", _with("artifacts", more=_SIDES) + "SELECT pair, path, a.sha256 AS baseline_sha256, b.sha256 AS incident_sha256, CASE WHEN a.sha256 IS NULL THEN 'added' WHEN b.sha256 IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (pair, path) WHERE a.sha256 IS DISTINCT FROM b.sha256")
+def artifact_diff(spark, d):
+    return compare.artifact_diff(*_sides(spark, d))
+
+
+@query_of("added_artifacts", _with("artifacts", more=_SIDES) + "SELECT pair, path FROM b ANTI JOIN a USING (pair, path)")
+def added_artifacts(spark, d):
+    return compare.added_artifacts(*_sides(spark, d))
+
+
+@query_of("removed_artifacts", _with("artifacts", more=_SIDES) + "SELECT pair, path FROM a ANTI JOIN b USING (pair, path)")
+def removed_artifacts(spark, d):
+    return compare.removed_artifacts(*_sides(spark, d))
+
+
+def _diff_sql(x: str, y: str) -> str:
+    return _with("lines", more=_PAIR) + f"SELECT * FROM (SELECT * FROM {x} QUALIFY {_LAST}) ANTI JOIN {y} USING (pair, rule_id, component, title)"
+
+
+@query_of("new_findings", _diff_sql("b", "a"))
+def new_findings(spark, d):
+    return compare.new_findings(*_pair(spark, d))
+
+
+@query_of("resolved_findings", _diff_sql("a", "b"))
+def resolved_findings(spark, d):
+    return compare.resolved_findings(*_pair(spark, d))
+
+
+@query_of("unchanged_rules", _with("lines", more=_PAIR) + "SELECT DISTINCT pair, rule_id FROM b SEMI JOIN a USING (pair, rule_id, component, title)")
+def unchanged_rules(spark, d):
+    return compare.unchanged_rules(*_pair(spark, d))
+
+
+@query_of("severity_delta", _with("lines", more=_PAIR) + "SELECT pair, severity, CAST(sum(d) AS BIGINT) AS delta FROM (SELECT pair, severity, 1 AS d FROM b UNION ALL SELECT pair, severity, -1 FROM a) GROUP BY ALL")
+def severity_delta(spark, d):
+    return compare.severity_delta(*_pair(spark, d))
+
+
+@query_of("comparison_counts", _with("lines", "artifacts", more=_PAIR.replace("a AS (SELECT * FROM z", "a0 AS (SELECT * FROM z").replace("b AS (SELECT * FROM z", "b0 AS (SELECT * FROM z")) + """SELECT pair, side, what, count(*) AS n FROM (SELECT pair, CASE bundle_id WHEN 'b0' THEN 'baseline' ELSE 'incident' END AS side, 'findings' AS what FROM z WHERE bundle_id IN ('b0', 'b1')
+UNION ALL SELECT bundle_id, side, 'artifacts' FROM artifacts UNION ALL SELECT artifact, 'incident', 'events' FROM lines WHERE bundle_id = 'b1') GROUP BY ALL""")
+def comparison_counts(spark, d):
+    side = lambda df, s: df.select("pair", F.lit(s).alias("side"))
+    a, b = _pair(spark, d)
+    events = _lines(spark, d).where("bundle_id = 'b1'").select(F.col("artifact").alias("pair"))
+    files = derived(spark, d, "artifacts").select(F.col("bundle_id").alias("pair"), "side")
+    return compare.comparison_counts(files, side(a, "baseline").unionByName(side(b, "incident")), side(events, "incident"))
+
+
+# ---- redaction ----
+
+
+def _redacted(x: str, kinds: list[tuple[str, str]]) -> str:
+    for kind, p in kinds:
+        x = _rr(x, p, f"{kind.upper()}_REDACTED")
+    return x
+
+
+def _redaction_sql(source: str, keys: str, text: str, kinds: list[tuple[str, str]]) -> str:
+    steps, now = [], text
+    for k, p in kinds:
+        steps.append(f"sum(len(regexp_extract_all({now}, {_q(p)}))) AS {k}")
+        now = _rr(now, p, f"{k.upper()}_REDACTED")
+    names = ", ".join(k for k, _ in kinds)
+    return f"c AS (SELECT {keys}, {', '.join(steps)} FROM {source} GROUP BY {keys}), r AS (SELECT {keys}, kind, CAST(replacements AS BIGINT) AS replacements FROM (UNPIVOT c ON {names} INTO NAME kind VALUE replacements) WHERE replacements > 0)"
+
+
+for _profile in ("standard", "strict"):
+
+    @query_of(f"redact_{_profile}", f"SELECT doc_id, sha256({_redacted('text', sanitize.kinds_of(_profile))}) AS output_sha256 FROM documents")
+    def _redact_docs(spark, d, profile=_profile):
+        return table(spark, d, "documents").select("doc_id", F.sha2(sanitize.redact(F.col("text"), profile).cast("binary"), 256).alias("output_sha256"))
+
+    @query_of(f"redact_lines_{_profile}", _with("lines") + f"SELECT bundle_id, artifact, line_no, {_redacted('line', sanitize.kinds_of(_profile))} AS line FROM lines")
+    def _redact_lines(spark, d, profile=_profile):
+        return _lines(spark, d).select(*logs.K, "line_no", sanitize.redact(F.col("line"), profile).alias("line"))
+
+
+@query_of("redaction_counts", _with("lines", more=_redaction_sql("lines", "bundle_id, artifact", "line", P.STRICT_KINDS)) + "SELECT * FROM r")
+def redaction_counts(spark, d):
+    return sanitize.redaction_counts(_lines(spark, d), logs.K, "line", "strict")
+
+
+@query_of("redaction_summary", _with("lines", more=_redaction_sql("lines", "bundle_id, artifact", "line", P.STRICT_KINDS)) + "SELECT kind, CAST(sum(replacements) AS BIGINT) AS replacements FROM r GROUP BY ALL")
+def redaction_summary(spark, d):
+    return sanitize.redaction_summary(redaction_counts(spark, d))
+
+
+@query_of("pseudonyms")
+def pseudonyms(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("export"), F.format_string("d/%09d", "doc_id").alias("path"), "text")
+    out = sanitize.pseudonymize(docs, "strict")
+    return out.select("export", "path", F.sha2(F.col("text").cast("binary"), 256).alias("output_sha256"), F.to_json("replacements").alias("replacements"))
+
+
+# ---- interactive queries ----
+
+_RANK = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END"
+
+
+@query_of("findings_by_session", _with("lines", more=_FOUND) + f"SELECT bundle_id, severity, rule_id, title, occurrences, artifact || rule_id || fingerprint AS id FROM found WHERE bundle_id = 'b1' ORDER BY {_RANK} DESC, id LIMIT 100")
+def findings_by_session(spark, d):
+    f = _findings(spark, d).withColumn("id", F.concat("artifact", "rule_id", "fingerprint"))
+    return query.findings_by_session(f, "b1").select("bundle_id", "severity", "rule_id", "title", "occurrences", "id")
+
+
+_EVENTS_SQL = _PARSED_A + ", t AS (SELECT *, artifact || '#' || line_no AS id FROM a WHERE ts IS NOT NULL AND severity IN ('warning', 'error', 'critical'))"
+
+
+def _events(spark, d):
+    t = logs.log_timeline(logs.parse_log_a(_lines(spark, d)))
+    return t.withColumn("id", F.concat("artifact", F.lit("#"), "line_no"))
+
+
+@query_of("timeline_range", _with("lines", more=_EVENTS_SQL) + f"SELECT bundle_id, {_FMT.format('ts')} AS ts, severity, id FROM t WHERE bundle_id = 'b2' AND t.ts >= TIMESTAMP '2024-01-01 00:05:00' AND t.ts < TIMESTAMP '2024-01-01 00:40:00' ORDER BY t.ts, id LIMIT 500")
+def timeline_range(spark, d):
+    t = query.timeline_range(_events(spark, d), "b2", "2024-01-01 00:05:00", "2024-01-01 00:40:00")
+    return t.select("bundle_id", stamp("ts"), "severity", "id")
+
+
+@query_of("timeline_head", _with("lines", more=_EVENTS_SQL) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, row_number() OVER (PARTITION BY bundle_id ORDER BY t.ts, artifact, line_no) AS position FROM t QUALIFY position <= 1000")
+def timeline_head(spark, d):
+    return query.timeline_head(_events(spark, d)).select("bundle_id", "artifact", "line_no", stamp("ts"), "position")
+
+
+@query_of("by_correlation", _with("lines", more=_EVENTS_SQL) + "SELECT bundle_id, artifact, line_no, severity FROM t WHERE bundle_id = 'b1' AND correlation_id = 'c10'")
+def by_correlation(spark, d):
+    return query.by_correlation(_events(spark, d), "b1", "c10").select("bundle_id", "artifact", "line_no", "severity")
+
+
+@query_of("finding_search", _with("lines", more=_FOUND) + "SELECT bundle_id, artifact, rule_id, severity, fingerprint FROM found WHERE severity = 'high' AND contains(lower(title || ' ' || summary || ' ' || component), 'database')")
+def finding_search(spark, d):
+    return query.search_findings(_findings(spark, d), "DataBase", "high").select(*logs.K, "rule_id", "severity", "fingerprint")
+
+
+@query_of("artifact_search", _with("artifacts", more=_INVENTORY) + "SELECT bundle_id, path, type FROM i WHERE contains(lower(path || ' ' || type), 'nginx')")
+def artifact_search(spark, d):
+    return query.search_artifacts(_inventory(spark, d), "NGINX").select("bundle_id", "path", "type")
+
+
+def _times(text: str, word: str) -> str:
+    return f"len(list_filter(regexp_extract_all(lower({text}), '[a-z0-9]+'), lambda t: t = {_q(word)}))"
+
+
+_SCORE = " + ".join(f"{_times(c, w)} * {k}" for w in ("database", "errors") for c, k in (("title", 1.0), ("summary", 0.4), ("component || ' ' || replace(rule_id, '_', ' ')", 0.2)))
+_HOLDS = " AND ".join("(" + " + ".join(_times(c, w) for c in ("title", "summary", "component || ' ' || replace(rule_id, '_', ' ')")) + ") > 0" for w in ("database", "errors"))
+
+
+@query_of("search_ranked", _with("lines", more=_FOUND) + f"SELECT artifact || rule_id || fingerprint AS id, title, CAST(round({_SCORE}, 6) AS DOUBLE) AS rank FROM found WHERE bundle_id = 'b0' AND {_HOLDS} ORDER BY rank DESC, id LIMIT 50")
+def search_ranked(spark, d):
+    f = _findings(spark, d).withColumn("id", F.concat("artifact", "rule_id", "fingerprint"))
+    return query.search_ranked(f, "b0", "database errors").select("id", "title", "rank")
+
+
+@query_of("session_metrics", _with("sessions") + "SELECT s.status, count(sessions.status) AS sessions FROM (VALUES ('queued'), ('running'), ('completed'), ('failed')) s(status) LEFT JOIN sessions ON sessions.status = s.status GROUP BY ALL")
+def session_metrics(spark, d):
+    return query.session_metrics(derived(spark, d, "sessions"))
+
+
+@query_of("list_sessions", _with("sessions") + f"SELECT session_id, status, {_FMT.format('created_at')} AS created_at FROM sessions s ORDER BY s.created_at DESC, session_id LIMIT 200")
+def list_sessions(spark, d):
+    return query.list_sessions(derived(spark, d, "sessions"), 200).select("session_id", "status", stamp("created_at"))
+
+
+@query_of("report_summary", _with("lines", "artifacts", more=_FOUND + ", " + _EVENTS_SQL + ", " + _privacy_sql("lines", "bundle_id", "line", P.STRICT_KINDS).replace("\nSELECT", ", m AS (SELECT", 1) + ")") + """SELECT bundle_id, CAST(sum(x) AS BIGINT) AS artifacts, CAST(sum(f) AS BIGINT) AS findings, CAST(sum(g) AS BIGINT) AS grave, CAST(sum(e) AS BIGINT) AS events, CAST(sum(p) AS BIGINT) AS matches FROM (
+SELECT bundle_id, 1 AS x, 0 AS f, 0 AS g, 0 AS e, 0 AS p FROM artifacts UNION ALL SELECT bundle_id, 0, 1, CASE WHEN severity IN ('critical', 'high') THEN 1 ELSE 0 END, 0, 0 FROM found
+UNION ALL SELECT bundle_id, 0, 0, 0, 1, 0 FROM t UNION ALL SELECT bundle_id, 0, 0, 0, 0, matches FROM m) GROUP BY ALL""")
+def report_summary(spark, d):
+    sensitive = logs.privacy_counts(_lines(spark, d), "line", ["bundle_id"])
+    return query.report_summary(derived(spark, d, "artifacts"), _findings(spark, d), _events(spark, d), sensitive)
+
+
+@query_of("evidence_view", _with("lines", more=_FOUND) + ", k AS (SELECT bundle_id, artifact, sha256(artifact) AS sha256 FROM lines WHERE bundle_id <> 'b2' GROUP BY ALL) SELECT f.bundle_id, rule_id, f.artifact, line_start, line_end, CASE WHEN k.sha256 IS NOT NULL THEN 'generic-log' END AS type, k.sha256 FROM found f LEFT JOIN k ON f.bundle_id = k.bundle_id AND f.artifact = k.artifact")
+def evidence_view(spark, d):
+    known = _lines(spark, d).where("bundle_id <> 'b2'").select("bundle_id", F.col("artifact").alias("path")).distinct()
+    known = known.withColumns({"type": F.lit("generic-log"), "sha256": F.sha2("path", 256)})
+    return query.evidence_view(_findings(spark, d), known)
+
+
+# ---- audits ----
+
+
+@query_of("constraint_audit", _with("lines", more=_FOUND) + """SELECT r.rule, r.checked, r.broken FROM (SELECT unnest([{'rule': 'severity_known', 'checked': count(*), 'broken': count(*) FILTER (WHERE severity NOT IN ('critical', 'high', 'medium', 'low', 'info'))},
+ {'rule': 'confidence_in_schema', 'checked': count(*), 'broken': count(*) FILTER (WHERE confidence NOT IN ('exact', 'strong', 'heuristic'))}, {'rule': 'confidence_in_store', 'checked': count(*), 'broken': count(*) FILTER (WHERE confidence NOT IN ('strong', 'moderate', 'weak'))},
+ {'rule': 'rule_id_format', 'checked': count(*), 'broken': count(*) FILTER (WHERE NOT regexp_matches(rule_id, '^[A-Z][A-Z0-9_]+$'))}, {'rule': 'occurrences_positive', 'checked': count(*), 'broken': count(*) FILTER (WHERE occurrences < 1)},
+ {'rule': 'lines_in_order', 'checked': count(*), 'broken': count(*) FILTER (WHERE line_end < line_start)}, {'rule': 'excerpt_short', 'checked': count(*), 'broken': count(*) FILTER (WHERE length(excerpt) > 4096)}]) AS r FROM found)""")
+def constraint_audit(spark, d):
+    return audit.check_schema(_findings(spark, d), "finding")
+
+
+@query_of("artifact_audit", _with("entries") + """SELECT r.rule, r.checked, r.broken FROM (SELECT unnest([{'rule': 'path_relative', 'checked': count(*), 'broken': count(*) FILTER (WHERE name LIKE '/%' OR regexp_matches(name, '(^|/)\\.\\.(/|$)'))},
+ {'rule': 'mode_known', 'checked': count(*), 'broken': count(*) FILTER (WHERE mode NOT IN ('file', 'directory'))}, {'rule': 'size_not_negative', 'checked': count(*), 'broken': count(*) FILTER (WHERE size < 0)}]) AS r FROM entries)""".replace("\\\\", "\\"))
+def artifact_audit(spark, d):
+    rules = {"path_relative": audit.artifact_rules()["path_relative"], "mode_known": F.col("mode").isin("file", "directory"), "size_not_negative": F.col("size") >= 0}
+    return audit.check_constraints(derived(spark, d, "entries").withColumn("path", F.col("name")), rules)
+
+
+@query_of("duplicate_keys", _with("lines", more=_FOUND) + "SELECT bundle_id, rule_id, component, title, count(*) AS rows FROM found GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return audit.duplicate_keys(_findings(spark, d), ["bundle_id", "rule_id", "component", "title"])
+
+
+@query_of("fk_violations", "SELECT o_orderkey, o_custkey FROM orders ANTI JOIN (SELECT DISTINCT c_custkey AS o_custkey FROM customer WHERE c_custkey % 7 <> 0) USING (o_custkey) WHERE o_custkey IS NOT NULL")
+def fk_violations(spark, d):
+    parents = table(spark, d, "customer").where("c_custkey % 7 <> 0")
+    return audit.fk_violations(table(spark, d, "orders"), parents, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
