@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -138,28 +138,35 @@ class Network:
         return out
 
 
-def _odds(sets: list[set[str]], labels: np.ndarray, least: int, most: int) -> dict[str, float]:
-    """Smoothed log-odds of the commonest entries by presence in toxic and other texts."""
-    toxic, rest = Counter(), Counter()
-    for s, y in zip(sets, labels, strict=True):
-        (toxic if y else rest).update(s)
-    n1, n0 = labels.sum() + 2, len(labels) - labels.sum() + 2
+def _odds(names: list[str], toxic: np.ndarray, rest: np.ndarray, n1: int, n0: int, least: int, most: int) -> dict[str, float]:
+    """Smoothed log-odds of the commonest entries by the numbers of toxic and other texts that hold them."""
     both = toxic + rest
-    found = [w for w, n in sorted(both.items(), key=lambda x: (-x[1], x[0])) if n >= least][:most]
-    return {w: math.log((toxic[w] + 1) / n1) - math.log((rest[w] + 1) / n0) for w in found}
+    found = sorted(np.flatnonzero(both >= least), key=lambda i: (-both[i], names[i]))[:most]
+    return {names[i]: math.log((toxic[i] + 1) / (n1 + 2)) - math.log((rest[i] + 1) / (n0 + 2)) for i in found}
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.01, batch: int = 128, least_steps: int = 200, seed: int = 1, max_words: int = 50_000, max_grams: int = 50_000) -> Network:
+def train(texts: Iterable[str], labels: list[int], epochs: int = 6, rate: float = 0.01, batch: int = 128, least_steps: int = 200, seed: int = 1, max_words: int = 50_000, max_grams: int = 50_000) -> Network:
     """Fit the network on labelled texts. Word and n-gram vectors start from log-odds in one half of the texts; the
     network is fitted on the other half, where each text counts through its highest window, for ``epochs`` or ``least_steps`` batches,
-    whichever is more."""
+    whichever is more. Texts are held as numbers of words."""
     rng = np.random.default_rng(seed)
-    lists, y = [tokens(t) for t in texts], np.array(labels, np.float32)
-    half = rng.permutation(len(texts)) % 2 == 0
-    first = np.flatnonzero(half)
-    sets = [set(lists[i]) for i in first]
-    words = _odds(sets, y[first], 3, max_words)
-    chars = _odds([{g for w in s for g in grams(w)} for s in sets], y[first], 5, max_grams)
+    vocab: dict[str, int] = {}
+    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in tokens(t)], np.int32) for t in texts]
+    y = np.array(labels, np.float32)
+    half = rng.permutation(len(ids)) % 2 == 0
+    names, of_gram = list(vocab), {}
+    own = [np.array([of_gram.setdefault(g, len(of_gram)) for g in grams(w)], np.int32) for w in names]
+    with_word, with_gram = np.zeros((2, len(names)), np.int64), np.zeros((2, len(of_gram)), np.int64)
+    for i in np.flatnonzero(half):
+        used = np.unique(ids[i])
+        with_word[int(y[i]), used] += 1
+        if len(used):
+            with_gram[int(y[i]), np.unique(np.concatenate([own[w] for w in used]))] += 1
+    n1 = int(y[half].sum())
+    n0 = int(half.sum()) - n1
+    words = _odds(names, with_word[1], with_word[0], n1, n0, 3, max_words)
+    chars = _odds(list(of_gram), with_gram[1], with_gram[0], n1, n0, 5, max_grams)
+    del own, of_gram, with_word, with_gram
 
     def start(odds: dict[str, float], unknown: int, d: int) -> np.ndarray:
         out = rng.normal(0, 0.05, (len(odds) + unknown, d)).astype(np.float32)
@@ -173,12 +180,13 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.
     p |= {k: rng.normal(0, 0.25, s).astype(np.float32) for k, s in shapes.items()}
     p |= {"b": np.zeros((2, 1, 3 * _H), np.float32), "bias": np.array([-2.0], np.float32)}
     net = Network({w: i + 1 for i, w in enumerate(words)}, {g: i for i, g in enumerate(chars)}, p)
-    second = np.flatnonzero(~half & np.array([len(x) > 0 for x in lists], bool))
+    second = np.flatnonzero(~half & np.array([len(x) > 0 for x in ids], bool))
     if not len(second):
         return net
-    vocab: dict[str, int] = {}
-    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in lists[i]], np.int32) for i in second]
-    found = net.inputs(list(vocab))
+    used, flat = np.unique(np.concatenate([ids[i] for i in second]), return_inverse=True)
+    ids = np.split(flat.astype(np.int32), np.cumsum([len(ids[i]) for i in second])[:-1])
+    found = net.inputs([names[i] for i in used])
+    del vocab, names, flat
     epochs = max(epochs, -(-least_steps * batch // len(second)))
     m, v, step = {}, {}, 0
     for epoch in range(epochs):
@@ -251,7 +259,7 @@ def _gradients(net: Network, found: tuple, at: np.ndarray, mask: np.ndarray, y:
     return g
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 8_000, max_chars: int = 50_000) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6_000, max_chars: int = 50_000) -> DataFrame:
     """About ``sample`` labelled training texts, chosen by a hash of doc_id: doc_id, text, toxic.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is 0 are held out. Null labels and ids are left out, of several labels
@@ -266,12 +274,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample:
     return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 8_000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6_000) -> Network:
     """Train on the bounded sample; the same input gives the same network. Without labels all texts score low."""
-    rows = labelled_sample(docs, labels, folds, sample).toArrow().to_pylist()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
-    rows = list({(r["doc_id"], r["text"]): r for r in rows}.values())
-    return train([r["text"] for r in rows], [int(r["toxic"] == 1) for r in rows])
+    rows = labelled_sample(docs, labels, folds, sample).distinct().toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return train((t.as_py() for t in rows["text"]), [int(x == 1) for x in rows["toxic"].to_pylist()])
 
 
 def scorer(spark, net: Network):
@@ -286,7 +292,7 @@ def scorer(spark, net: Network):
     return score
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 8_000) -> Column:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6_000) -> Column:
     """Score in [0, 1] of ``docs.text`` as a column, higher when a label 1 is likelier: the highest window's probability.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; other columns are ignored. Whole texts are scored, however
