@@ -43,13 +43,23 @@ def har_domains(entries: DataFrame) -> DataFrame:
 def har_privacy(entries: DataFrame, kinds: list[tuple[str, str]] = P.STRICT_KINDS) -> DataFrame:
     """Sensitive header names, matches in header values and URLs, and requests with a body or cookies, by file and kind."""
     names = ["authorization", "cookie", "set-cookie", "x-api-key"]
-    count = lambda text, p: F.coalesce(F.regexp_count(text, F.lit(java(p))), F.lit(0))
-    of_name = [F.size(F.filter("headers", lambda h, n=n: F.lower(h["name"]) == n)).alias(n) for n in names]
-    of_kind = [(F.aggregate("headers", F.lit(0), lambda acc, h, p=p: acc + count(h["value"], p)) + count(F.col("url"), p)).alias(k) for k, p in kinds]
+
+    def count(text, p):
+        return F.coalesce(F.regexp_count(text, F.lit(java(p))), F.lit(0))
+
+    def named(n):
+        return F.size(F.filter("headers", lambda h: F.lower(h["name"]) == n)).alias(n)
+
+    def of_headers(p):
+        return F.aggregate("headers", F.lit(0), lambda acc, h: acc + count(h["value"], p))
+
+    of_name = [named(n) for n in names]
+    of_kind = [(of_headers(p) + count(F.col("url"), p)).alias(k) for k, p in kinds]
     columns = [*names, *[k for k, _ in kinds], "request_or_cookie_body"]
     rows = entries.select(*K, *of_name, *of_kind, F.col("has_body").cast("int").alias("request_or_cookie_body"))
-    sums = rows.groupBy(*K).agg(*[F.sum(f"`{c}`").alias(c) for c in columns])
-    return sums.unpivot(K, [f"`{c}`" for c in columns], "kind", "matches").where("matches > 0").withColumn("kind", F.replace("kind", F.lit("`"), F.lit("")))
+    each = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(f"`{c}`").alias("n")) for c in columns])
+    some = rows.select(*K, F.inline(F.filter(each, lambda x: x["n"] > 0)))
+    return some.groupBy(*K, "kind").agg(F.sum("n").alias("matches"))
 
 
 def har_findings(summary: DataFrame) -> DataFrame:

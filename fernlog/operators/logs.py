@@ -123,18 +123,28 @@ def limit_lines(lines: DataFrame, n: int = 2_000_000) -> DataFrame:
 
 def detect_counts(text, kinds: list[tuple[str, str]] = P.STRICT_KINDS) -> list:
     """One count column for each kind; kinds are counted independently of one another."""
-    return [F.coalesce(F.regexp_count(text, F.lit(java(p))), F.lit(0)).alias(k) for k, p in kinds]
+    return [count_of(text, k, p).alias(k) for k, p in kinds]
+
+
+def count_of(text, kind: str, pattern: str):
+    """Matches of a kind in a text; 0 for null."""
+    n = F.coalesce(F.regexp_count(text, F.lit(java(pattern))), F.lit(0))
+    return F.when(F.contains(text, F.lit(P.NEEDLES[kind])), n).otherwise(0) if kind in P.NEEDLES else n
 
 
 def privacy_counts(rows: DataFrame, text: str, keys: list[str], kinds: list[tuple[str, str]] = P.STRICT_KINDS, nul_hides: bool = False) -> DataFrame:
-    """Matches by ``keys`` and kind, without zeros. With ``nul_hides`` a file that holds a NUL anywhere has no rows."""
-    nul = F.coalesce(F.contains(F.col(text), F.lit("\0")), F.lit(False)).alias("_nul")
-    counted = rows.select(*keys, nul, *detect_counts(F.col(text), kinds))
-    sums = counted.groupBy(*keys).agg(F.max("_nul").alias("_nul"), *[F.sum(k).alias(k) for k, _ in kinds])
+    """Matches by ``keys`` and kind, without zeros. With ``nul_hides`` a file that holds a NUL anywhere has no rows.
+
+    A row gives one pair for each kind that it matches, which most rows do not; pairs are summed before the shuffle.
+    """
+    counts = detect_counts(F.col(text), kinds)
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("n")) for (k, _), c in zip(kinds, counts, strict=True)])
+    found = rows.select(*keys, F.inline(F.filter(each, lambda x: x["n"] > 0)))
+    out = found.groupBy(*keys, "kind").agg(F.sum("n").alias("matches"))
     if nul_hides:
-        sums = sums.where(~F.col("_nul"))
-    long = sums.unpivot(keys, [k for k, _ in kinds], "kind", "n")
-    return long.where("n > 0").select(*keys, "kind", F.col("n").alias("matches"))
+        hidden = rows.where(F.contains(F.col(text), F.lit("\0"))).select(*keys).distinct()
+        out = out.join(hidden, keys, "left_anti")
+    return out
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:

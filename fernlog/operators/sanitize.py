@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlog import patterns as P
+from fernlog.operators.logs import count_of
 from fernlog.patterns import java
 
 
@@ -83,13 +84,14 @@ def pseudonymize(artifacts: DataFrame, profile: str = "standard") -> DataFrame:
 
 def redaction_counts(rows: DataFrame, keys: list[str], text: str, profile: str = "standard") -> DataFrame:
     """Replacements by ``keys`` and kind when kinds are replaced one after the other."""
-    sizes, now = [], F.col(text)
-    for kind, pattern in kinds_of(profile):
-        sizes.append(F.coalesce(F.regexp_count(now, F.lit(java(pattern))), F.lit(0)).alias(kind))
-        now = F.regexp_replace(now, java(pattern), f"{kind.upper()}_REDACTED")
-    names = [k for k, _ in kinds_of(profile)]
-    sums = rows.select(*keys, *sizes).groupBy(*keys).agg(*[F.sum(k).alias(k) for k in names])
-    return sums.unpivot(keys, names, "kind", "replacements").where("replacements > 0")
+    steps, kinds = rows.select(*keys, F.col(text).alias("_t0")), kinds_of(profile)
+    for i, (kind, pattern) in enumerate(kinds):  # a text is used twice, so that each step is worked out once
+        now = F.col(f"_t{i}")
+        size = count_of(now, kind, pattern)
+        steps = steps.withColumns({f"_n{i}": size, f"_t{i + 1}": F.regexp_replace(now, java(pattern), f"{kind.upper()}_REDACTED")})
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_n{i}").alias("n")) for i, (k, _) in enumerate(kinds)])
+    found = steps.select(*keys, F.inline(F.filter(each, lambda x: x["n"] > 0)))
+    return found.groupBy(*keys, "kind").agg(F.sum("n").alias("replacements"))
 
 
 def redaction_summary(counts: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ _ARTIFACTS = """SELECT 'b' || (o_orderkey % 5) AS bundle_id, CASE WHEN o_orderke
        'd' || (o_custkey % 40) AS folder, CAST(o_orderkey AS BIGINT) AS n, CAST(o_custkey AS BIGINT) AS c,
        o_orderpriority || '/' || (o_orderkey % 3) AS content FROM orders"""
 
-_ENTRIES = """SELECT CAST(l_orderkey AS BIGINT) AS bundle_id, CAST(l_linenumber AS BIGINT) AS entry_no,
+_ENTRIES = """SELECT CAST(l_orderkey AS BIGINT) AS bundle_id, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS BIGINT) AS entry_no,
        CASE CAST((l_orderkey + l_linenumber) % 23 AS INT) WHEN 3 THEN '../etc/passwd' WHEN 7 THEN '/abs/file' WHEN 11 THEN 'C:\\\\x\\\\y' WHEN 13 THEN 'a//b/./same.log'
             WHEN 14 THEN 'a/b/SAME.log' WHEN 19 THEN 'x/../..' ELSE 'logs/f' || l_linenumber || '.log' END AS name,
        CASE CAST(l_suppkey % 31 AS INT) WHEN 5 THEN 'symlink' WHEN 6 THEN 'directory' ELSE 'file' END AS mode,
