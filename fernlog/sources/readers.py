@@ -46,7 +46,7 @@ def read_har(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Requests of HTTP archives in the form that the operators take, and the files that are no JSON."""
     schema = T._parse_datatype_string(HAR_SCHEMA + ", _bad string")
     docs = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).select("*", F.col("_metadata.file_path").alias("artifact"))
-    bad = docs.where("_bad IS NOT NULL").select("artifact", F.lit("HTTP archive is malformed").alias("warning"))
+    bad = docs.where("_bad IS NOT NULL AND log IS NULL").select("artifact", F.lit("HTTP archive is malformed").alias("warning"))
     e = docs.where("_bad IS NULL").select("artifact", F.posexplode("log.entries").alias("entry", "e"))
     none = F.array().cast(f"array<{HEADER}>")
     list_ = lambda c: F.coalesce(c, none)
