@@ -28,7 +28,7 @@ def test_har_file(spark, tmp_path):
     t = har.har_timeline(entries).collect()
     assert len(t) == 1 and t[0].message == "GET https://api.example.test:8443/a%20b returned 503 in 2500 ms" and t[0].severity == "error"
     kinds = {r.kind: r.matches for r in har.har_privacy(entries).collect()}
-    assert kinds == {"authorization": 1, "bearer_token": 1, "password": 1}
+    assert kinds == {"authorization": 1, "bearer_token": 1, "password": 1, "email": 1}
     assert [r.host for r in har.har_domains(entries).collect()] == ["api.example.test"]
 
 
