@@ -30,14 +30,17 @@ MANIFESTS = ["package.json", "composer.json", "pom.xml", "go.mod", "requirements
 ALIASES = {"windows-event": "windows-event-xml", "windows-event-binary": "windows-evtx", "recognized-large-binary-artifact": "jvm-heap-dump"}
 
 
-def classify(path: Column, content: Column) -> Column:
+def _looked_at(artifacts: DataFrame) -> DataFrame:
+    """Adds what the rules look at, each worked out once for a row: _low (path), _base, _raw (magic bytes), _head, _text."""
+    low = F.lower(F.replace("path", F.lit("\\"), F.lit("/")))
+    out = artifacts.withColumns({"_low": low, "_raw": F.hex(F.substring("content", 1, 4)), "_head": F.substring("content", 1, 65_536)})
+    text = F.coalesce(F.make_valid_utf8(F.col("_head").cast("string")), F.lit(""))
+    return out.withColumns({"_base": F.element_at(F.split("_low", "/"), -1), "_text": F.regexp_replace(text, r"^\s+|\s+$", "")})
+
+
+def _type() -> Column:
     """Type of an artifact from its path and first 64 KiB, by ordered rules: the first that fits decides."""
-    low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
-    base = F.element_at(F.split(low, "/"), -1)
-    head = F.substring(content, 1, 65_536)
-    raw = F.hex(F.substring(content, 1, 4))
-    text = F.coalesce(F.try_validate_utf8(head.cast("string")), F.make_valid_utf8(head.cast("string")), F.lit(""))
-    text = F.regexp_replace(text, r"^\s+|\s+$", "")
+    low, base, raw, head, text = (F.col(c) for c in ("_low", "_base", "_raw", "_head", "_text"))
     has = lambda *parts: _all(text.contains(p) for p in parts)
     named = lambda *parts: _all(low.contains(p) for p in parts)
     ends = low.endswith
@@ -81,8 +84,8 @@ def _all(tests) -> Column:
 
 def inventory(artifacts: DataFrame) -> DataFrame:
     """bundle_id, path, id (first 16 digits of the hash), type, sha256, size of ``artifacts`` (bundle_id, path, content)."""
-    sha = F.sha2("content", 256)
-    return artifacts.select("bundle_id", "path", F.substring(sha, 1, 16).alias("id"), classify(F.col("path"), F.col("content")).alias("type"), sha.alias("sha256"), F.octet_length("content").cast("long").alias("size"))
+    rows = _looked_at(artifacts.select("bundle_id", "path", "content").withColumn("sha256", F.sha2("content", 256)))
+    return rows.select("bundle_id", "path", F.substring("sha256", 1, 16).alias("id"), _type().alias("type"), "sha256", F.octet_length("content").cast("long").alias("size"))
 
 
 def route(found: DataFrame) -> DataFrame:
