@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from fernlog.llm.common import fold, stored, words
 
-#: A candidate: a run of these characters with a digit, of at least LEAST characters.
+#: A candidate that nothing introduces: a run of these characters with a digit, of at least LEAST characters.
 RUN, LEAST = r"[A-Za-z0-9_+/=.:@\-]{12,}", 12
+#: A value that an assignment or key word introduces: any characters but quotes and commas, at least SHORT.
+VALUE, SHORT = r"[^\s\"'`,]{4,}", 4
 #: Findings that the forest is fitted on, at most about; entries of the dictionary, at most.
 SAMPLE, DICTIONARY = 20_000, 50_000
 # Words beside a candidate that speak for or against a secret.
@@ -19,6 +21,11 @@ FOR = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|be
 AGAINST = "sha1|sha256|md5|commit|checksum|isbn|uuid|version|example|http|www|mailto"
 # Formats that providers give to their keys.
 FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]+\.[\w-]+\.[\w-]*)$"
+# The same inside a word.
+FORMAT = f"(?<![A-Za-z0-9_])({FORMATS[2:-2]})(?![A-Za-z0-9_])"
+# An assignment inside a word (values may overlap), and the end of a word that introduces the next one.
+ASSIGNED = rf"(?<![A-Za-z0-9_.\-\]])([0-9_.\-\]]*+[A-Za-z][A-Za-z0-9_.\-\]]*+)[\"'`]?[=:]++(?!//)[\"'`]?(?=({VALUE}))"
+INTRODUCES = rf"(?i)[=:][\"'`]?$|(^|[^a-z])({FOR})[\"'`]?$"
 FEATURES = ["length", "digits", "upper", "lower", "symbols", "hex", "kinds_change", "case_change", "distinct", "transitions", "coverage", "longest_word", "slashes", "dots", "at_signs", "url", "assigned", "near_for", "near_against", "quoted"]
 
 
@@ -26,23 +33,46 @@ def _share(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern)) / F.length(col)
 
 
+def _trimmed(value: Column) -> Column:
+    return F.trim(F.regexp_replace(value, r"^[.:=/\-]+|[.:=\-]+$", ""))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """Candidates of all words of whole texts: doc_id, word_no, part, candidate, key, before, after, quoted.
 
-    A word (between white space) may hold several; ``part`` numbers them. ``key`` is what stands before the value in an
-    assignment inside the word or in the two words before; ``before`` are up to three words before, ``after`` one after.
+    These are the values that an assignment (inside a word or over two) or a key word of FOR introduces, whatever they are
+    made of; keys in a provider's format; and other runs with a digit. A word (between white space) may hold several;
+    ``part`` numbers them. ``key`` is what stands before the value in an assignment inside the word; ``before`` are up to
+    three words before, ``after`` one after.
     """
     split = docs.select("doc_id", words(F.col("text")).alias("w"))
-    hit = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(F.get("w", i)) >= LEAST) & F.get("w", i).rlike("[0-9]") & F.get("w", i).rlike(RUN))
+    word = lambda i: F.get("w", i)
+    run = lambda x: (F.length(x) >= LEAST) & x.rlike("[0-9]") & x.rlike(RUN)
+    introduced = lambda i: F.coalesce(word(i - 1).rlike(INTRODUCES), F.lit(False))
+    hit = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(word(i)) >= SHORT) & (run(word(i)) | word(i).rlike(ASSIGNED) | word(i).rlike(FORMAT) | introduced(i)))
     at = split.where(F.size("w") > 0).select("doc_id", "w", F.explode(hit).alias("i"))
     near = lambda lo, hi: F.concat_ws(" ", F.slice("w", F.greatest(F.lit(1), F.col("i") + 1 + lo), F.greatest(F.lit(0), F.least(F.col("i") + 1 + hi, F.size("w")) - F.greatest(F.lit(1), F.col("i") + 1 + lo) + 1)))
-    found = at.select("doc_id", F.col("i").alias("word_no"), F.get("w", F.col("i")).alias("word"), near(-3, -1).alias("before"), near(1, 1).alias("after"))
-    runs = found.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({RUN})"), 1)).alias("part", "run"))
-    # an assignment inside the run: its value is the candidate
-    key = F.regexp_extract("run", r"^([A-Za-z][A-Za-z0-9_.\-]*)[=:](?!//)", 1)
-    value = F.when(key != "", F.regexp_replace("run", r"^[A-Za-z][A-Za-z0-9_.\-]*[=:]+", "")).otherwise(F.col("run"))
-    runs = runs.select("doc_id", "word_no", "part", key.alias("key"), F.trim(F.regexp_replace(value, r"^[.:=/\-]+|[.:=\-]+$", "")).alias("candidate"), "before", "after", F.col("word").rlike("[\"'`]").cast("int").alias("quoted"))
-    return runs.where((F.length("candidate") >= LEAST) & F.col("candidate").rlike("[0-9]"))
+    found = at.select("doc_id", F.col("i").alias("word_no"), word(F.col("i")).alias("word"), introduced(F.col("i")).alias("introduced"), near(-3, -1).alias("before"), near(1, 1).alias("after"))
+
+    def kept(key: Column, value: Column) -> Column:
+        short = _trimmed(value)
+        return F.struct(key.alias("key"), F.when(F.length(short) >= SHORT, short).otherwise(value).alias("candidate"))
+
+    def of_run(x: Column) -> Column:  # an assignment inside the run: its value is the candidate
+        key = F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9_.\-]*)[=:](?!//)", 1)
+        value = F.when(key != "", F.regexp_replace(x, r"^[A-Za-z][A-Za-z0-9_.\-]*[=:]+", "")).otherwise(x)
+        return F.struct(key.alias("key"), _trimmed(value).alias("candidate"))
+
+    every = lambda pattern, group: F.regexp_extract_all("word", F.lit(pattern), F.lit(group))
+    assigned = F.transform(F.arrays_zip(every(ASSIGNED, 1).alias("k"), every(ASSIGNED, 2).alias("v")), lambda x: kept(x["k"], x["v"]))
+    whole = F.regexp_extract("word", rf"^[\"'`(\[{{<]*({VALUE})", 1)
+    after = F.when(F.col("introduced") & (whole != ""), F.array(kept(F.lit(""), whole))).otherwise(F.array())
+    formats = F.transform(every(FORMAT, 1), lambda x: F.struct(F.lit("").alias("key"), x.alias("candidate")))
+    runs = F.filter(F.transform(every(f"({RUN})", 1), of_run), lambda x: (F.length(x["candidate"]) >= LEAST) & x["candidate"].rlike("[0-9]"))
+    found = found.withColumn("all", F.concat(assigned, after, formats, runs))
+    once = F.filter("all", lambda x, i: F.array_position(F.transform("all", lambda y: y["candidate"]), x["candidate"]) == i + 1)
+    parts = found.select("*", F.posexplode(once).alias("part", "c"))
+    return parts.select("doc_id", "word_no", "part", F.col("c.key").alias("key"), F.col("c.candidate").alias("candidate"), "before", "after", F.col("word").rlike("[\"'`]").cast("int").alias("quoted"))
 
 
 def dictionary(docs: DataFrame, most: int = DICTIONARY) -> DataFrame:
@@ -110,7 +140,7 @@ def labelled(found: DataFrame) -> DataFrame:
     word like password or token introduces, 0 for addresses, links, paths, plain numbers and versions; else null."""
     c = F.col("candidate")
     key = F.regexp_like(F.concat_ws(" ", "before", "key"), F.lit(f"(?i)(^|[^a-z])({FOR})[\"']?\\s*[=:]?\\s*$"))
-    secret = c.rlike(FORMATS) | (key & c.rlike("[A-Za-z]") & c.rlike("^[A-Za-z0-9_+/=-]{12,}$"))
+    secret = c.rlike(FORMATS) | (key & c.rlike("[A-Za-z]") & c.rlike("[0-9]") & c.rlike("^[A-Za-z0-9_+/=-]{12,}$"))
     harmless = c.rlike(r"^[^@]+@[^@]+\.[a-z]+") | c.rlike(r"://|^www\.") | c.rlike(r"^[0-9.:/@=_+-]+$") | c.rlike(r"^(/[\w.-]+){2,}$") | c.rlike(r"^[A-Za-z]+[._-]?[0-9]{1,2}$")
     return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
 
