@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from fernlog.llm.common import fold, small_batches, stored
 
 #: The end of a text; no word holds a line feed.
 END = b"\n"
-#: Units that the network predicts (0: end, last: any other), size of their vectors, units of context.
+#: Least units that the network predicts (0: end, last: any other), size of their vectors, units of context.
 UNITS, DIM, CONTEXT = 256, 16, 3
 #: Weight of an unseen word in a word count.
 ADD = 0.1
@@ -34,6 +35,11 @@ def suffix(word: bytes) -> bytes:
     return word[-3:]
 
 
+def unit_count(kinds: int) -> int:
+    """Units for so many distinct words: the square root, so that units and words in a unit grow alike; at least UNITS."""
+    return max(UNITS, math.isqrt(kinds))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
@@ -89,8 +95,9 @@ class LogBilinear:
         # scores are as a rule far from what float32 can't exponentiate: only else the largest is taken off first
         length = sum(np.sqrt((x**2).sum(axis=1)).max() for x in tables) * np.sqrt((self.t**2).sum(axis=1)).max()
         far = length + np.abs(self.b).max() > 60
-        for lo in range(0, len(units), 4 * _BATCH):
-            c, u = context[lo : lo + 4 * _BATCH], units[lo : lo + 4 * _BATCH]
+        step = max(64, 4 * _BATCH * UNITS // len(self.b))  # the scores of a step keep their size
+        for lo in range(0, len(units), step):
+            c, u = context[lo : lo + step], units[lo : lo + step]
             q = sum(tables[i][c[:, i]] for i in range(CONTEXT))
             s = q @ self.t.T + self.b
             if far:
@@ -141,7 +148,7 @@ class Vocabulary:
     kinds: np.ndarray  # distinct words of each unit
 
     def unit(self, word: bytes) -> int:
-        return 0 if word == END else self.units.get(suffix(word), UNITS - 1)
+        return 0 if word == END else self.units.get(suffix(word), len(self.sizes) - 1)
 
     def stream(self, texts: list[bytes | None]) -> tuple[list[list[bytes]], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of texts laid end to end: token lists, all tokens, place of each in ``words`` or -1, unit, document, context."""
@@ -160,20 +167,21 @@ class Vocabulary:
         return lists, flat, places, units, np.repeat(np.arange(len(lists)), sizes), context
 
 
-def _vocabulary(counts: DataFrame, head: int) -> tuple[Vocabulary, int]:
-    """The vocabulary, and the count from which a word is in it."""
-    # units: the commonest suffixes; at most UNITS rows come to the driver
+def _vocabulary(counts: DataFrame, head: int, most: int) -> tuple[Vocabulary, int]:
+    """The vocabulary of at most ``most`` units, and the count from which a word is in it."""
+    # units: the commonest suffixes; at most ``most`` rows come to the driver
     tail = F.col("word").substr(F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3))
     words = counts.where(F.col("word") != F.lit(END))
-    top = words.groupBy(tail.alias("s")).agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "s").limit(UNITS - 2).collect()
+    top = words.groupBy(tail.alias("s")).agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "s").limit(most - 2).collect()
     units = {bytes(r["s"]): i + 1 for i, r in enumerate(top)}
+    n_units = max(UNITS, len(units) + 2)
 
     @F.arrow_udf("int")
     def unit_of(found: pa.Array) -> pa.Array:
-        return pa.array([0 if w == END else units.get(suffix(w), UNITS - 1) for w in found.to_pylist()], pa.int32())
+        return pa.array([0 if w == END else units.get(suffix(w), n_units - 1) for w in found.to_pylist()], pa.int32())
 
     by_unit = counts.groupBy(unit_of("word").alias("u")).agg(F.sum("c").alias("n"), F.count("*").alias("k")).collect()
-    sizes, kinds = np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int64)
+    sizes, kinds = np.zeros(n_units, np.int64), np.zeros(n_units, np.int64)
     for r in by_unit:
         sizes[r["u"]], kinds[r["u"]] = r["n"], r["k"]
     # the words that fit: from a histogram of the counts, in steps of a sixteenth of a power of two
@@ -203,17 +211,17 @@ class Model:
     kinds: int
 
 
-def fit(texts: DataFrame, head: int = 200_000, pilot: int = 1_500, every: int = 4) -> Model:
+def fit(texts: DataFrame, head: int = 200_000, pilot: int = 1_500) -> Model:
     """Learn from all rows of ``texts`` (doc_id, text binary).
 
     All words of all texts are counted exactly. The network starts from a pass over a sample of about ``pilot`` texts;
-    then each task goes over all its texts from there, with each ``every``-th token as a target, and the tasks' weights
-    are averaged, by tokens, in a shuffle. Rates don't depend on the input's size.
+    then each task goes over all its texts from there, with every token as a target, and the tasks' weights are averaged,
+    by tokens, in a shuffle. The number of units follows the distinct words. Rates don't depend on the input's size.
     """
     spark = texts.sparkSession
     counts = stored(word_counts(texts.select("text")), "counts")
     n, kinds, docs = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
-    voc, least = _vocabulary(counts, head)
+    voc, least = _vocabulary(counts, head, unit_count(kinds))
     net, rng = LogBilinear.start(voc.sizes), np.random.default_rng(11)
     part = F.pmod(F.xxhash64("doc_id", F.lit("pilot")), F.lit(1_000_000)) < int(min(1.0, pilot / max(1, docs)) * 1_000_000)
     sample = texts.where(part & (F.octet_length("text") <= 50_000)).select("doc_id", "text").toArrow().to_pylist()
@@ -229,10 +237,9 @@ def fit(texts: DataFrame, head: int = 200_000, pilot: int = 1_500, every: int =
         own, seen, draw = begun.load(begun.flat()), 0, np.random.default_rng(5)
         own.slopes = {k: v.copy() for k, v in begun.slopes.items()}
         for batch in batches:
-            *_, units, doc, context = voc.stream(batch.column(0).to_pylist())
-            target = np.arange(len(units)) % every == 0
-            own.learn(context[target], units[target], draw, 0.02)
-            seen += int(target.sum())
+            *_, units, _, context = voc.stream(batch.column(0).to_pylist())
+            own.learn(context, units, draw, 0.02)
+            seen += len(units)
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.flat()], pa.list_(pa.float32()))], ["seen", "flat"])
 
     trained = texts.select("text").mapInArrow(passed, "seen bigint, flat array<float>").where("seen > 0")
