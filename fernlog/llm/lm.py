@@ -18,12 +18,14 @@ from fernlog.llm.common import fold, small_batches, stored
 #: The end of a text; no word holds a line feed.
 END = b"\n"
 #: Least units that the network predicts (0: end, last: any other), size of their vectors, units of context.
-UNITS, DIM, CONTEXT = 256, 16, 3
+UNITS, DIM, CONTEXT = 256, 16, 2
 #: Weight of an unseen word in a word count.
 ADD = 0.1
-_BATCH, _NOISE, _RATIO = 4_096, 64, 16.0
+_BATCH, _NOISE, _RATIO = 4_096, 48, 16.0
 #: Distinct words that a counting task keeps before it hands its sums on.
 _HELD = 200_000
+#: Scores that are held at once, sums of contexts that a task remembers, and weights of a row of the average.
+_SCORES, _SUMS, _PIECE = 1 << 22, 1 << 24, 1 << 14
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -40,6 +42,11 @@ def unit_count(kinds: int) -> int:
     return max(UNITS, math.isqrt(kinds))
 
 
+def heads(units: int) -> int:
+    """Units that are single words, the commonest; the others are endings of the rarer words."""
+    return units * 3 // 4
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
@@ -70,6 +77,7 @@ class LogBilinear:
     b: np.ndarray
     noise: np.ndarray
     slopes: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    sums: np.ndarray | None = field(default=None, repr=False)
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 3) -> LogBilinear:
@@ -89,51 +97,102 @@ class LogBilinear:
         return LogBilinear(*out, self.noise)
 
     def log_probabilities(self, context: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """log10 P(unit | context), normalised over all units by one matrix product for each batch."""
-        tables = [self.r @ m for m in self.m]
-        out = np.empty(len(units))
+        """log10 P(unit | context), normalised over all units.
+
+        The sum over the units is a matrix product for many contexts at once. It depends on the context alone, so that it is
+        worked out once for each distinct one and remembered where the table of all contexts is of bounded size.
+        """
+        n, tables = len(self.b), [self.r @ m for m in self.m]
+        codes = context[:, 0].astype(np.int64)
+        for i in range(1, CONTEXT):
+            codes = codes * n + context[:, i]
+        if n**CONTEXT <= _SUMS:
+            if self.sums is None:
+                self.sums = np.full(n**CONTEXT, np.nan, np.float32)
+            sums, where = self.sums, codes
+            missing = np.unique(codes[np.isnan(sums[codes])])
+            sums[missing] = self._log_sums(missing, tables)
+        else:
+            missing, where = np.unique(codes, return_inverse=True)
+            sums = self._log_sums(missing, tables)
+        q = sum(tables[i][context[:, i]] for i in range(CONTEXT))
+        own = np.einsum("nd,nd->n", q, self.t[units]) + self.b[units]
+        return (own.astype(np.float64) - sums[where]) / np.log(10)
+
+    def _log_sums(self, codes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """The logarithm of the sum of exp(score) over all units, for each context."""
+        n, out = len(self.b), np.empty(len(codes), np.float32)
         # scores are as a rule far from what float32 can't exponentiate: only else the largest is taken off first
         length = sum(np.sqrt((x**2).sum(axis=1)).max() for x in tables) * np.sqrt((self.t**2).sum(axis=1)).max()
         far = length + np.abs(self.b).max() > 60
-        step = max(64, 4 * _BATCH * UNITS // len(self.b))  # the scores of a step keep their size
-        for lo in range(0, len(units), step):
-            c, u = context[lo : lo + step], units[lo : lo + step]
-            q = sum(tables[i][c[:, i]] for i in range(CONTEXT))
+        step = max(64, _SCORES // n)
+        for lo in range(0, len(codes), step):
+            c, q = codes[lo : lo + step], 0
+            for i in range(CONTEXT - 1, -1, -1):
+                q, c = q + tables[i][c % n], c // n
             s = q @ self.t.T + self.b
+            top = s.max(axis=1, keepdims=True) if far else np.float32(0)
             if far:
-                s -= s.max(axis=1, keepdims=True)
-            own = s[np.arange(len(u)), u].astype(np.float64)
-            out[lo : lo + len(u)] = own - np.log(np.exp(s, out=s).sum(axis=1).astype(np.float64))
-        return out / np.log(10)
+                s -= top
+            out[lo : lo + step] = np.log(np.exp(s, out=s).sum(axis=1)) + np.ravel(top)
+        return out
 
     def learn(self, context: np.ndarray, units: np.ndarray, rng: np.random.Generator, rate: float) -> None:
-        """One pass of noise-contrastive steps (Adagrad). A batch shares its noise units; each stands for _RATIO / _NOISE draws."""
-        n = len(self.noise)
-        logs = np.log(_RATIO * self.noise).astype(np.float32)
+        """One pass of noise-contrastive steps (Adagrad). A batch shares its noise units; each stands for _RATIO / _NOISE draws.
+
+        A step touches only the vectors of the units in its batch, so that its cost doesn't grow with the number of units.
+        """
+        logs, cdf = np.log(_RATIO * self.noise).astype(np.float32), np.cumsum(self.noise)
+        if not self.slopes:
+            self.slopes = {k: np.full(getattr(self, k).shape, 1e-8, np.float32) for k in "rmtb"}
+
+        place = np.zeros(len(cdf), np.int64)
+
+        def numbered(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The distinct units, and the place of each of ``found`` among them."""
+            place[found] = -1
+            rows = np.flatnonzero(place < 0)
+            place[rows] = np.arange(len(rows))
+            return rows, place[found]
 
-        def scattered(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-            return np.stack([np.bincount(rows, weights=values[:, j], minlength=n) for j in range(values.shape[1])], axis=1)
+        def scattered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+            return np.stack([np.bincount(rows, weights=v, minlength=n) for v in values.T], axis=1).astype(np.float32)
+
+        def step(name: str, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+            g = g / size
+            h = self.slopes[name][rows] + g * g
+            self.slopes[name][rows] = h
+            getattr(self, name)[rows] += rate * g / np.sqrt(h)
 
         order = rng.permutation(len(units))
         for lo in range(0, len(order), _BATCH):
             part = order[lo : lo + _BATCH]
-            c, u = context[part], units[part]
-            drawn = rng.choice(n, _NOISE, p=self.noise)
-            q = sum((self.r @ self.m[i])[c[:, i]] for i in range(CONTEXT))
-            own = 1 / (1 + np.exp(np.clip((q * self.t[u]).sum(axis=1) + self.b[u] - logs[u], -30, 30)))  # 1 - sigmoid
-            other = -(_RATIO / _NOISE) / (1 + np.exp(-np.clip(q @ self.t[drawn].T + self.b[drawn] - logs[drawn], -30, 30)))
-            dq = own[:, None] * self.t[u] + other @ self.t[drawn]
-            dt = scattered(u, own[:, None] * q)
-            np.add.at(dt, drawn, other.T @ q)
-            db = np.bincount(u, weights=own, minlength=n)
-            np.add.at(db, drawn, other.sum(axis=0))
-            dp = [scattered(c[:, i], dq) for i in range(CONTEXT)]
+            size = np.float32(len(part))
+            drawn = np.minimum(np.searchsorted(cdf, rng.random(_NOISE)), len(cdf) - 1)
+            seen, at = numbered(context[part])
+            outs, of = numbered(np.concatenate([units[part], drawn]))
+            u, d = of[: len(part)], of[len(part) :]
+            vec, t, b, k = self.r[seen], self.t[outs], self.b[outs], logs[outs]
+            q = sum((vec @ self.m[i])[at[:, i]] for i in range(CONTEXT))
+            tu = t[u]
+            own = 1 / (1 + np.exp(np.clip(np.einsum("nd,nd->n", q, tu) + (b - k)[u], -30, 30)))  # 1 - sigmoid
+            s = q @ t[d].T
+            s += (b - k)[d]
+            np.clip(s, -30, 30, out=s)
+            np.exp(np.negative(s, out=s), out=s)
+            s += 1
+            other = np.divide(np.float32(-_RATIO / _NOISE), s, out=s)
+            dq = own[:, None] * tu + other @ t[d]
+            dt = scattered(u, own[:, None] * q, len(outs))
+            np.add.at(dt, d, other.T @ q)
+            db = np.bincount(u, weights=own, minlength=len(outs)).astype(np.float32)
+            np.add.at(db, d, other.sum(axis=0))
+            dp = [scattered(at[:, i], dq, len(seen)) for i in range(CONTEXT)]
             dr = sum(dp[i] @ self.m[i].T for i in range(CONTEXT))
-            dm = np.stack([self.r.T @ dp[i] for i in range(CONTEXT)])
-            for name, g in (("r", dr), ("m", dm), ("t", dt), ("b", db)):
-                g = g / len(part)
-                h = self.slopes[name] = self.slopes.get(name, 1e-8) + g * g
-                setattr(self, name, (getattr(self, name) + rate * g / np.sqrt(h)).astype(np.float32))
+            step("m", np.stack([vec.T @ dp[i] for i in range(CONTEXT)]))
+            step("r", dr, seen)
+            step("t", dt, outs)
+            step("b", db, outs)
 
 
 @dataclass
@@ -143,42 +202,53 @@ class Vocabulary:
     words: dict[bytes, int]
     logs: np.ndarray  # log10(c + ADD) of the words
     of_word: np.ndarray  # their units
-    units: dict[bytes, int]  # by suffix
+    heads: dict[bytes, int]  # units that are single words
+    units: dict[bytes, int]  # units of the other words, by suffix
     sizes: np.ndarray  # tokens of each unit
     kinds: np.ndarray  # distinct words of each unit
 
     def unit(self, word: bytes) -> int:
-        return 0 if word == END else self.units.get(suffix(word), len(self.sizes) - 1)
+        found = self.heads.get(word)
+        return self.units.get(suffix(word), len(self.sizes) - 1) if found is None else found
 
-    def stream(self, texts: list[bytes | None]) -> tuple[list[list[bytes]], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts laid end to end: token lists, all tokens, place of each in ``words`` or -1, unit, document, context."""
+    def stream(self, texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts laid end to end: all tokens, place of each in ``words`` or -1, unit, and tokens of each text."""
         lists = [tokens(t) for t in texts]
         flat = [w for x in lists for w in x]
         places = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int32, len(flat))
         units = self.of_word[places] if len(self.of_word) else np.zeros(len(flat), np.int32)
         rest = np.flatnonzero(places < 0)
         units[rest] = [self.unit(flat[i]) for i in rest]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        context = np.zeros((len(flat), CONTEXT), np.int32)
-        for i in range(CONTEXT):
-            before = at > i
-            context[before, i] = units[np.flatnonzero(before) - i - 1]
-        return lists, flat, places, units, np.repeat(np.arange(len(lists)), sizes), context
+        return flat, places, units, np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+def contexts(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of texts laid end to end: the units before each token, the nearest first; before a text stands its end."""
+    at = np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.zeros((len(units), CONTEXT), np.int32)
+    for i in range(CONTEXT):
+        before = np.flatnonzero(at > i)
+        out[before, i] = units[before - i - 1]
+    return out
 
 
 def _vocabulary(counts: DataFrame, head: int, most: int) -> tuple[Vocabulary, int]:
     """The vocabulary of at most ``most`` units, and the count from which a word is in it."""
-    # units: the commonest suffixes; at most ``most`` rows come to the driver
-    tail = F.col("word").substr(F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3))
+    spark = counts.sparkSession
     words = counts.where(F.col("word") != F.lit(END))
-    top = words.groupBy(tail.alias("s")).agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "s").limit(most - 2).collect()
-    units = {bytes(r["s"]): i + 1 for i, r in enumerate(top)}
-    n_units = max(UNITS, len(units) + 2)
+    single = [bytes(r["word"]) for r in words.orderBy(F.desc("c"), "word").limit(heads(most)).collect()]
+    own = {END: 0} | {w: i + 1 for i, w in enumerate(single)}
+    # units of the rest: the commonest suffixes; single words and suffixes are at most ``most`` rows
+    tail = F.col("word").substr(F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3))
+    rest = words.join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w in single], "word binary")), "word", "left_anti")
+    top = rest.groupBy(tail.alias("s")).agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "s").limit(most - len(own) - 1).collect()
+    units = {bytes(r["s"]): i + len(own) for i, r in enumerate(top)}
+    n_units = max(UNITS, len(own) + len(units) + 1)
+    other = n_units - 1
 
     @F.arrow_udf("int")
     def unit_of(found: pa.Array) -> pa.Array:
-        return pa.array([0 if w == END else units.get(suffix(w), n_units - 1) for w in found.to_pylist()], pa.int32())
+        return pa.array([units.get(suffix(w), other) if (u := own.get(w)) is None else u for w in found.to_pylist()], pa.int32())
 
     by_unit = counts.groupBy(unit_of("word").alias("u")).agg(F.sum("c").alias("n"), F.count("*").alias("k")).collect()
     sizes, kinds = np.zeros(n_units, np.int64), np.zeros(n_units, np.int64)
@@ -196,7 +266,7 @@ def _vocabulary(counts: DataFrame, head: int, most: int) -> tuple[Vocabulary, in
     known, c = rows["word"].to_pylist(), rows["c"].to_numpy()
     order = np.argsort(np.array(known, object)) if known else []
     known = [known[i] for i in order]
-    voc = Vocabulary({w: i for i, w in enumerate(known)}, np.log10(c[order] + ADD) if len(order) else np.zeros(0), np.zeros(len(known), np.int32), units, sizes, kinds)
+    voc = Vocabulary({w: i for i, w in enumerate(known)}, np.log10(c[order] + ADD) if len(order) else np.zeros(0), np.zeros(len(known), np.int32), own, units, sizes, kinds)
     voc.of_word = np.array([voc.unit(w) for w in known], np.int32)
     return voc, least
 
@@ -209,88 +279,134 @@ class Model:
     least: int
     tokens: int
     kinds: int
+    walked: DataFrame | None = None
+
+
+_WALKED = "piece int, seen bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, body binary, words array<binary>, times array<int>"
+_KINDS = {"piece": pa.int32(), "held_out": pa.bool_(), "logs": pa.float64(), "body": pa.binary(), "words": pa.list_(pa.binary()), "times": pa.list_(pa.int32())}
+_NAMES = [x.split()[0] for x in _WALKED.split(", ")]
+_MEAN = "piece int, seen bigint, body binary"
+
 
+def _filled(n: int, **columns) -> pa.RecordBatch:
+    """A batch of ``n`` rows; columns that aren't given are null."""
+    kinds = {k: _KINDS.get(k, pa.int64()) for k in _NAMES}
+    return pa.RecordBatch.from_arrays([columns[k] if isinstance(columns.get(k), pa.Array) else pa.array(columns.get(k, [None] * n), kinds[k]) for k in _NAMES], _NAMES)
 
-def fit(texts: DataFrame, head: int = 200_000, pilot: int = 1_500) -> Model:
-    """Learn from all rows of ``texts`` (doc_id, text binary).
 
-    All words of all texts are counted exactly. The network starts from a pass over a sample of about ``pilot`` texts;
-    then each task goes over all its texts from there, with every token as a target, and the tasks' weights are averaged,
-    by tokens, in a shuffle. The number of units follows the distinct words. Rates don't depend on the input's size.
+def _walk(docs: DataFrame, voc: Vocabulary, net: LogBilinear | None = None, first: float = 0.0, last: float = 0.0, rows: bool = True) -> DataFrame:
+    """One walk over texts: with ``rows`` a row for each document, with its units; with a network each task's weights.
+
+    A task starts from the network and learns from every token of its documents that aren't held out; the rate falls from
+    ``first`` to ``last`` over 2 M tokens. Its weights are rows with a ``piece`` number.
     """
-    spark = texts.sparkSession
-    counts = stored(word_counts(texts.select("text")), "counts")
-    n, kinds, docs = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
-    voc, least = _vocabulary(counts, head, unit_count(kinds))
-    net, rng = LogBilinear.start(voc.sizes), np.random.default_rng(11)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("pilot")), F.lit(1_000_000)) < int(min(1.0, pilot / max(1, docs)) * 1_000_000)
-    sample = texts.where(part & (F.octet_length("text") <= 50_000)).select("doc_id", "text").toArrow().to_pylist()
-    sample = [r["text"] for r in sorted(sample, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or b""))]
-    if sample:
-        *_, units, _, context = voc.stream(sample)
-        for rate in (0.1, 0.05, 0.02):
-            net.learn(context, units, rng, rate)
-    held = spark.sparkContext.broadcast((voc, net))
+    held = docs.sparkSession.sparkContext.broadcast((voc, net))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, begun = held.value
-        own, seen, draw = begun.load(begun.flat()), 0, np.random.default_rng(5)
-        own.slopes = {k: v.copy() for k, v in begun.slopes.items()}
+        kind = np.min_scalar_type(len(voc.sizes))
+        if begun:
+            own, seen, draw = begun.load(begun.flat()), 0, np.random.default_rng(5)
         for batch in batches:
-            *_, units, _, context = voc.stream(batch.column(0).to_pylist())
-            own.learn(context, units, draw, 0.02)
-            seen += len(units)
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.flat()], pa.list_(pa.float32()))], ["seen", "flat"])
-
-    trained = texts.select("text").mapInArrow(passed, "seen bigint, flat array<float>").where("seen > 0")
-    spread = trained.select("seen", F.posexplode("flat").alias("k", "v"))
-    mean = spread.groupBy("k").agg((F.sum(F.col("seen") * F.col("v").cast("double")) / F.sum("seen")).alias("v")).toArrow()
-    if mean.num_rows:
-        flat = np.empty(mean.num_rows)
-        flat[mean["k"].to_numpy()] = mean["v"].to_numpy()
-        net = net.load(flat)
-    net.slopes = {}
-    return Model(voc, net, counts, least, int(n), int(kinds))
+            flat, places, units, sizes = voc.stream(batch.column(2).to_pylist())
+            doc, n, known = np.repeat(np.arange(len(sizes)), sizes), len(sizes), places >= 0
+            if begun:
+                learnt = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[doc]
+                own.learn(contexts(units, sizes)[learnt], units[learnt], draw, max(last, first - (first - last) * seen / 2e6))
+                seen += int(learnt.sum())
+            if not rows:
+                continue
+            rest: list[dict] = [{} for _ in range(n)]
+            for i, d in zip(np.flatnonzero(~known).tolist(), doc[~known].tolist(), strict=True):
+                rest[d][flat[i]] = rest[d].get(flat[i], 0) + 1
+            ends = np.cumsum(sizes)
+            body = units.astype(kind)
+            yield _filled(
+                n,
+                doc_id=batch.column(0),
+                held_out=batch.column(1),
+                n_tokens=pa.array(sizes, pa.int64()),
+                n_known=pa.array(np.bincount(doc[known], minlength=n), pa.int64()),
+                logs=pa.array(np.bincount(doc[known], weights=voc.logs[places[known]], minlength=n), pa.float64()),
+                body=pa.array([body[e - k : e].tobytes() for k, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                words=pa.array([list(x) for x in rest], pa.list_(pa.binary())),
+                times=pa.array([list(x.values()) for x in rest], pa.list_(pa.int32())),
+            )
+        if begun and seen:
+            weights = own.flat().astype(np.float32)
+            parts = [weights[i : i + _PIECE].tobytes() for i in range(0, len(weights), _PIECE)]
+            yield _filled(len(parts), piece=range(len(parts)), seen=[seen] * len(parts), body=parts)
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(passed, _WALKED)
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of the pieces by tokens, summed as they come."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for piece, seen, weights in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            own = sums.setdefault(piece, [0, 0.0])
+            own[0], own[1] = own[0] + seen, own[1] + seen * np.frombuffer(weights, np.float32).astype(np.float64)
+    means = [(x / n).astype(np.float32).tobytes() for n, x in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array(means, pa.binary())], ["piece", "seen", "body"])
+
+
+def _mean(net: LogBilinear, walked: DataFrame) -> LogBilinear:
+    """The network with the mean of all tasks' weights, by tokens; pieces are averaged where they are shuffled to."""
+    pieces = walked.where("piece IS NOT NULL").select("piece", "seen", "body").repartition("piece").mapInArrow(_averaged, _MEAN).collect()
+    parts = sorted(pieces, key=lambda r: r["piece"])
+    return net.load(np.concatenate([np.frombuffer(r["body"], np.float32) for r in parts])) if parts else net
+
+
+def fit(docs: DataFrame, head: int = 200_000, pilot: int = 4_000) -> Model:
+    """Learn from all rows of ``docs`` (doc_id, text binary) but those whose ``held_out``, if there is such a column, is true.
+
+    All words of all texts are counted exactly. The network starts from one task's pass over a sample of about ``pilot``
+    whole texts; then each task goes over all its texts from there, with every token as a target, and the tasks' weights
+    are averaged, by tokens, in a shuffle. The number of units follows the distinct words. Rates don't depend on the
+    input's size. The same walk leaves the units of every document in the model, from which they are scored.
+    """
+    held = F.coalesce("held_out", F.lit(False)) if "held_out" in docs.columns else F.lit(False)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
+    texts = docs.where(~F.col("held_out"))
+    counts = stored(word_counts(texts.select("text")), "counts")
+    n, kinds, many = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
+    voc, least = _vocabulary(counts, head, unit_count(kinds))
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit("pilot")), F.lit(1_000_000)) < int(min(1.0, pilot / max(1, many)) * 1_000_000)
+    net = LogBilinear.start(voc.sizes)
+    net = _mean(net, _walk(texts.where(part).repartition(1).sortWithinPartitions("doc_id", "text"), voc, net, 0.1, 0.02, rows=False))
+    walked = stored(_walk(docs, voc, net, 0.03, 0.03), "walked")
+    return Model(voc, _mean(net, walked), counts, least, int(n), int(kinds), walked)
 
 
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, model double, words array<binary>, times array<int>"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of ``docs`` (doc_id, held_out, text binary).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of ``docs`` (doc_id, held_out, text binary)."""
+    return _scores(stored(_walk(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model.vocabulary), "walked"), model)
+
+
+def _scores(walked: DataFrame, model: Model) -> DataFrame:
+    """Scores of documents from their units.
 
     P(word | context) = P(unit | context) x (c + ADD) / (tokens of the unit + ADD x (its distinct words + 1)). The counts of
-    the commonest words are at hand in each task; the others are summed by document and joined with the table of counts.
+    the commonest words were at hand in each task; the others are joined with the table of counts and summed by document.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network))
+    held = walked.sparkSession.sparkContext.broadcast((model.vocabulary.sizes, model.vocabulary.kinds, model.network))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, net = held.value
-        shares = np.log10(voc.sizes + ADD * (voc.kinds + 1))
+        sizes, kinds, net = held.value
+        shares, kind = np.log10(sizes + ADD * (kinds + 1)), np.min_scalar_type(len(sizes))
         for batch in batches:
-            lists, flat, places, units, doc, context = voc.stream(batch.column(2).to_pylist())
-            n, known = len(lists), places >= 0
-            logs = np.bincount(doc[known], weights=voc.logs[places[known]], minlength=n)
-            own = np.bincount(doc, weights=net.log_probabilities(context, units) - shares[units], minlength=n)
-            rest = [Counter() for _ in lists]
-            for i in np.flatnonzero(~known):
-                rest[doc[i]][flat[i]] += 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(x) for x in lists], pa.int64()),
-                    pa.array(np.bincount(doc[known], minlength=n), pa.int64()),
-                    pa.array(logs, pa.float64()),
-                    pa.array(own, pa.float64()),
-                    pa.array([list(x) for x in rest], pa.list_(pa.binary())),
-                    pa.array([list(x.values()) for x in rest], pa.list_(pa.int32())),
-                ],
-                [x.split()[0] for x in _SCORED.split(", ")],
-            )
-
-    base = docs.select("doc_id", "held_out", "text").mapInArrow(scored, _SCORED).withColumn("row", F.monotonically_increasing_id())
-    base = stored(base, "scored")
+            n = batch.column(2).to_numpy()
+            units = np.frombuffer(b"".join(batch.column(5).to_pylist()), kind).astype(np.int32)
+            own = np.bincount(np.repeat(np.arange(len(n)), n), weights=net.log_probabilities(contexts(units, n), units) - shares[units], minlength=len(n))
+            columns = [*(batch.column(i) for i in range(5)), pa.array(own, pa.float64()), batch.column(6), batch.column(7)]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORED.split(", ")])
+
+    rows = walked.where("piece IS NULL").select("doc_id", "held_out", "n_tokens", "n_known", "logs", "body", "words", "times")
+    base = stored(rows.mapInArrow(scored, _SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = base.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     counts = model.counts.where(F.col("c") < model.least).select(F.col("word").alias("_word"), "c")
     c = F.coalesce("c", F.lit(0))
@@ -319,5 +435,5 @@ def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     held = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(True))
-    base = docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return score(base, fit(base.where(~F.col("held_out"))))
+    model = fit(docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text")))
+    return _scores(model.walked, model)
