@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,13 @@ from fernlog.llm.common import connected_components, packed, small_batches, stor
 
 #: Variants that one bucket should hold, and that one step of a task may hold in memory.
 BUCKET_VARIANTS, STEP_VARIANTS = 1 << 21, 1 << 23
+#: Near copies: fingerprints of a bucket, flips of a piece, and how rarely a pair at the threshold may go unseen.
+BUCKET_PIECES, PIECE_RADIUS, UNSEEN = 1 << 18, 4, 1e-4
+#: Share of bits in which two near copies may differ at most: of the whole long fingerprint, and of its first 64 bits.
+#: At similarity 0.8 it is 0.15 on average and, for sets of four and five shingles, 0.19.
+APART, APART_64 = 0.25, 23
+#: Up to so many fingerprints of one variant are compared pair by pair; more are first linked to one of them.
+FEW = 16
 
 
 def simhash(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -59,11 +67,21 @@ def local_roots(fps: np.ndarray, room: np.ndarray, bits: int, radius: int) -> np
     """For each fingerprint the place of a fingerprint that it is linked to through shared variants, maybe its own.
 
     The fingerprints agree in all but the low ``bits`` bits once ``len(room)`` flips are made there; ``room`` says how
-    many flips each has left. Variants are made, sorted and compared; what needs more than STEP_VARIANTS of them at once
-    is first split by further bits, the same way as the buckets were.
+    many flips each has left.
     """
     root = np.arange(len(fps))
-    _link(fps, np.arange(len(fps)), room, bits, radius, root)
+    for at, o in _meetings(fps, np.arange(len(fps)), room, bits):
+        head = np.concatenate([[True], at[1:] != at[:-1]])
+        first = o[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
+        # two that share a variant differ in at most twice the half radius; the pairs are verified all the same
+        ok = np.bitwise_count(fps[first] ^ fps[o]) <= radius
+        a, b = first[ok], o[ok]
+        while True:
+            _find(root)
+            ra, rb = root[a], root[b]
+            if np.array_equal(ra, rb):
+                break
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
     return root
 
 
@@ -75,7 +93,12 @@ def _find(root: np.ndarray) -> np.ndarray:
         root[:] = up
 
 
-def _link(fps: np.ndarray, who: np.ndarray, room: np.ndarray, bits: int, radius: int, root: np.ndarray) -> None:
+def _meetings(fps: np.ndarray, who: np.ndarray, room: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Variants that two fingerprints or more share: numbers of the variants in order, and who has them.
+
+    Variants are made, sorted and compared; what needs more than STEP_VARIANTS of them at once is first split by further
+    bits, the same way as the buckets were.
+    """
     if len(who) < 2:
         return
     sizes = np.array([sum(math.comb(bits, k) for k in range(r + 1)) for r in range(int(room.max()) + 1)])
@@ -85,7 +108,7 @@ def _link(fps: np.ndarray, who: np.ndarray, room: np.ndarray, bits: int, radius:
         for at in range(16):
             left = room - np.bitwise_count(top ^ np.uint64(at)).astype(room.dtype)
             ok = left >= 0
-            _link(fps, who[ok], left[ok], low, radius, root)
+            yield from _meetings(fps, who[ok], left[ok], low)
         return
     low = np.uint64((1 << bits) - 1)
     variants, owners = [], []
@@ -103,19 +126,53 @@ def _link(fps: np.ndarray, who: np.ndarray, room: np.ndarray, bits: int, radius:
     at[at == len(twice)] = 0
     hit = twice[at] == v
     at, o = at[hit], o[hit]
-    order = np.argsort(at, kind="stable")
-    at, o = at[order], o[order]
-    head = np.concatenate([[True], at[1:] != at[:-1]])
-    first = o[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
-    # two that share a variant differ in at most twice the half radius; the pairs are verified all the same
-    ok = np.bitwise_count(fps[first] ^ fps[o]) <= radius
-    a, b = first[ok], o[ok]
-    while True:
-        _find(root)
-        ra, rb = root[a], root[b]
-        if np.array_equal(ra, rb):
-            return
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+    order = np.lexsort((o, at))
+    yield at[order], o[order]
+
+
+def local_pairs(values: np.ndarray, checks: np.ndarray, room: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of places that share a variant and whose checks are near, and the places that share one with many.
+
+    Of a variant with more than FEW fingerprints only the pairs with the first are given.
+    """
+    n, found, many = len(values), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, o in _meetings(values, np.arange(n), room, bits):
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        sizes = np.diff(np.append(starts, len(at)))
+        big = np.repeat(sizes > FEW, sizes)
+        pairs = [(np.repeat(o[starts], sizes)[big], o[big])]
+        for k in range(1, min(FEW, int(sizes.max()))):
+            ok = (at[k:] == at[:-k]) & ~big[k:]
+            pairs.append((o[:-k][ok], o[k:][ok]))
+        for a, b in pairs:
+            ok = (a != b) & (np.bitwise_count(checks[a] ^ checks[b]) <= APART_64)
+            found.append(np.unique(a[ok].astype(np.int64) * n + b[ok]))
+        many.append(np.unique(o[big]))
+    codes = np.unique(np.concatenate(found))
+    return codes // max(n, 1), codes % max(n, 1), np.unique(np.concatenate(many))
+
+
+def apart_pairs(values: np.ndarray, checks: np.ndarray, roots: np.ndarray, room: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a, b) of places with different roots that share a variant and whose checks are near."""
+    n, found = len(values), [np.zeros(0, np.int64)]
+    for at, o in _meetings(values, np.arange(n), room, bits):
+        order = np.lexsort((roots[o], at))
+        at, o = at[order], o[order]
+        new = np.concatenate([at[1:] != at[:-1], [True]])
+        ends = np.flatnonzero(new) + 1
+        runs = np.flatnonzero(new | np.append(roots[o[1:]] != roots[o[:-1]], True)) + 1
+        places = np.arange(len(o))
+        run_end, end = runs[np.searchsorted(runs, places, side="right")], ends[np.searchsorted(ends, places, side="right")]
+        cum = np.cumsum(end - run_end)
+        for lo in range(0, int(cum[-1]), STEP_VARIANTS):  # so many pairs at once
+            pair = np.arange(lo, min(lo + STEP_VARIANTS, int(cum[-1])))
+            i = np.searchsorted(cum, pair, side="right")
+            j = end[i] - (cum[i] - pair)
+            a, b = o[i], o[j]
+            ok = np.bitwise_count(checks[a] ^ checks[b]) <= APART_64
+            found.append(np.unique(np.minimum(a[ok], b[ok]).astype(np.int64) * n + np.maximum(a[ok], b[ok])))
+    codes = np.unique(np.concatenate(found))
+    return codes // max(n, 1), codes % max(n, 1)
 
 
 _MASKS: dict[tuple[int, int], np.ndarray] = {}
@@ -180,6 +237,157 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
     return joined.select(*(["_row"] if rows else []), "doc_id", "fp", F.col("first.id").alias("component_id"), keep)
 
 
+def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; one for a text of fewer words, none for no word. A-Z count as lower case."""
+    w = (text or b"").lower().split()  # bytes: ASCII only, splits at \x20 and \x09-\x0D
+    if not w:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[k : k + width])) for k in range(max(1, len(w) - width + 1))], np.uint64))
+
+
+def long_fingerprint(found: np.ndarray, bits: int, pieces: int) -> np.ndarray:
+    """SimHash of a set of hashes in ``pieces`` numbers of ``bits`` bits; each 64 bits come from another mix of the hashes."""
+    seeds = np.arange(1, -(-bits * pieces // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    votes = np.zeros(64 * len(seeds), np.int64)
+    for lo in range(0, len(found), 255):  # sums of 255 bits fit in a byte
+        h = found[lo : lo + 255, None] + seeds
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        votes += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    own = np.zeros((pieces, 64), np.uint8)
+    own[:, 64 - bits :] = (votes[: bits * pieces] * 2 > len(found)).reshape(pieces, bits)
+    return np.packbits(own, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def pieces_of(texts: int, apart: float = 0.152) -> tuple[int, int]:
+    """Bits of a piece and number of pieces for so many texts.
+
+    Longer pieces keep chance meetings in step with the texts. There are so many that two texts at similarity 0.8, which
+    differ in a share ``apart`` of the bits, are within PIECE_RADIUS in none of them once in 1 / UNSEEN pairs.
+    """
+    bits = min(64, 32 + 2 * max(0, math.ceil(math.log2(max(1, texts))) - 24))
+    near = sum(math.comb(bits, k) * apart**k * (1 - apart) ** (bits - k) for k in range(PIECE_RADIUS + 1))
+    return bits, math.ceil(math.log(UNSEEN) / math.log(1 - near))
+
+
+def _signatures(col: Column, width: int, bits: int, pieces: int) -> Column:
+    """A number for the whole shingle set, 64 bits of the long fingerprint, and its pieces. The empty set has no pieces."""
+
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            found = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, width)
+            own = [np.array([xxhash.xxh64_intdigest(found.tobytes())], np.uint64)]
+            if len(found):
+                long = long_fingerprint(found, bits, pieces)
+                first = np.unpackbits(long.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - bits :].ravel()[:64]
+                own += [np.packbits(first).view(">u8").astype(np.uint64), long]
+            out.append(np.concatenate(own).view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return of(col.cast("binary"))
+
+
+def _sets(col: Column, width: int) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, width).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    return of(col.cast("binary"))
+
+
+def _met(fps: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) of fingerprints that meet in a piece, and fingerprints (a, without b) that meet many.
+
+    ``fps`` has fp, check and pieces. As in ``links``: a piece goes once to each bucket that one of its variants falls in.
+    With a column ``root`` all pairs of different roots are found, and none is without b.
+    """
+    rooted = ["root"] if "root" in fps.columns else []
+    half = PIECE_RADIUS // 2
+    t = min(16, max(2, math.ceil(math.log2(max(1, fps.count()) / BUCKET_PIECES))))
+    low = bits - t
+    masks = F.array(*[F.lit(int(m)) for m in _masks(t, half)])
+    parts = fps.select("fp", "check", *rooted, F.posexplode("pieces").alias("piece", "value")).select("*", F.explode(masks).alias("flip"))
+    bucket = F.shiftrightunsigned("value", low).bitwiseXOR(F.col("flip"))
+    parts = parts.select("fp", "check", *rooted, "piece", "value", bucket.alias("bucket"), (F.lit(half) - F.bit_count("flip")).cast("int").alias("room"))
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.sort_by("fp")
+        fp, value, check, room = (group[c].to_numpy() for c in ("fp", "value", "check", "room"))
+        own, room = (value.view(np.uint64), check.view(np.uint64)), room.astype(np.int64)
+        if rooted:
+            a, b = apart_pairs(*own, group["root"].to_numpy(), room, low)
+            many = a[:0]
+        else:
+            a, b, many = local_pairs(*own, room, low)
+        ends = [pa.array(np.concatenate([fp[a], fp[many]])), pa.concat_arrays([pa.array(fp[b]), pa.nulls(len(many), pa.int64())])]
+        return pa.Table.from_arrays(ends, ["a", "b"])
+
+    return parts.groupBy("piece", "bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _similar(pairs: DataFrame, fps: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose long fingerprints differ in ``most`` bits at most and whose sets have the similarity."""
+    left, right = fps.select(F.col("fp").alias("a"), F.col("pieces").alias("x")), fps.select(F.col("fp").alias("b"), F.col("pieces").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    near = stored(pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b"), "near")
+    left, right = sets.select(F.col("fp").alias("a"), F.col("hs").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hs").alias("y"))
+    same = F.size(F.array_intersect("x", "y"))
+    both = near.join(left, "a").join(right, "b").select("a", "b", same.alias("same"), (F.size("x") + F.size("y") - same).alias("all"))
+    return both.where(F.col("same") >= threshold * F.col("all")).select("a", "b")
+
+
+def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """Groups of documents linked, directly or through others, by a Jaccard similarity of at least ``threshold`` of their
+    sets of ``width``-word shingles.
+
+    A threshold of 0.8 is about 10 of 64 bits, too far for a ball around a short fingerprint. So the SimHash is longer and
+    cut into pieces (``pieces_of``), and the ball hashing that meets in the middle runs on each piece: two sets at the
+    threshold are within its radius in one piece at least, but for one pair in 10,000 (sets of less than 20 shingles: one in
+    100). Pairs that meet are verified by the long fingerprint and then by the exact sets. All pairs that meet count,
+    however many share a variant: of more than FEW the first is compared with the others, and what this leaves apart then
+    meets again and is compared pair by pair, so that a large group of near copies costs no square of its size.
+
+    ``docs`` has doc_id and text and may have any other columns. Returns the struct ``_row`` of the input's columns,
+    doc_id, component_id (smallest doc_id of the group) and keep: true for one row of each group, that of the smallest
+    doc_id. Null and empty texts have the same empty set. Null doc_ids come after all others. Repeated rows are
+    duplicates: one is kept. An empty table gives an empty table.
+    """
+    small_batches(docs.sparkSession)
+    bits, pieces = pieces_of(docs.count())
+    base = docs.select(packed(docs), "doc_id", _signatures(F.col("text"), width, bits, pieces).alias("s"))
+    base = base.select("_row", "doc_id", F.get("s", F.lit(0)).alias("fp"), F.get("s", F.lit(1)).alias("check"), F.slice("s", 3, pieces).alias("pieces"))
+    base = stored(base.withColumn("_uid", F.monotonically_increasing_id()), "signatures")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_uid").alias("uid"))
+    fps = stored(base.groupBy("fp").agg(F.min(rank).alias("low"), F.first("check").alias("check"), F.first("pieces").alias("pieces")), "distinct")
+
+    some = fps.where("check IS NOT NULL")
+    met = stored(_met(some, bits), "met")
+    own = stored(met.select(F.col("a").alias("f")).union(met.where("b IS NOT NULL").select("b")).distinct(), "candidates")
+    firsts = fps.join(own, F.col("fp") == F.col("f"), "left_semi").select(F.col("fp").alias("_f"), F.col("low.uid").alias("_first"))
+    sets = stored(base.join(firsts, F.col("_uid") == F.col("_first"), "left_semi").select("fp", _sets(F.col("_row.text"), width).alias("hs")), "sets")
+    most = int(APART * bits * pieces)
+    links = stored(_similar(met.where("b IS NOT NULL"), some, sets, threshold, most), "linked")
+    roots = stored(connected_components(links, "a", "b"), "roots")
+
+    # those that met many are compared pair by pair as far as they are apart still
+    many = met.where("b IS NULL").select(F.col("a").alias("f"))
+    if not many.isEmpty():
+        rooted = some.join(many, F.col("fp") == F.col("f"), "left_semi").join(roots, F.col("fp") == F.col("node"), "left")
+        rest = _met(rooted.select("fp", "check", "pieces", F.coalesce("root", "fp").alias("root")), bits)
+        more = stored(_similar(stored(rest, "apart").join(met.where("b IS NOT NULL"), ["a", "b"], "left_anti"), some, sets, threshold, most), "linked")
+        if not more.isEmpty():
+            roots = connected_components(links.unionByName(more), "a", "b")
+
+    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("first"))
+    groups = stored(rooted.join(lows, F.col("root") == F.col("r")).select(F.col("fp").alias("_fp"), "first"), "groups")
+    joined = base.join(groups, F.col("fp") == F.col("_fp"))
+    return joined.select("_row", "doc_id", F.col("first.id").alias("component_id"), (F.col("_uid") == F.col("first.uid")).alias("keep"))
+
+
 def hexed(fp: Column) -> Column:
     """A fingerprint as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -2,7 +2,8 @@ import itertools
 import random
 
 import corpus_pipeline
-from fernlog.llm import near_copies
+import numpy as np
+from fernlog.llm import simhash
 from tests_llm_brute import tokens
 
 
@@ -46,7 +47,7 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir):
     docs = planted()
     want = firsts_of(docs)
     table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    got = {r.doc_id: r.component_id for r in near_copies.near_copies(table).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(table).collect()}
     assert got == want
     kept = corpus_pipeline.drop_near_copies(spark, table, sf_dir).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
@@ -55,5 +56,44 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir):
 def test_documents(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     want = firsts_of([tuple(r) for r in table.collect()])
-    assert {r.doc_id: r.component_id for r in near_copies.near_copies(table).collect()} == want
-    assert near_copies.near_copies(table.limit(0)).count() == 0
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(table).collect()} == want
+    assert simhash.near_copies(table.limit(0)).count() == 0
+
+
+def test_places_against_all_pairs():
+    """The pairs of a task, and what a second look at large groups adds, against every pair."""
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 1 << 32, 12, np.uint64)
+    values = np.concatenate([c ^ np.array([sum(1 << int(b) for b in rng.choice(32, k)) for k in rng.integers(0, 4, 40)], np.uint64) for c in centres])
+    checks = rng.integers(0, 1 << 64, len(values), np.uint64) & np.uint64(0xFFFFFFFFFF)
+    room = np.full(len(values), 2)
+    near = (np.bitwise_count(values[:, None] ^ values) <= 4) & (np.bitwise_count(checks[:, None] ^ checks) <= simhash.APART_64)
+    want = {(a, b) for a, b in np.argwhere(near) if a < b}
+    a, b, many = simhash.local_pairs(values, checks, room, 32)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert got < want and len(many) and {p for p in want - got if not set(p) <= set(many.tolist())} == set()
+    roots = rng.integers(0, 5, len(values))
+    a, b = simhash.apart_pairs(values, checks, roots, room, 32)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(x, y) for x, y in want if roots[x] != roots[y]}
+
+
+def test_large_groups(spark, sf_dir):
+    """Groups in which many share a variant, with similarities on both sides of the threshold."""
+    rng, docs = random.Random(4), []
+    for g in range(3):
+        w = [f"g{g}w{k}" for k in range(120)]
+        for k in range(60):
+            copy = list(w)
+            for _ in range(k % 9):
+                copy[rng.randrange(len(copy))] = f"x{rng.random()}"
+            docs.append((len(docs), " ".join(copy)))
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(table).collect()} == firsts_of(docs)
+
+
+def test_defined_cases(spark):
+    rows = [(None, None, 1, "a"), (5, "", 2, "b"), (7, "one two", 3, "c"), (7, "one two", 3, "c"), (None, "ONE\ttwo", 4, "d"), (9, "word " * 60_000, 5, "e")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, fp int, _uid string")
+    got = simhash.near_copies(table).collect()
+    assert sorted((r.component_id, r.keep) for r in got) == [(5, False), (5, True), (7, False), (7, False), (7, True), (9, True)]
+    assert got[0]._row.__fields__ == table.columns
