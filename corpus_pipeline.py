@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.llm import decontam, mixing, near_copies, sharding, toxicity
+from fernlog.llm import decontam, mixing, sharding, simhash, toxicity
 from fernlog.llm.common import stored
 
 #: SQL cannot express the toxicity model.
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near copies (Jaccard >= 0.8 on five words)."""
-    return near_copies.near_copies(docs).where(F.col("keep")).select("_row.*")
+    return simhash.near_copies(docs).where(F.col("keep")).select("_row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
