@@ -114,19 +114,53 @@ def first_string(variant: Column, keys: list[str]) -> Column:
     return F.coalesce(*found)
 
 
+def _url(col: Column) -> dict[str, Column]:
+    """Parts of a URL without its fragment: scheme, host (with port), path, and whether it can be parsed at all.
+
+    A URL may lack a scheme or a host. It cannot be parsed with a control character, an empty scheme, a colon in the first
+    segment of a path that nothing precedes, a broken percent escape, a port that is no number, or a host with a space.
+    """
+    whole = F.regexp_replace(F.coalesce(col, F.lit("")), r"#[\s\S]*$", "")
+    scheme = F.regexp_extract(whole, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    rest = F.regexp_replace(F.regexp_replace(whole, r"^[A-Za-z][A-Za-z0-9+.\-]*:", ""), r"\?[\s\S]*$", "")
+    opaque = (scheme != "") & ~rest.startswith("/")
+    host = F.regexp_replace(F.regexp_extract(rest, r"^//([^/]*)", 1), r"^[^@]*@(?=[^@]*$)", "")
+    path = F.when(opaque, "").otherwise(F.regexp_replace(rest, r"^//[^/]*", ""))
+    bad = (
+        col.rlike(r"[\x00-\x1f\x7f]")
+        | whole.startswith(":")
+        | ((scheme == "") & rest.rlike("^[^/]*:"))
+        | path.rlike("%(?![0-9A-Fa-f]{2})")
+        | ~host.rlike(r"^(\[[^\]]*\]|[^\[\]]*?)(:[0-9]*)?$")
+        | host.rlike(r"^[^\[].*:[^0-9:][^:]*$")
+        | host.rlike(r"[ \\^`{|}]")
+    )
+    return {"scheme": F.lower(scheme), "host": host, "path": path, "fine": ~F.coalesce(bad, F.lit(True))}
+
+
 def url_host(col: Column) -> Column:
     """Host name of a URL without port, or ``unknown``."""
-    host = F.regexp_extract(col, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
-    host = F.regexp_replace(host, r"^\[|\]$", "")
-    return F.when(F.coalesce(host, F.lit("")) == "", "unknown").otherwise(host)
+    u = _url(col)
+    host = F.regexp_replace(F.regexp_replace(u["host"], r":[0-9]*$", ""), r"^\[|\]$", "")
+    return F.when(u["fine"] & (host != ""), host).otherwise("unknown")
+
+
+# What stays as it is in a path, though a query string would escape it.
+_PLAIN = {"%24": "$", "%26": "&", "%2B": "+", "%2C": ",", "%2F": "/", "%3A": ":", "%3B": ";", "%3D": "=", "%40": "@", "%7E": "~"}
 
 
 def safe_url(col: Column) -> Column:
-    """scheme://host[:port]/path without user, query or fragment, or ``invalid-url``."""
-    full = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)"
-    parts = [F.regexp_extract(col, full, k) for k in (1, 2, 3)]
-    whole = F.concat(F.lower(parts[0]), F.lit("://"), parts[1], F.replace(parts[2], F.lit(" "), F.lit("%20")))
-    return F.when(col.rlike(full), whole).otherwise("invalid-url")
+    """scheme://host[:port]/path without user, query or fragment, or ``invalid-url``.
+
+    A missing scheme or host is empty. A path with a character that has no place in one is escaped as a whole.
+    """
+    u = _url(col)
+    escaped = F.replace(F.url_encode(F.url_decode(F.replace(u["path"], F.lit("+"), F.lit("%2B")))), F.lit("+"), F.lit("%20"))
+    escaped = F.replace(escaped, F.lit("*"), F.lit("%2A"))
+    for code, char in _PLAIN.items():
+        escaped = F.replace(escaped, F.lit(code), F.lit(char))
+    path = F.when(u["path"].rlike(r"^[A-Za-z0-9_.~!$&'()*+,;=:@\[\]%/\-]*$"), u["path"]).otherwise(escaped)
+    return F.when(u["fine"], F.concat(u["scheme"], F.lit("://"), u["host"], path)).otherwise("invalid-url")
 
 
 def correlation_id(col: Column) -> Column:
@@ -142,13 +176,17 @@ def severity_rank(col: Column) -> Column:
     return F.when(col == "critical", 5).when(col == "high", 4).when(col == "medium", 3).when(col == "low", 2).otherwise(1)
 
 
+# Start and factor of the ids' hash.
+_START, _FACTOR = 1469598103934665603, 1099511628211
+
+
 def _hashes(joined: pa.Array) -> pa.Array:
     """``f-`` and 16 hex digits of a 64-bit xor-multiply over the bytes; the parts come joined by NUL."""
     out = []
     for value in joined.to_pylist():
-        h = 1469598103934665603
+        h = _START
         for byte in (value or "").encode():
-            h = (h ^ byte) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
+            h = (h ^ byte) * _FACTOR & 0xFFFFFFFFFFFFFFFF
         out.append(f"f-{h:016x}")
     return pa.array(out, pa.string())
 

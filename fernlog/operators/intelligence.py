@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlog import patterns as P
 from fernlog.functions import scalars as S
-from fernlog.operators.logs import K, detect_counts, privacy_counts
+from fernlog.operators.logs import K, privacy_counts, split_malformed
 
 
 def errors(parsed: DataFrame) -> DataFrame:
@@ -37,42 +39,61 @@ def top_groups(groups: DataFrame, k: int = 1000) -> DataFrame:
     return groups.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def error_bursts(parsed: DataFrame, n: int = 5, seconds: int = 60) -> DataFrame:
-    """A row for each error at which exactly n errors of the file lie within the last ``seconds``, it included.
+def error_bursts_ordered(parsed: DataFrame, n: int = 5, seconds: int = 60, block: int = 3600) -> DataFrame:
+    """``error_bursts`` for files whose times rise with the lines, from built-in functions alone.
 
-    For files whose times rise with the lines: a window over (K) in time, less the later lines of the same time.
+    A window over (K, block of time) in time, less the later lines of the same time. Each block also gets the errors of
+    the ``seconds`` before it, so that no group is larger than a block's errors however long the file is.
     """
     rows = errors(parsed).where(F.col("ts").isNotNull()).select(*K, "line_no", F.unix_micros("ts").alias("us"), "ts")
-    by = Window.partitionBy(*K)
-    near = by.orderBy("us").rangeBetween(-seconds * 1_000_000, 0)
-    tied = Window.partitionBy(*K, "us")
+    size, width = block * 1_000_000, seconds * 1_000_000
+    own = F.floor(F.col("us") / size)
+    blocks = F.array_distinct(F.array(own, F.floor((F.col("us") + width) / size)))
+    rows = rows.withColumn("own", own).withColumn("block", F.explode(blocks))
+    near = Window.partitionBy(*K, "block").orderBy("us").rangeBetween(-width, 0)
+    tied = Window.partitionBy(*K, "block", "us")
     later = F.count("*").over(tied) - F.row_number().over(tied.orderBy("line_no"))
     out = rows.withColumns({"size": F.count("*").over(near) - later, "started": F.min("ts").over(near)})
-    return out.where(F.col("size") == n).select(*K, "line_no", F.col("started").alias("started_at"), F.col("ts").alias("ended_at"), F.col("size").alias("errors"))
+    return out.where((F.col("own") == F.col("block")) & (F.col("size") == n)).select(*K, "line_no", F.col("started").alias("started_at"), F.col("ts").alias("ended_at"), F.col("size").alias("errors"))
 
 
-def queue_bursts(us: np.ndarray, n: int, window: int) -> list[tuple[int, int]]:
-    """(head, place) of each error at which the queue holds n: heads older than the window leave, but only from the front."""
-    out, head = [], 0
-    for i, t in enumerate(us):
-        while us[head] < t - window:
-            head += 1
-        if i - head + 1 == n:
-            out.append((head, i))
-    return out
+class BurstQueue:
+    """The errors of a file that are not older than the window; they leave from the front only."""
 
+    def __init__(self, n: int, window: int) -> None:
+        self.n, self.window, self.times = n, window, deque()
 
-def error_bursts_unordered(parsed: DataFrame, n: int = 5, seconds: int = 60) -> DataFrame:
-    """``error_bursts`` for files whose times don't rise with the lines: the queue is walked line by line for each file."""
-    rows = errors(parsed).where(F.col("ts").isNotNull()).select(*K, "line_no", F.unix_micros("ts").alias("us"))
+    def add(self, us: int) -> int | None:
+        """Takes an error, and gives the time of the queue's head if exactly n are in it."""
+        self.times.append(us)
+        while self.times[0] < us - self.window:
+            self.times.popleft()
+        return self.times[0] if len(self.times) == self.n else None
 
-    def walk(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("line_no")
-        us, lines = part["us"].to_numpy(), part["line_no"].to_numpy()
-        found = queue_bursts(us, n, seconds * 1_000_000)
-        return pd.DataFrame({"bundle_id": key[0], "artifact": key[1], "line_no": [lines[i] for _, i in found], "a": [us[h] for h, _ in found], "b": [us[i] for _, i in found]})
 
-    out = rows.groupBy(*K).applyInPandas(walk, "bundle_id string, artifact string, line_no bigint, a bigint, b bigint")
+def error_bursts(parsed: DataFrame, n: int = 5, seconds: int = 60) -> DataFrame:
+    """A row for each error after which exactly n errors are in the file's queue of the last ``seconds``.
+
+    The queue takes errors in line order, whatever their times are. A task walks its files line by line in sorted order
+    and holds no more of a file than its queue.
+    """
+    rows = errors(parsed).where(F.col("ts").isNotNull()).select(*K, "line_no", F.unix_micros("ts").alias("us"))
+    rows = rows.repartition(*K).sortWithinPartitions(*K, "line_no")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, queue = None, None
+        for batch in batches:
+            found = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if row[:2] != own:
+                    own, queue = row[:2], BurstQueue(n, seconds * 1_000_000)
+                head = queue.add(row[3])
+                if head is not None:
+                    found.append((*row[:3], head, row[3]))
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], [*K, "line_no", "a", "b"])
+
+    out = rows.mapInArrow(walk, "bundle_id string, artifact string, line_no bigint, a bigint, b bigint")
     return out.select(*K, "line_no", F.timestamp_micros("a").alias("started_at"), F.timestamp_micros("b").alias("ended_at"), F.lit(n).cast("long").alias("errors"))
 
 
@@ -84,17 +105,24 @@ def correlation_chains(parsed: DataFrame, cap: int = 100) -> DataFrame:
 
 
 def log_summary(parsed: DataFrame) -> DataFrame:
-    """Lines, malformed lines (they hold a NUL) and distinct correlation ids of each file.
-
-    ``parsed`` has ``malformed``; malformed lines count as lines but nothing is read from them.
-    """
-    cid = F.when(~F.col("malformed"), F.col("correlation_id"))
-    return parsed.groupBy(*K).agg(F.count("*").alias("lines"), F.count_if("malformed").alias("malformed_lines"), F.count_distinct(cid).alias("correlations"))
+    """Lines, malformed lines (they hold a NUL) and distinct correlation ids of each file."""
+    ids = parsed.where("correlation_id IS NOT NULL").select(*K, "correlation_id").distinct()
+    zero = F.lit(0).cast("long")
+    counts = parsed.select(*K, F.lit(1).cast("long").alias("lines"), F.col("malformed").cast("long").alias("malformed_lines"), zero.alias("correlations"))
+    both = counts.unionByName(ids.select(*K, zero.alias("lines"), zero.alias("malformed_lines"), F.lit(1).cast("long").alias("correlations")))
+    return both.groupBy(*K).agg(*[F.sum(c).alias(c) for c in ("lines", "malformed_lines", "correlations")])
 
 
 def privacy_counts_b(lines: DataFrame) -> DataFrame:
-    """The second dialect's three kinds by file."""
-    return privacy_counts(lines, "line", K, P.B_SENSITIVE)
-
-
-__all__ = ["correlation_chains", "detect_counts", "error_bursts", "error_bursts_unordered", "error_groups", "errors", "log_summary", "privacy_counts_b", "queue_bursts", "top_groups"]
+    """The second dialect's three kinds by file; malformed lines don't count."""
+    return privacy_counts(split_malformed(lines).where(~F.col("malformed")), "line", K, P.B_SENSITIVE)
+
+
+def intelligence_findings(parsed: DataFrame, most: int = 1000) -> DataFrame:
+    """Repeated errors (the ``most`` commonest of a file) and bursts as findings; a burst's evidence is its last line."""
+    groups = top_groups(error_groups(parsed), most)
+    text = F.format_string("Observed %d occurrence(s) of a normalized error pattern.", "occurrences")
+    a = groups.select(*K, F.lit("PY_REPEATED_ERROR").alias("rule_id"), F.lit("Repeated log error pattern").alias("title"), "severity", text.alias("summary"), F.lit("strong").alias("confidence"), "occurrences", F.col("first_line").alias("line_start"), F.col("last_line").alias("line_end"), F.col("example").alias("excerpt"))
+    text = F.format_string("At least %d errors occurred within 60 seconds.", "errors")
+    b = error_bursts(parsed).select(*K, F.lit("PY_ERROR_BURST").alias("rule_id"), F.lit("Burst of error events").alias("title"), F.lit("high").alias("severity"), text.alias("summary"), F.lit("moderate").alias("confidence"), F.col("errors").alias("occurrences"), F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), F.lit(None).cast("string").alias("excerpt"))
+    return a.unionByName(b)

@@ -9,7 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernlog.patterns import java
+from fernlog.patterns import LOG_TYPES, MANY_FINDINGS, NESTED, NO_HAR, NO_LOGS, java
+from fernlog.storage import small
+
+#: Analyzers and types that may be broadcast.
+BROADCAST_ANALYZERS = 10_000
 
 
 @dataclass(frozen=True)
@@ -39,7 +43,10 @@ def _looked_at(artifacts: DataFrame) -> DataFrame:
 
 
 def _type() -> Column:
-    """Type of an artifact from its path and first 64 KiB, by ordered rules: the first that fits decides."""
+    """Type of an artifact from its path and first 64 KiB, by ordered rules: the first that fits decides.
+
+    Fixed values: the types, what they are known by, and the order of the rules.
+    """
     low, base, raw, head, text = (F.col(c) for c in ("_low", "_base", "_raw", "_head", "_text"))
     has = lambda *parts: _all(text.contains(p) for p in parts)
     named = lambda *parts: _all(low.contains(p) for p in parts)
@@ -91,22 +98,21 @@ def inventory(artifacts: DataFrame) -> DataFrame:
 def route(found: DataFrame) -> DataFrame:
     """Adds ``route``: what analyses an artifact of its type."""
     kind = F.col("type")
-    logs = ["generic-log", "json-log", "syslog", "docker-log", "php-log", "nginx-access", "nginx-error", "apache-access", "apache-error", "jvm-gc-log"]
-    return found.withColumn("route", F.when(kind.isin(logs), "log").when(kind == "har", "har").when(kind == "archive", "nested-archive").otherwise("privacy-only"))
+    return found.withColumn("route", F.when(kind.isin(LOG_TYPES), "log").when(kind == "har", "har").when(kind == "archive", "nested-archive").otherwise("privacy-only"))
 
 
 def plan_analyzers(found: DataFrame, analyzers: DataFrame) -> DataFrame:
-    """Which analyzer (name, supported array of types) runs on which artifact. The few analyzers are broadcast."""
+    """Which analyzer (name, supported array of types) runs on which artifact. Analyzers are broadcast as far as they are few."""
     alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     own = found.select("bundle_id", "path", F.coalesce(F.try_element_at(alias, F.col("type")), F.col("type")).alias("type"))
-    return own.join(F.broadcast(analyzers.select("name", F.explode("supported").alias("type"))), "type").select("bundle_id", "path", "type", "name")
+    return own.join(small(analyzers.select("name", F.explode("supported").alias("type")), BROADCAST_ANALYZERS), "type").select("bundle_id", "path", "type", "name")
 
 
 def sanitizable(artifacts: DataFrame, largest: int = 64 << 20) -> DataFrame:
     """Adds ``status`` and ``reason``: text of at most 64 MiB is sanitised, anything else is left out."""
     binary = F.contains(F.substring("content", 1, 8192), F.lit(b"\x00"))
     big = F.octet_length("content") > largest
-    reason = F.when(big, "artifact exceeds the sanitize size limit").when(binary, "binary artifacts are excluded from sanitized exports")
+    reason = F.when(big, "artifact exceeds the 64 MiB sanitization limit").when(binary, "binary artifacts are excluded from sanitized exports")
     return artifacts.withColumns({"status": F.when(big | binary, "excluded").otherwise("sanitized"), "reason": reason})
 
 
@@ -135,14 +141,17 @@ def clean_path(raw: str | None, most: int = 512) -> tuple[str | None, str]:
 
 
 def safe_path(col: Column, most: int = 512) -> Column:
-    """``clean_path`` of a column: struct of path and verdict."""
+    """``clean_path`` of a column: struct of path and verdict. A path of plain characters and parts is already clean."""
+    plain = col.rlike(r"^(?![A-Za-z]:)(?!\.{0,2}/)[A-Za-z0-9_.\- +@=,]+(/(?!\.{0,2}(/|$))[A-Za-z0-9_.\- +@=,]+)*$") & ~col.isin(".", "..") & (F.octet_length(col) <= most)
 
     @F.arrow_udf("struct<path string, verdict string>")
     def of(names: pa.Array) -> pa.Array:
         found = [clean_path(n, most) for n in names.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], ["path", "verdict"])
 
-    return of(col)
+    # Python only sees the others: a column function would run on every row whatever ``when`` says
+    other = of(F.when(~F.coalesce(plain, F.lit(False)), col).otherwise(F.lit("")))
+    return F.when(plain, F.struct(col.alias("path"), F.lit("ok").alias("verdict"))).otherwise(other)
 
 
 def audit_entries(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -157,9 +166,9 @@ def audit_entries(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = rows.withColumns({"files": F.row_number().over(order), "total": F.sum("size").over(order), "copy": taken})
     code = (
         F.when(F.col("mode") != "file", "unsafe-entry")
-        .when((F.col("compressed") > 0) & (F.col("size") > F.col("compressed") * limits.ratio), "ratio-exceeded")
+        .when((F.col("compressed") > 0) & (F.col("size") > F.col("compressed") * limits.ratio), "limit-exceeded")
         .when(F.col("_p.verdict") != "ok", F.col("_p.verdict"))
-        .when(F.col("copy") > 1, "duplicate-path")
+        .when(F.col("copy") > 1, "unsafe-entry")
         .when((F.col("files") > limits.files) | (F.col("size") < 0) | (F.col("size") > limits.file_bytes) | (F.col("total") > limits.total_bytes), "limit-exceeded")
     )
     bad = F.when(code.isNotNull(), F.col("entry_no"))
@@ -167,12 +176,27 @@ def audit_entries(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return out.withColumn("code", F.coalesce("code", F.lit("ok")))
 
 
-def bundle_warnings(routed: DataFrame) -> DataFrame:
-    """Warnings and status of each bundle: no logs, no HTTP archive, nested archives."""
+def bundle_warnings(routed: DataFrame, runs: DataFrame | None = None, capped: DataFrame | None = None) -> DataFrame:
+    """Warnings of each bundle's manifest and the status of its analyzer run: bundle_id, artifacts, warnings, run_warnings, status.
+
+    Warnings are, in this order: nested archives by path, no logs, no HTTP archive, capped findings (``capped`` has the
+    bundle_ids), and the run's own. Only the run's own (``runs``: bundle_id, artifact, warning; in path order, each with
+    the path in front where it is about a failed file) make the run one with warnings.
+    """
     n = lambda r: F.count_if(F.col("route") == r)
-    by = routed.groupBy("bundle_id").agg(n("log").alias("logs"), n("har").alias("hars"), n("nested-archive").alias("nested"))
-    notes = F.array_compact(F.array(F.when(F.col("logs") == 0, "no supported logs found"), F.when(F.col("hars") == 0, "no HTTP archive found"), F.when(F.col("nested") > 0, "nested archives were not opened")))
-    return by.select("bundle_id", notes.alias("warnings"), F.when(F.size(notes) > 0, "completed_with_warnings").otherwise("completed").alias("status"))
+    nested = F.when(F.col("route") == "nested-archive", F.concat(F.lit(NESTED[0]), "path", F.lit(NESTED[1])))
+    by = routed.groupBy("bundle_id").agg(F.count("*").alias("artifacts"), n("log").alias("logs"), n("har").alias("hars"), F.sort_array(F.collect_list(nested)).alias("nested"))
+    none = F.array().cast("array<string>")
+    if runs is None:
+        by = by.withColumn("run_warnings", none)
+    else:
+        own = F.transform(F.sort_array(F.collect_list(F.struct("artifact", "warning"))), lambda x: x["warning"])
+        by = by.join(runs.groupBy("bundle_id").agg(own.alias("run_warnings")), "bundle_id", "left")
+    by = by.withColumn("_capped", F.lit(False)) if capped is None else by.join(capped.select("bundle_id", F.lit(True).alias("_capped")), "bundle_id", "left")
+    run = F.coalesce("run_warnings", none)
+    notes = F.array_compact(F.array(F.when(F.col("logs") == 0, NO_LOGS), F.when(F.col("hars") == 0, NO_HAR), F.when(F.coalesce("_capped", F.lit(False)), MANY_FINDINGS)))
+    status = F.when(F.size(run) > 0, "completed_with_warnings").otherwise("completed")
+    return by.select("bundle_id", "artifacts", F.concat("nested", notes, run).alias("warnings"), run.alias("run_warnings"), status.alias("status"))
 
 
 def sort_artifacts(artifacts: DataFrame) -> DataFrame:

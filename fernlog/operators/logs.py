@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,11 @@ def parse_log_a(lines: DataFrame, tz: str = "UTC") -> DataFrame:
     """
     v = F.col("_v")
     text = F.coalesce("line", F.lit(""))
-    raw = F.when(v.isNotNull(), S.first_string(v, ["timestamp", "time", "ts", "@timestamp"])).otherwise(S.extract(text, P.TIMESTAMP, 0))
-    severity = F.when(v.isNotNull(), S.norm_severity_a(F.coalesce(S.first_string(v, ["level", "severity", "log.level"]), F.lit("")))).otherwise(S.detect_severity(text))
-    component = F.when(v.isNotNull(), S.first_string(v, ["service", "component", "service.name", "logger"]))
-    message = F.when(v.isNotNull(), S.first_string(v, ["message", "msg", "error"]))
-    cid = F.when(v.isNotNull(), S.first_string(v, ["request_id", "requestId", "trace_id", "traceId", "correlation_id", "correlationId", "x-request-id"])).otherwise(S.correlation_id(text))
+    raw = F.when(v.isNotNull(), S.first_string(v, P.A_TIME)).otherwise(S.extract(text, P.TIMESTAMP, 0))
+    severity = F.when(v.isNotNull(), S.norm_severity_a(F.coalesce(S.first_string(v, P.A_LEVEL), F.lit("")))).otherwise(S.detect_severity(text))
+    component = F.when(v.isNotNull(), S.first_string(v, P.A_COMPONENT))
+    message = F.when(v.isNotNull(), S.first_string(v, P.MESSAGE))
+    cid = F.when(v.isNotNull(), S.first_string(v, P.A_ID)).otherwise(S.correlation_id(text))
     full = lambda c, other: F.coalesce(F.when(c != "", c), other)
     out = lines.withColumn("_v", _variant()).select(
         *lines.columns,
@@ -46,19 +48,25 @@ def parse_log_a(lines: DataFrame, tz: str = "UTC") -> DataFrame:
 
 
 def parse_log_b(lines: DataFrame) -> DataFrame:
-    """Adds ts, level, service, message, correlation_id in the second dialect: a time, a level word, ``service=`` and an id anywhere."""
+    """Adds malformed, ts, level, service, message, correlation_id in the second dialect: a time, a level word, ``service=`` and
+    an id anywhere.
+
+    Bytes that are no UTF-8 are replaced. A line that holds a NUL is malformed: nothing is read from it (level and message
+    are null), and it counts only as a line.
+    """
+    lines = split_malformed(lines.withColumn("line", F.make_valid_utf8("line")))
     v = F.col("_v")
-    text = F.coalesce("line", F.lit(""))
-    raw = F.when(v.isNotNull(), S.first_string(v, ["timestamp", "time", "@timestamp", "ts"])).otherwise(S.extract(text, P.TIMESTAMP, 0))
-    level = F.when(v.isNotNull(), S.first_string(v, ["level", "severity"])).otherwise(S.extract(text, P.B_LEVEL))
-    service = F.when(v.isNotNull(), S.first_string(v, ["service", "component", "logger"])).otherwise(S.extract(text, P.B_SERVICE))
-    message = F.when(v.isNotNull(), S.first_string(v, ["message", "msg", "error"]))
-    cid = F.when(v.isNotNull(), S.first_string(v, ["request_id", "requestId", "trace_id", "traceId", "correlation_id"])).otherwise(S.correlation_id_b(text))
+    text = F.when(~F.col("malformed"), F.coalesce("line", F.lit("")))
+    raw = F.when(v.isNotNull(), S.first_string(v, P.B_TIME)).otherwise(S.extract(text, P.TIMESTAMP, 0))
+    level = F.when(v.isNotNull(), S.first_string(v, P.B_LEVELS)).otherwise(S.extract(text, P.B_LEVEL))
+    service = F.when(v.isNotNull(), S.first_string(v, P.B_COMPONENT)).otherwise(S.extract(text, P.B_SERVICE))
+    message = F.when(v.isNotNull(), S.first_string(v, P.MESSAGE))
+    cid = F.when(v.isNotNull(), S.first_string(v, P.B_ID)).otherwise(S.correlation_id_b(text))
     full = lambda c, other: F.coalesce(F.when(c != "", c), other)
-    return lines.withColumn("_v", _variant()).select(
+    return lines.withColumn("_v", F.when(~F.col("malformed"), _variant())).select(
         *lines.columns,
         S.parse_ts_b(raw).alias("ts"),
-        S.norm_level_b(F.coalesce(level, F.lit(""))).alias("level"),
+        F.when(~F.col("malformed"), S.norm_level_b(F.coalesce(level, F.lit("")))).alias("level"),
         full(service, F.lit("unknown")).alias("service"),
         full(message, text).alias("message"),
         full(cid, F.lit(None)).alias("correlation_id"),
@@ -80,22 +88,55 @@ def match_rules(lines: DataFrame, rules: list[tuple] = P.LOG_RULES) -> DataFrame
 def log_findings(lines: DataFrame, rules: list[tuple] = P.LOG_RULES) -> DataFrame:
     """Findings by (K, rule, component, fingerprint): counts, first and last line, first excerpt.
 
-    Sums are taken before the shuffle, so that a line repeated billions of times is one row of it.
+    A rule is (id, title, severity, category, pattern) and maybe a confidence, else ``strong``. Sums are taken before the
+    shuffle, so that a line repeated billions of times is one row of it. ``lines`` may have sha256, the artifact's hash,
+    which then goes with the findings.
     """
-    names = {k: r for k, r in enumerate(rules)}
-    pick = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in names.values()]), F.col("rule_no") + 1)
+    pick = lambda i, other=None: F.element_at(F.array(*[F.lit(r[i] if i < len(r) else other) for r in rules]), F.col("rule_no") + 1)
+    more = ["sha256"] if "sha256" in lines.columns else []
     found = match_rules(lines, rules).transform(parse_log_a)
-    found = found.select(*K, "line_no", "rule_no", "component", S.fingerprint(F.col("line")).alias("fingerprint"), S.excerpt(F.col("line")).alias("excerpt"))
-    grouped = found.groupBy(*K, "rule_no", "component", "fingerprint").agg(
+    found = found.select(*K, *more, "line_no", "rule_no", "component", S.fingerprint(F.col("line")).alias("fingerprint"), S.excerpt(F.col("line")).alias("excerpt"))
+    grouped = found.groupBy(*K, *more, "rule_no", "component", "fingerprint").agg(
         F.count("*").alias("occurrences"), F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.min_by("excerpt", "line_no").alias("excerpt")
     )
     summary = F.format_string("Observed %d matching event(s) in %s between lines %d and %d.", "occurrences", "artifact", "line_start", "line_end")
-    return grouped.select(*K, pick(0).alias("rule_id"), pick(1).alias("title"), pick(2).alias("severity"), pick(3).alias("category"), "component", "fingerprint", "occurrences", "line_start", "line_end", "excerpt", summary.alias("summary"), F.lit("strong").alias("confidence"))
+    return grouped.select(*K, *more, pick(0).alias("rule_id"), pick(1).alias("title"), pick(2).alias("severity"), pick(3).alias("category"), "component", "fingerprint", "occurrences", "line_start", "line_end", "excerpt", summary.alias("summary"), pick(5, "strong").alias("confidence"))
 
 
-def with_ids(findings: DataFrame, sha256: str = "artifact") -> DataFrame:
-    """Adds the stable id of (artifact's hash, rule, fingerprint)."""
-    return findings.withColumn("id", S.finding_id(F.col(sha256), F.col("rule_id"), F.col("fingerprint")))
+def with_ids(findings: DataFrame) -> DataFrame:
+    """Adds the stable id of (artifact's sha256, rule) and, where there is one, the fingerprint."""
+    return findings.withColumn("id", S.finding_id(F.col("sha256"), F.col("rule_id"), F.col("fingerprint")))
+
+
+FULL = ["bundle_id", "id", "rule_id", "title", "severity", "category", "component", "summary", "explanation", "confidence", "evidence", "next_steps", "references", "occurrences"]
+
+
+def full_findings(findings: DataFrame, category: str | None = None) -> DataFrame:
+    """Findings of any analyzer in the form in which they are stored: the columns FULL.
+
+    Explanation and next steps follow the rule. Evidence is an array of (artifact, line_start, line_end, json_pointer,
+    timestamp, excerpt); a line of 0 stands for none. Columns that an analyzer doesn't have are null or empty.
+    """
+    has = lambda c, kind: F.col(c).cast(kind) if c in findings.columns else F.lit(None).cast(kind)
+    line = lambda c: F.when(has(c, "bigint") > 0, has(c, "bigint"))
+    texts = F.create_map(*[F.lit(x) for kv in P.EXPLANATIONS.items() for x in kv])
+    har = {r: P.HAR_STEPS for r in P.EXPLANATIONS if r.startswith("HAR_")}
+    steps = F.create_map(*[x for r, s in (P.NEXT_STEPS | har).items() for x in (F.lit(r), F.array(*map(F.lit, s)))])
+    one = F.struct(
+        F.col("artifact"), line("line_start").alias("line_start"), line("line_end").alias("line_end"), has("json_pointer", "string").alias("json_pointer"), F.lit(None).cast("string").alias("timestamp"), has("excerpt", "string").alias("excerpt")
+    )
+    none = F.array().cast("array<string>")
+    columns = {
+        "id": has("id", "string"),
+        "category": F.coalesce(has("category", "string"), F.lit(category or "")),
+        "component": F.coalesce(has("component", "string"), F.lit("")),
+        "explanation": F.coalesce(F.try_element_at(texts, F.col("rule_id")), F.lit("")),
+        "evidence": F.array(one),
+        "next_steps": F.coalesce(F.try_element_at(steps, F.col("rule_id")), none),
+        "references": none,
+        "occurrences": F.col("occurrences").cast("bigint"),
+    }
+    return findings.select(*[columns[c].alias(c) if c in columns else c for c in FULL])
 
 
 def log_timeline(parsed: DataFrame) -> DataFrame:
@@ -126,10 +167,19 @@ def detect_counts(text, kinds: list[tuple[str, str]] = P.STRICT_KINDS) -> list:
     return [count_of(text, k, p).alias(k) for k, p in kinds]
 
 
+def may_hold(text, kind: str):
+    """Whether a text may hold a match of a kind at all, by a test that is cheaper than its pattern; None if there is none."""
+    tests = [F.contains(text, F.lit(n)) for n in P.NEEDLES.get(kind, [])] + [F.contains(F.lower(text), F.lit(n)) for n in P.LOW_NEEDLES.get(kind, [])]
+    if kind in P.HINTS:
+        tests.append(F.regexp_like(text, F.lit(P.HINTS[kind])))
+    return functools.reduce(lambda a, b: a | b, tests) if tests else None
+
+
 def count_of(text, kind: str, pattern: str):
     """Matches of a kind in a text; 0 for null."""
     n = F.coalesce(F.regexp_count(text, F.lit(java(pattern))), F.lit(0))
-    return F.when(F.contains(text, F.lit(P.NEEDLES[kind])), n).otherwise(0) if kind in P.NEEDLES else n
+    may = may_hold(text, kind)
+    return n if may is None else F.when(may, n).otherwise(0)
 
 
 def privacy_counts(rows: DataFrame, text: str, keys: list[str], kinds: list[tuple[str, str]] = P.STRICT_KINDS, nul_hides: bool = False) -> DataFrame:
@@ -158,6 +208,11 @@ def sort_timeline(timeline: DataFrame) -> DataFrame:
     return timeline.orderBy("ts", "artifact", "line_no")
 
 
+def failed_files(lines: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Files with a line of ``most`` bytes or more: K and a warning. Nothing is read from such a file."""
+    return lines.where(F.octet_length("line") >= most).select(*K).distinct().withColumn("warning", F.lit(P.LONG_LINE))
+
+
 def union_findings(*found: DataFrame) -> DataFrame:
     """Findings of all analyzers in one table; columns that one lacks are null."""
     out = found[0]

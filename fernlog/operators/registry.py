@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from fernlog.operators.logs import union_findings
+from fernlog.storage import stored
 
 
 @dataclass
@@ -20,13 +21,15 @@ class Registry:
         self.analyzers[name] = (types, fn)
 
     def run(self, lines: DataFrame) -> tuple[DataFrame | None, list[dict]]:
-        """All findings of ``lines`` (with ``type``), and the state of each run. A plan that can't be made is a failed run."""
+        """All findings of ``lines`` (with ``type``), and the state of each run.
+
+        Each analyzer's findings are written to the shared folder on their own, so that one which fails while it runs,
+        or whose plan can't be made, takes none of the others' findings with it.
+        """
         found, runs = [], []
         for name, (types, fn) in self.analyzers.items():
             try:
-                out = fn(lines.where(lines["type"].isin(types)).drop("type"))
-                out.schema  # noqa: B018  analysis errors show here
-                found.append(out)
+                found.append(stored(fn(lines.where(lines["type"].isin(types)).drop("type")), "analyzer"))
                 runs.append({"name": name, "status": "completed", "warning": None})
             except Exception as e:  # noqa: BLE001  whatever an analyzer raises is its own failure
                 runs.append({"name": name, "status": "failed", "warning": str(e).splitlines()[0][:300]})

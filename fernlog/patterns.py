@@ -24,8 +24,11 @@ def java(pattern: str) -> str:
     return out.replace(r"\b", _BOUND).replace(".*", r"[^\n]*")
 
 
-#: What a text must hold for a kind to match at all; a text without it is passed over.
-NEEDLES = {"private_key": "-----BEGIN ", "jwt": "eyJ", "email": "@", "connection_string": "://", "aws_access_key": "IA"}
+#: What a text must hold for a kind to match at all; a text without any of it is passed over. Parts as they are, or in
+#: any case; else a pattern that is cheaper than the kind's.
+NEEDLES = {"private_key": ["-----BEGIN "], "jwt": ["eyJ"], "email": ["@"], "connection_string": ["://"], "aws_access_key": ["AKIA", "ASIA"], "github_token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"]}
+LOW_NEEDLES = {"bearer_token": ["bearer"], "basic_authorization": ["basic"], "password": ["passw", "pwd", "secret", "token", "apikey", "api_key", "api-key"], "home_path": ["/home/", "/users/", "\\users\\"]}
+HINTS = {"ipv4": r"[0-9]\.[0-9]{1,3}\.[0-9]", "phone": r"[1-9][0-9 ()\-]{7}"}
 
 
 # Log rules as id, title, severity, category, pattern.
@@ -38,6 +41,62 @@ LOG_RULES = [
     ("LOG_DNS_FAILURE", "DNS resolution failures observed", "medium", "network", r"(?i)no such host|name or service not known|dns.*fail|NXDOMAIN"),
 ]
 
+# What a finding of a rule says beside its counts, and what to look at next.
+EXPLANATIONS = {
+    "LOG_CONNECTION_REFUSED": "Evidence suggests that a component could not establish or retain a network connection. The destination availability and network path need verification.",
+    "LOG_DATABASE_ERROR": "Database-related failures were observed in application output. This is evidence of a failed operation, not proof that the database itself is the root cause.",
+    "LOG_AUTHENTICATION_FAILED": "Authentication or authorization failures were recorded and may indicate invalid credentials, expired tokens, or policy denial.",
+    "LOG_TIMEOUT": "Operations exceeded a configured time boundary. Dependency latency and timeout configuration need verification.",
+    "LOG_OUT_OF_MEMORY": "Explicit memory exhaustion evidence was observed. Confirm process and host memory conditions before attributing a root cause.",
+    "LOG_DNS_FAILURE": "Name-resolution failures were observed. DNS availability, search domains, and the requested hostname need verification.",
+    "HAR_HTTP_5XX": "Evidence shows HTTP 5xx responses. Application and upstream events around the same timestamps need verification.",
+    "HAR_HTTP_4XX": "Evidence shows HTTP 4xx responses. Request validity and authorization policy need verification.",
+    "HAR_SLOW_REQUESTS": "Requests exceeded the built-in two-second review threshold. Timing phases and server-side events should be compared.",
+}
+NEXT_STEPS = {
+    "LOG_CONNECTION_REFUSED": ["Verify the destination service availability.", "Verify the configured host, port, and network path."],
+    "LOG_DATABASE_ERROR": ["Check database health and connection capacity.", "Compare application and database timestamps."],
+    "LOG_AUTHENTICATION_FAILED": ["Verify credential validity without exposing credentials.", "Inspect identity-provider and authorization-policy events."],
+    "LOG_TIMEOUT": ["Compare timeout values with observed dependency latency.", "Inspect events immediately before the timeout window."],
+    "LOG_OUT_OF_MEMORY": ["Inspect memory limits and utilization.", "Check allocation pressure before the event."],
+    "LOG_DNS_FAILURE": ["Verify the hostname and DNS resolver configuration.", "Compare with network diagnostic artifacts."],
+}
+OTHER_SUMMARIES = {
+    "web": ("Observed ", " matching record(s). The surrounding application and platform evidence needs review."),
+    "windows": ("Observed ", " matching event(s). Event IDs are supporting evidence and do not establish root cause."),
+    "JVM_HEAP_DUMP_RECOGNIZED": ("", "The large binary was not parsed. Use Eclipse MAT or another specialized offline heap analyzer."),
+    "JVM_DEADLOCK_INDICATOR": ("", "The thread dump explicitly reports a possible Java-level deadlock."),
+    "JVM_OUT_OF_MEMORY": ("", "The artifact contains explicit JVM memory-exhaustion evidence."),
+    "JVM_BLOCKED_THREADS": ("Observed ", " BLOCKED thread states; lock ownership and surrounding stacks need review."),
+    "JVM_LONG_GC_PAUSE": ("Observed ", " pause(s) over 1000 ms."),
+}
+# The rule's title and the excerpt that stands for the whole file.
+JVM_TEXTS = {
+    "JVM_HEAP_DUMP_RECOGNIZED": ("JVM heap dump recognized", "recognized_large_binary_artifact"),
+    "JVM_DEADLOCK_INDICATOR": ("JVM deadlock indicator observed", "deadlock"),
+    "JVM_OUT_OF_MEMORY": ("OutOfMemoryError evidence observed", "OutOfMemoryError"),
+    "JVM_BLOCKED_THREADS": ("Multiple blocked JVM threads", "BLOCKED"),
+    "JVM_LONG_GC_PAUSE": ("Long JVM garbage-collection pauses", "GC pause"),
+}
+HAR_STEPS = ["Inspect the affected requests and timing phases.", "Correlate request timestamps with application and dependency logs."]
+
+# Keys of JSON log lines in the order in which they are tried, for the two dialects.
+A_TIME, B_TIME = ["timestamp", "time", "ts", "@timestamp"], ["timestamp", "time", "@timestamp", "ts"]
+A_LEVEL, B_LEVELS = ["level", "severity", "log.level"], ["level", "severity"]
+A_COMPONENT, B_COMPONENT = ["service", "component", "service.name", "logger"], ["service", "component", "logger"]
+MESSAGE = ["message", "msg", "error"]
+A_ID = ["request_id", "requestId", "trace_id", "traceId", "correlation_id", "correlationId", "x-request-id"]
+B_ID = ["request_id", "requestId", "trace_id", "traceId", "correlation_id"]
+
+# Types of artifacts whose lines are analysed, and the warnings of a bundle and of a run.
+LOG_TYPES = ["generic-log", "json-log", "syslog", "docker-log", "php-log", "nginx-access", "nginx-error", "apache-access", "apache-error"]
+NO_LOGS, NO_HAR = "no supported log artifacts were detected", "no HAR artifacts were detected"
+NESTED = ("nested archive ", " was indexed but not extracted")
+MANY_FINDINGS, MANY_EVENTS = "finding limit reached; additional findings were omitted", "timeline event limit reached; remaining events were not indexed"
+BAD_HAR, LONG_LINE = "HAR file is malformed", "line is 1 MiB long or longer"
+BAD_JSON, BAD_TYPE = "analyzer emitted invalid JSON", "analyzer emitted an unsupported response type"
+RUN_NAME, TOOL_VERSION, SCHEMA_VERSION = "builtin-log-har", "0.1.0", "1"
+
 # Volatile parts of messages.
 TIMESTAMP = r"\d{4}-\d{2}-\d{2}[T ][0-9:.]+(?:Z|[+-][0-9:]+)?"
 CORRELATION = r'(?i)(?:request[_-]?id|trace[_-]?id|correlation[_-]?id|x-request-id)[=:"\s]+([A-Za-z0-9._:-]+)'
