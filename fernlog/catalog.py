@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlog import patterns as P
+from fernlog.jobs import analyze
 from fernlog.operators import audit, compare, har, intelligence, inventory, logs, platform_rules, query, sanitize
 from fernlog.functions import scalars as S
+from fernlog.sources import readers
 from fernlog.testlines import SQL, derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,13 +76,34 @@ def _first(x: str, pattern: str, group: int) -> str:
     return f"nullif(regexp_extract({x}, {_q(pattern)}, {group}), '')"
 
 
-_TS = f"try_cast(replace({_first('line', P.TIMESTAMP, 0)}, 'Z', '') AS TIMESTAMP)"
+def _time(x: str) -> str:
+    return f"try_cast(replace({x}, 'Z', '') AS TIMESTAMP)"
+
+
+def _string(keys: list[str]) -> str:
+    """The first of the keys of the JSON object ``j`` that holds a string."""
+    return "coalesce(" + ", ".join(f"""CASE WHEN json_type(j, '$."{k}"') = 'VARCHAR' THEN json_extract_string(j, '$."{k}"') END""" for k in keys) + ")"
+
+
 _SEVERITY = "CASE WHEN lower(line) LIKE '%critical%' OR lower(line) LIKE '%fatal%' THEN 'critical' WHEN lower(line) LIKE '%error%' OR lower(line) LIKE '%failed%' THEN 'error' WHEN lower(line) LIKE '%warn%' THEN 'warning' WHEN lower(line) LIKE '%debug%' THEN 'debug' ELSE 'info' END"
-_LEVEL_WORD = f"upper(coalesce({_first('line', P.B_LEVEL, 1)}, ''))"
-_PARSED_A = f"a AS (SELECT *, {_TS} AS ts, {_SEVERITY} AS severity, {_first('line', P.CORRELATION, 1)} AS correlation_id FROM lines)"
-_PARSED_B = f"""b AS (SELECT *, {_TS} AS ts, CASE WHEN {_LEVEL_WORD} IN ('WARN', 'WARNING') THEN 'WARNING' WHEN {_LEVEL_WORD} IN ('FATAL', 'CRITICAL') THEN 'CRITICAL'
-  WHEN {_LEVEL_WORD} IN ('DEBUG', 'ERROR') THEN {_LEVEL_WORD} ELSE 'INFO' END AS level, coalesce({_first('line', P.B_SERVICE, 1)}, 'unknown') AS service,
-  {_first('line', P.B_CORRELATION, 1)} AS correlation_id FROM lines)"""
+_NORMED = f"CASE lower({_string(P.A_LEVEL)}) WHEN 'warn' THEN 'warning' WHEN 'warning' THEN 'warning' WHEN 'err' THEN 'error' WHEN 'error' THEN 'error' WHEN 'fatal' THEN 'error' WHEN 'critical' THEN 'critical' WHEN 'crit' THEN 'critical' WHEN 'debug' THEN 'debug' ELSE 'info' END"
+_JSON = "lj AS (SELECT *, CASE WHEN starts_with(line, '{') AND json_valid(line) THEN line END AS j, contains(line, chr(0)) AS malformed FROM lines)"
+_PARSED_A = f"""{_JSON},
+ta AS (SELECT * EXCLUDE (j, malformed), CASE WHEN j IS NULL THEN {_time(_first('line', P.TIMESTAMP, 0))} ELSE {_time(_string(P.A_TIME))} END AS ts, CASE WHEN j IS NULL THEN {_SEVERITY} ELSE {_NORMED} END AS severity,
+  coalesce(nullif({_string(P.A_COMPONENT)}, ''), 'unknown') AS component, coalesce(nullif({_string(P.MESSAGE)}, ''), line) AS message, CASE WHEN j IS NULL THEN {_first('line', P.CORRELATION, 1)} ELSE nullif({_string(P.A_ID)}, '') END AS correlation_id FROM lj)"""
+_LEVEL_WORD = f"upper(coalesce(CASE WHEN j IS NULL THEN {_first('line', P.B_LEVEL, 1)} ELSE {_string(P.B_LEVELS)} END, ''))"
+_PARSED_B = f"""{_JSON},
+tb AS (SELECT * EXCLUDE j, CASE WHEN malformed THEN NULL WHEN j IS NULL THEN {_time(_first('line', P.TIMESTAMP, 0))} ELSE {_time(_string(P.B_TIME))} END AS ts,
+  CASE WHEN malformed THEN NULL WHEN {_LEVEL_WORD} IN ('WARN', 'WARNING') THEN 'WARNING' WHEN {_LEVEL_WORD} IN ('FATAL', 'CRITICAL') THEN 'CRITICAL' WHEN {_LEVEL_WORD} IN ('DEBUG', 'ERROR') THEN {_LEVEL_WORD} ELSE 'INFO' END AS level,
+  coalesce(CASE WHEN malformed THEN NULL WHEN j IS NULL THEN {_first('line', P.B_SERVICE, 1)} ELSE nullif({_string(P.B_COMPONENT)}, '') END, 'unknown') AS service, CASE WHEN NOT malformed THEN coalesce(nullif({_string(P.MESSAGE)}, ''), line) END AS message,
+  CASE WHEN malformed THEN NULL WHEN j IS NULL THEN {_first('line', P.B_CORRELATION, 1)} ELSE nullif({_string(P.B_ID)}, '') END AS correlation_id FROM lj)"""
+
+
+def _short(x: str, n: int = 320) -> str:
+    """The excerpt of an ASCII text."""
+    return f"CASE WHEN strlen(trim({x})) > {n} THEN substr(trim({x}), 1, {n}) || '…' ELSE trim({x}) END"
+
+
 _FMT = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -88,11 +111,15 @@ def _rules(rows: list[tuple]) -> str:
     return "rules(rule_id, title, severity, category, pattern) AS (VALUES " + ", ".join("(" + ", ".join(_q(x) for x in r) + ")" for r in rows) + ")"
 
 
-_FINDINGS = f"""f AS (SELECT bundle_id, artifact, rule_id, title, severity, category, 'unknown' AS component, {_fingerprint('line')} AS fingerprint,
-  count(*) AS occurrences, min(line_no) AS line_start, max(line_no) AS line_end, arg_min(trim(line), line_no) AS excerpt
-  FROM lines JOIN rules ON regexp_matches(line, pattern) GROUP BY ALL),
+_FINDINGS = f"""f AS (SELECT bundle_id, artifact, rule_id, title, severity, category, component, {_fingerprint('line')} AS fingerprint,
+  count(*) AS occurrences, min(line_no) AS line_start, max(line_no) AS line_end, arg_min({_short('line')}, line_no) AS excerpt
+  FROM (SELECT bundle_id, artifact, line_no, line, component FROM ta) JOIN rules ON regexp_matches(line, pattern) GROUP BY ALL),
 found AS (SELECT *, 'Observed ' || occurrences || ' matching event(s) in ' || artifact || ' between lines ' || line_start || ' and ' || line_end || '.' AS summary, 'strong' AS confidence FROM f)"""
-_FOUND = _rules(P.LOG_RULES) + ",\n" + _FINDINGS
+_FOUND = _PARSED_A + ",\n" + _rules(P.LOG_RULES) + ",\n" + _FINDINGS
+
+
+_EVENTS = "t AS (SELECT *, artifact || '#' || line_no AS id FROM ta WHERE ts IS NOT NULL AND severity IN ('warning', 'error', 'critical'))"
+_EVENTS_SQL = _PARSED_A + ", " + _EVENTS
 
 
 def _lines(spark, d):
@@ -115,18 +142,18 @@ def log_findings(spark, d):
     return logs.sort_findings(_findings(spark, d))
 
 
-@query_of("log_timeline", _with("lines", more=_PARSED_A) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, 'log' AS source, 'unknown' AS component, severity, 'application-log' AS category, trim(line) AS message, correlation_id FROM a WHERE ts IS NOT NULL AND severity IN ('warning', 'error', 'critical')")
+@query_of("log_timeline", _with("lines", more=_PARSED_A) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, 'log' AS source, component, severity, 'application-log' AS category, {_short('message')} AS message, correlation_id FROM ta WHERE ts IS NOT NULL AND severity IN ('warning', 'error', 'critical')")
 def log_timeline(spark, d):
     t = logs.log_timeline(logs.parse_log_a(_lines(spark, d)))
     return logs.sort_timeline(t).withColumn("ts", stamp("ts"))
 
 
-@query_of("parse_dialect_a", _with("lines", more=_PARSED_A) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, severity, 'unknown' AS component, correlation_id FROM a")
+@query_of("parse_dialect_a", _with("lines", more=_PARSED_A) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, severity, component, correlation_id FROM ta")
 def parse_dialect_a(spark, d):
     return logs.parse_log_a(_lines(spark, d)).select(*logs.K, "line_no", stamp("ts"), "severity", "component", "correlation_id")
 
 
-@query_of("parse_dialect_b", _with("lines", more=_PARSED_B) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, level, service, correlation_id FROM b")
+@query_of("parse_dialect_b", _with("lines", more=_PARSED_B) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, level, service, correlation_id FROM tb")
 def parse_dialect_b(spark, d):
     return _parsed_b(spark, d).select(*logs.K, "line_no", stamp("ts"), "level", "service", "correlation_id")
 
@@ -136,15 +163,15 @@ def fingerprints(spark, d):
     return _lines(spark, d).groupBy(S.fingerprint(F.col("line")).alias("fingerprint")).agg(F.count("*").alias("lines"))
 
 
-@query_of("capped_timeline", _with("lines", more=_PARSED_A) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, severity FROM a WHERE ts IS NOT NULL AND severity IN ('warning', 'error', 'critical') QUALIFY row_number() OVER (PARTITION BY bundle_id, artifact ORDER BY line_no) <= 100")
+@query_of("capped_timeline", _with("lines", more=_PARSED_A) + f"SELECT bundle_id, artifact, line_no, {_FMT.format('ts')} AS ts, severity FROM ta WHERE ts IS NOT NULL AND severity IN ('warning', 'error', 'critical') QUALIFY row_number() OVER (PARTITION BY bundle_id, artifact ORDER BY line_no) <= 100000")
 def capped_timeline(spark, d):
-    t = logs.cap_timeline(logs.log_timeline(logs.parse_log_a(_lines(spark, d))), 100)
+    t = logs.cap_timeline(logs.log_timeline(logs.parse_log_a(_lines(spark, d))))
     return t.select(*logs.K, "line_no", stamp("ts"), "severity")
 
 
-@query_of("capped_findings", _with("lines", more=_FOUND) + "SELECT bundle_id, artifact, rule_id, component, fingerprint, occurrences FROM found QUALIFY row_number() OVER (PARTITION BY bundle_id ORDER BY artifact, rule_id, component, fingerprint) <= 20")
+@query_of("capped_findings", _with("lines", more=_FOUND) + "SELECT bundle_id, artifact, rule_id, component, fingerprint, occurrences FROM found QUALIFY row_number() OVER (PARTITION BY bundle_id ORDER BY artifact, rule_id, component, fingerprint) <= 10000")
 def capped_findings(spark, d):
-    return logs.cap_findings(_findings(spark, d), 20).select(*logs.K, "rule_id", "component", "fingerprint", "occurrences")
+    return logs.cap_findings(_findings(spark, d)).select(*logs.K, "rule_id", "component", "fingerprint", "occurrences")
 
 
 @query_of("fleet_patterns", _with("lines", more=_FOUND) + "SELECT rule_id, fingerprint, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(DISTINCT bundle_id) AS bundles FROM found GROUP BY ALL")
@@ -163,7 +190,7 @@ def log_privacy(spark, d):
     return logs.privacy_counts(_lines(spark, d), "line", logs.K)
 
 
-@query_of("log_privacy_b", _with("lines", more=_privacy_sql("lines", "bundle_id, artifact", "line", P.B_SENSITIVE)))
+@query_of("log_privacy_b", _with("lines", more="w AS (SELECT * FROM lines WHERE NOT contains(line, chr(0))),\n" + _privacy_sql("w", "bundle_id, artifact", "line", P.B_SENSITIVE)))
 def log_privacy_b(spark, d):
     return intelligence.privacy_counts_b(_lines(spark, d))
 
@@ -173,7 +200,7 @@ def doc_privacy(spark, d):
     return logs.privacy_counts(table(spark, d, "documents"), "text", ["source"])
 
 
-_PAGE_HOST = r"coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1), ''), 'unknown')"
+_PAGE_HOST = r"coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''), 'unknown')"
 
 
 @query_of("page_privacy", f"WITH p AS (SELECT {_PAGE_HOST} AS host, html FROM pages), " + _privacy_sql("p", "host", "html", P.STRICT_KINDS))
@@ -189,10 +216,10 @@ def malformed_lines(spark, d):
 
 # ---- log intelligence ----
 
-_ERRORS_SQL = _PARSED_B + f",\ne AS (SELECT *, {_normal('line')} AS fingerprint FROM b WHERE level IN ('ERROR', 'CRITICAL'))"
+_ERRORS_SQL = _PARSED_B + f",\ne AS (SELECT *, {_normal('message')} AS fingerprint FROM tb WHERE level IN ('ERROR', 'CRITICAL'))"
 _GROUPS_SQL = _ERRORS_SQL + f""",
 g AS (SELECT bundle_id, artifact, fingerprint, count(*) AS occurrences, min(line_no) AS first_line, max(line_no) AS last_line, {_FMT.format('arg_min(ts, line_no) FILTER (WHERE ts IS NOT NULL)')} AS first_ts,
-  {_FMT.format('arg_max(ts, line_no) FILTER (WHERE ts IS NOT NULL)')} AS last_ts, arg_min(substr(line, 1, 300), line_no) AS example, CASE WHEN count(*) < 5 THEN 'medium' ELSE 'high' END AS severity FROM e GROUP BY ALL)"""
+  {_FMT.format('arg_max(ts, line_no) FILTER (WHERE ts IS NOT NULL)')} AS last_ts, arg_min(substr(message, 1, 300), line_no) AS example, CASE WHEN count(*) < 5 THEN 'medium' ELSE 'high' END AS severity FROM e GROUP BY ALL)"""
 
 
 def _groups(spark, d):
@@ -204,12 +231,12 @@ def error_groups(spark, d):
     return _groups(spark, d).withColumns({"first_ts": stamp("first_ts"), "last_ts": stamp("last_ts")})
 
 
-@query_of("top_error_groups", _with("lines", more=_GROUPS_SQL) + "SELECT bundle_id, artifact, fingerprint, occurrences, row_number() OVER (PARTITION BY bundle_id, artifact ORDER BY occurrences DESC, fingerprint) AS rank FROM g QUALIFY rank <= 3")
+@query_of("top_error_groups", _with("lines", more=_GROUPS_SQL) + "SELECT bundle_id, artifact, fingerprint, occurrences, row_number() OVER (PARTITION BY bundle_id, artifact ORDER BY occurrences DESC, fingerprint) AS rank FROM g QUALIFY rank <= 1000")
 def top_error_groups(spark, d):
-    return intelligence.top_groups(_groups(spark, d), 3).select(*logs.K, "fingerprint", "occurrences", "rank")
+    return intelligence.top_groups(_groups(spark, d)).select(*logs.K, "fingerprint", "occurrences", "rank")
 
 
-@query_of("correlation_chains", _with("lines", more=_PARSED_B) + f"SELECT bundle_id, artifact, correlation_id, line_no, {_FMT.format('ts')} AS ts, service, level, row_number() OVER (PARTITION BY bundle_id, artifact, correlation_id ORDER BY line_no) AS position FROM b WHERE correlation_id IS NOT NULL QUALIFY position <= 100")
+@query_of("correlation_chains", _with("lines", more=_PARSED_B) + f"SELECT bundle_id, artifact, correlation_id, line_no, {_FMT.format('ts')} AS ts, service, level, row_number() OVER (PARTITION BY bundle_id, artifact, correlation_id ORDER BY line_no) AS position FROM tb WHERE correlation_id IS NOT NULL QUALIFY position <= 100")
 def correlation_chains(spark, d):
     return intelligence.correlation_chains(_parsed_b(spark, d)).withColumn("ts", stamp("ts"))
 
@@ -218,22 +245,19 @@ def correlation_chains(spark, d):
   ON x.bundle_id = y.bundle_id AND x.artifact = y.artifact AND y.ts >= x.ts - INTERVAL 60 SECONDS AND y.line_no <= x.line_no GROUP BY ALL)
 SELECT bundle_id, artifact, line_no, {_FMT.format('started')} AS started_at, {_FMT.format('ts')} AS ended_at, errors FROM w WHERE errors = 5""")
 def error_bursts(spark, d):
-    out = intelligence.error_bursts(_parsed_b(spark, d))
+    out = intelligence.error_bursts_ordered(_parsed_b(spark, d))
     return out.withColumns({"started_at": stamp("started_at"), "ended_at": stamp("ended_at")})
 
 
-ORACLES["error_bursts_unordered"] = ORACLES["error_bursts"]
-
-
 @query_of("error_bursts_unordered", ORACLES["error_bursts"])
 def error_bursts_unordered(spark, d):
-    out = intelligence.error_bursts_unordered(_parsed_b(spark, d))
+    out = intelligence.error_bursts(_parsed_b(spark, d))
     return out.withColumns({"started_at": stamp("started_at"), "ended_at": stamp("ended_at")})
 
 
-@query_of("log_summary", _with("lines", more=_PARSED_B) + "SELECT bundle_id, artifact, count(*) AS lines, count(*) FILTER (WHERE contains(line, chr(0))) AS malformed_lines, count(DISTINCT correlation_id) AS correlations FROM b GROUP BY ALL")
+@query_of("log_summary", _with("lines", more=_PARSED_B) + "SELECT bundle_id, artifact, count(*) AS lines, count(*) FILTER (WHERE contains(line, chr(0))) AS malformed_lines, count(DISTINCT correlation_id) AS correlations FROM tb GROUP BY ALL")
 def log_summary(spark, d):
-    return intelligence.log_summary(logs.split_malformed(_parsed_b(spark, d)))
+    return intelligence.log_summary(_parsed_b(spark, d))
 
 
 # ---- HTTP archives ----
@@ -265,14 +289,15 @@ def har_findings(spark, d):
     return har.har_findings(har.har_summary(_entries(spark, d)))
 
 
-_SAFE = r"CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) || '://' || regexp_extract(url, '://([^/?#]*)', 1) || replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ' ', '%20') ELSE 'invalid-url' END"
+_SAFE = r"""CASE WHEN starts_with(url, ':') THEN 'invalid-url' WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) || '://' || regexp_extract(url, '://(?:[^/?#@]*@)?([^/?#]*)', 1) || replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ' ', '%20')
+ ELSE '://' || replace(regexp_extract(url, '^([^?#]*)', 1), ' ', '%20') END"""
 
 
 @query_of("har_timeline", _with("har") + f"""SELECT bundle_id, artifact, entry, replace(replace(started, 'T', ' '), 'Z', '') AS ts, 'har' AS source, {_PAGE_HOST} AS component,
 CASE WHEN status >= 500 THEN 'error' WHEN status >= 400 OR time_ms >= 2000 THEN 'warning' ELSE 'info' END AS severity, 'http-request' AS category,
 method || ' ' || {_SAFE} || ' returned ' || status || ' in ' || CAST(round_even(time_ms, 0) AS BIGINT) || ' ms' AS message, '/log/entries/' || entry AS json_pointer FROM har""")
 def har_timeline(spark, d):
-    return har.har_timeline(_entries(spark, d)).withColumn("ts", stamp("ts"))
+    return har.har_timeline(_entries(spark, d)).drop("status", "time_ms").withColumn("ts", stamp("ts"))
 
 
 _HAR_KINDS = ", ".join(f"sum(len(regexp_extract_all(header_value, {_q(p)})) + len(regexp_extract_all(url, {_q(p)}))) AS {k}" for k, p in P.STRICT_KINDS)
@@ -291,9 +316,12 @@ def _platform(spark, d):
     return derived(spark, d, "platform_lines")
 
 
-@query_of("web_findings", _with("platform_lines", more=_rules([(r, t, s, "web", p) for r, s, t, p in P.WEB_RULES])) + f"""SELECT bundle_id, artifact, rule_id, severity, title, count(*) AS occurrences, min(line_no) AS line_start, arg_min(substr(trim(line), 1, 300), line_no) AS excerpt
+_WEB_SUMMARY = "'Observed ' || count(*) || ' matching record(s). The surrounding application and platform evidence needs review.'"
+
+
+@query_of("web_findings", _with("platform_lines", more=_rules([(r, t, s, "web", p) for r, s, t, p in P.WEB_RULES])) + f"""SELECT bundle_id, artifact, rule_id, severity, title, count(*) AS occurrences, min(line_no) AS line_start, arg_min(substr(trim(line), 1, 300), line_no) AS excerpt, 'strong' AS confidence, {_WEB_SUMMARY} AS summary
 FROM platform_lines JOIN rules ON regexp_matches(line, pattern) GROUP BY ALL
-UNION ALL SELECT bundle_id, artifact, 'WEB_REPEATED_5XX', 'medium', 'Repeated HTTP 5xx responses', count(*), 1, 'Repeated HTTP 5xx status records' FROM platform_lines WHERE regexp_matches(line, {_q(P.HTTP_5XX)}) GROUP BY ALL HAVING count(*) >= 5""")
+UNION ALL SELECT bundle_id, artifact, 'WEB_REPEATED_5XX', 'medium', 'Repeated HTTP 5xx responses', count(*), 1, 'Repeated HTTP 5xx status records', 'strong', {_WEB_SUMMARY} FROM platform_lines WHERE regexp_matches(line, {_q(P.HTTP_5XX)}) GROUP BY ALL HAVING count(*) >= 5""")
 def web_findings(spark, d):
     return platform_rules.web_findings(_platform(spark, d))
 
@@ -311,49 +339,49 @@ def gc_pauses(spark, d):
 @query_of("jvm_findings", _with("platform_lines", more=f"""l AS (SELECT *, lower(line) AS low, {_first('line', P.THREAD_STATE, 1)} AS state, CAST({_first('line', P.GC_PAUSE, 1)} AS DOUBLE) AS pause FROM platform_lines),
 j AS (SELECT bundle_id, artifact, bool_or(contains(low, 'found one java-level deadlock')) OR (bool_or(contains(low, 'found a total of')) AND bool_or(contains(low, 'deadlock'))) AS dead,
  coalesce(min(CASE WHEN contains(low, 'deadlock') THEN line_no END), 0) AS dead_line, bool_or(contains(low, 'outofmemoryerror')) AS oom, coalesce(min(CASE WHEN contains(low, 'outofmemoryerror') THEN line_no END), 0) AS oom_line,
- count(*) FILTER (WHERE state = 'BLOCKED') AS blocked, count(*) FILTER (WHERE pause > 1000) AS pauses FROM l GROUP BY ALL)""") + """SELECT bundle_id, artifact, 'JVM_DEADLOCK_INDICATOR' AS rule_id, 'critical' AS severity, dead_line AS line_start, 1 AS occurrences FROM j WHERE dead
-UNION ALL SELECT bundle_id, artifact, 'JVM_OUT_OF_MEMORY', 'high', oom_line, 1 FROM j WHERE oom
-UNION ALL SELECT bundle_id, artifact, 'JVM_BLOCKED_THREADS', 'medium', 0, blocked FROM j WHERE blocked >= 3
-UNION ALL SELECT bundle_id, artifact, 'JVM_LONG_GC_PAUSE', 'high', 0, pauses FROM j WHERE pauses > 0""")
+ count(*) FILTER (WHERE state = 'BLOCKED') AS blocked, count(*) FILTER (WHERE pause > 1000) AS pauses FROM l GROUP BY ALL)""") + """SELECT bundle_id, artifact, 'JVM_DEADLOCK_INDICATOR' AS rule_id, 'critical' AS severity, 'JVM deadlock indicator observed' AS title, 'The thread dump explicitly reports a possible Java-level deadlock.' AS summary, 'deadlock' AS excerpt, 'strong' AS confidence, dead_line AS line_start, 1 AS occurrences FROM j WHERE dead
+UNION ALL SELECT bundle_id, artifact, 'JVM_OUT_OF_MEMORY', 'high', 'OutOfMemoryError evidence observed', 'The artifact contains explicit JVM memory-exhaustion evidence.', 'OutOfMemoryError', 'strong', oom_line, 1 FROM j WHERE oom
+UNION ALL SELECT bundle_id, artifact, 'JVM_BLOCKED_THREADS', 'medium', 'Multiple blocked JVM threads', 'Observed ' || blocked || ' BLOCKED thread states; lock ownership and surrounding stacks need review.', 'BLOCKED', 'strong', 0, blocked FROM j WHERE blocked >= 3
+UNION ALL SELECT bundle_id, artifact, 'JVM_LONG_GC_PAUSE', 'high', 'Long JVM garbage-collection pauses', 'Observed ' || pauses || ' pause(s) over 1000 ms.', 'GC pause', 'strong', 0, pauses FROM j WHERE pauses > 0""")
 def jvm_findings(spark, d):
     return platform_rules.jvm_findings(_platform(spark, d))
 
 
 _IDS = [4625, 6008, 7031, 1000, 7, 1014, 99999]
-_WINDOWS = "w AS (SELECT 'b' || (user_id % 3) AS bundle_id, 'events' || (user_id % 4) || '.xml' AS artifact, event_id AS position, [" + ", ".join(map(str, _IDS)) + "][CAST(event_id % 7 AS INT) + 1] AS event_id, repeat(event_type || ' ', 40) || event_id AS message FROM events)"
+_WINDOWS = "w AS (SELECT 'b' || (event_id // 300) AS bundle_id, 'events' || (event_id // 100) || '.xml' AS artifact, event_id AS position, [" + ", ".join(map(str, _IDS)) + "][CAST(event_id % 7 AS INT) + 1] AS event_id, repeat(event_type || ' ', 40) || event_id AS message FROM events)"
 
 
-@query_of("windows_findings", "WITH " + _WINDOWS + ", known(event_id, rule_id, severity, title) AS (VALUES " + ", ".join(f"({e}, {_q(r)}, {_q(s)}, {_q(t)})" for e, r, s, t in P.WINDOWS_EVENTS) + ") SELECT bundle_id, artifact, event_id, rule_id, severity, title, count(*) AS occurrences, arg_min(CASE WHEN length(message) > 300 THEN substr(message, 1, 300) || '…' ELSE message END, position) AS excerpt FROM w JOIN known USING (event_id) GROUP BY ALL")
+@query_of("windows_findings", "WITH " + _WINDOWS + ", known(event_id, rule_id, severity, title) AS (VALUES " + ", ".join(f"({e}, {_q(r)}, {_q(s)}, {_q(t)})" for e, r, s, t in P.WINDOWS_EVENTS) + ") SELECT bundle_id, artifact, event_id, rule_id, severity, title, count(*) AS occurrences, arg_min(CASE WHEN length(message) > 300 THEN substr(message, 1, 300) || '…' ELSE message END, position) AS excerpt, 'Observed ' || count(*) || ' matching event(s). Event IDs are supporting evidence and do not establish root cause.' AS summary, 'moderate' AS confidence, '/Events' AS json_pointer FROM w JOIN known USING (event_id) GROUP BY ALL")
 def windows_findings(spark, d):
     e = table(spark, d, "events")
     number = F.element_at(F.array(*map(F.lit, _IDS)), (F.col("event_id") % 7).cast("int") + 1)
     message = F.concat(F.repeat(F.concat("event_type", F.lit(" ")), 40), "event_id")
-    rows = e.select(F.concat(F.lit("b"), F.col("user_id") % 3).alias("bundle_id"), F.concat(F.lit("events"), F.col("user_id") % 4, F.lit(".xml")).alias("artifact"), F.col("event_id").alias("position"), number.alias("event_id"), message.alias("message"))
+    rows = e.select(F.concat(F.lit("b"), F.floor(F.col("event_id") / 300)).alias("bundle_id"), F.concat(F.lit("events"), F.floor(F.col("event_id") / 100), F.lit(".xml")).alias("artifact"), F.col("event_id").alias("position"), number.alias("event_id"), message.alias("message"))
     return platform_rules.windows_findings(rows)
 
 
 # ---- artifacts ----
 
-_CONTENT = "CASE CAST(n % 4 AS INT) WHEN 0 THEN '2024-01-01 INFO ' || content WHEN 1 THEN '{\"timestamp\": 1, \"level\": \"' || content || '\"}' WHEN 2 THEN 'apiVersion: v1 kind: Pod ' || content ELSE '[gc,x] ' || content END"
-_PATHS = f"x AS (SELECT bundle_id, side, folder || '/' || n || '/' || name AS path, {_CONTENT} AS body FROM artifacts)"
-_TYPE = """CASE WHEN lower(path) LIKE '%.hprof' THEN 'recognized-large-binary-artifact' WHEN lower(path) LIKE '%.evtx' THEN 'windows-event-binary' WHEN contains(body, '[gc,') THEN 'jvm-gc-log'
- WHEN contains(path, 'php') AND path LIKE '%.log' THEN 'php-log' WHEN contains(path, 'nginx') AND contains(path, 'access') THEN 'nginx-access' WHEN path LIKE '%.env' THEN 'env-config'
- WHEN path LIKE '%.yaml' AND contains(body, 'apiVersion:') AND contains(body, 'kind:') THEN 'kubernetes-manifest' WHEN path LIKE '%.yaml' THEN 'yaml-config'
- WHEN path LIKE '%.json' AND contains(body, '"timestamp"') AND contains(body, '"level"') THEN 'json-log' WHEN path LIKE '%.json' THEN 'json-config'
- WHEN path LIKE '%netstat%' THEN 'network-diagnostic' WHEN path LIKE '%.log' OR path LIKE '%.txt' THEN 'generic-log' ELSE 'unknown-text' END"""
-_INVENTORY = _PATHS + f", i AS (SELECT bundle_id, side, path, substr(sha256(body), 1, 16) AS id, {_TYPE} AS type, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS size FROM x)"
-_ROUTE = "CASE WHEN type IN ('generic-log', 'json-log', 'php-log', 'nginx-access', 'jvm-gc-log') THEN 'log' WHEN type = 'har' THEN 'har' WHEN type = 'archive' THEN 'nested-archive' ELSE 'privacy-only' END"
+_PATHS = "x AS (SELECT bundle_id, side, folder || '/' || n || '/' || name AS path, content AS body FROM artifacts)"
+_body_has = lambda *parts: "(" + " AND ".join(f"contains(body, {_q(p)})" for p in parts) + ")"
+_TYPE = rf"""CASE WHEN starts_with(body, 'PK' || chr(3) || chr(4)) THEN 'archive' WHEN low LIKE '%.hprof' THEN 'recognized-large-binary-artifact'
+ WHEN low LIKE '%.har' OR {_body_has('"log"', '"entries"', '"startedDateTime"')} THEN 'har' WHEN low LIKE '%.evtx' THEN 'windows-event-binary' WHEN low LIKE '%.xml' AND {_body_has('<Event', 'System')} THEN 'windows-event'
+ WHEN base = 'docker-inspect.json' OR contains(low, 'docker_inspect') THEN 'docker-inspect' WHEN contains(low, 'gc.log') OR {_body_has('[gc,')} OR {_body_has('Full GC')} THEN 'jvm-gc-log'
+ WHEN contains(low, 'thread') AND {_body_has('java.lang.Thread.State')} THEN 'jvm-thread-dump' WHEN contains(low, 'php') AND low LIKE '%.log' THEN 'php-log'
+ WHEN contains(low, 'nginx') AND contains(low, 'access') OR regexp_matches(body, '^\S+ \S+ \S+ \[[^]]+\] "[A-Z]+ \S+ HTTP/') THEN 'nginx-access' WHEN contains(low, 'nginx') AND contains(low, 'error') THEN 'nginx-error'
+ WHEN contains(low, 'apache') AND contains(low, 'access') THEN 'apache-access' WHEN contains(low, 'apache') AND contains(low, 'error') THEN 'apache-error' WHEN low LIKE '%.env' THEN 'env-config'
+ WHEN base IN ('package.json', 'composer.json', 'pom.xml', 'go.mod', 'requirements.txt', 'pyproject.toml') OR base LIKE '%.csproj' THEN 'package-manifest'
+ WHEN low LIKE '%.yaml' OR low LIKE '%.yml' THEN CASE WHEN {_body_has('apiVersion:', 'kind:')} THEN 'kubernetes-manifest' ELSE 'yaml-config' END WHEN low LIKE '%.toml' THEN 'toml-config'
+ WHEN low LIKE '%.json' THEN CASE WHEN {_body_has('"timestamp"')} AND ({_body_has('"level"')} OR {_body_has('"severity"')}) THEN 'json-log' ELSE 'json-config' END
+ WHEN regexp_matches(base, 'ipconfig|ifconfig|ip-addr|netstat|traceroute|tracert|nslookup|dig-output|route') THEN 'network-diagnostic' WHEN low LIKE '%.log' OR low LIKE '%.txt' THEN 'generic-log'
+ WHEN NOT contains(body, chr(0)) THEN 'unknown-text' ELSE 'unknown-binary' END"""
+_INVENTORY = _PATHS + f", y AS (SELECT *, lower(path) AS low, lower(string_split(path, '/')[-1]) AS base FROM x), i AS (SELECT bundle_id, side, path, substr(sha256(body), 1, 16) AS id, {_TYPE} AS type, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS size FROM y)"
+_ROUTE = "CASE WHEN type IN ('generic-log', 'json-log', 'syslog', 'nginx-access', 'nginx-error', 'apache-access', 'apache-error', 'php-log', 'docker-log') THEN 'log' WHEN type = 'har' THEN 'har' WHEN type = 'archive' THEN 'nested-archive' ELSE 'privacy-only' END"
 
 
 def _files(spark, d):
     a = derived(spark, d, "artifacts")
-    body = (
-        F.when(F.col("n") % 4 == 0, F.concat(F.lit("2024-01-01 INFO "), "content"))
-        .when(F.col("n") % 4 == 1, F.concat(F.lit('{"timestamp": 1, "level": "'), "content", F.lit('"}')))
-        .when(F.col("n") % 4 == 2, F.concat(F.lit("apiVersion: v1 kind: Pod "), "content"))
-        .otherwise(F.concat(F.lit("[gc,x] "), "content"))
-    )
-    return a.select("bundle_id", "side", F.concat_ws("/", "folder", "n", "name").alias("path"), body.cast("binary").alias("content"))
+    return a.select("bundle_id", "side", F.concat_ws("/", "folder", "n", "name").alias("path"), F.col("content").cast("binary").alias("content"))
 
 
 def _inventory(spark, d):
@@ -375,6 +403,7 @@ def artifact_routes(spark, d):
     return inventory.route(_inventory(spark, d)).select("bundle_id", "path", "route")
 
 
+# Analyzers and the types that they support.
 _ANALYZERS = [
     ("jvm", ["jvm-thread-dump", "jvm-gc-log", "jvm-arguments", "jvm-properties", "jvm-heap-dump"]),
     ("logs", ["generic-log", "json-log", "syslog", "docker-log"]),
@@ -383,42 +412,112 @@ _ANALYZERS = [
 ]
 
 
-@query_of("analyzer_plan", _with("artifacts", more=_INVENTORY) + ", n(name, type) AS (VALUES " + ", ".join(f"({_q(n)}, {_q(t)})" for n, ts in _ANALYZERS for t in ts) + "), y AS (SELECT bundle_id, path, CASE type WHEN 'windows-event-binary' THEN 'windows-evtx' WHEN 'recognized-large-binary-artifact' THEN 'jvm-heap-dump' ELSE type END AS type FROM i) SELECT bundle_id, path, type, name FROM y JOIN n USING (type)")
+@query_of("analyzer_plan", _with("artifacts", more=_INVENTORY) + ", n(name, type) AS (VALUES " + ", ".join(f"({_q(n)}, {_q(t)})" for n, ts in _ANALYZERS for t in ts) + "), z AS (SELECT bundle_id, path, CASE type WHEN 'windows-event' THEN 'windows-event-xml' WHEN 'windows-event-binary' THEN 'windows-evtx' WHEN 'recognized-large-binary-artifact' THEN 'jvm-heap-dump' ELSE type END AS type FROM i) SELECT bundle_id, path, type, name FROM z JOIN n USING (type)")
 def analyzer_plan(spark, d):
     return inventory.plan_analyzers(_inventory(spark, d), spark.createDataFrame(_ANALYZERS, "name string, supported array<string>"))
 
 
-@query_of("bundle_warnings", _with("artifacts", more=_INVENTORY) + f", r AS (SELECT bundle_id, {_ROUTE} AS route FROM i) SELECT bundle_id, concat_ws('; ', CASE WHEN count(*) FILTER (WHERE route = 'log') = 0 THEN 'no supported logs found' END, CASE WHEN count(*) FILTER (WHERE route = 'har') = 0 THEN 'no HTTP archive found' END) AS warnings, 'completed_with_warnings' AS status FROM r GROUP BY ALL")
+@query_of("bundle_warnings", _with("artifacts", more=_INVENTORY) + f""", r AS (SELECT bundle_id, path, {_ROUTE} AS route FROM i),
+w AS (SELECT bundle_id, list(path || ': HAR file is malformed' ORDER BY path) AS own FROM r WHERE path LIKE '%/trace.har' GROUP BY ALL),
+g AS (SELECT bundle_id, count(*) AS artifacts, list('nested archive ' || path || ' was indexed but not extracted' ORDER BY path) FILTER (WHERE route = 'nested-archive') AS nested, count(*) FILTER (WHERE route = 'log') AS logs, count(*) FILTER (WHERE route = 'har') AS hars FROM r GROUP BY ALL)
+SELECT bundle_id, artifacts, array_to_string(coalesce(nested, []) || CASE WHEN logs = 0 THEN ['no supported log artifacts were detected'] ELSE [] END || CASE WHEN hars = 0 THEN ['no HAR artifacts were detected'] ELSE [] END || coalesce(own, []), '; ') AS warnings,
+  CASE WHEN own IS NULL THEN 'completed' ELSE 'completed_with_warnings' END AS status FROM g LEFT JOIN w USING (bundle_id)""")
 def bundle_warnings(spark, d):
-    return inventory.bundle_warnings(inventory.route(_inventory(spark, d))).withColumn("warnings", F.array_join("warnings", "; "))
+    files, routed = _files(spark, d), inventory.route(_inventory(spark, d))
+    har_files = files.join(routed.where("route = 'har'").select("bundle_id", "path", "sha256"), ["bundle_id", "path"]).withColumnRenamed("path", "artifact")
+    bad = readers.parse_har(har_files)[1].withColumn("warning", F.concat("artifact", F.lit(": "), "warning"))
+    return inventory.bundle_warnings(routed, bad).select("bundle_id", "artifacts", F.array_join("warnings", "; ").alias("warnings"), "status")
 
 
-@query_of("heap_dumps", _with("artifacts", more=_INVENTORY) + "SELECT bundle_id, path AS artifact, 'JVM_HEAP_DUMP_RECOGNIZED' AS rule_id, 'info' AS severity, 0 AS line_start, 1 AS occurrences FROM i WHERE type = 'recognized-large-binary-artifact'")
+@query_of("heap_dumps", _with("artifacts", more=_INVENTORY) + "SELECT bundle_id, path AS artifact, 'JVM_HEAP_DUMP_RECOGNIZED' AS rule_id, 'info' AS severity, 'JVM heap dump recognized' AS title, 'The large binary was not parsed. Use Eclipse MAT or another specialized offline heap analyzer.' AS summary, 'recognized_large_binary_artifact' AS excerpt, 'strong' AS confidence, 0 AS line_start, 1 AS occurrences FROM i WHERE type = 'recognized-large-binary-artifact'")
 def heap_dumps(spark, d):
     return platform_rules.heap_dumps(_inventory(spark, d))
 
 
-@query_of("sanitizable", _with("artifacts", more=_PATHS) + "SELECT 'sanitized' AS status, count(*) AS artifacts FROM x GROUP BY ALL")
+@query_of("sanitizable", _with("artifacts", more=_PATHS) + "SELECT CASE WHEN contains(substr(body, 1, 8192), chr(0)) THEN 'excluded' ELSE 'sanitized' END AS status, CASE WHEN contains(substr(body, 1, 8192), chr(0)) THEN 'binary artifacts are excluded from sanitized exports' END AS reason, count(*) AS artifacts FROM x GROUP BY ALL")
 def sanitizable(spark, d):
-    return inventory.sanitizable(_files(spark, d)).groupBy("status").agg(F.count("*").alias("artifacts"))
+    return inventory.sanitizable(_files(spark, d)).groupBy("status", "reason").agg(F.count("*").alias("artifacts"))
 
 
 _AUDIT = r"""p AS (SELECT *, CASE WHEN name LIKE '/%' OR regexp_matches(name, '^[A-Za-z]:') OR name IN ('../etc/passwd', 'x/../..') THEN 'path-traversal' ELSE 'ok' END AS verdict,
  lower(CASE name WHEN 'a//b/./same.log' THEN 'a/b/same.log' ELSE name END) AS path FROM entries WHERE mode <> 'directory'),
-q AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, CASE WHEN verdict = 'ok' THEN path END ORDER BY entry_no) AS copy, row_number() OVER (PARTITION BY bundle_id ORDER BY entry_no) AS files FROM p),
-v AS (SELECT *, CASE WHEN mode <> 'file' THEN 'unsafe-entry' WHEN compressed > 0 AND size > compressed * 1500 THEN 'ratio-exceeded' WHEN verdict <> 'ok' THEN verdict WHEN copy > 1 THEN 'duplicate-path' END AS code FROM q)"""
+q AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, CASE WHEN verdict = 'ok' THEN path END ORDER BY entry_no) AS copy, row_number() OVER (PARTITION BY bundle_id ORDER BY entry_no) AS files,
+ sum(size) OVER (PARTITION BY bundle_id ORDER BY entry_no) AS total FROM p),
+v AS (SELECT *, CASE WHEN mode <> 'file' THEN 'unsafe-entry' WHEN compressed > 0 AND size > compressed * 250 THEN 'limit-exceeded' WHEN verdict <> 'ok' THEN verdict WHEN copy > 1 THEN 'unsafe-entry'
+ WHEN files > 100000 OR size < 0 OR size > 1073741824 OR total > 5368709120 THEN 'limit-exceeded' END AS code FROM q)"""
 
 
 @query_of("entry_audit", _with("entries", more=_AUDIT) + "SELECT bundle_id, min(CASE WHEN code IS NOT NULL THEN entry_no END) AS bad_entry, coalesce(arg_min(code, entry_no) FILTER (WHERE code IS NOT NULL), 'ok') AS code, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM v GROUP BY ALL")
 def entry_audit(spark, d):
-    return inventory.audit_entries(derived(spark, d, "entries"), inventory.Limits(ratio=1500))
+    return inventory.audit_entries(derived(spark, d, "entries"))
+
+
+# ---- the main job ----
+
+
+def _bundle_files(spark, d):
+    """Bundles made of the derived tables: a log, an HTTP archive and a configuration for each 100 events, and in some bundles an
+    archive that is broken or nested. A file holds 100 lines or requests, however large the tables are."""
+    text = lambda c: c.cast("binary").alias("content")
+    lines = _lines(spark, d).groupBy(*logs.K).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    texts = lines.select("bundle_id", F.col("artifact").alias("path"), text(F.concat(F.array_join("x.line", "\n"), F.lit("\n"))))
+    request = F.struct("method", "url", "headers", F.when(F.col("has_body"), F.struct(F.lit("x").alias("text"))).alias("postData"))
+    response = F.struct("status", F.col("body_size").alias("bodySize"), F.struct(F.col("content_size").alias("size")).alias("content"))
+    entry = F.struct("entry", F.struct(F.col("started").alias("startedDateTime"), F.col("time_ms").alias("time"), request.alias("request"), response.alias("response")).alias("e"))
+    entries = _entries(spark, d).groupBy(*logs.K).agg(F.sort_array(F.collect_list(entry), asc=True).alias("x"))
+    hars = entries.select("bundle_id", F.col("artifact").alias("path"), text(F.to_json(F.struct(F.struct(F.col("x.e").alias("entries")).alias("log")))))
+    e = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 300).alias("b"), F.floor(F.col("event_id") / 100).alias("f")).agg(F.min("user_id").alias("u"))
+    bundle = F.concat(F.lit("b"), "b").alias("bundle_id")
+    config = F.concat(F.lit("owner"), "u", F.lit("@example.test 192.0.2.7\n"), F.when(F.col("f") % 5 == 0, "\0").otherwise(""))
+    envs = e.select(bundle, F.concat(F.lit("config/f"), "f", F.lit(".env")).alias("path"), text(config))
+    bundles = e.select("b").distinct()
+    broken = bundles.where("b % 4 = 0").select(bundle, F.lit("network/broken.har").alias("path"), text(F.lit("{")))
+    nested = bundles.where("b % 3 = 0").select(bundle, F.lit("inner.zip").alias("path"), text(F.lit("PK\3\4")))
+    out = texts
+    for part in (hars, envs, broken, nested):
+        out = out.unionByName(part)
+    return out
+
+
+_JOB = f"""{_HAR_SUMMARY},
+g AS (SELECT event_id // 300 AS b, event_id // 100 AS f FROM events GROUP BY ALL),
+c AS (SELECT bundle_id, sum(CASE WHEN header_name = 'Authorization' THEN 1 ELSE 0 END) AS authorization_, sum(CASE WHEN header_name = 'Cookie' THEN 1 ELSE 0 END) AS cookie, {_HAR_KINDS}, sum(CASE WHEN has_body THEN 1 ELSE 0 END) AS request_or_cookie_body FROM har GROUP BY ALL),
+l AS (SELECT bundle_id, {', '.join(f"sum(len(regexp_extract_all(line, {_q(p)}))) AS {k}" for k, p in P.STRICT_KINDS)} FROM lines GROUP BY ALL),
+w AS (SELECT DISTINCT b, (CASE WHEN b % 4 = 0 THEN 1 ELSE 0 END) AS broken, (CASE WHEN b % 3 = 0 THEN 1 ELSE 0 END) AS nested FROM g),
+x AS (SELECT bundle_id, 'finding ' || rule_id AS what, 1 AS n FROM found
+ UNION ALL SELECT bundle_id, 'finding ' || r.rule, 1 FROM (SELECT bundle_id, unnest([{{'rule': 'HAR_HTTP_5XX', 'k': http5xx}}, {{'rule': 'HAR_HTTP_4XX', 'k': http4xx}}, {{'rule': 'HAR_SLOW_REQUESTS', 'k': slow}}]) AS r FROM h) WHERE r.k > 0
+ UNION ALL SELECT bundle_id, 'event ' || severity, 1 FROM t UNION ALL SELECT bundle_id, 'event ' || CASE WHEN status >= 500 THEN 'error' WHEN status >= 400 OR time_ms >= 2000 THEN 'warning' ELSE 'info' END, 1 FROM har
+ UNION ALL SELECT bundle_id, 'sensitive ' || rtrim(kind, '_'), k FROM (UNPIVOT c ON authorization_, cookie, {', '.join(k for k, _ in P.STRICT_KINDS)}, request_or_cookie_body INTO NAME kind VALUE k) WHERE k > 0
+ UNION ALL SELECT bundle_id, 'sensitive ' || kind, k FROM (UNPIVOT l ON {', '.join(k for k, _ in P.STRICT_KINDS)} INTO NAME kind VALUE k) WHERE k > 0
+ UNION ALL SELECT 'b' || b, 'sensitive ' || unnest(['email', 'ipv4']), 1 FROM g WHERE f % 5 <> 0
+ UNION ALL SELECT 'b' || b, 'artifacts', 3 FROM g UNION ALL SELECT 'b' || b, 'artifacts', broken + nested FROM w UNION ALL SELECT 'b' || b, 'warnings', broken + nested FROM w
+ UNION ALL SELECT 'b' || b, 'run completed' || CASE WHEN broken = 1 THEN '_with_warnings' ELSE '' END, 1 FROM w)"""
+
+
+@query_of("analyze_job", _with("lines", "har", more=_FOUND + ", " + _EVENTS + ",\n" + _JOB) + "SELECT bundle_id, what, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY ALL")
+def analyze_job(spark, d):
+    t = analyze.analyze_artifacts(_bundle_files(spark, d))
+    what = lambda df, name, n=F.lit(1): df.select("bundle_id", name.alias("what"), n.cast("long").alias("n"))
+    parts = [
+        what(t["findings"], F.concat(F.lit("finding "), "rule_id")),
+        what(t["timeline"], F.concat(F.lit("event "), "severity")),
+        what(t["sensitive"], F.concat(F.lit("sensitive "), "kind"), F.col("matches")),
+        what(t["manifest"], F.lit("artifacts"), F.col("artifact_count")),
+        what(t["manifest"], F.lit("warnings"), F.size("warnings")),
+        what(t["runs"], F.concat(F.lit("run "), "status")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("bundle_id", "what").agg(F.sum("n").alias("n"))
 
 
 # ---- comparison ----
 
 _SIDES = "s AS (SELECT bundle_id AS pair, side, folder || '/' || name AS path, max(sha256(content)) AS sha256 FROM artifacts GROUP BY ALL), a AS (SELECT * FROM s WHERE side = 'baseline'), b AS (SELECT * FROM s WHERE side = 'incident')"
-# two bundles' findings stand for baseline and incident; their key is (rule, component, title), their pair the artifact
-_PAIR = _FOUND + ", z AS (SELECT artifact AS pair, rule_id, component, title || ' ' || CAST(line_start % 3 AS VARCHAR) AS title, severity, fingerprint || line_start AS id, bundle_id FROM found), a AS (SELECT * FROM z WHERE bundle_id = 'b0'), b AS (SELECT * FROM z WHERE bundle_id = 'b1')"
+# each bundle is the baseline of the next one; findings' key is (rule, component, title), their pair the baseline's number
+_NUMBER = "CAST(substr(bundle_id, 2) AS BIGINT)"
+_PAIR = _FOUND + f", z AS (SELECT {_NUMBER} AS number, rule_id, component, title || ' ' || CAST(line_start % 3 AS VARCHAR) AS title, severity, fingerprint || artifact || line_start AS id FROM found), a AS (SELECT number AS pair, * EXCLUDE number FROM z), b AS (SELECT number - 1 AS pair, * EXCLUDE number FROM z)"
 _LAST = "row_number() OVER (PARTITION BY pair, rule_id, component, title ORDER BY CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END, id DESC) = 1"
 
 
@@ -427,9 +526,15 @@ def _sides(spark, d):
     return a.where("side = 'baseline'"), a.where("side = 'incident'")
 
 
+def _sided(df, side):
+    """Rows of a bundle as one side of the pair with the bundle before it (incident) or after it (baseline)."""
+    number = F.substring("bundle_id", 2, 20).cast("long")
+    return df.withColumn("pair", number - 1 if side == "incident" else number).drop("bundle_id")
+
+
 def _pair(spark, d):
-    z = _findings(spark, d).select(F.col("artifact").alias("pair"), "rule_id", "component", F.concat("title", F.lit(" "), F.col("line_start") % 3).alias("title"), "severity", F.concat("fingerprint", "line_start").alias("id"), "bundle_id")
-    return z.where("bundle_id = 'b0'"), z.where("bundle_id = 'b1'")
+    z = _findings(spark, d).select("bundle_id", "rule_id", "component", F.concat("title", F.lit(" "), F.col("line_start") % 3).alias("title"), "severity", F.concat("fingerprint", "artifact", "line_start").alias("id"))
+    return _sided(z, "baseline"), _sided(z, "incident")
 
 
 @query_of("artifact_diff", _with("artifacts", more=_SIDES) + "SELECT pair, path, a.sha256 AS baseline_sha256, b.sha256 AS incident_sha256, CASE WHEN a.sha256 IS NULL THEN 'added' WHEN b.sha256 IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (pair, path) WHERE a.sha256 IS DISTINCT FROM b.sha256")
@@ -471,14 +576,12 @@ def severity_delta(spark, d):
     return compare.severity_delta(*_pair(spark, d))
 
 
-@query_of("comparison_counts", _with("lines", "artifacts", more=_PAIR.replace("a AS (SELECT * FROM z", "a0 AS (SELECT * FROM z").replace("b AS (SELECT * FROM z", "b0 AS (SELECT * FROM z")) + """SELECT pair, side, what, count(*) AS n FROM (SELECT pair, CASE bundle_id WHEN 'b0' THEN 'baseline' ELSE 'incident' END AS side, 'findings' AS what FROM z WHERE bundle_id IN ('b0', 'b1')
-UNION ALL SELECT bundle_id, side, 'artifacts' FROM artifacts UNION ALL SELECT artifact, 'incident', 'events' FROM lines WHERE bundle_id = 'b1') GROUP BY ALL""")
+@query_of("comparison_counts", _with("lines", more=_FOUND) + f""", e AS (SELECT {_NUMBER} AS pair, 'findings' AS what FROM found UNION ALL SELECT {_NUMBER}, 'events' FROM ta WHERE ts IS NOT NULL AND severity IN ('warning', 'error', 'critical') UNION ALL SELECT DISTINCT ON (bundle_id, artifact) {_NUMBER}, 'artifacts' FROM lines)
+SELECT pair, 'baseline' AS side, what, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT pair - 1, 'incident', what, count(*) FROM e GROUP BY ALL""")
 def comparison_counts(spark, d):
-    side = lambda df, s: df.select("pair", F.lit(s).alias("side"))
-    a, b = _pair(spark, d)
-    events = _lines(spark, d).where("bundle_id = 'b1'").select(F.col("artifact").alias("pair"))
-    files = derived(spark, d, "artifacts").select(F.col("bundle_id").alias("pair"), "side")
-    return compare.comparison_counts(files, side(a, "baseline").unionByName(side(b, "incident")), side(events, "incident"))
+    lines = _lines(spark, d)
+    both = lambda df: _sided(df, "baseline").withColumn("side", F.lit("baseline")).unionByName(_sided(df, "incident").withColumn("side", F.lit("incident"))).select("pair", "side")
+    return compare.comparison_counts(both(lines.select(*logs.K).distinct()), both(_findings(spark, d)), both(_events(spark, d)))
 
 
 # ---- redaction ----
@@ -538,7 +641,6 @@ def findings_by_session(spark, d):
     return query.findings_by_session(f, "b1").select("bundle_id", "severity", "rule_id", "title", "occurrences", "id")
 
 
-_EVENTS_SQL = _PARSED_A + ", t AS (SELECT *, artifact || '#' || line_no AS id FROM a WHERE ts IS NOT NULL AND severity IN ('warning', 'error', 'critical'))"
 
 
 def _events(spark, d):
@@ -546,9 +648,9 @@ def _events(spark, d):
     return t.withColumn("id", F.concat("artifact", F.lit("#"), "line_no"))
 
 
-@query_of("timeline_range", _with("lines", more=_EVENTS_SQL) + f"SELECT bundle_id, {_FMT.format('ts')} AS ts, severity, id FROM t WHERE bundle_id = 'b2' AND t.ts >= TIMESTAMP '2024-01-01 00:05:00' AND t.ts < TIMESTAMP '2024-01-01 00:40:00' ORDER BY t.ts, id LIMIT 500")
+@query_of("timeline_range", _with("lines", more=_EVENTS_SQL) + f"SELECT bundle_id, {_FMT.format('ts')} AS ts, severity, id FROM t WHERE bundle_id = 'b2' AND t.ts >= TIMESTAMP '2024-01-01 00:55:00' AND t.ts < TIMESTAMP '2024-01-01 01:10:00' ORDER BY t.ts, id LIMIT 500")
 def timeline_range(spark, d):
-    t = query.timeline_range(_events(spark, d), "b2", "2024-01-01 00:05:00", "2024-01-01 00:40:00")
+    t = query.timeline_range(_events(spark, d), "b2", "2024-01-01 00:55:00", "2024-01-01 01:10:00")
     return t.select("bundle_id", stamp("ts"), "severity", "id")
 
 
@@ -596,7 +698,7 @@ def list_sessions(spark, d):
     return query.list_sessions(derived(spark, d, "sessions"), 200).select("session_id", "status", stamp("created_at"))
 
 
-@query_of("report_summary", _with("lines", "artifacts", more=_FOUND + ", " + _EVENTS_SQL + ", " + _privacy_sql("lines", "bundle_id", "line", P.STRICT_KINDS).replace("\nSELECT", ", m AS (SELECT", 1) + ")") + """SELECT bundle_id, CAST(sum(x) AS BIGINT) AS artifacts, CAST(sum(f) AS BIGINT) AS findings, CAST(sum(g) AS BIGINT) AS grave, CAST(sum(e) AS BIGINT) AS events, CAST(sum(p) AS BIGINT) AS matches FROM (
+@query_of("report_summary", _with("lines", "artifacts", more=_FOUND + ", " + _EVENTS + ", " + _privacy_sql("lines", "bundle_id", "line", P.STRICT_KINDS).replace("\nSELECT", ", m AS (SELECT", 1) + ")") + """SELECT bundle_id, CAST(sum(x) AS BIGINT) AS artifacts, CAST(sum(f) AS BIGINT) AS findings, CAST(sum(g) AS BIGINT) AS grave, CAST(sum(e) AS BIGINT) AS events, CAST(sum(p) AS BIGINT) AS matches FROM (
 SELECT bundle_id, 1 AS x, 0 AS f, 0 AS g, 0 AS e, 0 AS p FROM artifacts UNION ALL SELECT bundle_id, 0, 1, CASE WHEN severity IN ('critical', 'high') THEN 1 ELSE 0 END, 0, 0 FROM found
 UNION ALL SELECT bundle_id, 0, 0, 0, 1, 0 FROM t UNION ALL SELECT bundle_id, 0, 0, 0, 0, matches FROM m) GROUP BY ALL""")
 def report_summary(spark, d):
@@ -604,9 +706,9 @@ def report_summary(spark, d):
     return query.report_summary(derived(spark, d, "artifacts"), _findings(spark, d), _events(spark, d), sensitive)
 
 
-@query_of("evidence_view", _with("lines", more=_FOUND) + ", k AS (SELECT bundle_id, artifact, sha256(artifact) AS sha256 FROM lines WHERE bundle_id <> 'b2' GROUP BY ALL) SELECT f.bundle_id, rule_id, f.artifact, line_start, line_end, CASE WHEN k.sha256 IS NOT NULL THEN 'generic-log' END AS type, k.sha256 FROM found f LEFT JOIN k ON f.bundle_id = k.bundle_id AND f.artifact = k.artifact")
+@query_of("evidence_view", _with("lines", more=_FOUND) + ", k AS (SELECT bundle_id, artifact, sha256(artifact) AS sha256 FROM lines GROUP BY ALL) SELECT f.bundle_id, rule_id, f.artifact, line_start, line_end, CASE WHEN k.sha256 IS NOT NULL THEN 'generic-log' END AS type, k.sha256 FROM found f LEFT JOIN k ON f.bundle_id = k.bundle_id AND f.artifact = k.artifact")
 def evidence_view(spark, d):
-    known = _lines(spark, d).where("bundle_id <> 'b2'").select("bundle_id", F.col("artifact").alias("path")).distinct()
+    known = _lines(spark, d).select("bundle_id", F.col("artifact").alias("path")).distinct()
     known = known.withColumns({"type": F.lit("generic-log"), "sha256": F.sha2("path", 256)})
     return query.evidence_view(_findings(spark, d), known)
 
@@ -634,7 +736,11 @@ def duplicate_keys(spark, d):
     return audit.duplicate_keys(_findings(spark, d), ["bundle_id", "rule_id", "component", "title"])
 
 
-@query_of("fk_violations", "SELECT o_orderkey, o_custkey FROM orders ANTI JOIN (SELECT DISTINCT c_custkey AS o_custkey FROM customer WHERE c_custkey % 7 <> 0) USING (o_custkey) WHERE o_custkey IS NOT NULL")
+@query_of("fk_violations", "SELECT o_orderkey, o_custkey FROM orders ANTI JOIN (SELECT DISTINCT c_custkey AS o_custkey FROM customer) USING (o_custkey) WHERE o_custkey IS NOT NULL")
 def fk_violations(spark, d):
-    parents = table(spark, d, "customer").where("c_custkey % 7 <> 0")
-    return audit.fk_violations(table(spark, d, "orders"), parents, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
+    return audit.fk_violations(table(spark, d, "orders"), table(spark, d, "customer"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
+
+
+@query_of("unlabelled_documents", "SELECT doc_id FROM documents ANTI JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id) WHERE doc_id IS NOT NULL")
+def unlabelled_documents(spark, d):
+    return audit.fk_violations(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id")

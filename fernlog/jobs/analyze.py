@@ -1,29 +1,116 @@
-"""The main job: lines and requests of many bundles to the tables of a workspace."""
+"""The main job: lines and requests, artifacts, or archives of many bundles to the tables of a workspace."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.operators import har, logs
+from fernlog import patterns as P
+from fernlog.operators import har, inventory, logs
+from fernlog.operators.inventory import Limits
+from fernlog.sources import readers
+from fernlog.sources.store import write_workspace
+from fernlog.storage import small, stored
+
+#: Rows of small tables (bundles, files) that may be broadcast.
+BROADCAST_FILES = 1_000_000
+#: Order of the findings of a file: a log's by key, an archive's as its rules are.
+_HAR_ORDER = ["HAR_HTTP_5XX", "HAR_HTTP_4XX", "HAR_SLOW_REQUESTS"]
+_EVIDENCE = "struct<line bigint, json_pointer string, status int, duration_ms double, ttfb_ms double>"
+_EVENT = ["bundle_id", "ts", "source", "component", "severity", "category", "message", "artifact", "correlation_id", "evidence"]
 
 
 def analyze_lines(lines: DataFrame, tz: str = "UTC") -> dict[str, DataFrame]:
-    """Findings, timeline and sensitive counts of log lines; the findings with stable ids, capped by bundle."""
-    found = logs.cap_findings(logs.log_findings(lines))
+    """Findings, timeline and sensitive counts of log lines, uncapped but for the events of each file.
+
+    ``lines`` has K, line_no, line and may have sha256, the file's hash, without which findings have no id.
+    """
+    found = logs.log_findings(lines)
     return {
-        "findings": logs.with_ids(found),
+        "findings": logs.with_ids(found) if "sha256" in found.columns else found,
         "timeline": logs.cap_timeline(logs.log_timeline(logs.parse_log_a(lines, tz))),
-        "sensitive": logs.privacy_counts(lines, "line", logs.K, nul_hides=False),
+        "sensitive": logs.privacy_counts(lines, "line", logs.K),
     }
 
 
-def analyze(lines: DataFrame, entries: DataFrame, tz: str = "UTC") -> dict[str, DataFrame]:
-    """``analyze_lines`` and the same of HTTP requests, in one table each."""
+def _events(log: DataFrame, web: DataFrame) -> DataFrame:
+    """Events of both sources with their evidence: the line, or the entry and its times."""
+    none = lambda kind: F.lit(None).cast(kind)
+    a = log.withColumn("evidence", F.struct(F.col("line_no").alias("line"), none("string").alias("json_pointer"), none("int").alias("status"), none("double").alias("duration_ms"), none("double").alias("ttfb_ms")).cast(_EVIDENCE))
+    b = web.withColumn("evidence", F.struct(none("bigint").alias("line"), "json_pointer", "status", F.col("time_ms").alias("duration_ms"), "ttfb_ms").cast(_EVIDENCE))
+    return a.select(*_EVENT).unionByName(b.withColumn("correlation_id", none("string")).select(*_EVENT))
+
+
+def analyze(lines: DataFrame, entries: DataFrame, tz: str = "UTC", findings: int = 10_000) -> dict[str, DataFrame]:
+    """Findings, timeline and sensitive counts of log lines and requests, in one table each.
+
+    The cap of findings applies to all of a bundle's findings, in path order; ``capped`` are the bundles with more than that.
+    ``lines`` and ``entries`` have sha256.
+    """
     out = analyze_lines(lines, tz)
-    web = har.har_findings(har.har_summary(entries)).withColumns({"component": F.lit(""), "fingerprint": F.col("rule_id")})
-    out["findings"] = logs.union_findings(out["findings"].drop("id"), web).transform(logs.with_ids)
-    out["timeline"] = out["timeline"].unionByName(har.har_timeline(entries).withColumnRenamed("entry", "line_no"), allowMissingColumns=True)
-    if "headers" in entries.columns:
-        out["sensitive"] = out["sensitive"].unionByName(har.har_privacy(entries))
+    hashes = entries.select(*logs.K, "sha256").distinct()
+    web = har.har_findings(har.har_summary(entries).join(hashes, logs.K))
+    web = web.withColumns({"component": F.lit(""), "fingerprint": F.lit(None).cast("string")})
+    both = stored(logs.union_findings(out["findings"].drop("id"), web), "findings")
+    place = F.array_position(F.array(*map(F.lit, _HAR_ORDER)), F.col("rule_id"))
+    capped = logs.cap_findings(both, findings, ("artifact", place, "rule_id", "component", "fingerprint"))
+    return {
+        "findings": capped.transform(logs.with_ids),
+        "capped": both.groupBy("bundle_id").count().where(F.col("count") > findings).select("bundle_id"),
+        "timeline": _events(out["timeline"], har.har_timeline(entries)),
+        "sensitive": out["sensitive"].unionByName(har.har_privacy(entries)),
+    }
+
+
+def analyze_artifacts(artifacts: DataFrame, tz: str = "UTC", limits: Limits = Limits()) -> dict[str, DataFrame]:
+    """All tables of a workspace but those that need the archives: ``artifacts`` has bundle_id, path (unique in it), content.
+
+    Logs, HTTP archives and other texts go to their analyses by type. A log with a line of 1 MiB and an archive that is no
+    JSON give a warning and nothing else; a text with a NUL has no sensitive counts.
+    """
+    found = inventory.route(inventory.inventory(artifacts))
+    routed = stored(found, "artifacts")
+    typed = artifacts.select("bundle_id", "path", "content").join(routed.select("bundle_id", "path", "sha256", "route"), ["bundle_id", "path"])
+    typed = stored(typed.where("route != 'nested-archive'").withColumnRenamed("path", "artifact"), "contents")
+    lines = stored(readers.split_lines(typed.where("route = 'log'")), "lines")
+    failed = stored(logs.failed_files(lines), "failed")
+    good = lines.join(small(failed, BROADCAST_FILES), logs.K, "left_anti")
+    entries, bad = readers.parse_har(typed.where("route = 'har'"))
+    entries = stored(entries, "entries")
+    out = analyze(good, entries, tz, limits.findings)
+    others = readers.split_lines(typed.where("route = 'privacy-only'"))
+    out["sensitive"] = out["sensitive"].unionByName(logs.privacy_counts(others, "line", logs.K, nul_hides=True))
+
+    out["findings"] = logs.full_findings(out["findings"])
+    out["timeline"] = stored(out["timeline"], "timeline")
+    many = out["timeline"].where("source = 'log'").groupBy(*logs.K).count().where(F.col("count") >= limits.events)
+    named = lambda df: df.select("bundle_id", "artifact", F.concat("artifact", F.lit(": "), "warning").alias("warning"))
+    runs = named(failed).unionByName(named(bad)).unionByName(many.select(*logs.K, F.lit(P.MANY_EVENTS).alias("warning")))
+    notes = stored(inventory.bundle_warnings(routed, runs, out.pop("capped")), "notes")
+    out["artifacts"] = routed.select("bundle_id", "id", "path", "type", "sha256", "size")
+    out["runs"] = notes.select("bundle_id", F.lit(P.RUN_NAME).alias("name"), F.lit(P.TOOL_VERSION).alias("version"), "status", F.col("run_warnings").alias("warnings"))
+    out["manifest"] = notes.select("bundle_id", F.lit(P.TOOL_VERSION).alias("tool_version"), F.lit(P.SCHEMA_VERSION).alias("schema_version"), F.col("artifacts").alias("artifact_count"), "warnings", limits.column().alias("limits"))
     return out
+
+
+def analyze_bundles(spark: SparkSession, archives: str, output: str, tz: str = "UTC", limits: Limits = Limits()) -> None:
+    """Archives to a workspace: expand, audit, inventory, route, analyse, cap, sort, write; published when it is complete.
+
+    A bundle is named by its file. An archive that the audit refuses, or that is broken, is left out as a whole and listed with its
+    code in the table ``rejected``; the others go on.
+    """
+    files = readers.read_artifacts(spark, archives)
+    name = F.element_at(F.split("path", "/"), -1)
+    entries = stored(readers.expand_bundles(files, limits.file_bytes), "entries")
+    audit = inventory.audit_entries(entries.where("warning IS NULL").drop("content"), limits).select("bundle_id", "code")
+    broken = entries.where("warning IS NOT NULL").select("bundle_id", F.lit("artifact-malformed").alias("code"))
+    audit = audit.join(broken, "bundle_id", "left_anti").unionByName(broken)
+    audit = stored(audit, "audit")
+    fine = small(audit.where("code = 'ok'").select("bundle_id"), BROADCAST_FILES)
+    own = entries.where("mode = 'file'").join(fine, "bundle_id", "left_semi")
+    own = own.select(F.element_at(F.split("bundle_id", "/"), -1).alias("bundle_id"), inventory.safe_path(F.col("name"), limits.name_bytes)["path"].alias("path"), "content")
+    tables = analyze_artifacts(own, tz, limits)
+    inputs = files.select(name.alias("bundle_id"), name.alias("input_name"), F.sha2("content", 256).alias("input_sha256"))
+    tables["manifest"] = tables["manifest"].join(inputs, "bundle_id")
+    tables["rejected"] = audit.where("code != 'ok'").select(F.element_at(F.split("bundle_id", "/"), -1).alias("bundle_id"), "code")
+    write_workspace(tables, output)

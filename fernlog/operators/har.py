@@ -70,7 +70,7 @@ def har_findings(summary: DataFrame) -> DataFrame:
         ("HAR_SLOW_REQUESTS", "Slow HTTP requests observed", "medium", "latency", "slow"),
     ]
     each = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(t).alias("title"), F.lit(s).alias("severity"), F.lit(c).alias("category"), F.col(n).alias("occurrences")) for r, t, s, c, n in rules])
-    out = summary.select(*K, F.inline(each)).where("occurrences > 0")
+    out = summary.select(*K, *[c for c in ("sha256",) if c in summary.columns], F.inline(each)).where("occurrences > 0")
     text = F.format_string("Observed %d matching request(s) in %s.", "occurrences", "artifact")
     return out.withColumns({"summary": text, "confidence": F.lit("exact"), "json_pointer": F.lit("/log/entries")})
 
@@ -81,5 +81,6 @@ def har_timeline(entries: DataFrame) -> DataFrame:
     severity = F.when(s >= 500, "error").when((s >= 400) | (F.col("time_ms") >= SLOW_MS), "warning").otherwise("info")
     ms = F.bround("time_ms", 0).cast("long")
     message = F.concat(F.col("method"), F.lit(" "), S.safe_url(F.col("url")), F.lit(" returned "), s, F.lit(" in "), ms, F.lit(" ms"))
-    out = entries.select(*K, "entry", S.parse_ts_har(F.col("started")).alias("ts"), F.lit("har").alias("source"), S.url_host(F.col("url")).alias("component"), severity.alias("severity"), F.lit("http-request").alias("category"), message.alias("message"), F.concat(F.lit("/log/entries/"), F.col("entry")).alias("json_pointer"))
+    times = [c for c in ("status", "time_ms", "ttfb_ms") if c in entries.columns]
+    out = entries.select(*K, *times, "entry", S.parse_ts_har(F.col("started")).alias("ts"), F.lit("har").alias("source"), S.url_host(F.col("url")).alias("component"), severity.alias("severity"), F.lit("http-request").alias("category"), message.alias("message"), F.concat(F.lit("/log/entries/"), F.col("entry")).alias("json_pointer"))
     return out.where(F.col("ts").isNotNull())

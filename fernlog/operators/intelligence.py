@@ -119,10 +119,10 @@ def privacy_counts_b(lines: DataFrame) -> DataFrame:
 
 
 def intelligence_findings(parsed: DataFrame, most: int = 1000) -> DataFrame:
-    """Repeated errors (the ``most`` commonest of a file) and bursts as findings; a burst's evidence is its last line."""
+    """Repeated errors (the ``most`` commonest of a file) and bursts as findings; a burst is its summary and has no evidence."""
     groups = top_groups(error_groups(parsed), most)
     text = F.format_string("Observed %d occurrence(s) of a normalized error pattern.", "occurrences")
     a = groups.select(*K, F.lit("PY_REPEATED_ERROR").alias("rule_id"), F.lit("Repeated log error pattern").alias("title"), "severity", text.alias("summary"), F.lit("strong").alias("confidence"), "occurrences", F.col("first_line").alias("line_start"), F.col("last_line").alias("line_end"), F.col("example").alias("excerpt"))
     text = F.format_string("At least %d errors occurred within 60 seconds.", "errors")
-    b = error_bursts(parsed).select(*K, F.lit("PY_ERROR_BURST").alias("rule_id"), F.lit("Burst of error events").alias("title"), F.lit("high").alias("severity"), text.alias("summary"), F.lit("moderate").alias("confidence"), F.col("errors").alias("occurrences"), F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), F.lit(None).cast("string").alias("excerpt"))
+    b = error_bursts(parsed).select(*K, F.lit("PY_ERROR_BURST").alias("rule_id"), F.lit("Burst of error events").alias("title"), F.lit("high").alias("severity"), text.alias("summary"), F.lit("moderate").alias("confidence"), F.col("errors").alias("occurrences"), F.lit(None).cast("long").alias("line_start"), F.lit(None).cast("long").alias("line_end"), F.lit(None).cast("string").alias("excerpt"))
     return a.unionByName(b)

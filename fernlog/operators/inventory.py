@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +25,12 @@ class Limits:
     file_bytes: int = 1 << 30
     ratio: int = 250
     name_bytes: int = 512
+    events: int = 100_000
+    findings: int = 10_000
+
+    def column(self) -> Column:
+        """The limits as a map."""
+        return F.create_map(*[x for k, v in asdict(self).items() for x in (F.lit(k), F.lit(v).cast("long"))])
 
 
 # What network diagnostics are called, and package manifests.

@@ -15,6 +15,8 @@ from fernlog.functions import scalars as S
 from fernlog.patterns import java
 
 K = ["bundle_id", "artifact"]
+#: Bytes of a line with which its file can't be read.
+LONGEST = 1 << 20
 
 
 def _variant():
@@ -115,7 +117,7 @@ def full_findings(findings: DataFrame, category: str | None = None) -> DataFrame
     """Findings of any analyzer in the form in which they are stored: the columns FULL.
 
     Explanation and next steps follow the rule. Evidence is an array of (artifact, line_start, line_end, json_pointer,
-    timestamp, excerpt); a line of 0 stands for none. Columns that an analyzer doesn't have are null or empty.
+    timestamp, excerpt), empty where none of these is known; a line of 0 stands for none. Columns that an analyzer doesn't have are null or empty.
     """
     has = lambda c, kind: F.col(c).cast(kind) if c in findings.columns else F.lit(None).cast(kind)
     line = lambda c: F.when(has(c, "bigint") > 0, has(c, "bigint"))
@@ -131,7 +133,7 @@ def full_findings(findings: DataFrame, category: str | None = None) -> DataFrame
         "category": F.coalesce(has("category", "string"), F.lit(category or "")),
         "component": F.coalesce(has("component", "string"), F.lit("")),
         "explanation": F.coalesce(F.try_element_at(texts, F.col("rule_id")), F.lit("")),
-        "evidence": F.array(one),
+        "evidence": F.filter(F.array(one), lambda e: e["line_start"].isNotNull() | e["json_pointer"].isNotNull() | e["excerpt"].isNotNull()),
         "next_steps": F.coalesce(F.try_element_at(steps, F.col("rule_id")), none),
         "references": none,
         "occurrences": F.col("occurrences").cast("bigint"),
@@ -151,9 +153,9 @@ def cap_timeline(timeline: DataFrame, n: int = 100_000) -> DataFrame:
     return timeline.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def cap_findings(findings: DataFrame, n: int = 10_000) -> DataFrame:
-    """The first n findings of each bundle by path, rule, component and fingerprint, before any sort by severity."""
-    rank = F.row_number().over(Window.partitionBy("bundle_id").orderBy("artifact", "rule_id", "component", "fingerprint"))
+def cap_findings(findings: DataFrame, n: int = 10_000, order: tuple = ("artifact", "rule_id", "component", "fingerprint")) -> DataFrame:
+    """The first n findings of each bundle by ``order`` (path, rule, component and fingerprint), before any sort by severity."""
+    rank = F.row_number().over(Window.partitionBy("bundle_id").orderBy(*order))
     return findings.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
@@ -183,7 +185,7 @@ def count_of(text, kind: str, pattern: str):
 
 
 def privacy_counts(rows: DataFrame, text: str, keys: list[str], kinds: list[tuple[str, str]] = P.STRICT_KINDS, nul_hides: bool = False) -> DataFrame:
-    """Matches by ``keys`` and kind, without zeros. With ``nul_hides`` a file that holds a NUL anywhere has no rows.
+    """Matches by ``keys`` and kind, without zeros. With ``nul_hides`` a file that holds a NUL or a line of 1 MiB anywhere has no rows.
 
     A row gives one pair for each kind that it matches, which most rows do not; pairs are summed before the shuffle.
     """
@@ -192,7 +194,7 @@ def privacy_counts(rows: DataFrame, text: str, keys: list[str], kinds: list[tupl
     found = rows.select(*keys, F.inline(F.filter(each, lambda x: x["n"] > 0)))
     out = found.groupBy(*keys, "kind").agg(F.sum("n").alias("matches"))
     if nul_hides:
-        hidden = rows.where(F.contains(F.col(text), F.lit("\0"))).select(*keys).distinct()
+        hidden = rows.where(F.contains(F.col(text), F.lit("\0")) | (F.octet_length(text) >= LONGEST)).select(*keys).distinct()
         out = out.join(hidden, keys, "left_anti")
     return out
 
@@ -208,7 +210,7 @@ def sort_timeline(timeline: DataFrame) -> DataFrame:
     return timeline.orderBy("ts", "artifact", "line_no")
 
 
-def failed_files(lines: DataFrame, most: int = 1 << 20) -> DataFrame:
+def failed_files(lines: DataFrame, most: int = LONGEST) -> DataFrame:
     """Files with a line of ``most`` bytes or more: K and a warning. Nothing is read from such a file."""
     return lines.where(F.octet_length("line") >= most).select(*K).distinct().withColumn("warning", F.lit(P.LONG_LINE))
 

@@ -11,6 +11,12 @@ from fernlog.operators.logs import K, limit_lines, match_rules
 from fernlog.patterns import java
 
 
+def _summary(kind: str, n: str = "occurrences"):
+    """Text of a finding: before and after the number, or without one."""
+    before, after = P.OTHER_SUMMARIES[kind]
+    return F.concat(F.lit(before), F.col(n), F.lit(after)) if before else F.lit(after)
+
+
 def web_findings(lines: DataFrame, least_5xx: int = 5) -> DataFrame:
     """Rules of web and PHP logs by file, and repeated 5xx status lines."""
     lines = limit_lines(lines)
@@ -20,7 +26,7 @@ def web_findings(lines: DataFrame, least_5xx: int = 5) -> DataFrame:
     found = found.select(*K, pick(0).alias("rule_id"), pick(2).alias("severity"), pick(1).alias("title"), "occurrences", "line_start", S.cut_bytes(F.col("excerpt"), 300).alias("excerpt"))
     many = lines.where(F.col("line").rlike(java(P.HTTP_5XX))).groupBy(*K).agg(F.count("*").alias("occurrences")).where(F.col("occurrences") >= least_5xx)
     fixed = [F.lit("WEB_REPEATED_5XX").alias("rule_id"), F.lit("medium").alias("severity"), F.lit("Repeated HTTP 5xx responses").alias("title"), "occurrences", F.lit(1).cast("long").alias("line_start"), F.lit("Repeated HTTP 5xx status records").alias("excerpt")]
-    return found.unionByName(many.select(*K, *fixed))
+    return found.unionByName(many.select(*K, *fixed)).withColumns({"summary": _summary("web"), "confidence": F.lit("strong")})
 
 
 def thread_states(lines: DataFrame) -> DataFrame:
@@ -57,13 +63,25 @@ def jvm_findings(lines: DataFrame) -> DataFrame:
         ("JVM_LONG_GC_PAUSE", "high", F.col("pauses") > 0, zero, F.col("pauses")),
     ]
     each = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), ok.alias("ok"), line.cast("long").alias("line_start"), n.cast("long").alias("occurrences")) for r, s, ok, line, n in rows])
-    return by.select(*K, F.inline(each)).where("ok").drop("ok")
+    return _described(by.select(*K, F.inline(each)).where("ok").drop("ok"))
+
+
+def _described(found: DataFrame) -> DataFrame:
+    """Adds title, summary, confidence and excerpt of JVM rules."""
+    by_rule = lambda values: F.element_at(F.create_map(*[x for r, v in values.items() for x in (F.lit(r), v)]), F.col("rule_id"))
+    texts = {
+        "title": by_rule({r: F.lit(t) for r, (t, _) in P.JVM_TEXTS.items()}),
+        "summary": by_rule({r: _summary(r) for r in P.JVM_TEXTS}),
+        "confidence": F.lit("strong"),
+        "excerpt": by_rule({r: F.lit(e) for r, (_, e) in P.JVM_TEXTS.items()}),
+    }
+    return found.withColumns(texts)
 
 
 def heap_dumps(inventory: DataFrame) -> DataFrame:
     """A note for each heap dump, which is recognised but not read."""
     dumps = inventory.where(F.col("type").isin("recognized-large-binary-artifact", "jvm-heap-dump"))
-    return dumps.select("bundle_id", F.col("path").alias("artifact"), F.lit("JVM_HEAP_DUMP_RECOGNIZED").alias("rule_id"), F.lit("info").alias("severity"), F.lit(0).cast("long").alias("line_start"), F.lit(1).cast("long").alias("occurrences"))
+    return _described(dumps.select("bundle_id", F.col("path").alias("artifact"), F.lit("JVM_HEAP_DUMP_RECOGNIZED").alias("rule_id"), F.lit("info").alias("severity"), F.lit(0).cast("long").alias("line_start"), F.lit(1).cast("long").alias("occurrences")))
 
 
 def windows_findings(events: DataFrame) -> DataFrame:
@@ -76,4 +94,5 @@ def windows_findings(events: DataFrame) -> DataFrame:
     found = events.join(F.broadcast(known), "event_id")
     by = found.groupBy(*K, "event_id", "rule_id", "severity", "title").agg(F.count("*").alias("occurrences"), F.min_by("message", "position").alias("m"))
     short = F.when(F.char_length("m") > 300, F.concat(F.substring("m", 1, 300), F.lit("…"))).otherwise(F.col("m"))
-    return by.select(*K, "event_id", "rule_id", "severity", "title", "occurrences", short.alias("excerpt"))
+    out = by.select(*K, "event_id", "rule_id", "severity", "title", "occurrences", short.alias("excerpt"))
+    return out.withColumns({"summary": _summary("windows"), "confidence": F.lit("moderate"), "json_pointer": F.lit("/Events")})

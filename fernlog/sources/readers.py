@@ -11,10 +11,13 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fernlog.patterns import BAD_HAR, BAD_JSON, BAD_TYPE
+from fernlog.storage import small, stored
+
 HEADER = "struct<name string, value string>"
 HAR_SCHEMA = f"""log struct<entries array<struct<startedDateTime string, time double,
  request struct<method string, url string, headers array<{HEADER}>, cookies array<{HEADER}>, postData struct<text string>>,
@@ -22,68 +25,126 @@ HAR_SCHEMA = f"""log struct<entries array<struct<startedDateTime string, time do
  timings struct<blocked double, dns double, connect double, ssl double, wait double>>>>"""
 EVENT_SCHEMA = """System struct<Provider struct<_Name string>, EventID string, Level string, TimeCreated struct<_SystemTime string>, Channel string, Computer string>,
  EventData struct<Data array<string>>"""
-OUTPUT_SCHEMA = "type string, finding struct<ruleId string, severity string, title string, summary string, confidence string>, timelineEvent string, message string"
+#: Blocks of files whose first line numbers may be broadcast.
+BROADCAST_BLOCKS = 1_000_000
+EVIDENCE = "array<struct<artifact string, lineStart bigint, lineEnd bigint, jsonPointer string, timestamp string, excerpt string>>"
+OUTPUT_SCHEMA = f"""type string,
+ finding struct<id string, ruleId string, title string, severity string, category string, component string, summary string, explanation string, confidence string,
+  evidence {EVIDENCE}, nextSteps array<string>, `references` array<string>, occurrences bigint>,
+ event struct<timestamp string, source string, component string, severity string, category string, message string, artifact string, correlationId string, evidence string>,
+ warning string"""
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of log files with 1-based numbers: artifact (file), line_no, line. Reads gzip by suffix.
 
-    Lines end at a line feed; one carriage return before it is dropped. Splits are numbered where they are read; only the
-    number of lines of each split is gathered, and a prefix sum over a file's splits gives the offsets.
+    Lines end at a line feed; one carriage return before it is dropped. A first pass counts the lines of each block (a file's
+    part that one task reads), which is a row a block; the prefix sum over a file's blocks is stored, counted and
+    broadcast, so that the text itself isn't shuffled. Beyond BROADCAST_BLOCKS blocks the join is a shuffle. Should the files be cut
+    otherwise on the second pass, the read fails rather than number lines wrongly.
     """
     raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
     rows = raw.select(F.col("_metadata.file_path").alias("artifact"), F.col("_metadata.file_block_start").alias("_block"), F.regexp_replace("value", r"\r$", "").alias("line"), F.monotonically_increasing_id().alias("_id"))
-    from pyspark.sql import Window
+    blocks = rows.groupBy(F.col("artifact").alias("_a"), F.col("_block").alias("_b")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_a").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = stored(blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))), "blocks")
+    out = rows.join(small(blocks, BROADCAST_BLOCKS), (F.col("artifact") == F.col("_a")) & (F.col("_block") == F.col("_b")), "left")
+    number = F.when(F.col("_first").isNull(), F.raise_error(F.lit("the files were cut into other blocks than before"))).otherwise(F.col("_id") - F.col("_first") + F.col("_offset") + 1)
+    return out.select("artifact", number.cast("long").alias("line_no"), "line")
 
-    blocks = rows.groupBy("artifact", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy("artifact").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumnsRenamed({"artifact": "_a", "_block": "_b"})
-    out = rows.join(blocks, (F.col("artifact") == F.col("_a")) & (F.col("_block") == F.col("_b")))
-    return out.select("artifact", (F.col("_id") - F.col("_first") + F.col("_offset") + 1).alias("line_no"), "line")
 
+def split_lines(artifacts: DataFrame, batch_bytes: int = 1 << 22) -> DataFrame:
+    """Lines of ``artifacts`` (bundle_id, artifact, sha256, content): the first three with line_no and line.
 
-def read_har(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Requests of HTTP archives in the form that the operators take, and the files that are no JSON."""
-    schema = T._parse_datatype_string(HAR_SCHEMA + ", _bad string")
-    docs = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).select("*", F.col("_metadata.file_path").alias("artifact"))
-    bad = docs.where("_bad IS NOT NULL AND log IS NULL").select("artifact", F.lit("HTTP archive is malformed").alias("warning"))
-    e = docs.where("_bad IS NULL").select("artifact", F.posexplode("log.entries").alias("entry", "e"))
+    A task hands lines on in batches of about ``batch_bytes``, so that it holds one file and one batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle, artifact, sha, content in zip(*batch.columns, strict=True):
+                text, n = io.BytesIO(content.as_buffer() if content.is_valid else b""), 0
+                while part := text.readlines(batch_bytes):
+                    found = [x.removesuffix(b"\n").removesuffix(b"\r") for x in part]
+                    numbers = pa.array(range(n + 1, n + len(part) + 1), pa.int64())
+                    n += len(part)
+                    yield pa.RecordBatch.from_arrays([*(pa.repeat(x, len(part)) for x in (bundle, artifact, sha)), numbers, pa.array(found, pa.binary())], ["bundle_id", "artifact", "sha256", "line_no", "line"])
+
+    spec = "bundle_id string, artifact string, sha256 string, line_no bigint, line binary"
+    out = artifacts.select("bundle_id", "artifact", "sha256", "content").mapInArrow(run, spec)
+    return out.withColumn("line", F.col("line").cast("string"))
+
+
+def har_entries(docs: DataFrame) -> DataFrame:
+    """Requests of ``docs`` (any columns, and ``log``, the parsed archive) in the form that the operators take."""
+    keys = [c for c in docs.columns if c != "log"]
+    e = docs.select(*keys, F.posexplode("log.entries").alias("entry", "e"))
     none = F.array().cast(f"array<{HEADER}>")
     list_ = lambda c: F.coalesce(c, none)
     body = F.col("e.request.postData").isNotNull() | (F.size(list_("e.request.cookies")) > 0) | (F.size(list_("e.response.cookies")) > 0)
-    out = e.select(
-        "artifact", F.col("entry").cast("long").alias("entry"), F.col("e.startedDateTime").alias("started"), F.coalesce("e.time", F.lit(0.0)).alias("time_ms"),
-        F.col("e.request.method").alias("method"), F.col("e.request.url").alias("url"), F.coalesce("e.response.status", F.lit(0)).alias("status"),
+    return e.select(
+        *keys, F.col("entry").cast("long").alias("entry"), F.col("e.startedDateTime").alias("started"), F.coalesce("e.time", F.lit(0.0)).alias("time_ms"),
+        F.coalesce("e.request.method", F.lit("")).alias("method"), F.coalesce("e.request.url", F.lit("")).alias("url"), F.coalesce("e.response.status", F.lit(0)).alias("status"),
         F.coalesce("e.response.bodySize", F.lit(0)).alias("body_size"), F.coalesce("e.response.content.size", F.lit(0)).alias("content_size"),
-        F.concat(list_("e.request.headers"), list_("e.response.headers")).alias("headers"), body.alias("has_body"),
+        F.coalesce("e.timings.wait", F.lit(0.0)).alias("ttfb_ms"), F.concat(list_("e.request.headers"), list_("e.response.headers")).alias("headers"), body.alias("has_body"),
     )
-    return out, bad
+
+
+def read_har(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Requests of HTTP archives in the form that the operators take, and the files that are no JSON."""
+    schema = T._parse_datatype_string(HAR_SCHEMA + ", _bad string")
+    docs = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).select("*", F.col("_metadata.file_path").alias("artifact"))
+    bad = docs.where("_bad IS NOT NULL AND log IS NULL").select("artifact", F.lit(BAD_HAR).alias("warning"))
+    return har_entries(docs.where("_bad IS NULL").select("artifact", "log")), bad
+
+
+def parse_har(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``read_har`` of artifacts (bundle_id, artifact, sha256, content) instead of files."""
+    parsed = F.from_json(F.make_valid_utf8(F.col("content").cast("string")), HAR_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    docs = artifacts.select("bundle_id", "artifact", "sha256", parsed.alias("p"))
+    broken = F.coalesce(F.col("p._bad").isNotNull(), F.lit(True))
+    bad = docs.where(broken).select("bundle_id", "artifact", F.lit(BAD_HAR).alias("warning"))
+    return har_entries(docs.where(~broken).select("bundle_id", "artifact", "sha256", F.col("p.log").alias("log"))), bad
 
 
 def read_windows_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Windows events of XML files, and the files that are refused because they declare a document type."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("artifact"), F.col("value").rlike("(?i)<!DOCTYPE").alias("dtd"))
-    refused = text.where("dtd").select("artifact", F.lit("document types are not allowed").alias("warning"))
+    """Windows events of XML files, and the files that are refused because they declare a document type.
+
+    Files are looked through line by line for a declaration. ``position`` is taken where the events are read.
+    """
+    text = spark.read.option("lineSep", "\n").text(path).where(F.col("value").rlike("(?i)<!DOCTYPE"))
+    refused = text.select(F.col("_metadata.file_path").alias("artifact")).distinct().withColumn("warning", F.lit("document types are not allowed"))
     rows = spark.read.format("xml").option("rowTag", "Event").schema(EVENT_SCHEMA).load(path).select("*", F.col("_metadata.file_path").alias("artifact"))
     other = lambda c: F.coalesce(c, F.lit("unknown"))
-    out = rows.join(refused, "artifact", "left_anti").select(
+    rows = rows.select(
         "artifact", F.monotonically_increasing_id().alias("position"), F.when(F.col("System.EventID").rlike("^[0-9]+$"), F.expr("try_cast(System.EventID AS INT)")).alias("event_id"),
         other("System.Provider._Name").alias("provider"), other("System.Channel").alias("channel"), other("System.Level").alias("level"),
         F.try_to_timestamp("System.TimeCreated._SystemTime").alias("ts"), other("System.Computer").alias("computer"), F.coalesce(F.array_join("EventData.Data", "; "), F.lit("")).alias("message"),
     )
-    return out, refused
+    return rows.join(refused, "artifact", "left_anti"), refused
 
 
-def read_analyzer_output(spark: SparkSession, path: str, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Findings of analyzers' JSON lines (at most ``most`` of a file) and warnings: bad JSON and unknown record types."""
-    from pyspark.sql import Window
+def read_analyzer_output(spark: SparkSession, path: str, most: int = 10_000) -> dict[str, DataFrame]:
+    """JSON lines of analyzers' runs (files): findings (at most ``most`` of a run), events, warnings, and runs with their status.
 
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("run"), F.monotonically_increasing_id().alias("at"), "value").where("trim(value) != ''")
+    A line that is no JSON object and a record of unknown type give a warning; a run with warnings is completed_with_warnings.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("run"), F.monotonically_increasing_id().alias("at"), "value")
     parsed = rows.withColumn("r", F.from_json("value", OUTPUT_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    null = F.trim("value") == "null"
+    bad = ~null & (F.col("r._bad").isNotNull() | F.col("r").isNull() | ~F.trim("value").startswith("{"))
+    parsed = parsed.select("run", "at", "r", bad.alias("bad"), F.coalesce(F.when(~bad, F.col("r.type")), F.lit("")).alias("type"))
     rank = F.row_number().over(Window.partitionBy("run").orderBy("at"))
-    found = parsed.where("r._bad IS NULL AND r.type = 'finding'").withColumn("n", rank).where(F.col("n") <= most).select("run", "r.finding.*")
-    warning = F.when(F.col("r._bad").isNotNull(), "record is no JSON object").when(F.col("r.type") == "warning", F.col("r.message")).otherwise(F.concat(F.lit("unknown record type "), F.coalesce("r.type", F.lit("null"))))
-    return found, parsed.where("r._bad IS NOT NULL OR r.type IS NULL OR r.type NOT IN ('finding', 'timeline_event')").select("run", warning.alias("warning"))
+    findings = parsed.where("type = 'finding' AND r.finding IS NOT NULL").withColumn("n", rank).where(F.col("n") <= most).select("run", "at", "r.finding.*")
+    events = parsed.where("type = 'timeline_event' AND r.event IS NOT NULL").select("run", "at", "r.event.*")
+    text = F.when(F.col("bad"), BAD_JSON).when(F.col("type") == "warning", F.coalesce("r.warning", F.lit(""))).otherwise(BAD_TYPE)
+    warned = F.col("bad") | ~F.col("type").isin("finding", "timeline_event")
+    status = F.when(F.max(warned), "completed_with_warnings").otherwise("completed")
+    return {
+        "findings": findings,
+        "events": events,
+        "warnings": parsed.where(warned).select("run", "at", text.alias("warning")),
+        "runs": parsed.groupBy("run").agg(status.alias("status")),
+    }
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
