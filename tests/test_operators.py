@@ -1,3 +1,4 @@
+import base64
 import json
 from datetime import datetime
 
@@ -49,23 +50,25 @@ def test_entry_paths(raw, want):
 
 
 def test_entry_audit(spark):
-    rows = [(1, 1, "a/x", "file", 10, 20), (1, 2, "A/./X", "file", 10, 20), (2, 1, "ok", "file", 1, 251), (3, 1, "d/", "directory", 0, 0), (3, 2, "f", "file", 5, 5), (4, 1, "l", "symlink", 0, 0), (5, 1, "../f", "file", 1, 1)]
+    rows = [(1, 1, "a/x", "file", 10, 20), (1, 2, "A/./X", "file", 10, 20), (2, 1, "ok", "file", 1, 251), (3, 1, "d/", "directory", 0, 0), (3, 2, "f", "file", 5, 5), (4, 1, "l", "symlink", 0, 0), (5, 1, "../f", "file", 1, 1), *[(6, k, f"f{k}", "file", 0, 1) for k in range(1, 5)], (7, 1, "a", "file", 0, 60), (7, 2, "b", "file", 0, 60), (8, 1, "a", "file", 0, 101)]
     df = spark.createDataFrame(rows, "bundle_id bigint, entry_no bigint, name string, mode string, compressed bigint, size bigint")
-    got = {r.bundle_id: (r.bad_entry, r.code) for r in inventory.audit_entries(df).collect()}
-    assert got == {1: (2, "duplicate-path"), 2: (1, "ratio-exceeded"), 3: (None, "ok"), 4: (1, "unsafe-entry"), 5: (1, "path-traversal")}
+    got = {r.bundle_id: (r.bad_entry, r.code) for r in inventory.audit_entries(df, inventory.Limits(files=3, total_bytes=300, file_bytes=300)).collect()}
+    assert got == {1: (2, "unsafe-entry"), 2: (1, "limit-exceeded"), 3: (None, "ok"), 4: (1, "unsafe-entry"), 5: (1, "path-traversal"), 6: (4, "limit-exceeded"), 7: (None, "ok"), 8: (None, "ok")}
+    tight = {r.bundle_id: (r.bad_entry, r.code) for r in inventory.audit_entries(df.where("bundle_id > 6"), inventory.Limits(total_bytes=119, file_bytes=100)).collect()}
+    assert tight == {7: (2, "limit-exceeded"), 8: (1, "limit-exceeded")}
 
 
 def test_redaction(spark):
-    text = "mail owner@example.test from 192.0.2.10 again owner@example.test and 192.0.2.10 password=synthetic-secret-value"
-    df = spark.createDataFrame([("e", "b/2.txt", text), ("e", "a/1.txt", "x@y.example then owner@example.test"), ("e", "c", None)], "export string, path string, text string")
+    text = "wrote one@mail.example by 203.0.113.5, then one@mail.example by 203.0.113.5 with pwd: not-a-real-one"
+    df = spark.createDataFrame([("e", "b/2.txt", text), ("e", "a/1.txt", "x@y.example then one@mail.example"), ("e", "c", None)], "export string, path string, text string")
     got = {r.path: r for r in sanitize.pseudonymize(df, "strict").collect()}
     assert got["a/1.txt"].text == "EMAIL_001 then EMAIL_002"
-    assert got["b/2.txt"].text == "mail EMAIL_002 from IPV4_001 again EMAIL_002 and IPV4_001 PASSWORD_001"
+    assert got["b/2.txt"].text == "wrote EMAIL_002 by IPV4_001, then EMAIL_002 by IPV4_001 with PASSWORD_001"
     assert got["b/2.txt"].replacements == {"email": 2, "ipv4": 2, "password": 1} and got["c"].text is None
     standard = {r.path: r.text for r in sanitize.pseudonymize(df, "standard").collect()}
-    assert "owner@example.test" in standard["b/2.txt"] and "synthetic-secret-value" not in standard["b/2.txt"]
+    assert "one@mail.example" in standard["b/2.txt"] and "not-a-real-one" not in standard["b/2.txt"]
     fixed = df.select(sanitize.redact(F.col("text"), "strict").alias("t")).where("t is not null").collect()
-    assert all("@" not in r.t and "192.0.2.10" not in r.t for r in fixed)
+    assert all("@" not in r.t and "203.0.113.5" not in r.t for r in fixed)
 
 
 def test_comparison(spark):
@@ -141,24 +144,40 @@ def test_reading_lines_and_archives(spark, tmp_path):
 def test_store_and_rule_pack(spark, tmp_path):
     rows = lines_of(spark, "2026-08-01T10:00:00Z ERROR connection refused")
     entries = spark.createDataFrame([("b", "x.har", 0, "2026-08-01T10:00:00Z", 1.0, "GET", "http://h/p", 404, 1, 1)], "bundle_id string, artifact string, entry bigint, started string, time_ms double, method string, url string, status int, body_size bigint, content_size bigint")
-    tables = analyze(rows, entries)
+    hashed = lambda df: df.withColumn("sha256", F.sha2("artifact", 256))
+    entries = entries.withColumns({"headers": F.array().cast("array<struct<name string, value string>>"), "has_body": F.lit(False), "ttfb_ms": F.lit(0.5)})
+    tables = analyze(hashed(rows), hashed(entries))
+    tables["findings"] = logs.full_findings(tables["findings"])
+    assert tables.pop("capped").count() == 0 and analyze(hashed(rows), hashed(entries), findings=1)["capped"].count() == 1
     assert {r.rule_id for r in tables["findings"].collect()} == {"LOG_CONNECTION_REFUSED", "HAR_HTTP_4XX"} and tables["timeline"].count() == 2
     path = f"file://{tmp_path}/ws"
     store.write_workspace(tables, path)
-    assert store.load_workspace(spark, path, ["findings"])["findings"].count() == 2
-    with pytest.raises(Exception, match="(?i)exist"):
+    back = store.load_workspace(spark, path)
+    assert set(back) == {"findings", "timeline", "sensitive"} and back["findings"].count() == 2 and back["timeline"].where("evidence.status = 404").count() == 1
+    with pytest.raises(ValueError, match="already exists"):
         store.write_workspace(tables, path)
-    assert store.report_payload(tables["findings"], tables["timeline"]).count() == 1
-    pack = store.load_rule_pack('{"rules": [{"id": "MY_RULE", "severity": "low", "pattern": "REFUSED"}]}')
-    assert [r.rule_id for r in logs.log_findings(rows, pack).collect()] == ["MY_RULE"]
-    with pytest.raises(ValueError, match="bad rule id"):
-        store.load_rule_pack('{"rules": [{"id": "x", "severity": "low", "pattern": "a"}]}')
+    more = back["findings"].withColumn("severity", F.explode(F.array(*map(F.lit, ["info", "low", "medium", "critical"]))))
+    payload = store.report_payload(more, back["timeline"], sensitive=back["sensitive"], most=3).first().payload
+    assert [f["severity"] for f in json.loads(base64.b64decode(payload))["findings"]] == ["critical", "critical", "medium"]
+    one = {"id": "MY_RULE", "title": "a title", "category": "own", "severity": "low", "pattern": "REFUSED", "confidence": "weak"}
+    pack = lambda **more: json.dumps({"version": "1", "name": "own-rules", "rules": [one | more]})
+    found = logs.log_findings(rows, store.load_rule_pack(pack())).collect()
+    assert [(r.rule_id, r.confidence) for r in found] == [("MY_RULE", "weak")]
+    assert logs.log_findings(rows, store.load_rule_pack(pack(), ignore_case=False)).count() == 0
+    for bad, why in (({"id": "x"}, "bad rule id"), ({"title": "ab"}, "bad title"), ({"confidence": "sure"}, "bad confidence"), ({"severity": "none"}, "bad severity"), ({"more": "1"}, "a rule has")):
+        with pytest.raises(ValueError, match=why):
+            store.load_rule_pack(pack(**bad))
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, store.upsert_dim(old, new, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
-    (tmp_path / "o.jsonl").write_text('{"type":"finding","finding":{"ruleId":"R"}}\nnot json\n{"type":"summary"}\n{"type":"warning","message":"w"}\n')
-    found, warnings = readers.read_analyzer_output(spark, f"file://{tmp_path}/o.jsonl")
-    assert [r.ruleId for r in found.collect()] == ["R"]
-    assert sorted(r.warning for r in warnings.collect()) == ["record is no JSON object", "unknown record type summary", "w"]
+    records = ['{"type":"finding","finding":{"ruleId":"R","evidence":[{"artifact":"a","lineStart":3}],"nextSteps":["s"]}}', "not json", '{"type":"summary"}', '{"type":"warning","warning":"w"}', '{"type":"timeline_event","event":{"message":"m","evidence":{"line":4}}}', '{"type":"finding"}', "null", "[1]"]
+    (tmp_path / "o.jsonl").write_text("\n".join(records) + "\n")
+    (tmp_path / "p.jsonl").write_text("\n".join([records[0]] * 3) + "\n")
+    got = readers.read_analyzer_output(spark, f"file://{tmp_path}/*.jsonl", most=2)
+    assert sorted(r.ruleId for r in got["findings"].collect()) == ["R"] * 3 and got["findings"].first().evidence[0].lineStart == 3
+    assert [(r.message, r.evidence) for r in got["events"].collect()] == [("m", '{"line":4}')]
+    invalid, unknown = "analyzer emitted invalid JSON", "analyzer emitted an unsupported response type"
+    assert [r.warning for r in got["warnings"].orderBy("at").collect()] == [invalid, unknown, "w", unknown, invalid]
+    assert sorted(r.status for r in got["runs"].collect()) == ["completed", "completed_with_warnings"]
 
 
 def test_queries_pages_and_audits(spark):
@@ -179,8 +198,9 @@ def test_registry(spark):
     reg = Registry()
     reg.register("good", ["log"], logs.log_findings)
     reg.register("bad", ["log"], lambda df: df.select("no_such_column"))
+    reg.register("late", ["log"], lambda df: df.select("bundle_id", F.raise_error(F.lit("at run time")).alias("rule_id")))
     found, runs = reg.run(lines_of(spark, "connection refused").withColumn("type", F.lit("log")))
-    assert found.count() == 1 and [r["status"] for r in runs] == ["completed", "failed"]
+    assert found.count() == 1 and [r["status"] for r in runs] == ["completed", "failed", "failed"]
 
 
 def test_streams(spark, tmp_path):
