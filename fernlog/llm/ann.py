@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from fernlog.llm.common import stored
 
 #: Queries that are sent to the executors at once; more are taken in turns of this size.
-SLICE = 16_384
+SLICE = 4_096
 #: Rows that the codebooks are fitted on; values of a subspace; codes of it.
 SAMPLE, SUB, CODES = 20_000, 2, 16
 _QUERIES, _ROWS = 256, 8_192
+_ROW = "struct<vec_id bigint, uid bigint>"
+_CODED = f"embedding array<double>, ids array<{_ROW}>, codes binary"
+_FOUND = f"query_id bigint, query_uid bigint, ids array<{_ROW}>, score double"
 
 
 @dataclass
@@ -102,77 +105,108 @@ def tables(quantiser: Quantiser, queries: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part, one for each id."""
+    """vec_id and embedding (doubles) of the rows that take part."""
     e = F.col("embedding").cast("array<double>")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("vec_id"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & fine & F.exists("embedding", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & fine & F.exists("embedding", lambda x: x != 0))
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows; shorter ones end in zeros."""
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+    if (sizes == dim).all():
+        return flat.reshape(-1, dim)
+    out = np.zeros((len(sizes), dim))
+    out[np.arange(dim) < sizes[:, None]] = flat
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of exactly ``rows`` but for the last one, however they come."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        while batch.num_rows:
+            held.append(batch.slice(0, rows - n))
+            n, batch = n + held[-1].num_rows, batch.slice(rows - n)
+            if n == rows:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, depth: int = 200) -> DataFrame:
     """The ``k`` vectors of largest inner product with each query: query_id, rank, vec_id, score.
 
     ``vectors`` has vec_id and embedding; ``is_query`` chooses the queries by vec_id. Every row but the query's own is a
-    candidate. Equal vectors are scanned once and stand for their smallest ids. Each task scans the codes of its rows
-    with tables for the queries, ranks its ``depth`` best for each query by the exact product in double precision, and
-    hands on the best of these. The codebooks are fitted on at most about SAMPLE rows; all rows are coded and scanned.
-
-    Rows with a null vec_id, or whose vector is null, zero, or has null or non-finite components, or another length
-    than most, take no part. Of several vectors with one id the smallest counts. Ties go to the smaller vec_id. Fewer
-    candidates than ``k`` give fewer rows; no query or candidate gives none.
+    candidate. Equal vectors are scanned once and stand for their smallest ids. All rows are coded once and the codes are
+    stored beside the vectors; the codebooks are fitted on at most about SAMPLE rows. Queries go to the executors in slices
+    of SLICE. A task scans the codes of its rows in blocks of _ROWS with tables for the queries, ranks the ``depth`` best of a
+    block for each query by the exact product in double precision, and hands on the best of all its blocks. So neither results
+    nor cost depend on how rows are batched.
+
+    Rows with a null vec_id, or whose vector is null, zero, or has null or non-finite components, take no part. A vector
+    that is shorter than the longest counts as if it ended in zeros. Rows with a repeated vec_id are candidates, and queries, of
+    their own. Ties go to the smaller vec_id. Fewer candidates than ``k`` give fewer rows; no query or candidate gives none.
     """
     spark = vectors.sparkSession
-    own = stored(usable(vectors), "vectors")
-    dims = own.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = dims[0]["d"] if dims else 1
-    own = own.where(F.size("embedding") == dim)
-    near = own.withColumn("at", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("at") <= k + 1)
-    distinct = stored(near.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "distinct")
+    own = stored(usable(vectors).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    dim = own.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
+    place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id", "uid"))
+    near = own.withColumn("at", place).where(F.col("at") <= k + 1)
+    distinct = stored(near.groupBy("embedding").agg(F.sort_array(F.collect_list(F.struct("vec_id", "uid"))).alias("ids")), "distinct")
     n = distinct.count()
-    part = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(1_000_000)) < int(min(1.0, SAMPLE / max(1, n)) * 1_000_000)
-    sample = np.array(distinct.where(part).select("embedding").toArrow()["embedding"].to_pylist(), float).reshape(-1, dim)
-    if not len(sample):
-        sample = np.array([r["embedding"] for r in distinct.select("embedding").limit(SAMPLE).collect()], float).reshape(-1, dim)
-    schema = "query_id bigint, ids array<bigint>, score double"
     queries = own.where(is_query)
-    slices = -(-queries.count() // SLICE) if len(sample) else 0
-    quantiser = Quantiser.fit(sample) if slices else None
+    slices = -(-queries.count() // SLICE) if n else 0
+    if not slices:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    part = F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / n) * 1_000_000)
+    sample = distinct.where(part).select("embedding").toArrow()["embedding"].combine_chunks()
+    if not len(sample):
+        sample = distinct.select("embedding").limit(SAMPLE).toArrow()["embedding"].combine_chunks()
+    quantiser = Quantiser.fit(_matrix(sample, dim))
+    held_books = spark.sparkContext.broadcast(quantiser)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches, _ROWS):
+            codes = _packed_codes(held_books.value.encode(_matrix(batch.column(0), dim)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["embedding", "ids", "codes"])
+
+    coded = stored(distinct.select("embedding", "ids").mapInArrow(encode, _CODED), "coded")
 
     def scan(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q, quantiser = held.value
             best = _Best(len(q), k + 1)
             looked = [tables(quantiser, q[i : i + _QUERIES]) for i in range(0, len(q), _QUERIES)]
-            for batch in batches:
-                for lo in range(0, batch.num_rows, _ROWS):
-                    part = batch.slice(lo, _ROWS)
-                    x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                    codes = _packed_codes(quantiser.encode(x))
-                    for i, t in enumerate(looked):
-                        approximate = np.zeros((len(x), t.shape[2]), np.float32)
-                        for b in range(len(t)):
-                            approximate += t[b][codes[:, b]]
-                        s = approximate.T
-                        top = np.argpartition(-s, min(depth, len(x)) - 1, axis=1)[:, :depth] if len(x) > depth else np.broadcast_to(np.arange(len(x)), (len(s), len(x)))
-                        rows = q[i * _QUERIES : i * _QUERIES + len(s)]
-                        exact = np.einsum("qd,qcd->qc", rows, x[top])
-                        best.add(i * _QUERIES, top, exact, part.column(1))
+            for part in _blocks(batches, _ROWS):
+                x = _matrix(part.column(0), dim)
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(x), -1)
+                for i, t in enumerate(looked):
+                    approximate = np.zeros((len(x), t.shape[2]), np.float32)
+                    for b in range(len(t)):
+                        approximate += t[b][codes[:, b]]
+                    s = approximate.T
+                    top = np.argpartition(-s, depth - 1, axis=1)[:, :depth] if len(x) > depth else np.broadcast_to(np.arange(len(x)), (len(s), len(x)))
+                    rows = q[i * _QUERIES : i * _QUERIES + len(s)]
+                    exact = np.einsum("qd,qcd->qc", rows, x[top])
+                    best.add(i * _QUERIES, top, exact, part.column(1))
             yield from best.out(names)
 
         return run
 
     found = None
     for turn in range(slices):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id", F.lit("slice")), F.lit(slices)) == turn).toArrow()
-        q = np.array(mine["embedding"].to_pylist(), float).reshape(-1, dim)
-        held = spark.sparkContext.broadcast((mine["vec_id"].to_pylist(), q, quantiser))
-        some = distinct.select("embedding", "ids").mapInArrow(scan(held), schema)
+        mine = queries.where(F.pmod(F.xxhash64("uid", F.lit("slice")), F.lit(slices)) == turn).toArrow().combine_chunks()
+        names = np.stack([mine["vec_id"].to_numpy(), mine["uid"].to_numpy()], axis=1)
+        q = _matrix(mine["embedding"].combine_chunks(), dim) if len(mine) else np.zeros((0, dim))
+        held = spark.sparkContext.broadcast((names, q, quantiser))
+        some = coded.mapInArrow(scan(held), _FOUND)
         found = some if found is None else found.unionByName(some)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    rows = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = found.select("query_id", "query_uid", F.explode("ids").alias("c"), "score").where("c.uid != query_uid")
+    rank = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.desc("score"), "c.vec_id", "c.uid"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("c.vec_id").alias("vec_id"), "score")
 
 
 class _Best:
@@ -187,7 +221,7 @@ class _Best:
 
     def add(self, lo: int, rows: np.ndarray, exact: np.ndarray, ids: pa.Array) -> None:
         n = len(rows)
-        firsts = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+        firsts = ids.flatten().field("vec_id").to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
         own = slice(lo, lo + n)
         score = np.concatenate([self.score[own], exact], axis=1)
         first = np.concatenate([self.first[own], firsts[rows]], axis=1)
@@ -202,10 +236,9 @@ class _Best:
         at[new] = base + place
         self.at[own] = at
 
-    def out(self, names: list[int]) -> Iterator[pa.RecordBatch]:
+    def out(self, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row = pa.list_(pa.struct([("vec_id", pa.int64()), ("uid", pa.int64())]))
         for lo in range(0, len(names), 1_024):
             q, c = np.nonzero(self.at[lo : lo + 1_024] >= 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[lo + i] for i in q], pa.int64()), pa.array([self.ids[i] for i in self.at[lo + q, c]], pa.list_(pa.int64())), pa.array(self.score[lo + q, c], pa.float64())],
-                ["query_id", "ids", "score"],
-            )
+            lists = pa.array([self.ids[i] for i in self.at[lo + q, c]], row)
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo + q, 0]), pa.array(names[lo + q, 1]), lists, pa.array(self.score[lo + q, c], pa.float64())], ["query_id", "query_uid", "ids", "score"])

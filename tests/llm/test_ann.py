@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,20 +61,41 @@ def test_tables_give_the_product_with_the_decoded_vector():
     assert np.allclose(sum(t[b][packed[:, b]] for b in range(len(t))), decoded @ q.T, atol=1e-5)
 
 
-@pytest.mark.parametrize("slice_", [16_384, 3])
+@pytest.mark.parametrize("batch", [10_000, 150])
+def test_batches_change_nothing(spark, batch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1_200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = ann.search(df, F.col("vec_id") % 20 == 0, k=10, depth=60).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert recall(got, brute(dict(enumerate(x)), list(range(0, 1_200, 20)), 10)) >= 0.9
+    sizes = [b.num_rows for b in ann._blocks(iter([pa.record_batch([pa.array(range(n))], ["x"]) for n in (5, 1, 9, 0, 4)]), 4)]
+    assert sizes == [4, 4, 4, 4, 3]
+
+
+@pytest.mark.parametrize("slice_", [4_096, 3])
 def test_ties_copies_and_bad_vectors(spark, monkeypatch, slice_):
     monkeypatch.setattr(ann, "SLICE", slice_)
     rng = np.random.default_rng(3)
     rows = {i: rng.normal(size=6).round(2).tolist() for i in range(0, 60)}
     for i in range(60, 200):
         rows[i] = rows[0]  # one vector holds most rows
-    bad = [(1000, None), (1020, [0.0] * 6), (1040, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1060, [float("nan")] * 6), (1080, [float("inf")] + [1.0] * 5), (1100, [1.0, 2.0]), (None, [1.0] * 6)]
-    data = [(i, v, 1) for i, v in rows.items()] + [(i, v, 1) for i, v in bad] + [(3, rows[3], 1)]
+    bad = [(1000, None), (1020, [0.0] * 6), (1040, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1060, [float("nan")] * 6), (1080, [float("inf")] + [1.0] * 5), (None, [1.0] * 6)]
+    short, again = (1100, [1.0, 2.0]), (3, [9.0] * 6)  # counts as ending in zeros; a second row of one id
+    data = [(i, v, 1) for i, v in rows.items()] + [(i, v, 1) for i, v in [*bad, short, again]]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>, score int").repartition(3)
     got = ann.search(df, F.col("vec_id") % 20 == 0, k=20).collect()
-    exact = {i: np.array(v, np.float32).astype(float) for i, v in rows.items()}
-    want = brute(exact, [i for i in rows if i % 20 == 0], 20)
-    assert {(r.query_id, r.rank, r.vec_id) for r in got} == {(q, n + 1, i) for q, x in want.items() for n, (i, _) in enumerate(x)}
+    exact = [(i, np.array(v, np.float32).astype(float)) for i, v in [*rows.items(), (1100, [*short[1], 0, 0, 0, 0]), again]]
+    want = set()
+    for place, (q, x) in enumerate(exact):
+        if q % 20 == 0:
+            others = sorted((-float(x @ y), i) for at, (i, y) in enumerate(exact) if at != place)
+            want |= {(q, n + 1, i) for n, (_, i) in enumerate(others[:20])}
+    assert {(r.query_id, r.rank, r.vec_id) for r in got} == want and len(got) == len(want)
     few = ann.search(df.where("vec_id in (0, 5, 20)"), F.col("vec_id") % 20 == 0).collect()
     assert len(few) == 4
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
