@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +54,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that batches of long texts stay small in the Python workers."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts (strings or binaries of ``column``) take at most about ``most`` bytes, or a single row,
+    so that a task's memory depends neither on the session's batch size nor on how long texts are."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lo = 0
+        while lo < len(sizes):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo : lo + 10_000]), most, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def in_pieces(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+    """``pieces`` of one column."""
+    for part in pieces([pa.RecordBatch.from_arrays([texts], ["x"])], 0, most):
+        yield part.column(0)
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -67,11 +83,39 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Scratch tables that are there, in the order in which they were made.
+_made: list[str] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read back: a cut in the lineage that survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing needs any more."""
+    for t in tables:
+        remove(t.sparkSession, t._scratch)
+        _made.remove(t._scratch)
+
+
+def made() -> int:
+    """How many scratch tables there are."""
+    return len(_made)
+
+
+def keep_only(spark: SparkSession, since: int, *tables: DataFrame) -> None:
+    """Delete the scratch tables made after ``since`` of them, but for ``tables``."""
+    kept = [t._scratch for t in tables]
+    for path in _made[since:]:
+        if path not in kept:
+            remove(spark, path)
+    _made[since:] = kept
 
 
 def packed(df: DataFrame, name: str = "_row") -> Column:

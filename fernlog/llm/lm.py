@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernlog.llm.common import fold, small_batches, stored
+from fernlog.llm.common import fold, pieces, stored
 
 #: The end of a text; no word holds a line feed.
 END = b"\n"
@@ -53,7 +53,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
 
-    for batch in batches:
+    for batch in pieces(batches, 0):
         for text in batch.column(0).to_pylist():
             held.update(tokens(text))
             if len(held) > _HELD:
@@ -307,7 +307,7 @@ def _walk(docs: DataFrame, voc: Vocabulary, net: LogBilinear | None = None, firs
         kind = np.min_scalar_type(len(voc.sizes))
         if begun:
             own, seen, draw = begun.load(begun.flat()), 0, np.random.default_rng(5)
-        for batch in batches:
+        for batch in pieces(batches, 2):
             flat, places, units, sizes = voc.stream(batch.column(2).to_pylist())
             doc, n, known = np.repeat(np.arange(len(sizes)), sizes), len(sizes), places >= 0
             if begun:
@@ -398,7 +398,7 @@ def _scores(walked: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, kinds, net = held.value
         shares, kind = np.log10(sizes + ADD * (kinds + 1)), np.min_scalar_type(len(sizes))
-        for batch in batches:
+        for batch in pieces(batches, 5):
             n = batch.column(2).to_numpy()
             units = np.frombuffer(b"".join(batch.column(5).to_pylist()), kind).astype(np.int32)
             own = np.bincount(np.repeat(np.arange(len(n)), n), weights=net.log_probabilities(contexts(units, n), units) - shares[units], minlength=len(n))
@@ -433,7 +433,6 @@ def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
     ``folds`` is not 0. Null and empty texts are a single end. A null doc_id is held out. Repeated rows count again.
     Without training texts every word is unseen. An empty table gives an empty table.
     """
-    small_batches(docs.sparkSession)
     held = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(True))
     model = fit(docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text")))
     return _scores(model.walked, model)

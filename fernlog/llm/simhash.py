@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernlog.llm.common import connected_components, packed, small_batches, stored
+from fernlog.llm.common import connected_components, packed, stored
 
 #: Variants that one bucket should hold, and that one step of a task may hold in memory.
 BUCKET_VARIANTS, STEP_VARIANTS = 1 << 21, 1 << 23
@@ -222,7 +222,6 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
     after all others, and are the component_id only of groups that have no other. Repeated rows are duplicates: one is
     kept. Very long texts count whole. An empty table gives an empty table.
     """
-    small_batches(docs.sparkSession)
     columns = ([packed(docs)] if rows else []) + [F.col("doc_id"), fingerprint(F.col("text"), width, seed).alias("fp")]
     base = stored(docs.select(*columns).withColumn("_uid", F.monotonically_increasing_id()), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_uid").alias("uid"))
@@ -355,7 +354,6 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
     doc_id. Null and empty texts have the same empty set. Null doc_ids come after all others. Repeated rows are
     duplicates: one is kept. An empty table gives an empty table.
     """
-    small_batches(docs.sparkSession)
     bits, pieces = pieces_of(docs.count())
     base = docs.select(packed(docs), "doc_id", _signatures(F.col("text"), width, bits, pieces).alias("s"))
     base = base.select("_row", "doc_id", F.get("s", F.lit(0)).alias("fp"), F.get("s", F.lit(1)).alias("check"), F.slice("s", 3, pieces).alias("pieces"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernlog.llm.common import fold, small_batches
+from fernlog.llm.common import fold, in_pieces
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Windows of so many tokens, so many apart: all overlap by a quarter.
@@ -282,12 +282,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6_000)
 
 def scorer(spark, net: Network):
     """A function from a text column to its score; the network is sent to each executor once (tables of bounded size)."""
-    small_batches(spark)
     held = spark.sparkContext.broadcast(net)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(held.value.score(texts.to_pylist()))
+        found = [held.value.score(part.to_pylist()) for part in in_pieces(texts)]
+        return pa.array(np.concatenate([np.zeros(0), *found]))
 
     return score
 

@@ -6,18 +6,24 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.llm.common import scratch, stored
+from fernlog.llm.common import discard, remove, scratch, stored
 
-#: Ends each record; the text writer puts it after every row, so that a part file is an archive.
-END = "\r\n\r\n"
+#: Ends each record, inside its gzip member.
+END = b"\r\n\r\n"
+#: A gzip member of nothing: the text writer puts it after every row, so that a part file is a sequence of members.
+NOTHING = zlib.compress(b"", 9, 31).decode("latin-1")
+#: Payloads that occur more than once which may be broadcast; beyond that the join is a shuffle with so many salts.
+BROADCAST_DIGESTS, SALTS = 300_000, 16
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-_READ = "page_id bigint, record_type string, refers_to bigint, origin string, segment int, total bigint, block binary, digest string, payload binary, status string"
+_READ = "page_id bigint, record_type string, name string, refers string, origin string, segment int, total bigint, block binary, digest string, payload binary, status string"
 
 
 def digest32(col: Column) -> Column:
@@ -52,35 +58,36 @@ def dechunk(body: bytes) -> bytes:
         at += n + 2
 
 
-def _record(kind: str, name: str, fields: dict[str, str], block: bytes) -> bytes:
-    head = {"WARC-Type": kind, "WARC-Record-ID": f"<{name}>", "WARC-Date": "2024-01-01T00:00:00Z", **fields, "Content-Length": str(len(block))}
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block
+def _record(kind: str, name: str, date: str, fields: dict[str, str], block: bytes) -> bytes:
+    """The record as a gzip member of its own."""
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<{name}>", "WARC-Date": date, **fields, "Content-Length": str(len(block))}
+    return zlib.compress(b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + END, 4, 31)
 
 
-def _records(batches: Iterator[pa.RecordBatch], segment_bytes: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+def _records(batches: Iterator[pa.RecordBatch], segment_bytes: int, chunk_bytes: int, date: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for page, row, url, payload, digest, first, response in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+        for page, row, url, payload, digest, first, of_first in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
             name = f"urn:page:{page}:{row}"
             fields = {"WARC-Payload-Digest": f"sha1:{digest}"}
             if url:
                 fields["WARC-Target-URI"] = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
-            if not response:
-                profile = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{first}>"}
-                out.append(_record("revisit", name, fields | profile, _HTTP))
+            if of_first is not None:
+                profile = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{first}:{of_first}>"}
+                out.append(_record("revisit", name, date, fields | profile, _HTTP))
                 continue
             block = _HTTP + _chunked(payload, chunk_bytes)
             parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
             kind = fields | {"Content-Type": "application/http; msgtype=response"}
             if len(parts) == 1:
-                out.append(_record("response", name, kind, block))
+                out.append(_record("response", name, date, kind, block))
                 continue
-            out.append(_record("response", name, kind | {"WARC-Segment-Number": "1"}, parts[0]))
+            out.append(_record("response", name, date, kind | {"WARC-Segment-Number": "1"}, parts[0]))
             for n, part in enumerate(parts[1:], 2):
                 more = {"WARC-Segment-Origin-ID": f"<{name}>", "WARC-Segment-Number": str(n)}
                 if n == len(parts):
                     more["WARC-Segment-Total-Length"] = str(len(block))
-                out.append(_record("continuation", f"{name}:{n}", more, part))
+                out.append(_record("continuation", f"{name}:{n}", date, more, part))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
@@ -88,21 +95,32 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16_384, chu
     """Write one WARC record for each page, or a record and its continuations if it is longer than a segment.
 
     ``pages`` has page_id, url, html; other columns are ignored. Of pages with equal payloads of at least
-    ``revisit_from`` bytes the one of smallest page_id is a response and the others are revisits of it. Payloads equal
-    by SHA-1 count as equal. The archives are gzip-compressed part files of at most ``records_per_file`` records.
+    ``revisit_from`` bytes the one of smallest page_id is a response and the others are revisits that name its record.
+    Payloads equal by SHA-1 count as equal. The archives are part files of at most ``records_per_file`` records, each record
+    a gzip member of its own. The pages are stored with numbers of their own, from which the identifiers come, and from then on
+    payloads stay where they are: only the digests that occur more than once are gathered and, up to
+    BROADCAST_DIGESTS of them, broadcast; more are joined by a shuffle in which SALTS tasks share a digest.
 
     A null html is an empty payload, a null url leaves out the target URI, a null page_id comes after all others (and
     revisits nothing smaller than itself if it is alone). Repeated rows of the smallest page_id are all responses.
     """
-    base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    base = base.withColumn("digest", digest32(F.col("payload")))
-    firsts = base.groupBy("digest").agg(F.min("page_id").alias("first"))
-    response = F.col("page_id").eqNullSafe(F.col("first")) | (F.octet_length("payload") < revisit_from)
-    joined = base.join(firsts.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
-    rows = joined.select("page_id", F.monotonically_increasing_id().alias("row"), "url", F.when(response, F.col("payload")).alias("payload"), "digest", "first", response.alias("response"))
-    records = rows.mapInArrow(lambda b: _records(b, segment_bytes, chunk_bytes), "record binary")
+    raw = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"))
+    base = stored(raw.withColumn("digest", digest32(F.col("payload"))), "payloads")
+    rank = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.col("row").alias("row"))
+    same = base.groupBy(F.col("digest").alias("_digest")).agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").select("_digest", "first")
+    same = stored(same, "same")
+    if same.count() <= BROADCAST_DIGESTS:
+        joined = base.join(F.broadcast(same), F.col("digest") == F.col("_digest"), "left")
+    else:
+        salted = same.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = base.join(salted, (F.col("digest") == F.col("_digest")) & (F.pmod(F.xxhash64("row"), F.lit(SALTS)) == F.col("_salt")), "left")
+    response = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first.page")) | (F.octet_length("payload") < revisit_from)
+    rows = joined.select("page_id", "row", "url", F.when(response, F.col("payload")).alias("payload"), "digest", F.col("first.page").alias("first"), F.when(~response, F.col("first.row")).alias("of_first"))
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    records = rows.mapInArrow(lambda b: _records(b, segment_bytes, chunk_bytes, date), "record binary")
     writer = records.select(F.col("record").cast("string").alias("value")).write.mode("errorifexists")
-    writer.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    writer.option("encoding", "ISO-8859-1").option("lineSep", NOTHING).option("maxRecordsPerFile", records_per_file).text(path)
+    discard(base, same)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -140,16 +158,16 @@ def _number(urn: str | None) -> int | None:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _READ.split(", ")]
-    kinds = {"page_id": pa.int64(), "refers_to": pa.int64(), "segment": pa.int32(), "total": pa.int64(), "block": pa.binary(), "payload": pa.binary()}
+    kinds = {"page_id": pa.int64(), "segment": pa.int32(), "total": pa.int64(), "block": pa.binary(), "payload": pa.binary()}
     for batch in batches:
         for content in batch.column(0):
             data = content.as_py()
             rows = []
             for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 name, digest = head["warc-record-id"], head.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                row = dict.fromkeys(names) | {"page_id": _number(name), "record_type": head["warc-type"], "digest": digest, "status": "ok"}
+                row = dict.fromkeys(names) | {"page_id": _number(name), "record_type": head["warc-type"], "name": name, "digest": digest, "status": "ok"}
                 if head["warc-type"] == "revisit":
-                    row["refers_to"] = _number(head.get("warc-refers-to"))
+                    row["refers"] = head.get("warc-refers-to")
                 elif "warc-segment-number" in head:
                     total = head.get("warc-segment-total-length")
                     row |= {"origin": head.get("warc-segment-origin-id", name), "segment": int(head["warc-segment-number"]), "total": int(total) if total else None, "block": block}
@@ -181,13 +199,14 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payloads.append(payload)
             states.append(state)
             digests.append(digest)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(payloads, pa.binary()), pa.array(states, pa.string())], ["page_id", "digest", "payload", "status"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(payloads, pa.binary()), pa.array(states, pa.string()), batch.column(5)], ["page_id", "digest", "payload", "status", "name"])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives in a folder: page_id, record_type, refers_to, digest (declared), payload, status.
+    """The records of all archives in a folder: page_id, record_type, name, refers, digest (declared), payload, status.
 
-    Segments are brought together by the record that they come from, put in order, and held against the declared total
+    ``name`` is the record's identifier and ``refers`` that of the record that a revisit names. Segments are brought together by
+    the record that they come from, put in order, and held against the declared total
     length; then the chunked framing is removed. status is ok, missing segment, bad length, bad framing or bad digest;
     in all but the first and the last the payload is null. Revisits have no payload of their own. A file that isn't a
     sequence of records fails the read. An empty folder of archives gives no rows.
@@ -201,32 +220,36 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.max("total").alias("total"),
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    parts = parts.select("page_id", "digest", "total", F.col("parts.segment").alias("numbers"), F.col("parts.block").alias("blocks"))
-    whole = parts.mapInArrow(_assemble, "page_id bigint, digest string, payload binary, status string")
-    columns = ["page_id", "record_type", "refers_to", "digest", "payload", "status"]
-    whole = whole.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("bigint")})
+    parts = parts.select("page_id", "digest", "total", F.col("parts.segment").alias("numbers"), F.col("parts.block").alias("blocks"), "origin")
+    whole = parts.mapInArrow(_assemble, "page_id bigint, digest string, payload binary, status string, name string")
+    columns = ["page_id", "record_type", "name", "refers", "digest", "payload", "status"]
+    whole = whole.withColumns({"record_type": F.lit("response"), "refers": F.lit(None).cast("string")})
     return found.where("segment IS NULL").select(columns).unionByName(whole.select(columns))
 
 
 def page_records(pages: DataFrame) -> DataFrame:
     """Pages written to archives in the shared folder and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, status.
 
-    Size and digest of a revisit are those of the response that it refers to.
+    A revisit is resolved by the record identifier that it names: size and digest are those of that response, whose digest must
+    be the declared one, and refers_to is its page_id.
     """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_archives(pages, path)
     own = F.when(F.col("record_type") == "response", digest32(F.col("payload")))
-    read = read_archives(spark, path).select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), own.alias("own"), "status")
+    read = read_archives(spark, path).select("page_id", "record_type", "name", "refers", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), own.alias("own"), "status")
     read = stored(read, "records")
-    responses = read.where("record_type = 'response'")
-    firsts = responses.groupBy(F.col("page_id").alias("id"), F.col("own").alias("sha")).agg(F.max("payload_bytes").alias("n"))
-    firsts = stored(firsts, "responses")
-    revisits = read.where("record_type = 'revisit'").drop("payload_bytes")
-    resolved = revisits.join(firsts, (F.col("refers_to") == F.col("id")) & (F.col("digest") == F.col("sha")), "left")
+    remove(spark, path)
+    responses, revisits = read.where("record_type = 'response'"), read.where("record_type = 'revisit'").drop("payload_bytes")
+    # the names that revisits refer to are as few as the repeated payloads: one row each meets the responses
+    named = revisits.select(F.col("refers").alias("_name")).distinct()
+    firsts = stored(responses.join(named, F.col("name") == F.col("_name")).select("_name", F.col("page_id").alias("id"), F.col("own").alias("sha"), F.col("payload_bytes").alias("n")), "responses")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_DIGESTS else firsts
+    resolved = revisits.join(firsts, (F.col("refers") == F.col("_name")) & (F.col("digest") == F.col("sha")), "left")
     status = F.when(F.col("sha").isNull(), F.lit("no response")).otherwise(F.col("status"))
-    resolved = resolved.select("page_id", F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), "record_type", "refers_to", status.alias("status"))
-    return responses.select("page_id", "payload_bytes", F.col("own").alias("payload_digest"), "record_type", "refers_to", "status").unionByName(resolved)
+    resolved = resolved.select("page_id", F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), "record_type", F.col("id").alias("refers_to"), status.alias("status"))
+    own = responses.select("page_id", "payload_bytes", F.col("own").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "status")
+    return own.unionByName(resolved)
 
 
 def _oracle() -> str:

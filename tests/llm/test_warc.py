@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,37 @@ def test_payloads_come_back_from_segments(spark, tmp_path):
         warc.write_archives(df, path)
 
 
+def members(data):
+    """Each gzip member's content, one after the other."""
+    while data:
+        d = zlib.decompressobj(31)
+        yield d.decompress(data)
+        assert d.eof
+        data = d.unused_data
+
+
+def test_a_member_a_record_and_references_that_exist(spark, tmp_path):
+    path = tmp_path / "archives"
+    warc.write_archives(pages(spark), f"file://{path}", segment_bytes=700, records_per_file=4)
+    names, refers, first = set(), set(), {}
+    for part in path.glob("part-*"):
+        for text in filter(None, members(part.read_bytes())):
+            head = dict(x.split(": ", 1) for x in text[: text.index(b"\r\n\r\n")].decode().split("\r\n")[1:])
+            assert text.startswith(b"WARC/1.1\r\n") and len(text) == text.index(b"\r\n\r\n") + 4 + int(head["Content-Length"]) + 4
+            assert head["WARC-Record-ID"] not in names and not head["WARC-Date"].startswith("2024-01-01")
+            names.add(head["WARC-Record-ID"])
+            refers |= {head["WARC-Refers-To"]} if head["WARC-Type"] == "revisit" else set()
+            first[head["WARC-Record-ID"]] = head["WARC-Type"]
+    assert len(refers) == 3 and refers <= names and {first[r] for r in refers} == {"response"}
+
+
+def test_many_digests_are_joined_by_a_salted_shuffle(spark, monkeypatch):
+    df = pages(spark)
+    want = sorted(map(tuple, warc.page_records(df).collect()), key=repr)
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    assert sorted(map(tuple, warc.page_records(df).collect()), key=repr) == want
+
+
 def test_damage_is_told(spark, tmp_path):
     head = "WARC/1.1\r\nWARC-Type: {t}\r\nWARC-Record-ID: <urn:page:{i}:0{n}>\r\n{more}Content-Length: {size}\r\n\r\n{block}\r\n\r\n"
     http = "HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
