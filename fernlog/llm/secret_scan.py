@@ -14,10 +14,10 @@ from fernlog.llm.common import fold, stored, words
 RUN, LEAST = r"[A-Za-z0-9_+/=.:@\-]{12,}", 12
 #: A value that an assignment or key word introduces: any characters but quotes and commas, at least SHORT.
 VALUE, SHORT = r"[^\s\"'`,]{4,}", 4
-#: Findings that the forest is fitted on, at most about; entries of the dictionary, at most.
-SAMPLE, DICTIONARY = 20_000, 50_000
+#: Labelled findings that the forest is fitted on, at most about; those planted in a context for either label; entries of the dictionary, at most.
+SAMPLE, PLANTS, DICTIONARY = 20_000, 4, 50_000
 # Words beside a candidate that speak for or against a secret.
-FOR = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|bearer|authorization|private[_-]?key"
+FOR = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|bearer|authorization|private[ _-]?key"
 AGAINST = "sha1|sha256|md5|commit|checksum|isbn|uuid|version|example|http|www|mailto"
 # Formats that providers give to their keys.
 FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]+\.[\w-]+\.[\w-]*)$"
@@ -25,8 +25,8 @@ FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-
 FORMAT = f"(?<![A-Za-z0-9_])({FORMATS[2:-2]})(?![A-Za-z0-9_])"
 # An assignment inside a word (values may overlap), and the end of a word that introduces the next one.
 ASSIGNED = rf"(?<![A-Za-z0-9_.\-\]])([0-9_.\-\]]*+[A-Za-z][A-Za-z0-9_.\-\]]*+)[\"'`]?[=:]++(?!//)[\"'`]?(?=({VALUE}))"
-INTRODUCES = rf"(?i)[=:][\"'`]?$|(^|[^a-z])({FOR})[\"'`]?$"
-FEATURES = ["length", "digits", "upper", "lower", "symbols", "hex", "kinds_change", "case_change", "distinct", "transitions", "coverage", "longest_word", "slashes", "dots", "at_signs", "url", "assigned", "near_for", "near_against", "quoted"]
+INTRODUCES = rf"(?i)[=:][\"'`]?$|(^|[^a-z])({FOR})[\"'`]?$|^KEY-----$"
+FEATURES = ["length", "digits", "upper", "lower", "symbols", "hex", "kinds_change", "case_change", "distinct", "transitions", "coverage", "longest_word", "slashes", "dots", "path", "extension", "at_signs", "url", "assigned", "near_for", "near_against", "quoted"]
 
 
 def _share(col: Column, pattern: str) -> Column:
@@ -117,6 +117,8 @@ def features(found: DataFrame, entries: DataFrame) -> DataFrame:
         (F.size(F.array_distinct(F.split(c, ""))) / F.length(c)).alias("distinct"),
         F.regexp_count(c, F.lit("/")).cast("int").alias("slashes"),
         F.regexp_count(c, F.lit(r"\.")).cast("int").alias("dots"),
+        F.regexp_like(c, F.lit(r"^([A-Za-z]:|~|\.{1,2})?[/\\]?([\w.\-]+[/\\])+[\w.\-]*$")).cast("int").alias("path"),
+        F.regexp_like(c, F.lit(r"\.[A-Za-z]{1,5}$")).cast("int").alias("extension"),
         F.regexp_count(c, F.lit("@")).cast("int").alias("at_signs"),
         c.contains("://").cast("int").alias("url"),
         F.regexp_like(F.concat_ws(" ", "key", "before"), F.lit(r"(?i)^\S+ |[=:]\s*$")).cast("int").alias("assigned"),
@@ -136,48 +138,87 @@ def features(found: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """Findings with a ``label`` where a format decides: 1 for provider keys and for values with letters and digits that a
-    word like password or token introduces, 0 for addresses, links, paths, plain numbers and versions; else null."""
-    c = F.col("candidate")
-    key = F.regexp_like(F.concat_ws(" ", "before", "key"), F.lit(f"(?i)(^|[^a-z])({FOR})[\"']?\\s*[=:]?\\s*$"))
-    secret = c.rlike(FORMATS) | (key & c.rlike("[A-Za-z]") & c.rlike("[0-9]") & c.rlike("^[A-Za-z0-9_+/=-]{12,}$"))
-    harmless = c.rlike(r"^[^@]+@[^@]+\.[a-z]+") | c.rlike(r"://|^www\.") | c.rlike(r"^[0-9.:/@=_+-]+$") | c.rlike(r"^(/[\w.-]+){2,}$") | c.rlike(r"^[A-Za-z]+[._-]?[0-9]{1,2}$")
-    return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
+    """Adds ``label``: 1 for keys in a provider's format, which nothing else looks like; else null."""
+    return found.withColumn("label", F.when(F.col("candidate").rlike(FORMATS), 1.0))
 
 
-def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 9) -> RandomForestClassificationModel | None:
-    """A forest from labelled findings (FEATURES and ``label``); None if they don't hold both labels.
+def planted(found: DataFrame, plants: int = PLANTS, seed: int = 9) -> DataFrame:
+    """Labelled findings: in the place of each finding of ``found`` values whose truth is known, since they are put there.
 
-    About SAMPLE findings, chosen by a hash of the candidate and its place, are used.
+    With label 1 random keys and passwords: hex, base64, letters and digits, words with a number, as values of a key word, and providers'
+    keys anywhere. With label 0 addresses, links, paths, numbers, times, names, digests beside words like commit or checksum,
+    and plain words as values of a key word. Values come from a hash of the finding's place, words from the texts around it.
     """
-    known = findings.where("label IS NOT NULL")
-    n, low, high = known.agg(F.count("*"), F.min("label"), F.max("label")).first()
-    if not n or low == high:
+    near = F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit("([a-z]{3,12})"), 1)
+    rows = found.select("*", near.alias("near"), F.explode(F.sequence(F.lit(0), F.lit(2 * plants - 1))).alias("k"))
+    rows = rows.withColumns({"label": (F.col("k") % 2).cast("double"), "h": F.sha2(F.concat_ws("|", F.lit(seed), "doc_id", "word_no", "part", "k"), 256)})
+    rows = rows.withColumns({"b64": F.base64(F.unhex("h")), "n": F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), "m": F.conv(F.substring("h", 9, 8), 16, 10).cast("long")})
+    word = lambda at, other: F.coalesce(F.get("near", F.pmod(at, F.greatest(F.size("near"), F.lit(1))).cast("int")), F.lit(other))
+    rows = rows.withColumns({"w": word(F.col("n"), "garden"), "v": word(F.col("m"), "river"), "alnum": F.regexp_replace("b64", "[^A-Za-z0-9]", "")})
+    n, m, w, v = (F.col(c) for c in ("n", "m", "w", "v"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    cut = lambda c, least, span: F.substr(F.col(c), F.lit(1), (least + F.pmod(m, F.lit(span))).cast("int"))
+    key = lambda at: F.element_at(F.array(*map(F.lit, ["password", "passwd", "pwd", "secret", "token", "api_key", "access_key", "db_password"])), (F.pmod(at, F.lit(8)) + 1).cast("int"))
+    keyed = [cut("h", 16, 49), cut("b64", 16, 28), cut("alnum", 8, 12), text(F.initcap(w), "-", v, m % 1000), text(cut("alnum", 4, 6), "!", m % 100)]
+    formats = [text("AKIA", F.upper(cut("alnum", 16, 1))), text("ghp_", F.rpad("alnum", 36, "x")), text("sk-", cut("alnum", 24, 16))]
+    harmless = [
+        text(w, ".", v, m % 100, "@mail", m % 9, ".example.org"), text("https://", w, ".example.com/", v, "/", m), text("/usr/", w, "/", v, m % 10, "/", w, ".txt"), text(n, F.lpad((m % 1_000_000).cast("string"), 6, "0")),
+        text(n % 223 + 1, ".", m % 256, ".", n % 251, ".", m % 249), text("20", n % 30 + 10, "-0", m % 9 + 1, "-1", n % 9, "T1", m % 9, ":0", n % 9, ":00Z"), text(w, "_", v, "_", m % 1000), cut("h", 40, 1), cut("h", 32, 1), w, F.lit("required"),
+    ]
+    kind = F.pmod(n + m, F.lit(len(keyed) + len(formats)))
+    other = F.pmod(n + m, F.lit(len(harmless)))
+    pick = lambda values, at: F.element_at(F.array(*values), (at + 1).cast("int"))
+    secret, digest, plain = F.col("label") == 1, F.col("other").isin(7, 8), F.col("other") >= 9
+    rows = rows.withColumns({"kind": kind, "other": other})
+    introduced = (secret & (F.col("kind") < len(keyed))) | (~secret & plain)
+    inside = m % 2 == 0  # the key word stands in the word itself, or before it
+    clean = lambda c: F.regexp_replace(c, f"(?i)({FOR})", "")
+    before = F.when(introduced & ~inside, F.concat_ws(" ", clean(F.col("before")), key(n), F.lit("="))).when(~secret & digest, F.concat_ws(" ", clean(F.col("before")), F.when(n % 2 == 0, "commit").otherwise("checksum")))
+    return rows.select(
+        "row", "doc_id", "word_no", (F.col("part") * 2 * plants + F.col("k")).alias("part"),
+        F.when(introduced & inside, key(n)).otherwise("").alias("key"),
+        F.when(secret, pick([*keyed, *formats], F.col("kind"))).otherwise(pick(harmless, F.col("other"))).alias("candidate"),
+        F.coalesce(before, clean(F.col("before"))).alias("before"), "after", (n % 2).cast("int").alias("quoted"), "label",
+    ).withColumn("row", F.monotonically_increasing_id())
+
+
+def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 9) -> RandomForestClassificationModel | None:
+    """A forest from labelled findings (FEATURES and ``label``); None if they don't hold both labels."""
+    low, high = findings.agg(F.min("label"), F.max("label")).first()
+    if low == high:
         return None
-    part = F.pmod(F.xxhash64("doc_id", "word_no", "part", "candidate"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / n) * 1_000_000)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(known.where(part)).select("features", "label")
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(findings).select("features", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
 def classify(findings: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """Adds ``score``, the forest's probability of a secret; without a forest the label, or 0.5."""
+    """Adds ``score``, the forest's probability of a secret; without a forest the label, or 0."""
     if model is None:
-        return findings.withColumn("score", F.coalesce("label", F.lit(0.5)))
+        return findings.withColumn("score", F.coalesce("label", F.lit(0.0)))
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(findings).withColumnRenamed("_features", "features"))
     return scored.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def training(found: DataFrame, entries: DataFrame) -> DataFrame:
+    """Planted findings with their features, at most about SAMPLE: in the places of findings chosen by a hash of place and value."""
+    most = SAMPLE // (2 * PLANTS)
+    part = F.pmod(F.xxhash64("doc_id", "word_no", "part", "candidate"), F.lit(1_000_000)) < int(min(1.0, most / max(1, found.count())) * 1_000_000)
+    return features(stored(planted(found.where(part)), "planted"), entries)
+
+
 def scan(docs: DataFrame, folds: int = 5) -> DataFrame:
     """All candidates of whole texts with their score: doc_id, word_no, part, candidate, held_out, label, score, secret.
 
-    ``docs`` has doc_id and text; other columns are ignored. The forest learns from labelled findings of the documents
-    whose crc32(doc_id as text) mod ``folds`` is not 0. ``secret`` is score >= 0.5. Null and empty texts have no
-    candidate; null ids are held out; repeated rows give repeated findings; an empty table gives an empty table.
+    ``docs`` has doc_id and text; other columns are ignored. The forest learns from findings of known truth, planted in the places of
+    candidates of the documents whose crc32(doc_id as text) mod ``folds`` is not 0. ``secret`` is score >= 0.5 or a
+    provider's format (label 1). Null and empty texts have no candidate; null ids are held out; repeated rows give repeated findings; an
+    empty table gives an empty table, and without training documents only formats are secrets.
     """
     docs = docs.select("doc_id", "text")
-    found = stored(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "candidates")
-    rated = stored(labelled(features(found, dictionary(docs))), "findings")
     held = fold(F.col("doc_id"), folds) == 0
-    model = train(rated.where(~held))
+    found = stored(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    entries = dictionary(docs)
+    model = train(stored(training(found.where(~held), entries), "training"))
+    rated = stored(labelled(features(found, entries)), "findings")
     scored = classify(rated.withColumn("held_out", held), model)
-    return scored.select("doc_id", "word_no", "part", "candidate", "held_out", "label", "score", (F.col("score") >= 0.5).alias("secret"))
+    return scored.select("doc_id", "word_no", "part", "candidate", "held_out", "label", "score", ((F.col("score") >= 0.5) | F.col("label").isNotNull()).alias("secret"))
