@@ -623,7 +623,27 @@ def redaction_summary(spark, d):
     return sanitize.redaction_summary(redaction_counts(spark, d))
 
 
-@query_of("pseudonyms")
+def _pseudonyms_sql(kinds: list[tuple[str, str]]) -> str:
+    """Matches of one kind after the other become placeholders with the value's hash; values are numbered by their first place, and
+    the placeholders replaced by the numbers."""
+    holder = lambda kind, digest: f"upper({kind}) || '_' || translate({digest}, '0123456789', 'GHIJKLMNOP')"
+    any_holder = "(?:" + "|".join(k.upper() for k, _ in kinds) + ")_[A-P]{32}"
+    steps = ["s0 AS (SELECT source AS export, 'd/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, text, CAST([] AS STRUCT(kind VARCHAR, digest VARCHAR)[]) AS found FROM documents)"]
+    for i, (kind, p) in enumerate(kinds):
+        marked = f"array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(d) THEN {holder(_q(kind), 'd[i]')} ELSE '' END), '')"
+        steps.append(f"m{i} AS (SELECT *, list_transform(regexp_extract_all(text, {_q(p)}), lambda x: upper(substr(sha256(x), 1, 32))) AS d, string_split_regex(text, {_q(p)}) AS g FROM s{i})")
+        steps.append(f"s{i + 1} AS (SELECT export, path, CASE WHEN len(d) = 0 THEN text ELSE {marked} END AS text, list_concat(found, list_transform(d, lambda x: {{'kind': {_q(kind)}, 'digest': x}})) AS found FROM m{i})")
+    order = "CASE kind " + " ".join(f"WHEN {_q(k)} THEN {i}" for i, (k, _) in enumerate(kinds)) + " END"
+    return f"""WITH {", ".join(steps)},
+each AS (SELECT export, path, f.kind AS kind, f.digest AS digest, place FROM (SELECT export, path, unnest(found) AS f, generate_subscripts(found, 1) AS place FROM s{len(kinds)})),
+labels AS (SELECT export AS e, {holder('kind', 'digest')} AS holder, upper(kind) || '_' || printf('%03d', row_number() OVER (PARTITION BY export, kind ORDER BY first)) AS label FROM (SELECT export, kind, digest, min(path || printf('#%09d', place)) AS first FROM each GROUP BY ALL)),
+parts AS (SELECT export, path, generate_subscripts(g, 1) AS place, unnest(g) AS g, unnest(list_concat(h, [NULL])) AS h FROM (SELECT export, path, string_split_regex(text, {_q(any_holder)}) AS g, regexp_extract_all(text, {_q(any_holder)}) AS h FROM s{len(kinds)})),
+texts AS (SELECT export, path, string_agg(g || coalesce(label, ''), '' ORDER BY place) AS text FROM parts LEFT JOIN labels ON export IS NOT DISTINCT FROM e AND h = holder GROUP BY ALL),
+counts AS (SELECT export, path, '{{' || string_agg('"' || kind || '":' || n, ',' ORDER BY {order}) || '}}' AS replacements FROM (SELECT export, path, kind, count(*) AS n FROM each GROUP BY ALL) GROUP BY ALL)
+SELECT s.export, s.path, sha256(t.text) AS output_sha256, coalesce(c.replacements, '{{}}') AS replacements FROM s{len(kinds)} s LEFT JOIN texts t ON s.export IS NOT DISTINCT FROM t.export AND s.path = t.path LEFT JOIN counts c ON s.export IS NOT DISTINCT FROM c.export AND s.path = c.path"""
+
+
+@query_of("pseudonyms", _pseudonyms_sql(P.STRICT_KINDS))
 def pseudonyms(spark, d):
     docs = table(spark, d, "documents").select(F.col("source").alias("export"), F.format_string("d/%09d", "doc_id").alias("path"), "text")
     out = sanitize.pseudonymize(docs, "strict")

@@ -54,7 +54,7 @@ def _marked(text: str, profile: str) -> tuple[str, list[tuple[str, str, int]]]:
 def pseudonymize(artifacts: DataFrame, profile: str = "standard") -> DataFrame:
     """Redacted texts: path, text, replacements (map of kind to count). ``artifacts`` has export, path and text.
 
-    A value gets the same label (KIND_001 and so on) wherever it stands in an export; numbers follow the first appearance
+    A value gets the same label (KIND_001 and so on, longer from 1000 on) wherever it stands in an export; numbers follow the first appearance
     in the order of path components, then of the text. Values leave the tasks only as hashes, and these are dropped.
     """
     spec = "struct<text string, found array<struct<kind string, digest string, at int>>>"
@@ -66,14 +66,16 @@ def pseudonymize(artifacts: DataFrame, profile: str = "standard") -> DataFrame:
         kind = pa.struct([("text", pa.string()), ("found", pa.list_(pa.struct([("kind", pa.string()), ("digest", pa.string()), ("at", pa.int32())])))])
         return pa.array(rows, kind)
 
-    marked = artifacts.select("export", "path", mark("text").alias("m")).select("export", "path", "m.text", "m.found")
-    each = marked.select("export", "path", F.explode("found").alias("f")).select("export", "path", "f.kind", "f.digest", "f.at")
-    first = each.groupBy("export", "kind", "digest").agg(F.min(F.struct(F.split("path", "/").alias("parts"), "at")).alias("first"))
-    number = F.row_number().over(Window.partitionBy("export", "kind").orderBy("first"))
-    labels = first.select("export", "kind", "digest", F.concat(F.upper("kind"), F.lit("_"), F.lpad(number.cast("string"), 3, "0")).alias("label"))
-    own = each.select("export", "path", "kind", "digest").distinct().join(labels, ["export", "kind", "digest"])
+    # exports may be null: they meet by a key that isn't
+    key = F.coalesce(F.concat(F.lit("="), F.col("export").cast("string")), F.lit("")).alias("_e")
+    marked = artifacts.select("export", key, "path", mark("text").alias("m")).select("export", "_e", "path", "m.text", "m.found")
+    each = marked.select("_e", "path", F.explode("found").alias("f")).select("_e", "path", "f.kind", "f.digest", "f.at")
+    first = each.groupBy("_e", "kind", "digest").agg(F.min(F.struct(F.split("path", "/").alias("parts"), "at")).alias("first"))
+    number = F.row_number().over(Window.partitionBy("_e", "kind").orderBy("first"))
+    labels = first.select("_e", "kind", "digest", F.concat(F.upper("kind"), F.lit("_"), F.format_string("%03d", number)).alias("label"))
+    own = each.select("_e", "path", "kind", "digest").distinct().join(labels, ["_e", "kind", "digest"])
     holder = F.concat(F.upper("kind"), F.lit("_"), F.translate("digest", "0123456789", "GHIJKLMNOP"))
-    own = own.groupBy("export", "path").agg(F.map_from_entries(F.collect_list(F.struct(holder.alias("h"), "label"))).alias("labels"))
+    own = own.groupBy("_e", "path").agg(F.map_from_entries(F.collect_list(F.struct(holder.alias("h"), "label"))).alias("labels"))
 
     @F.arrow_udf("string")
     def put(texts: pa.Array, labels: pa.Array) -> pa.Array:
@@ -86,7 +88,7 @@ def pseudonymize(artifacts: DataFrame, profile: str = "standard") -> DataFrame:
     # a value inside a longer match has no placeholder of its own any more, and is not counted twice
     per_kind = F.transform(F.array(*[F.lit(k) for k, _ in kinds_of(profile)]), lambda k: F.struct(k.alias("kind"), F.size(F.filter("found", lambda f: f["kind"] == k)).alias("n")))
     counts = F.map_from_entries(F.filter(per_kind, lambda x: x["n"] > 0))
-    joined = marked.withColumn("replacements", counts).join(own, ["export", "path"], "left")
+    joined = marked.withColumn("replacements", counts).join(own, ["_e", "path"], "left")
     return joined.select("export", "path", put("text", "labels").alias("text"), "replacements")
 
 
