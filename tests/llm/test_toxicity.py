@@ -35,6 +35,52 @@ def test_learns_words_and_stems(net):
     assert a > b
 
 
+def plain_score(net, text):
+    """Every window word by word: inputs, both directions step by step, attention, the highest probability."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    p, words, h = {k: v.astype(float) for k, v in net.p.items()}, toxicity.tokens(text), toxicity._H
+    best = 0.0
+    for start in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        window, inputs = words[start : start + toxicity.WINDOW], []
+        for w in window:
+            rows = [p["char"][net.gram_ids[g]] for g in toxicity.grams(w) if g in net.gram_ids]
+            mean = np.mean(rows, axis=0) if rows else np.zeros(p["char"].shape[1])
+            inputs.append(np.concatenate([p["word"][net.word_ids.get(w, 0)], mean, [max([0.0, *[r[0] for r in rows]])]]))
+        states = []
+        for d, order in ((0, range(len(window))), (1, reversed(range(len(window))))):
+            state, own = np.zeros(h), [None] * len(window)
+            for i in order:
+                x = inputs[i] @ p["w"][d] + p["b"][d][0]
+                z, r = np.split(sigmoid(x[: 2 * h] + state @ p["u"][d]), 2)
+                state = (1 - z) * state + z * np.tanh(x[2 * h :] + (r * state) @ p["un"][d])
+                own[i] = state
+            states.append(own)
+        seq = [np.concatenate([a, b]) for a, b in zip(*states, strict=True)]
+        weights = np.exp([s @ p["att"] for s in seq])
+        pooled = sum(w * s for w, s in zip(weights / weights.sum(), seq, strict=True))
+        best = max(best, sigmoid(pooled @ p["out"] + p["bias"][0]))
+    return best
+
+
+def test_scores_against_plain_steps(net):
+    texts, _ = corpus(12, 21)
+    texts += ["one", "zukk mole", "word " * 48, "word " * 49 + "vopple"]
+    assert np.allclose(net.score(texts), [plain_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_held_out_labels(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = docs.select("doc_id", toxicity.toxicity(docs, labels).alias("score"))
+    held = {r.doc_id: r.toxic for r in labels.where(toxicity.fold(labels["doc_id"], 5) == 0).collect()}
+    got = [(r.score, held[r.doc_id]) for r in scored.collect() if held.get(r.doc_id) is not None]
+    bad, good = [s for s, t in got if t == 1], [s for s, t in got if t == 0]
+    assert len(bad) > 3 and len(good) > 20
+    assert np.mean([(s >= 0.5) == (t == 1) for s, t in got]) > 0.95
+    assert np.mean([b > g for b in bad for g in good]) > 0.95
+
+
 def test_windows_cover_whole_texts(net):
     lengths = np.array([0, 1, 48, 49, 84, 85, 5000])
     doc, starts, sizes = toxicity.windows(lengths)
