@@ -40,6 +40,47 @@ def timeline_rules() -> dict[str, Column]:
     return {"severity_known": F.col("severity").isin(P.TIMELINE_SEVERITIES), "time_present": F.col("ts").isNotNull(), "line_positive": F.col("line_no") >= 1}
 
 
+def _present(*columns: str) -> dict[str, Column]:
+    return {f"{c}_present": F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in columns}
+
+
+def workspace_rules() -> dict[str, dict[str, Column]]:
+    """All rules of the record schemas and of the store, by table of a workspace; a null counts as broken where a value is required."""
+    each = lambda rule: F.forall("evidence", lambda e: F.coalesce(rule(e), F.lit(True)))
+    return {
+        "artifacts": _present("id", "path") | {"type_format": F.coalesce(F.col("type").rlike("^[a-z0-9][a-z0-9-]{1,63}$"), F.lit(False)), **{k: F.coalesce(v, F.lit(False)) for k, v in artifact_rules().items() if k != "type_present"}},
+        "findings": _present("id", "title", "category", "summary")
+        | {
+            "rule_id_format": F.coalesce(F.col("rule_id").rlike("^[A-Z0-9_]+$"), F.lit(False)),
+            "severity_known": F.coalesce(F.col("severity").isin(P.SEVERITIES), F.lit(False)),
+            "confidence_in_schema": F.coalesce(F.col("confidence").isin("exact", "strong", "heuristic"), F.lit(False)),
+            "confidence_in_store": F.coalesce(F.col("confidence").isin("strong", "moderate", "weak"), F.lit(False)),
+            "occurrences_positive": F.coalesce(F.col("occurrences") > 0, F.lit(False)),
+            "evidence_present": F.coalesce(F.size("evidence") >= 1, F.lit(False)),
+            "evidence_artifact": F.forall("evidence", lambda e: e["artifact"].isNotNull()),
+            "evidence_lines": each(lambda e: (e["line_start"] >= 1) & (e["line_end"].isNull() | (e["line_end"] >= e["line_start"]))),
+            "excerpt_short": each(lambda e: F.char_length(e["excerpt"]) <= 4096),
+            "next_steps_present": F.col("next_steps").isNotNull(),
+        },
+        "timeline": _present("ts", "source", "component", "category", "artifact") | {"severity_known": F.coalesce(F.col("severity").isin(P.TIMELINE_SEVERITIES), F.lit(False)), "message_present": F.col("message").isNotNull(), "evidence_present": F.col("evidence").isNotNull()},
+        "sensitive": _present("kind") | {"matches_positive": F.coalesce(F.col("matches") > 0, F.lit(False))},
+        "runs": _present("name") | {"status_known": F.coalesce(F.col("status").isin(P.RUN_STATUSES), F.lit(False)), "warnings_present": F.col("warnings").isNotNull()},
+        "sessions": {"status_known": F.coalesce(F.col("status").isin(P.STORED_STATUSES), F.lit(False)), "times_in_order": F.col("completed_at") >= F.col("started_at"), "warning_count_not_negative": F.col("warning_count") >= 0},
+        "pairs": {"sides_differ": F.col("baseline") != F.col("incident")},
+        "reports": {"format_known": F.coalesce(F.col("format").isin(P.REPORT_FORMATS), F.lit(False)), "sha256_format": F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))},
+    }
+
+
+def audit_workspace(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows that break each rule of each table, one pass a table: table, rule, checked, broken. Tables without rules are passed over."""
+    rules = workspace_rules()
+    parts = [check_constraints(df, rules[name]).select(F.lit(name).alias("table"), "rule", "checked", "broken") for name, df in tables.items() if name in rules]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def check_schema(df: DataFrame, kind: str) -> DataFrame:
     """Rows against the schema of findings, timeline or artifacts."""
     return check_constraints(df, {"finding": finding_rules, "timeline": timeline_rules, "artifact": artifact_rules}[kind]())

@@ -164,3 +164,6 @@ WINDOWS_EVENTS = [
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 TIMELINE_SEVERITIES = ["critical", "error", "warning", "info", "debug"]
 SESSION_STATUSES = ["queued", "running", "completed", "failed"]
+RUN_STATUSES = ["queued", "running", "completed", "completed_with_warnings", "failed", "timed_out", "skipped"]
+STORED_STATUSES = ["queued", "running", "completed", "completed_with_warnings", "failed", "cancelled"]
+REPORT_FORMATS = ["static-html", "json", "markdown", "sarif"]

@@ -194,6 +194,16 @@ def test_queries_pages_and_audits(spark):
     assert audit.fk_violations(df, df.where("id > 1"), "id").collect()[0].id == 1
 
 
+def test_workspace_rules_break(spark):
+    e = "array<struct<artifact string, line_start bigint, line_end bigint, excerpt string>>"
+    f = spark.createDataFrame([("", "bad id", "t", "none", None, "s", "moderate", 0, [], None), ("i", "R_1", "t", "low", "c", "s", "exact", 1, [(None, 3, 2, "x" * 5000)], [])], f"id string, rule_id string, title string, severity string, category string, summary string, confidence string, occurrences bigint, evidence {e}, next_steps array<string>")
+    s = spark.createDataFrame([("done", "2025-01-02", "2025-01-01", -1), ("failed", None, "2025-01-01", 0)], "status string, started_at string, completed_at string, warning_count int")
+    tables = {"findings": f, "sessions": s, "pairs": spark.createDataFrame([("a", "a"), ("a", "b")], "baseline string, incident string"), "reports": spark.createDataFrame([("pdf", "00")], "format string, sha256 string"), "other": s}
+    got = {(r.table, r.rule): r.broken for r in audit.audit_workspace(tables).collect()}
+    assert {k for k, n in got.items() if n == 0} == {("findings", "title_present"), ("findings", "summary_present")}
+    assert got["findings", "confidence_in_schema"] == got["findings", "confidence_in_store"] == 1 and got["sessions", "times_in_order"] == 1
+
+
 def test_registry(spark):
     reg = Registry()
     reg.register("good", ["log"], logs.log_findings)
