@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernlog.llm.common import connected_components, packed, stored
+from fernlog.llm.common import connected_components, discard, packed, stored
 
 #: Variants that one bucket should hold, and that one step of a task may hold in memory.
 BUCKET_VARIANTS, STEP_VARIANTS = 1 << 21, 1 << 23
@@ -22,6 +22,8 @@ BUCKET_PIECES, PIECE_RADIUS, UNSEEN = 1 << 18, 4, 1e-4
 #: Share of bits in which two near copies may differ at most: of the whole long fingerprint, and of its first 64 bits.
 #: At similarity 0.8 it is 0.15 on average and, for sets of four and five shingles, 0.19.
 APART, APART_64 = 0.25, 23
+#: Rows of keys that are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Up to so many fingerprints of one variant are compared pair by pair; more are first linked to one of them.
 FEW = 16
 
@@ -327,15 +329,29 @@ def _met(fps: DataFrame, bits: int) -> DataFrame:
     return parts.groupBy("piece", "bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def _similar(pairs: DataFrame, fps: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose long fingerprints differ in ``most`` bits at most and whose sets have the similarity."""
+def _near(pairs: DataFrame, fps: DataFrame, most: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose long fingerprints differ in ``most`` bits at most."""
     left, right = fps.select(F.col("fp").alias("a"), F.col("pieces").alias("x")), fps.select(F.col("fp").alias("b"), F.col("pieces").alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    near = stored(pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b"), "near")
+    return stored(pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b"), "near")
+
+
+def _similar(near: DataFrame, fps: DataFrame, base: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs of ``near`` whose sets have the similarity. Sets are made of the texts in these pairs alone, one for each fingerprint."""
+    own = near.select(F.col("a").alias("f")).union(near.select("b")).distinct()
+    firsts = stored(fps.join(own, F.col("fp") == F.col("f"), "left_semi").select(F.col("low.uid").alias("_first")), "firsts")
+    texts = base.join(_small(firsts), F.col("_uid") == F.col("_first"), "left_semi")
+    sets = stored(texts.select("fp", _sets(F.col("_row.text"), width).alias("hs")), "sets")
     left, right = sets.select(F.col("fp").alias("a"), F.col("hs").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hs").alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     both = near.join(left, "a").join(right, "b").select("a", "b", same.alias("same"), (F.size("x") + F.size("y") - same).alias("all"))
-    return both.where(F.col("same") >= threshold * F.col("all")).select("a", "b")
+    out = stored(both.where(F.col("same") >= threshold * F.col("all")).select("a", "b"), "linked")
+    discard(near, firsts, sets)
+    return out
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -359,15 +375,13 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
     base = base.select("_row", "doc_id", F.get("s", F.lit(0)).alias("fp"), F.get("s", F.lit(1)).alias("check"), F.slice("s", 3, pieces).alias("pieces"))
     base = stored(base.withColumn("_uid", F.monotonically_increasing_id()), "signatures")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_uid").alias("uid"))
-    fps = stored(base.groupBy("fp").agg(F.min(rank).alias("low"), F.first("check").alias("check"), F.first("pieces").alias("pieces")), "distinct")
+    by = base.groupBy("fp").agg(F.min(rank).alias("low"), F.count("*").alias("n"), F.first("check").alias("check"), F.first("pieces").alias("pieces"))
+    fps = stored(by, "distinct")
 
     some = fps.where("check IS NOT NULL")
     met = stored(_met(some, bits), "met")
-    own = stored(met.select(F.col("a").alias("f")).union(met.where("b IS NOT NULL").select("b")).distinct(), "candidates")
-    firsts = fps.join(own, F.col("fp") == F.col("f"), "left_semi").select(F.col("fp").alias("_f"), F.col("low.uid").alias("_first"))
-    sets = stored(base.join(firsts, F.col("_uid") == F.col("_first"), "left_semi").select("fp", _sets(F.col("_row.text"), width).alias("hs")), "sets")
     most = int(APART * bits * pieces)
-    links = stored(_similar(met.where("b IS NOT NULL"), some, sets, threshold, most), "linked")
+    links = _similar(_near(met.where("b IS NOT NULL"), some, most), some, base, width, threshold)
     roots = stored(connected_components(links, "a", "b"), "roots")
 
     # those that met many are compared pair by pair as far as they are apart still
@@ -375,15 +389,19 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
     if not many.isEmpty():
         rooted = some.join(many, F.col("fp") == F.col("f"), "left_semi").join(roots, F.col("fp") == F.col("node"), "left")
         rest = _met(rooted.select("fp", "check", "pieces", F.coalesce("root", "fp").alias("root")), bits)
-        more = stored(_similar(stored(rest, "apart").join(met.where("b IS NOT NULL"), ["a", "b"], "left_anti"), some, sets, threshold, most), "linked")
+        rest = stored(rest, "apart").join(met.where("b IS NOT NULL"), ["a", "b"], "left_anti")
+        more = _similar(_near(rest, some, most), some, base, width, threshold)
         if not more.isEmpty():
             roots = connected_components(links.unionByName(more), "a", "b")
 
-    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("first"))
+    # rows that are alone need no group; the others find theirs
+    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    lows = rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("first"), F.sum("n").alias("rows")).where("rows > 1")
     groups = stored(rooted.join(lows, F.col("root") == F.col("r")).select(F.col("fp").alias("_fp"), "first"), "groups")
-    joined = base.join(groups, F.col("fp") == F.col("_fp"))
-    return joined.select("_row", "doc_id", F.col("first.id").alias("component_id"), (F.col("_uid") == F.col("first.uid")).alias("keep"))
+    joined = base.join(_small(groups), F.col("fp") == F.col("_fp"), "left")
+    alone = F.col("first").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.id")).alias("component_id")
+    return joined.select("_row", "doc_id", component, (alone | (F.col("_uid") == F.col("first.uid"))).alias("keep"))
 
 
 def hexed(fp: Column) -> Column:
