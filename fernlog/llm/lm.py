@@ -374,7 +374,7 @@ def fit(docs: DataFrame, head: int = 200_000, pilot: int = 4_000) -> Model:
     voc, least = _vocabulary(counts, head, unit_count(kinds))
     part = F.pmod(F.xxhash64("doc_id", "text", F.lit("pilot")), F.lit(1_000_000)) < int(min(1.0, pilot / max(1, many)) * 1_000_000)
     net = LogBilinear.start(voc.sizes)
-    net = _mean(net, _walk(texts.where(part).repartition(1).sortWithinPartitions("doc_id", "text"), voc, net, 0.1, 0.02, rows=False))
+    net = _mean(net, _walk(texts.where(part).distinct().repartition(1).sortWithinPartitions("doc_id", "text"), voc, net, 0.1, 0.02, rows=False))
     walked = stored(_walk(docs, voc, net, 0.03, 0.03), "walked")
     return Model(voc, _mean(net, walked), counts, least, int(n), int(kinds), walked)
 

@@ -203,7 +203,8 @@ def training(found: DataFrame, entries: DataFrame) -> DataFrame:
     """Planted findings with their features, at most about SAMPLE: in the places of findings chosen by a hash of place and value."""
     most = SAMPLE // (2 * PLANTS)
     part = F.pmod(F.xxhash64("doc_id", "word_no", "part", "candidate"), F.lit(1_000_000)) < int(min(1.0, most / max(1, found.count())) * 1_000_000)
-    return features(stored(planted(found.where(part)), "planted"), entries)
+    places = found.where(part).dropDuplicates(["doc_id", "word_no", "part", "candidate"])
+    return features(stored(planted(places), "planted"), entries)
 
 
 def scan(docs: DataFrame, folds: int = 5) -> DataFrame:

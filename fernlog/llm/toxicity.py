@@ -260,7 +260,7 @@ def _gradients(net: Network, found: tuple, at: np.ndarray, mask: np.ndarray, y:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6_000, max_chars: int = 50_000) -> DataFrame:
-    """About ``sample`` labelled training texts, chosen by a hash of doc_id: doc_id, text, toxic.
+    """About ``sample`` labelled training texts, chosen by a hash of doc_id, one for each id (the first by text): doc_id, text, toxic.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is 0 are held out. Null labels and ids are left out, of several labels
     of a document the largest counts, and texts above ``max_chars`` are not trained on (they are scored whole).
@@ -271,12 +271,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample:
     chosen = own.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < int(part * 1_000_000))
     texts = docs.where(F.char_length("text") <= max_chars).select("doc_id", "text")
     # the chosen labels are bounded by the sample's size
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6_000) -> Network:
     """Train on the bounded sample; the same input gives the same network. Without labels all texts score low."""
-    rows = labelled_sample(docs, labels, folds, sample).distinct().toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = labelled_sample(docs, labels, folds, sample).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return train((t.as_py() for t in rows["text"]), [int(x == 1) for x in rows["toxic"].to_pylist()])
 
 
@@ -296,7 +297,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6
     """Score in [0, 1] of ``docs.text`` as a column, higher when a label 1 is likelier: the highest window's probability.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; other columns are ignored. Whole texts are scored, however
-    long. Null and empty texts and texts without letters or digits score 0. Equal texts score alike. Empty tables give
+    long, in windows of WINDOW words that start every STRIDE words: each word is in one or two windows, and a passage of up to
+    WINDOW - STRIDE + 1 words is whole in one at least. Null and empty texts and texts without letters or digits score 0. Equal texts score alike. Empty tables give
     an empty result, and a network that has seen no label.
     """
     return scorer(docs.sparkSession, fit(docs, labels, folds, sample))(F.col("text"))
