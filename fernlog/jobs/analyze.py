@@ -10,7 +10,7 @@ from fernlog.operators import har, inventory, logs
 from fernlog.operators.inventory import Limits
 from fernlog.sources import readers
 from fernlog.sources.store import write_workspace
-from fernlog.storage import small, stored
+from fernlog.storage import keep_only, made, small, stored
 
 #: Rows of small tables (bundles, files) that may be broadcast.
 BROADCAST_FILES = 1_000_000
@@ -97,8 +97,9 @@ def analyze_bundles(spark: SparkSession, archives: str, output: str, tz: str = "
     """Archives to a workspace: expand, audit, inventory, route, analyse, cap, sort, write; published when it is complete.
 
     A bundle is named by its file. An archive that the audit refuses, or that is broken, is left out as a whole and listed with its
-    code in the table ``rejected``; the others go on.
+    code in the table ``rejected``; the others go on. The scratch tables are deleted in the end.
     """
+    before = made()
     files = readers.read_artifacts(spark, archives)
     name = F.element_at(F.split("path", "/"), -1)
     entries = stored(readers.expand_bundles(files, limits.file_bytes), "entries")
@@ -114,3 +115,4 @@ def analyze_bundles(spark: SparkSession, archives: str, output: str, tz: str = "
     tables["manifest"] = tables["manifest"].join(inputs, "bundle_id")
     tables["rejected"] = audit.where("code != 'ok'").select(F.element_at(F.split("bundle_id", "/"), -1).alias("bundle_id"), "code")
     write_workspace(tables, output)
+    keep_only(spark, before)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fernlog.operators.inventory import sanitizable
 from fernlog.operators.sanitize import pseudonymize
 from fernlog.sources.store import write_sanitized
-from fernlog.storage import stored
+from fernlog.storage import discard, stored
 
 PROFILES = ("standard", "strict")
 
@@ -29,4 +29,6 @@ def sanitized(artifacts: DataFrame, profile: str = "standard") -> DataFrame:
 
 def sanitize_export(artifacts: DataFrame, output: str, profile: str = "standard") -> None:
     """``sanitized`` written to ``output`` with its manifest, published when it is complete."""
-    write_sanitized(stored(sanitized(artifacts, profile), "sanitized"), output, profile)
+    done = stored(sanitized(artifacts, profile), "sanitized")
+    write_sanitized(done, output, profile)
+    discard(done)

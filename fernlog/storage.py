@@ -60,11 +60,39 @@ def publish(spark: SparkSession, staging: str, path: str) -> None:
         raise OSError(f"cannot publish {path}")
 
 
+#: Scratch tables that are there, in the order in which they were made.
+_made: list[str] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read back: a cut in the lineage that survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing needs any more."""
+    for t in tables:
+        remove(t.sparkSession, t._scratch)
+        _made.remove(t._scratch)
+
+
+def made() -> int:
+    """How many scratch tables there are."""
+    return len(_made)
+
+
+def keep_only(spark: SparkSession, since: int, *tables: DataFrame) -> None:
+    """Delete the scratch tables made after ``since`` of them, but for ``tables``."""
+    kept = [t._scratch for t in tables]
+    for path in _made[since:]:
+        if path not in kept:
+            remove(spark, path)
+    _made[since:] = kept
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
