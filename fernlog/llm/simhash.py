@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fernlog.llm.common import connected_components, discard, packed, stored
 
 #: Variants that one bucket should hold, and that one step of a task may hold in memory.
-BUCKET_VARIANTS, STEP_VARIANTS = 1 << 21, 1 << 23
+BUCKET_VARIANTS, STEP_VARIANTS = 1 << 21, 1 << 21
 #: Near copies: fingerprints of a bucket, flips of a piece, and how rarely a pair at the threshold may go unseen.
 BUCKET_PIECES, PIECE_RADIUS, UNSEEN = 1 << 18, 4, 1e-4
 #: Share of bits in which two near copies may differ at most: of the whole long fingerprint, and of its first 64 bits.
