@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernlog.storage import discard, keep_only, made, remove, scratch, stored
+
+__all__ = ["ASCII_LOWER", "WORD", "ascii_lower", "connected_components", "discard", "fold", "in_pieces", "keep_only", "made", "packed", "pieces", "remove", "scratch", "stored", "words"]
+
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,26 +36,6 @@ def fold(id_col: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Where that is unset a local session gets a temporary folder; a cluster gets an error, since a
-    machine-local folder would lose data there.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="fernlog-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(found)
-    return found
-
-
 def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts (strings or binaries of ``column``) take at most about ``most`` bytes, or a single row,
     so that a task's memory depends neither on the session's batch size nor on how long texts are."""
@@ -72,52 +54,6 @@ def in_pieces(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
         yield part.column(0)
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-#: Scratch tables that are there, in the order in which they were made.
-_made: list[str] = []
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: a cut in the lineage that survives lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    _made.append(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
-    found._scratch = path
-    return found
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete scratch tables that nothing needs any more."""
-    for t in tables:
-        remove(t.sparkSession, t._scratch)
-        _made.remove(t._scratch)
-
-
-def made() -> int:
-    """How many scratch tables there are."""
-    return len(_made)
-
-
-def keep_only(spark: SparkSession, since: int, *tables: DataFrame) -> None:
-    """Delete the scratch tables made after ``since`` of them, but for ``tables``."""
-    kept = [t._scratch for t in tables]
-    for path in _made[since:]:
-        if path not in kept:
-            remove(spark, path)
-    _made[since:] = kept
-
-
 def packed(df: DataFrame, name: str = "_row") -> Column:
     """All columns of ``df`` as one struct, so that columns added beside it cannot clash with them."""
     return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name)
