@@ -775,11 +775,11 @@ _AUDITED = {
 }
 
 
-@query_of("workspace_audit", _with("lines", "har", more=_FOUND + ", " + _EVENTS + ",\n" + _JOB) + ", rules(tab, rule) AS (VALUES " + ", ".join(f"({_q(t)}, {_q(r)})" for t, rs in _AUDITED.items() for r in rs) + """),
+@query_of("workspace_audit", _with("lines", "har", more=_FOUND + ", " + _EVENTS + ",\n" + _JOB) + ", audited(tab, rule) AS (VALUES " + ", ".join(f"({_q(t)}, {_q(r)})" for t, rs in _AUDITED.items() for r in rs) + """),
 k AS (SELECT CASE WHEN what LIKE 'finding %' THEN 'findings' WHEN what LIKE 'event %' THEN 'timeline' WHEN what LIKE 'run %' THEN 'runs' WHEN what = 'artifacts' THEN 'artifacts' END AS tab, sum(n) AS checked FROM x WHERE what NOT LIKE 'sensitive %' AND what <> 'warnings' GROUP BY ALL
  UNION ALL SELECT 'sensitive', (SELECT count(*) FROM (UNPIVOT (SELECT bundle_id, artifact, """ + ", ".join(f"sum(len(regexp_extract_all(line, {_q(p)}))) AS {k}" for k, p in P.STRICT_KINDS) + " FROM lines GROUP BY ALL) ON " + ", ".join(k for k, _ in P.STRICT_KINDS) + """ INTO NAME kind VALUE k) WHERE k > 0)
   + (SELECT count(*) FROM (UNPIVOT (SELECT bundle_id, artifact, sum(CASE WHEN header_name = 'Authorization' THEN 1 ELSE 0 END) AS authorization_, sum(CASE WHEN header_name = 'Cookie' THEN 1 ELSE 0 END) AS cookie, """ + _HAR_KINDS + ", sum(CASE WHEN has_body THEN 1 ELSE 0 END) AS body FROM har GROUP BY ALL) ON authorization_, cookie, " + ", ".join(k for k, _ in P.STRICT_KINDS) + """, body INTO NAME kind VALUE k) WHERE k > 0) + (SELECT 2 * count(*) FROM g WHERE f % 5 <> 0))
-SELECT tab AS "table", rule, CAST(checked AS BIGINT) AS checked, CAST(CASE WHEN rule = 'confidence_in_store' THEN (SELECT sum(n) FROM x WHERE what LIKE 'finding HAR%') ELSE 0 END AS BIGINT) AS broken FROM rules JOIN k USING (tab)""")
+SELECT tab AS "table", rule, CAST(checked AS BIGINT) AS checked, CAST(CASE WHEN rule = 'confidence_in_store' THEN (SELECT sum(n) FROM x WHERE what LIKE 'finding HAR%') ELSE 0 END AS BIGINT) AS broken FROM audited JOIN k USING (tab)""")
 def workspace_audit(spark, d):
     t = analyze.analyze_artifacts(_bundle_files(spark, d))
     return audit.audit_workspace({name: t[name] for name in _AUDITED})

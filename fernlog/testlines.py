@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fernlog.storage import exists, stored
+
 # files of 100 lines, three to a bundle, so that their number grows with the table; line numbers are arithmetic
 _FILE, _BUNDLE = 100, 300
 
@@ -139,10 +141,20 @@ _SPARK = {
 _NEEDS = {"lines": ["events"], "platform_lines": ["events"], "har": ["events", "pages"], "artifacts": ["orders"], "entries": ["lineitem"], "sessions": ["orders"]}
 
 
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the derived tables as a DataFrame."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _NEEDS[name]}
-    query = _SPARK[name].replace("{", "{{").replace("}", "}}")
-    for t in tables:
-        query = query.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-    return spark.sql(query, **tables)
+    """One of the derived tables as a DataFrame.
+
+    It is written once a session, in as many parts as there are cores, and read from then on, as logs would be: queries work on stored lines, and
+    their expressions aren't merged with those that make the lines.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written or not exists(spark, _written[key]._scratch):
+        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _NEEDS[name]}
+        query = _SPARK[name].replace("{", "{{").replace("}", "}}")
+        for t in tables:
+            query = query.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
+        _written[key] = stored(spark.sql(query, **tables).repartition(spark.sparkContext.defaultParallelism), name)
+    return _written[key]
