@@ -7,12 +7,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlog.storage import discard, keep_only, made, remove, scratch, stored
 
-__all__ = ["ASCII_LOWER", "WORD", "ascii_lower", "connected_components", "discard", "fold", "in_pieces", "keep_only", "made", "packed", "pieces", "remove", "scratch", "stored", "words"]
+__all__ = ["ASCII_LOWER", "WORD", "ascii_lower", "connected_components", "discard", "fold", "in_pieces", "keep_only", "made", "packed", "pieces", "remove", "scratch", "small_batches", "stored", "words"]
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,7 +36,16 @@ def fold(id_col: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """A setting for jobs over long texts: Arrow batches of at most ``rows`` rows, so that executors hold little of them at once.
+
+    Results don't depend on it. Operators leave the session as it is; the queries and the pipeline, which own theirs, set it.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts (strings or binaries of ``column``) take at most about ``most`` bytes, or a single row,
     so that a task's memory depends neither on the session's batch size nor on how long texts are."""
     for batch in batches:
@@ -48,7 +57,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 22)
             lo = hi
 
 
-def in_pieces(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+def in_pieces(texts: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
     """``pieces`` of one column."""
     for part in pieces([pa.RecordBatch.from_arrays([texts], ["x"])], 0, most):
         yield part.column(0)
