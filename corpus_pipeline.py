@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlog.llm import decontam, mixing, sharding, simhash, toxicity
-from fernlog.llm.common import keep_only, made, stored
+from fernlog.llm.common import keep_only, made, small_batches, stored
 
 #: SQL cannot express the toxicity model.
 ORACLE_SQL = None
@@ -21,6 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts score 0 and stay, as do rows with a null id; repeated rows share their fate; without labels all stay.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return docs.where(toxicity.toxicity(docs, labels) < 0.5)
 
@@ -31,6 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts without words (null, empty, blank) are copies of each other, and repeated rows are too: one of them stays. Of a group
     a row with a null id stays only if no other has one.
     """
+    small_batches(spark)
     return simhash.near_copies(docs).where(F.col("keep")).select("_row.*")
 
 
