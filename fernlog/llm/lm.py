@@ -44,7 +44,7 @@ def unit_count(kinds: int) -> int:
 
 def heads(units: int) -> int:
     """Units that are single words, the commonest; the others are endings of the rarer words."""
-    return units * 3 // 4
+    return units // 4
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
