@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.llm import ann, decontam, langid, lm, mixing, secret_scan, sharding, simhash, toxicity, warc
+from fernlog.llm import ann, decontam, langid, lexical, lm, mixing, secret_scan, sharding, simhash, toxicity, warc
 from fernlog.llm.common import fold, small_batches
 
 
@@ -70,5 +70,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "word_no", "part", F.sha2("candidate", 256).alias("digest"), F.length("candidate").alias("length"), "held_out", "score", "secret")
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op4_neighbours": op4_neighbours, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity, "op10_secrets": op10_secrets}
-ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.rank_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op4_neighbours": op4_neighbours, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity, "op10_secrets": op10_secrets, "op11_lexical": op11_lexical}
+ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE, "op11_lexical": lexical.ORACLE}
