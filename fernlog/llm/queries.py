@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.llm import ann, decontam, langid, lexical, lm, mixing, secret_scan, sharding, simhash, toxicity, warc
+from fernlog.llm import ann, decontam, hard_negatives, langid, lexical, lm, mixing, secret_scan, sharding, simhash, toxicity, warc
 from fernlog.llm.common import fold, small_batches
 
 
@@ -75,5 +75,12 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op4_neighbours": op4_neighbours, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity, "op10_secrets": op10_secrets, "op11_lexical": op11_lexical}
-ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE, "op11_lexical": lexical.ORACLE}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    # every seventh label is wrong by one, as in mined data
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", wrong), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op4_neighbours": op4_neighbours, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity, "op10_secrets": op10_secrets, "op11_lexical": op11_lexical, "op12_hard_negatives": op12_hard_negatives}
+ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE, "op11_lexical": lexical.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
