@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlog.llm import ann, decontam, hard_negatives, langid, lexical, lm, mixing, secret_scan, sharding, simhash, toxicity, warc
+from fernlog.llm import ann, chat, decontam, hard_negatives, langid, lexical, lm, mixing, secret_scan, sharding, simhash, toxicity, warc
 from fernlog.llm.common import fold, small_batches
 
 
@@ -82,5 +82,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors.withColumn("label", wrong), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op4_neighbours": op4_neighbours, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity, "op10_secrets": op10_secrets, "op11_lexical": op11_lexical, "op12_hard_negatives": op12_hard_negatives}
-ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE, "op11_lexical": lexical.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, k, role, r"\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))], rows.schema)
+    found = chat.digests(chat.format_trees(chat.threads(rows.unionByName(odd)), branches=1))
+    return found.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_mix_sources": op3_mix_sources, "op4_neighbours": op4_neighbours, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_shard": op8_shard, "op9_toxicity": op9_toxicity, "op10_secrets": op10_secrets, "op11_lexical": op11_lexical, "op12_hard_negatives": op12_hard_negatives, "op13_chat": op13_chat}
+ORACLES = {"op3_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE, "op11_lexical": lexical.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_chat": chat.ORACLE}
