@@ -15,6 +15,7 @@ from fernlog.jobs import analyze
 from fernlog.operators import audit, compare, har, intelligence, inventory, logs, platform_rules, query, sanitize
 from fernlog.functions import scalars as S
 from fernlog.sources import readers
+from fernlog.storage import scratch
 from fernlog.testlines import SQL, derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -512,6 +513,19 @@ def analyze_job(spark, d):
     return out.groupBy("bundle_id", "what").agg(F.sum("n").alias("n"))
 
 
+@query_of("stored_lines", _with("lines") + "SELECT bundle_id, artifact, line_no, line FROM lines")
+def stored_lines(spark, d):
+    """The derived lines, written as log files and read again with their numbers."""
+    path = scratch(spark, "logs")
+    folder = F.translate("artifact", "/", "~").alias("_artifact")
+    rows = _lines(spark, d).select(F.col("bundle_id").alias("_bundle"), folder, "line_no", "line")
+    by = ["_bundle", "_artifact"]
+    rows.repartition(*by).sortWithinPartitions(*by, "line_no").select(*by, "line").write.partitionBy(*by).option("lineSep", "\n").text(path)
+    part = lambda name: F.regexp_extract("artifact", f"/{name}=([^/]*)/", 1)
+    # Spark's reader gives paths as URIs: %7E is ~
+    return readers.read_lines(spark, path).select(part("_bundle").alias("bundle_id"), F.translate(F.url_decode(part("_artifact")), "~", "/").alias("artifact"), "line_no", "line")
+
+
 # ---- comparison ----
 
 _SIDES = "s AS (SELECT bundle_id AS pair, side, folder || '/' || name AS path, max(sha256(content)) AS sha256 FROM artifacts GROUP BY ALL), a AS (SELECT * FROM s WHERE side = 'baseline'), b AS (SELECT * FROM s WHERE side = 'incident')"

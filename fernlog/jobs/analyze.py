@@ -9,27 +9,30 @@ from fernlog import patterns as P
 from fernlog.operators import har, inventory, logs
 from fernlog.operators.inventory import Limits
 from fernlog.sources import readers
-from fernlog.sources.store import write_workspace
+from fernlog.sources.store import report_payload, write_workspace
 from fernlog.storage import keep_only, made, small, stored
 
 #: Rows of small tables (bundles, files) that may be broadcast.
 BROADCAST_FILES = 1_000_000
-#: Order of the findings of a file: a log's by key, an archive's as its rules are.
-_HAR_ORDER = ["HAR_HTTP_5XX", "HAR_HTTP_4XX", "HAR_SLOW_REQUESTS"]
 _EVIDENCE = "struct<line bigint, json_pointer string, status int, duration_ms double, ttfb_ms double>"
 _EVENT = ["bundle_id", "ts", "source", "component", "severity", "category", "message", "artifact", "correlation_id", "evidence"]
 
 
-def analyze_lines(lines: DataFrame, tz: str = "UTC") -> dict[str, DataFrame]:
+def analyze_lines(lines: DataFrame, tz: str = "UTC", rules: list[tuple] = P.LOG_RULES) -> dict[str, DataFrame]:
     """Findings, timeline and sensitive counts of log lines, uncapped but for the events of each file.
 
-    ``lines`` has K, line_no, line and may have sha256, the file's hash, without which findings have no id.
+    ``lines`` has K, line_no, line and may have sha256, the file's hash, without which findings have no id. What the three take from a line
+    is worked out in one pass and stored.
     """
-    found = logs.log_findings(lines)
+    return _from_facts(stored(logs.line_facts(lines, rules, tz), "facts"), rules)
+
+
+def _from_facts(facts: DataFrame, rules: list[tuple]) -> dict[str, DataFrame]:
+    found = logs.findings_of(facts, rules)
     return {
         "findings": logs.with_ids(found) if "sha256" in found.columns else found,
-        "timeline": logs.cap_timeline(logs.log_timeline(logs.parse_log_a(lines, tz))),
-        "sensitive": logs.privacy_counts(lines, "line", logs.K),
+        "timeline": logs.cap_timeline(logs.timeline_of(facts)),
+        "sensitive": logs.sensitive_of(facts),
     }
 
 
@@ -47,12 +50,15 @@ def analyze(lines: DataFrame, entries: DataFrame, tz: str = "UTC", findings: int
     The cap of findings applies to all of a bundle's findings, in path order; ``capped`` are the bundles with more than that.
     ``lines`` and ``entries`` have sha256.
     """
-    out = analyze_lines(lines, tz)
+    return _both(analyze_lines(lines, tz), entries, findings)
+
+
+def _both(out: dict[str, DataFrame], entries: DataFrame, findings: int) -> dict[str, DataFrame]:
     hashes = entries.select(*logs.K, "sha256").distinct()
     web = har.har_findings(har.har_summary(entries).join(hashes, logs.K))
     web = web.withColumns({"component": F.lit(""), "fingerprint": F.lit(None).cast("string")})
     both = stored(logs.union_findings(out["findings"].drop("id"), web), "findings")
-    place = F.array_position(F.array(*map(F.lit, _HAR_ORDER)), F.col("rule_id"))
+    place = F.array_position(F.array(*map(F.lit, P.HAR_ORDER)), F.col("rule_id"))
     capped = logs.cap_findings(both, findings, ("artifact", place, "rule_id", "component", "fingerprint"))
     return {
         "findings": capped.transform(logs.with_ids),
@@ -62,23 +68,27 @@ def analyze(lines: DataFrame, entries: DataFrame, tz: str = "UTC", findings: int
     }
 
 
-def analyze_artifacts(artifacts: DataFrame, tz: str = "UTC", limits: Limits = Limits()) -> dict[str, DataFrame]:
+def analyze_artifacts(artifacts: DataFrame, tz: str = "UTC", limits: Limits = Limits(), rules: list[tuple] = P.LOG_RULES) -> dict[str, DataFrame]:
     """All tables of a workspace but those that need the archives: ``artifacts`` has bundle_id, path (unique in it), content.
 
     Logs, HTTP archives and other texts go to their analyses by type. A log with a line of 1 MiB and an archive that is no
-    JSON give a warning and nothing else; a text with a NUL has no sensitive counts.
+    JSON give a warning and nothing else; a text with a NUL has no sensitive counts. Logs are matched against ``rules``.
     """
-    found = inventory.route(inventory.inventory(artifacts))
-    routed = stored(found, "artifacts")
-    typed = artifacts.select("bundle_id", "path", "content").join(routed.select("bundle_id", "path", "sha256", "route"), ["bundle_id", "path"])
-    typed = stored(typed.where("route != 'nested-archive'").withColumnRenamed("path", "artifact"), "contents")
-    lines = stored(readers.split_lines(typed.where("route = 'log'")), "lines")
-    failed = stored(logs.failed_files(lines), "failed")
-    good = lines.join(small(failed, BROADCAST_FILES), logs.K, "left_anti")
-    entries, bad = readers.parse_har(typed.where("route = 'har'"))
-    entries = stored(entries, "entries")
-    out = analyze(good, entries, tz, limits.findings)
-    others = readers.split_lines(typed.where("route = 'privacy-only'"))
+    held = inventory.route(inventory.typed(artifacts.select("bundle_id", "path", "content")))
+    return _workspace(stored(held, "contents", by="route"), tz, limits, rules)
+
+
+def _workspace(held: DataFrame, tz: str, limits: Limits, rules: list[tuple]) -> dict[str, DataFrame]:
+    """Tables of ``held`` artifacts: the stored bytes with type, hash and route. Each analysis reads the files of its own route, once;
+    of the bytes nothing is shuffled, and no second copy is written."""
+    routed = held.drop("content")
+    files = held.withColumnRenamed("path", "artifact")
+    facts = stored(logs.line_facts(readers.split_lines(files.where("route = 'log'")), rules, tz), "facts")
+    failed = stored(logs.failed_of(facts), "failed")
+    good = facts.join(small(failed.select(*logs.K), BROADCAST_FILES), logs.K, "left_anti")
+    entries, bad = readers.read_entries(files.where("route = 'har'"))
+    out = _both(_from_facts(good, rules), entries, limits.findings)
+    others = readers.split_lines(files.where("route = 'privacy-only'"))
     out["sensitive"] = out["sensitive"].unionByName(logs.privacy_counts(others, "line", logs.K, nul_hides=True))
 
     out["findings"] = logs.full_findings(out["findings"])
@@ -93,26 +103,26 @@ def analyze_artifacts(artifacts: DataFrame, tz: str = "UTC", limits: Limits = Li
     return out
 
 
-def analyze_bundles(spark: SparkSession, archives: str, output: str, tz: str = "UTC", limits: Limits = Limits()) -> None:
-    """Archives to a workspace: expand, audit, inventory, route, analyse, cap, sort, write; published when it is complete.
+def analyze_bundles(spark: SparkSession, archives: str, output: str, tz: str = "UTC", limits: Limits = Limits(), rules: list[tuple] = P.LOG_RULES) -> None:
+    """Archives to a workspace: expand, audit, inventory, route, analyse, cap, sort, report, write; published when it is complete.
 
-    A bundle is named by its file. An archive that the audit refuses, or that is broken, is left out as a whole and listed with its
-    code in the table ``rejected``; the others go on. The scratch tables are deleted in the end.
+    A bundle is named by its file. An archive is audited while it is read: one that breaks a limit, or is unsafe or broken, is left out as
+    a whole and listed with its code in the table ``rejected``; the others go on. Each entry's bytes are hashed, typed, routed and stored
+    where they are inflated. ``rules`` may come from ``store.load_rule_pack``. The scratch tables are deleted in the end.
     """
     before = made()
-    files = readers.read_artifacts(spark, archives)
-    name = F.element_at(F.split("path", "/"), -1)
-    entries = stored(readers.expand_bundles(files, limits.file_bytes), "entries")
-    audit = inventory.audit_entries(entries.where("warning IS NULL").drop("content"), limits).select("bundle_id", "code")
-    broken = entries.where("warning IS NOT NULL").select("bundle_id", F.lit("artifact-malformed").alias("code"))
-    audit = audit.join(broken, "bundle_id", "left_anti").unionByName(broken)
-    audit = stored(audit, "audit")
-    fine = small(audit.where("code = 'ok'").select("bundle_id"), BROADCAST_FILES)
-    own = entries.where("mode = 'file'").join(fine, "bundle_id", "left_semi")
-    own = own.select(F.element_at(F.split("bundle_id", "/"), -1).alias("bundle_id"), inventory.safe_path(F.col("name"), limits.name_bytes)["path"].alias("path"), "content")
-    tables = analyze_artifacts(own, tz, limits)
-    inputs = files.select(name.alias("bundle_id"), name.alias("input_name"), F.sha2("content", 256).alias("input_sha256"))
-    tables["manifest"] = tables["manifest"].join(inputs, "bundle_id")
-    tables["rejected"] = audit.where("code != 'ok'").select(F.element_at(F.split("bundle_id", "/"), -1).alias("bundle_id"), "code")
+    name = F.element_at(F.split("bundle_id", "/"), -1)
+    opened = readers.expand_bundles(readers.read_archives(spark, archives), limits).select(name.alias("bundle_id"), "path", "content", "code", "input_sha256")
+    held = inventory.route(inventory.typed(opened))
+    held = stored(held.withColumn("route", F.when(F.col("code").isNotNull(), "verdict").otherwise(F.col("route"))), "contents", by="route")
+    verdicts = held.where("route = 'verdict'").select("bundle_id", "code", "input_sha256")
+    rejected = stored(verdicts.where("code != 'ok'").select("bundle_id", "code"), "rejected")
+    # few bundles are rejected: only their names go to the contents
+    own = held.where("route != 'verdict'").drop("code", "input_sha256").join(small(rejected.select("bundle_id"), BROADCAST_FILES), "bundle_id", "left_anti")
+    tables = _workspace(own, tz, limits, rules)
+    tables["manifest"] = tables["manifest"].join(verdicts.select("bundle_id", F.col("bundle_id").alias("input_name"), "input_sha256"), "bundle_id")
+    tables["rejected"] = rejected
+    tables = {k: stored(v, k) for k, v in tables.items()}
+    tables["report"] = report_payload(tables["findings"], tables["timeline"], tables["manifest"], tables["sensitive"])
     write_workspace(tables, output)
     keep_only(spark, before)

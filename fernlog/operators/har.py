@@ -64,11 +64,7 @@ def har_privacy(entries: DataFrame, kinds: list[tuple[str, str]] = P.STRICT_KIND
 
 def har_findings(summary: DataFrame) -> DataFrame:
     """Findings of each file: server errors, client errors, slow requests, where there are any."""
-    rules = [
-        ("HAR_HTTP_5XX", "HTTP server errors observed", "high", "server-error", "http5xx"),
-        ("HAR_HTTP_4XX", "HTTP client or authorization errors observed", "medium", "client-error", "http4xx"),
-        ("HAR_SLOW_REQUESTS", "Slow HTTP requests observed", "medium", "latency", "slow"),
-    ]
+    rules = [(*r, n) for r, n in zip(P.HAR_RULES, ("http5xx", "http4xx", "slow"), strict=True)]
     each = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(t).alias("title"), F.lit(s).alias("severity"), F.lit(c).alias("category"), F.col(n).alias("occurrences")) for r, t, s, c, n in rules])
     out = summary.select(*K, *[c for c in ("sha256",) if c in summary.columns], F.inline(each)).where("occurrences > 0")
     text = F.format_string("Observed %d matching request(s) in %s.", "occurrences", "artifact")

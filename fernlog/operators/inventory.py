@@ -95,10 +95,15 @@ def _all(tests) -> Column:
     return out
 
 
+def typed(artifacts: DataFrame) -> DataFrame:
+    """``artifacts`` (path, content and others) with id (first 16 digits of the hash), type, sha256 and size: worked out where the bytes are."""
+    rows = _looked_at(artifacts.withColumn("sha256", F.sha2("content", 256)))
+    return rows.select(*artifacts.columns, F.substring("sha256", 1, 16).alias("id"), _type().alias("type"), "sha256", F.octet_length("content").cast("long").alias("size"))
+
+
 def inventory(artifacts: DataFrame) -> DataFrame:
-    """bundle_id, path, id (first 16 digits of the hash), type, sha256, size of ``artifacts`` (bundle_id, path, content)."""
-    rows = _looked_at(artifacts.select("bundle_id", "path", "content").withColumn("sha256", F.sha2("content", 256)))
-    return rows.select("bundle_id", "path", F.substring("sha256", 1, 16).alias("id"), _type().alias("type"), "sha256", F.octet_length("content").cast("long").alias("size"))
+    """bundle_id, path, id, type, sha256, size of ``artifacts`` (bundle_id, path, content)."""
+    return typed(artifacts.select("bundle_id", "path", "content")).drop("content")
 
 
 def route(found: DataFrame) -> DataFrame:

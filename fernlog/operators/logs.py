@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlog import patterns as P
@@ -17,6 +17,8 @@ from fernlog.patterns import java
 K = ["bundle_id", "artifact"]
 #: Bytes of a line with which its file can't be read.
 LONGEST = 1 << 20
+#: Severities of the timeline.
+_SEVERE = ("warning", "error", "critical")
 
 
 def _variant():
@@ -30,6 +32,11 @@ def parse_log_a(lines: DataFrame, tz: str = "UTC") -> DataFrame:
     A JSON object gives them by ordered lists of keys (only strings count); any other line by patterns and key words,
     with component ``unknown``. A null line parses like an empty one. An object with a repeated key counts as text.
     """
+    return lines.withColumn("_v", _variant()).select(*lines.columns, *[c.alias(k) for k, c in _fields_a(tz).items()])
+
+
+def _fields_a(tz: str) -> dict[str, Column]:
+    """Columns of dialect A, from ``line`` and its variant ``_v``."""
     v = F.col("_v")
     text = F.coalesce("line", F.lit(""))
     raw = F.when(v.isNotNull(), S.first_string(v, P.A_TIME)).otherwise(S.extract(text, P.TIMESTAMP, 0))
@@ -38,15 +45,13 @@ def parse_log_a(lines: DataFrame, tz: str = "UTC") -> DataFrame:
     message = F.when(v.isNotNull(), S.first_string(v, P.MESSAGE))
     cid = F.when(v.isNotNull(), S.first_string(v, P.A_ID)).otherwise(S.correlation_id(text))
     full = lambda c, other: F.coalesce(F.when(c != "", c), other)
-    out = lines.withColumn("_v", _variant()).select(
-        *lines.columns,
-        S.parse_ts_a(raw, tz).alias("ts"),
-        full(severity, F.lit("info")).alias("severity"),
-        full(component, F.lit("unknown")).alias("component"),
-        full(message, text).alias("message"),
-        full(cid, F.lit(None)).alias("correlation_id"),
-    )
-    return out
+    return {
+        "ts": S.parse_ts_a(raw, tz),
+        "severity": full(severity, F.lit("info")),
+        "component": full(component, F.lit("unknown")),
+        "message": full(message, text),
+        "correlation_id": full(cid, F.lit(None)),
+    }
 
 
 def parse_log_b(lines: DataFrame) -> DataFrame:
@@ -82,9 +87,16 @@ def split_malformed(lines: DataFrame) -> DataFrame:
 
 def match_rules(lines: DataFrame, rules: list[tuple] = P.LOG_RULES) -> DataFrame:
     """One row for each line and rule that it matches; most lines fail one joined test and go no further."""
-    any_rule = "|".join(f"(?:{java(r[4])})" for r in rules)
-    hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(java(r[4])), F.lit(k)) for k, r in enumerate(rules)]))
-    return lines.where(F.col("line").rlike(any_rule)).withColumn("rule_no", F.explode(hits))
+    return lines.where(F.col("line").rlike(_any_rule(rules))).withColumn("rule_no", F.explode(_hits(rules)))
+
+
+def _any_rule(rules: list[tuple]) -> str:
+    return "|".join(f"(?:{java(r[4])})" for r in rules)
+
+
+def _hits(rules: list[tuple]) -> Column:
+    """Numbers of the rules that a line matches."""
+    return F.array_compact(F.array(*[F.when(F.col("line").rlike(java(r[4])), F.lit(k)) for k, r in enumerate(rules)]))
 
 
 def log_findings(lines: DataFrame, rules: list[tuple] = P.LOG_RULES) -> DataFrame:
@@ -94,10 +106,14 @@ def log_findings(lines: DataFrame, rules: list[tuple] = P.LOG_RULES) -> DataFram
     shuffle, so that a line repeated billions of times is one row of it. ``lines`` may have sha256, the artifact's hash,
     which then goes with the findings.
     """
-    pick = lambda i, other=None: F.element_at(F.array(*[F.lit(r[i] if i < len(r) else other) for r in rules]), F.col("rule_no") + 1)
-    more = ["sha256"] if "sha256" in lines.columns else []
     found = match_rules(lines, rules).transform(parse_log_a)
-    found = found.select(*K, *more, "line_no", "rule_no", "component", S.fingerprint(F.col("line")).alias("fingerprint"), S.excerpt(F.col("line")).alias("excerpt"))
+    return group_findings(found.withColumns({"fingerprint": S.fingerprint(F.col("line")), "excerpt": S.excerpt(F.col("line"))}), rules)
+
+
+def group_findings(found: DataFrame, rules: list[tuple] = P.LOG_RULES) -> DataFrame:
+    """Findings of matched lines: K, line_no, rule_no, component, fingerprint, excerpt, and maybe sha256."""
+    pick = lambda i, other=None: F.element_at(F.array(*[F.lit(r[i] if i < len(r) else other) for r in rules]), F.col("rule_no") + 1)
+    more = ["sha256"] if "sha256" in found.columns else []
     grouped = found.groupBy(*K, *more, "rule_no", "component", "fingerprint").agg(
         F.count("*").alias("occurrences"), F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.min_by("excerpt", "line_no").alias("excerpt")
     )
@@ -143,10 +159,54 @@ def full_findings(findings: DataFrame, category: str | None = None) -> DataFrame
 
 def log_timeline(parsed: DataFrame) -> DataFrame:
     """Events of the timeline: rows with a time and severity warning, error or critical."""
-    kept = parsed.where(F.col("ts").isNotNull() & F.col("severity").isin("warning", "error", "critical"))
+    # the severity is the cheaper test
+    kept = parsed.where(F.col("severity").isin(*_SEVERE) & F.col("ts").isNotNull())
     return kept.select(*K, "line_no", "ts", F.lit("log").alias("source"), "component", "severity", F.lit("application-log").alias("category"), S.excerpt(F.col("message")).alias("message"), "correlation_id")
 
 
+def line_facts(lines: DataFrame, rules: list[tuple] = P.LOG_RULES, tz: str = "UTC", most: int = LONGEST) -> DataFrame:
+    """All that the log analyses take from a line, from one look at it; most lines give none and have no row.
+
+    K, sha256 (if there is one), line_no, rules (numbers of the rules it matches), component, fingerprint, excerpt (where it matches one),
+    ts, severity, message, correlation_id (where it is an event), counts (kind, n: sensitive data), failed (it has ``most`` bytes or more,
+    and its file can't be read). ``findings_of``, ``timeline_of``, ``sensitive_of`` and ``failed_of`` make the tables from it.
+    """
+    more = ["sha256"] if "sha256" in lines.columns else []
+    own, text = _fields_a(tz), F.col("line")
+    hit, severe, failed = text.rlike(_any_rule(rules)), own["severity"].isin(*_SEVERE), F.octet_length("line") >= most
+    counts = F.array_compact(F.array(*[F.when(n > 0, F.struct(F.lit(k).alias("kind"), n.alias("n"))) for (k, _), n in zip(P.STRICT_KINDS, detect_counts(text, P.STRICT_KINDS), strict=True)]))
+    ts = F.when(severe, own["ts"])
+    event = ts.isNotNull()
+    facts = lines.withColumn("_v", _variant()).select(
+        *K, *more, "line_no", F.coalesce(F.when(hit, _hits(rules)), F.array().cast("array<int>")).alias("rules"), F.when(hit | severe, own["component"]).alias("component"),
+        F.when(hit, S.fingerprint(text)).alias("fingerprint"), F.when(hit, S.excerpt(text)).alias("excerpt"), ts.alias("ts"), F.when(event, own["severity"]).alias("severity"),
+        F.when(event, S.excerpt(own["message"])).alias("message"), F.when(event, own["correlation_id"]).alias("correlation_id"), counts.alias("counts"), F.coalesce(failed, F.lit(False)).alias("failed"),
+    )
+    # through a generator, so that the test uses what has been worked out instead of working it out again below it
+    held = facts.select(F.explode(F.array(F.struct(*facts.columns))).alias("f")).where((F.size("f.rules") > 0) | F.col("f.ts").isNotNull() | (F.size("f.counts") > 0) | F.col("f.failed"))
+    return held.select("f.*")
+
+
+def findings_of(facts: DataFrame, rules: list[tuple] = P.LOG_RULES) -> DataFrame:
+    """``log_findings`` of the lines behind ``facts``."""
+    return group_findings(facts.where(F.size("rules") > 0).withColumn("rule_no", F.explode("rules")), rules)
+
+
+def timeline_of(facts: DataFrame) -> DataFrame:
+    """``log_timeline`` of the lines behind ``facts``."""
+    return facts.where(F.col("ts").isNotNull()).select(*K, "line_no", "ts", F.lit("log").alias("source"), "component", "severity", F.lit("application-log").alias("category"), "message", "correlation_id")
+
+
+def sensitive_of(facts: DataFrame) -> DataFrame:
+    """``privacy_counts`` by file of the lines behind ``facts``."""
+    return facts.select(*K, F.inline("counts")).groupBy(*K, "kind").agg(F.sum("n").alias("matches"))
+
+
+def failed_of(facts: DataFrame) -> DataFrame:
+    """``failed_files`` of the lines behind ``facts``."""
+    return facts.where("failed").select(*K).distinct().withColumn("warning", F.lit(P.LONG_LINE))
+
+
 def cap_timeline(timeline: DataFrame, n: int = 100_000) -> DataFrame:
     """The first n events of each file by line. Spark limits each task's rows before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*K).orderBy("line_no"))

@@ -70,7 +70,7 @@ OTHER_SUMMARIES = {
     "JVM_BLOCKED_THREADS": ("Observed ", " BLOCKED thread states; lock ownership and surrounding stacks need review."),
     "JVM_LONG_GC_PAUSE": ("Observed ", " pause(s) over 1000 ms."),
 }
-# The rule's title and the excerpt that stands for the whole file.
+# The rule's title and the excerpt that stands for the whole file.
 JVM_TEXTS = {
     "JVM_HEAP_DUMP_RECOGNIZED": ("JVM heap dump recognized", "recognized_large_binary_artifact"),
     "JVM_DEADLOCK_INDICATOR": ("JVM deadlock indicator observed", "deadlock"),
@@ -78,6 +78,13 @@ JVM_TEXTS = {
     "JVM_BLOCKED_THREADS": ("Multiple blocked JVM threads", "BLOCKED"),
     "JVM_LONG_GC_PAUSE": ("Long JVM garbage-collection pauses", "GC pause"),
 }
+# Findings of HTTP archives (id, title, severity, category), in the order in which a file has them.
+HAR_RULES = [
+    ("HAR_HTTP_5XX", "HTTP server errors observed", "high", "server-error"),
+    ("HAR_HTTP_4XX", "HTTP client or authorization errors observed", "medium", "client-error"),
+    ("HAR_SLOW_REQUESTS", "Slow HTTP requests observed", "medium", "latency"),
+]
+HAR_ORDER = [r[0] for r in HAR_RULES]
 HAR_STEPS = ["Inspect the affected requests and timing phases.", "Correlate request timestamps with application and dependency logs."]
 
 # Keys of JSON log lines in the order in which they are tried, for the two dialects.
@@ -89,7 +96,7 @@ A_ID = ["request_id", "requestId", "trace_id", "traceId", "correlation_id", "cor
 B_ID = ["request_id", "requestId", "trace_id", "traceId", "correlation_id"]
 
 # Types of artifacts whose lines are analysed, and the warnings of a bundle and of a run.
-LOG_TYPES = ["generic-log", "json-log", "syslog", "docker-log", "php-log", "nginx-access", "nginx-error", "apache-access", "apache-error"]
+LOG_TYPES = ["generic-log", "json-log", "syslog", "nginx-access", "nginx-error", "apache-access", "apache-error", "php-log", "docker-log"]
 NO_LOGS, NO_HAR = "no supported log artifacts were detected", "no HAR artifacts were detected"
 NESTED = ("nested archive ", " was indexed but not extracted")
 MANY_FINDINGS, MANY_EVENTS = "finding limit reached; additional findings were omitted", "timeline event limit reached; remaining events were not indexed"

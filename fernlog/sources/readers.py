@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import hashlib
 import io
 import lzma
+import re
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fernlog.operators.inventory import Limits, clean_path
 from fernlog.patterns import BAD_HAR, BAD_JSON, BAD_TYPE
 from fernlog.storage import small, stored
 
@@ -27,6 +33,8 @@ EVENT_SCHEMA = """System struct<Provider struct<_Name string>, EventID string, L
  EventData struct<Data array<string>>"""
 #: Blocks of files whose first line numbers may be broadcast.
 BROADCAST_BLOCKS = 1_000_000
+#: Larger archives are opened where they lie instead of being a row.
+ROW_BYTES = 64 << 20
 EVIDENCE = "array<struct<artifact string, lineStart bigint, lineEnd bigint, jsonPointer string, timestamp string, excerpt string>>"
 OUTPUT_SCHEMA = f"""type string,
  finding struct<id string, ruleId string, title string, severity string, category string, component string, summary string, explanation string, confidence string,
@@ -38,19 +46,25 @@ OUTPUT_SCHEMA = f"""type string,
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of log files with 1-based numbers: artifact (file), line_no, line. Reads gzip by suffix.
 
-    Lines end at a line feed; one carriage return before it is dropped. A first pass counts the lines of each block (a file's
-    part that one task reads), which is a row a block; the prefix sum over a file's blocks is stored, counted and
-    broadcast, so that the text itself isn't shuffled. Beyond BROADCAST_BLOCKS blocks the join is a shuffle. Should the files be cut
-    otherwise on the second pass, the read fails rather than number lines wrongly.
+    Lines end at a line feed; one carriage return before it is dropped. The files are read once: lines are stored in the shared
+    folder with their block (a file's part that one task reads) and their place in the task's order, which hold from then on however
+    files would be cut or packed another time. A line's number is its place in its block after the lines of the file's earlier
+    blocks; these sums are a row a block, counted and broadcast, so that text isn't shuffled. Beyond BROADCAST_BLOCKS blocks the join is a
+    shuffle.
     """
     raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("artifact"), F.col("_metadata.file_block_start").alias("_block"), F.regexp_replace("value", r"\r$", "").alias("line"), F.monotonically_increasing_id().alias("_id"))
+    rows = raw.select(F.col("_metadata.file_path").alias("artifact"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    return number_lines(stored(rows, "lines"))
+
+
+def number_lines(rows: DataFrame) -> DataFrame:
+    """artifact, line_no, line of stored ``rows``: artifact, _block, _id (rising in a block, whose lines one task wrote), line."""
     blocks = rows.groupBy(F.col("artifact").alias("_a"), F.col("_block").alias("_b")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("_a").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = stored(blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))), "blocks")
-    out = rows.join(small(blocks, BROADCAST_BLOCKS), (F.col("artifact") == F.col("_a")) & (F.col("_block") == F.col("_b")), "left")
-    number = F.when(F.col("_first").isNull(), F.raise_error(F.lit("the files were cut into other blocks than before"))).otherwise(F.col("_id") - F.col("_first") + F.col("_offset") + 1)
-    return out.select("artifact", number.cast("long").alias("line_no"), "line")
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+    blocks = stored(blocks.select("_a", "_b", shift.alias("_shift")), "blocks")
+    out = rows.join(small(blocks, BROADCAST_BLOCKS), (F.col("artifact") == F.col("_a")) & (F.col("_block") == F.col("_b")))
+    return out.select("artifact", (F.col("_id") + F.col("_shift")).cast("long").alias("line_no"), "line")
 
 
 def split_lines(artifacts: DataFrame, batch_bytes: int = 1 << 22) -> DataFrame:
@@ -99,11 +113,24 @@ def read_har(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def parse_har(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``read_har`` of artifacts (bundle_id, artifact, sha256, content) instead of files."""
+    return _split_har(_parsed_har(artifacts))
+
+
+def read_entries(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``parse_har``, stored: each archive is parsed once for both results."""
+    parsed = stored(_parsed_har(artifacts), "entries")
+    return _split_har(parsed)
+
+
+def _parsed_har(artifacts: DataFrame) -> DataFrame:
     parsed = F.from_json(F.make_valid_utf8(F.col("content").cast("string")), HAR_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     docs = artifacts.select("bundle_id", "artifact", "sha256", parsed.alias("p"))
-    broken = F.coalesce(F.col("p._bad").isNotNull(), F.lit(True))
-    bad = docs.where(broken).select("bundle_id", "artifact", F.lit(BAD_HAR).alias("warning"))
-    return har_entries(docs.where(~broken).select("bundle_id", "artifact", "sha256", F.col("p.log").alias("log"))), bad
+    return docs.select("bundle_id", "artifact", "sha256", F.coalesce(F.col("p._bad").isNotNull(), F.lit(True)).alias("broken"), F.col("p.log").alias("log"))
+
+
+def _split_har(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    bad = docs.where("broken").select("bundle_id", "artifact", F.lit(BAD_HAR).alias("warning"))
+    return har_entries(docs.where("NOT broken").select("bundle_id", "artifact", "sha256", "log")), bad
 
 
 def read_windows_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -152,59 +179,130 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), "content")
 
 
-_ENTRY = "bundle_id string, entry_no int, name string, mode string, compressed bigint, size bigint, content binary, warning string"
+def read_archives(spark: SparkSession, path: str, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """Archives: path, size, content. Content is null above ``row_bytes``: such a file is opened where it lies, as a stream."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # the source looks at lengths before it reads, so that a large file is no row
+    whole = files.where(F.col("length") <= row_bytes).select("path", F.col("length").alias("size"), "content")
+    return whole.unionByName(files.where(F.col("length") > row_bytes).select("path", F.col("length").alias("size"), F.lit(None).cast("binary").alias("content")))
 
 
-def _members(name: str, data: bytes, most: int) -> Iterator[tuple]:
-    """(name, mode, compressed, size, content) of the entries; declared sizes are not trusted."""
+_ENTRY = [("bundle_id", pa.string()), ("entry_no", pa.int32()), ("name", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("code", pa.string()), ("warning", pa.string()), ("input_sha256", pa.string())]
+#: Bytes of entries that a task hands on at once.
+_HELD = 4 << 20
+
+
+def _opened(path: str) -> BinaryIO:
+    """A file as a stream with seeks, from any store that Arrow knows."""
+    store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return store.open_input_file(inner)
+
+
+def _hashed(file: BinaryIO) -> str:
+    digest = hashlib.sha256()
+    while part := file.read(1 << 20):
+        digest.update(part)
+    file.seek(0)
+    return digest.hexdigest()
+
+
+def _members(name: str, file: BinaryIO) -> Iterator[tuple[str, str, int, BinaryIO | None]]:
+    """(name, mode, compressed size or 0, stream) of an archive's entries, in its order."""
     low = name.lower()
-    if data[:4] == b"PK\x03\x04":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+    magic = file.read(4)
+    file.seek(0)
+    if magic == b"PK\x03\x04":
+        with zipfile.ZipFile(file) as z:
             for i in z.infolist():
                 kind = i.external_attr >> 16 & 0o170000
                 mode = "directory" if i.is_dir() else "file" if kind in (0, 0o100000) else "symlink" if kind == 0o120000 else "other"
-                content = z.open(i).read(most + 1) if mode == "file" else b""
-                yield i.filename, mode, i.compress_size, len(content), content
+                yield i.filename, mode, i.compress_size, z.open(i) if mode == "file" else None
         return
-    opened: io.BufferedIOBase
-    if data[:2] == b"\x1f\x8b":
-        opened = gzip.GzipFile(fileobj=io.BytesIO(data))
+    opened: BinaryIO = file
+    if magic[:2] == b"\x1f\x8b":
+        opened = gzip.GzipFile(fileobj=file)
         if not low.endswith((".tar.gz", ".tgz")):
-            content = opened.read(most + 1)
-            yield low.rsplit("/", 1)[-1].removesuffix(".gz"), "file", len(data), len(content), content
+            size = file.seek(0, 2) or file.tell()
+            file.seek(0)
+            yield low.rsplit("/", 1)[-1].removesuffix(".gz"), "file", size, opened
             return
     elif low.endswith((".tar.bz2", ".tbz2")):
-        opened = bz2.BZ2File(io.BytesIO(data))
+        opened = bz2.BZ2File(file)
     elif low.endswith((".tar.xz", ".txz")):
-        opened = lzma.LZMAFile(io.BytesIO(data))
-    else:
-        opened = io.BytesIO(data)
+        opened = lzma.LZMAFile(file)
     with tarfile.open(fileobj=opened, mode="r|") as t:
         for m in t:
             mode = "directory" if m.isdir() else "file" if m.isreg() else "symlink" if m.issym() else "other"
-            content = t.extractfile(m).read(most + 1) if m.isreg() else b""
-            yield m.name, mode, 0, len(content), content
+            yield m.name, mode, 0, t.extractfile(m) if m.isreg() else None
 
 
-def expand_bundles(files: DataFrame, most: int = 1 << 30) -> DataFrame:
-    """Entries of archives (path, content): bundle_id, entry_no, name, mode, compressed, size, content, warning.
+def _entries(path: str, file: BinaryIO, limits: Limits) -> Iterator[tuple]:
+    """Rows of an archive up to its first bad entry, and its verdict as the last one.
 
-    A task opens one archive at a time and hands each entry on as it is read; of an entry at most one byte above ``most``
-    is read, so that the audit sees what is too large. Archives inside archives stay closed. A file that is no archive, or
-    a broken one, gives a row with a warning after the entries that could be read.
+    No more is inflated than the limits allow at that point: of an entry at most one byte above what the file, the rest of the
+    total and the ratio leave.
+    """
+    files = total = n = 0
+    seen: set[str] = set()
+    code, warning = "ok", None
+    digest = _hashed(file)
+    try:
+        for n, (name, mode, compressed, stream) in enumerate(_members(path, file), 1):
+            if mode == "directory":
+                continue
+            own, verdict = clean_path(name, limits.name_bytes)
+            if mode != "file":
+                code = "unsafe-entry"
+                break
+            # the ratio is tested before the path, so that the bytes are needed first
+            most = min([limits.file_bytes, limits.total_bytes - total, *([compressed * limits.ratio] if compressed else [])])
+            content = stream.read(most + 1)
+            size = len(content)
+            if compressed and size > compressed * limits.ratio:
+                code = "limit-exceeded"
+            elif verdict != "ok":
+                code = verdict
+            elif own.lower() in seen:
+                code = "unsafe-entry"
+            elif files + 1 > limits.files or size > limits.file_bytes or total + size > limits.total_bytes:
+                code = "limit-exceeded"
+            if code != "ok":
+                break
+            seen.add(own.lower())
+            files, total = files + 1, total + size
+            yield path, n, name, own, size, content, None, None, None
+    except (OSError, EOFError, ValueError, RuntimeError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, zlib.error) as e:
+        code, warning = "artifact-malformed", f"archive is malformed: {type(e).__name__}"
+    yield path, n, None, None, total, None, code, warning, digest
+
+
+def expand_bundles(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Entries of archives (path, content): bundle_id, entry_no, name, path (normalised), size, content; and for each archive a last
+    row, without name and content, that holds its ``code``, a ``warning`` if it is broken, and the archive's ``input_sha256``.
+
+    A task opens one archive at a time, as a stream where content is null, and hands entries on as they are read. The limits run
+    along: the first entry that breaks one (or is unsafe) ends the archive with that code, so that an archive never gives more than
+    ``limits.total_bytes``, whatever it would inflate to. Rows of an archive whose code isn't ``ok`` are to be left out. Archives inside archives
+    stay closed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _ENTRY.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-        one = lambda *row: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), _ENTRY, strict=True)], [n for n, _ in _ENTRY])
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                n = 0
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    for n, member in enumerate(_members(path.as_py(), content.as_py(), most), 1):
-                        yield one(path.as_py(), n, *member, None)
-                except (OSError, EOFError, ValueError, RuntimeError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError) as e:
-                    yield one(path.as_py(), n + 1, None, None, None, None, None, f"archive is malformed: {type(e).__name__}")
-
-    return files.select("path", "content").mapInArrow(run, _ENTRY)
+                    rows = _entries(path, io.BytesIO(content.as_py()) if content.is_valid else _opened(path), limits)
+                except (OSError, ValueError, NotImplementedError) as e:
+                    rows = iter([(path, 0, None, None, 0, None, "artifact-malformed", f"archive cannot be opened: {type(e).__name__}", None)])
+                for row in rows:
+                    if held and size + (row[4] or 0) > _HELD:
+                        yield out(held)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[5] or b"")
+        if held:
+            yield out(held)
+
+    return files.select("path", "content").mapInArrow(run, "bundle_id string, entry_no int, name string, path string, size bigint, content binary, code string, warning string, input_sha256 string")

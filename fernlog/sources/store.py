@@ -24,6 +24,7 @@ SCHEMAS = {
     "sensitive": "bundle_id string, artifact string, kind string, matches bigint",
     "runs": "bundle_id string, name string, version string, status string, warnings array<string>",
     "rejected": "bundle_id string, code string",
+    "report": "bundle_id string, payload string",
 }
 TABLES = list(SCHEMAS)
 

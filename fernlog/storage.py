@@ -64,12 +64,15 @@ def publish(spark: SparkSession, staging: str, path: str) -> None:
 _made: list[str] = []
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: a cut in the lineage that survives lost executors."""
+def stored(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: a cut in the lineage that survives lost executors.
+
+    With ``by`` rows lie in a folder for each value of that column (a string), so that a filter on it reads no other.
+    """
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _made.append(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
     found._scratch = path
     return found
 
