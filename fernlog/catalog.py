@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fernlog import patterns as P
 from fernlog.jobs import analyze
-from fernlog.operators import audit, compare, har, intelligence, inventory, logs, platform_rules, query, sanitize
+from fernlog.operators import audit, compare, har, intelligence, inventory, logs, platform_rules, query, sanitize, search
 from fernlog.functions import scalars as S
 from fernlog.sources import readers
 from fernlog.storage import scratch
@@ -722,6 +722,61 @@ def search_ranked(spark, d):
     return query.search_ranked(f, "b0", "database errors").select("id", "title", "rank")
 
 
+def _sql_swap(rows: dict[str, str], test: str) -> str:
+    """The longest suffix that a word ends with becomes what stands there, if the rest passes the test."""
+    cases = " ".join(f"WHEN suffix(w, '{k}') THEN CASE WHEN regexp_matches({_sql_cut(len(k))}, '{test}') THEN {_sql_cut(len(k))} || '{to}' ELSE w END" for k, to in sorted(rows.items(), key=lambda x: -len(x[0])))
+    return f"CASE {cases} ELSE w END"
+
+
+def _sql_cut(n: int, w: str = "w") -> str:
+    return f"left({w}, length({w}) - {n})"
+
+
+_CV = f"regexp_matches({_sql_cut(2)}, '{search.VOWEL}')"
+_SQL_STEPS = [
+    f"CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN {_sql_cut(2)} WHEN suffix(w, 'ss') THEN w WHEN suffix(w, 's') THEN {_sql_cut(1)} ELSE w END",
+    f"CASE WHEN suffix(w, 'eed') THEN CASE WHEN regexp_matches({_sql_cut(3)}, '{search.M0}') THEN {_sql_cut(1)} ELSE w END WHEN suffix(w, 'ed') AND {_CV} THEN {_sql_cut(2)} || '!' WHEN suffix(w, 'ing') AND regexp_matches({_sql_cut(3)}, '{search.VOWEL}') THEN {_sql_cut(3)} || '!' ELSE w END",
+    f"CASE WHEN NOT suffix(w, '!') THEN w WHEN regexp_matches(w, '(at|bl|iz)!$') THEN {_sql_cut(1)} || 'e' WHEN regexp_matches(w, '({search.DOUBLES})!$') THEN {_sql_cut(2)} WHEN regexp_matches({_sql_cut(1)}, '{search.M1}') AND regexp_matches({_sql_cut(1)}, '{search.CVC}') THEN {_sql_cut(1)} || 'e' ELSE {_sql_cut(1)} END",
+    f"CASE WHEN suffix(w, 'y') AND regexp_matches({_sql_cut(1)}, '{search.VOWEL}') THEN {_sql_cut(1)} || 'i' ELSE w END",
+    _sql_swap(search.STEP2, search.M0),
+    _sql_swap(search.STEP3, search.M0),
+    "CASE " + " ".join(f"WHEN suffix(w, '{k}') THEN CASE WHEN regexp_matches({_sql_cut(len(k))}, '{search.M2}')" + (f" AND regexp_matches({_sql_cut(3)}, '[st]$')" if k == "ion" else "") + f" THEN {_sql_cut(len(k))} ELSE w END" for k in sorted(search.STEP4, key=len, reverse=True)) + " ELSE w END",
+    f"CASE WHEN suffix(w, 'e') AND (regexp_matches({_sql_cut(1)}, '{search.M2}') OR regexp_matches({_sql_cut(1)}, '{search.M1}') AND NOT regexp_matches({_sql_cut(1)}, '{search.CVC}')) THEN {_sql_cut(1)} ELSE w END",
+    f"CASE WHEN suffix(w, 'll') AND regexp_matches({_sql_cut(1)}, '{search.M2}') THEN {_sql_cut(1)} ELSE w END",
+]
+_WORDS_OF = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
+_INDEX_SQL = _FOUND + f""", ff AS (SELECT bundle_id, artifact || rule_id || fingerprint AS id, title, summary, component, rule_id FROM found),
+p AS (SELECT bundle_id, id, [{{'k': 'A', 'w': {_WORDS_OF('title')}}}, {{'k': 'B', 'w': {_WORDS_OF('summary')}}}, {{'k': 'C', 'w': {_WORDS_OF("component || ' ' || replace(rule_id, '_', ' ')")}}}] AS parts FROM ff),
+e AS (SELECT bundle_id, id, n, parts[n].k AS k, unnest(parts[n].w) AS word, generate_subscripts(parts[n].w, 1) + CASE WHEN n > 1 THEN len(parts[1].w) ELSE 0 END + CASE WHEN n > 2 THEN len(parts[2].w) ELSE 0 END AS place FROM p, (SELECT unnest([1, 2, 3]) AS n)),
+s0 AS (SELECT DISTINCT word, word AS w FROM e WHERE length(word) > 2 AND regexp_matches(word, '^[a-z]+$')),
+""" + ",\n".join(f"s{i} AS (SELECT word, {step} AS w FROM s{i - 1})" for i, step in enumerate(_SQL_STEPS, 1)) + f""",
+ix AS (SELECT bundle_id, id, CASE WHEN k = 'C' THEN e.word ELSE coalesce(s9.w, e.word) END AS term, sum(CASE k WHEN 'A' THEN 100 WHEN 'B' THEN 40 ELSE 20 END) / 100 AS weight, list_sort(list(place)) AS positions
+  FROM e LEFT JOIN s9 ON s9.word = e.word WHERE e.word NOT IN ({', '.join(map(_q, query.STOP))}) GROUP BY ALL)"""
+
+
+def _search_table(spark, d):
+    """The derived findings' index, stored once for a session."""
+    f = _findings(spark, d).withColumn("id", F.concat("artifact", "rule_id", "fingerprint"))
+    path = scratch(spark, "search")
+    search.write_search_index(f, path)
+    return spark.read.parquet(path)
+
+
+@query_of("search_terms", _with("lines", more=_INDEX_SQL) + "SELECT bundle_id, term, count(*) AS findings, CAST(round(sum(weight), 6) AS DOUBLE) AS weight, CAST(sum(list_sum(positions)) AS BIGINT) AS places FROM ix GROUP BY ALL")
+def search_terms(spark, d):
+    """The stored index by term."""
+    places = F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p)
+    return _search_table(spark, d).groupBy("bundle_id", "term").agg(F.count("*").alias("findings"), F.round(F.sum("weight"), 6).alias("weight"), F.sum(places).alias("places"))
+
+
+# the words stand in no finding as they are typed here: they match by their stems
+@query_of("search_stemmed", _with("lines", more=_INDEX_SQL) + """, m AS (SELECT bundle_id, id, map_from_entries(list((term, positions))) AS held, sum(weight) FILTER (term <> 'memori') AS rank FROM ix WHERE term IN ('databas', 'error', 'observ', '1', 'match', 'event', 'memori') GROUP BY ALL)
+SELECT bundle_id, id, CAST(round(rank, 6) AS DOUBLE) AS rank FROM m WHERE (map_contains(held, 'databas') AND map_contains(held, 'error'))
+  OR (map_contains(held, 'event') AND NOT map_contains(held, 'memori') AND len(list_filter(held['observ'], lambda x: list_contains(held['1'], x + 1) AND list_contains(held['match'], x + 2))) > 0)""")
+def search_stemmed(spark, d):
+    return search.search_index(_search_table(spark, d), 'databases erroring or "observing 1 matches" events -memories', limit=None)
+
+
 @query_of("session_metrics", _with("sessions") + "SELECT s.status, count(sessions.status) AS sessions FROM (VALUES ('queued'), ('running'), ('completed'), ('failed')) s(status) LEFT JOIN sessions ON sessions.status = s.status GROUP BY ALL")
 def session_metrics(spark, d):
     return query.session_metrics(derived(spark, d, "sessions"))

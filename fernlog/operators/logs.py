@@ -173,18 +173,24 @@ def line_facts(lines: DataFrame, rules: list[tuple] = P.LOG_RULES, tz: str = "UT
     """
     more = ["sha256"] if "sha256" in lines.columns else []
     own, text = _fields_a(tz), F.col("line")
-    hit, severe, failed = text.rlike(_any_rule(rules)), own["severity"].isin(*_SEVERE), F.octet_length("line") >= most
     counts = F.array_compact(F.array(*[F.when(n > 0, F.struct(F.lit(k).alias("kind"), n.alias("n"))) for (k, _), n in zip(P.STRICT_KINDS, detect_counts(text, P.STRICT_KINDS), strict=True)]))
-    ts = F.when(severe, own["ts"])
-    event = ts.isNotNull()
-    facts = lines.withColumn("_v", _variant()).select(
-        *K, *more, "line_no", F.coalesce(F.when(hit, _hits(rules)), F.array().cast("array<int>")).alias("rules"), F.when(hit | severe, own["component"]).alias("component"),
-        F.when(hit, S.fingerprint(text)).alias("fingerprint"), F.when(hit, S.excerpt(text)).alias("excerpt"), ts.alias("ts"), F.when(event, own["severity"]).alias("severity"),
-        F.when(event, S.excerpt(own["message"])).alias("message"), F.when(event, own["correlation_id"]).alias("correlation_id"), counts.alias("counts"), F.coalesce(failed, F.lit(False)).alias("failed"),
+    failed = F.coalesce(F.octet_length("line") >= most, F.lit(False))
+    seen = lines.withColumn("_v", _variant())
+    seen = _worked_out(seen.select(*K, *more, "line_no", "line", "_v", text.rlike(_any_rule(rules)).alias("_hit"), own["severity"].isin(*_SEVERE).alias("_severe"), counts.alias("counts"), failed.alias("failed")))
+    seen = seen.where(F.col("_hit") | F.col("_severe") | (F.size("counts") > 0) | F.col("failed"))
+    hit, ts = F.col("_hit"), F.when(F.col("_severe"), own["ts"])
+    facts = _worked_out(seen.select("*", ts.alias("ts"), F.coalesce(F.when(hit, _hits(rules)), F.array().cast("array<int>")).alias("rules")))
+    event = F.col("ts").isNotNull()
+    return facts.where((F.size("rules") > 0) | event | (F.size("counts") > 0) | F.col("failed")).select(
+        *K, *more, "line_no", "rules", F.when(hit | event, own["component"]).alias("component"), F.when(hit, S.fingerprint(text)).alias("fingerprint"), F.when(hit, S.excerpt(text)).alias("excerpt"),
+        "ts", F.when(event, own["severity"]).alias("severity"), F.when(event, S.excerpt(own["message"])).alias("message"), F.when(event, own["correlation_id"]).alias("correlation_id"), "counts", "failed",
     )
-    # through a generator, so that the test uses what has been worked out instead of working it out again below it
-    held = facts.select(F.explode(F.array(F.struct(*facts.columns))).alias("f")).where((F.size("f.rules") > 0) | F.col("f.ts").isNotNull() | (F.size("f.counts") > 0) | F.col("f.failed"))
-    return held.select("f.*")
+
+
+def _worked_out(df: DataFrame) -> DataFrame:
+    """The same rows through a generator: what stands above uses the columns instead of working them out again, as filters that are pushed
+    through a projection do."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("f")).select("f.*")
 
 
 def findings_of(facts: DataFrame, rules: list[tuple] = P.LOG_RULES) -> DataFrame:
