@@ -256,6 +256,17 @@ def error_bursts_unordered(spark, d):
     return out.withColumns({"started_at": stamp("started_at"), "ended_at": stamp("ended_at")})
 
 
+@query_of("unordered_bursts", _with("lines", more=_ERRORS_SQL + f""", u AS (SELECT bundle_id, artifact, line_no, ts + to_seconds((line_no * 37 % 50 - 25) * 4) AS ts FROM e),
+l AS (SELECT bundle_id, artifact, list(ts ORDER BY line_no) AS t, list(line_no ORDER BY line_no) AS n FROM u GROUP BY ALL),
+w AS (SELECT *, 1 AS i, 1 AS head FROM l UNION ALL SELECT bundle_id, artifact, t, n, i + 1, CAST(head + list_position(list_transform(t[head:i + 1], lambda x: x >= t[i + 1] - INTERVAL 60 SECONDS), true) - 1 AS INT) FROM w WHERE i < len(t))
+SELECT bundle_id, artifact, n[i] AS line_no, {_FMT.format('t[head]')} AS started_at, {_FMT.format('t[i]')} AS ended_at, CAST(5 AS BIGINT) AS errors FROM w WHERE i - head = 4""").replace("WITH ", "WITH RECURSIVE ", 1))
+def unordered_bursts(spark, d):
+    """Bursts of files whose times don't rise with the lines, taken in blocks of 16 lines."""
+    shift = F.make_dt_interval(secs=(F.col("line_no") * 37 % 50 - 25) * 4)
+    out = intelligence.error_bursts(_parsed_b(spark, d).withColumn("ts", F.col("ts") + shift), block=16)
+    return out.withColumns({"started_at": stamp("started_at"), "ended_at": stamp("ended_at")})
+
+
 @query_of("log_summary", _with("lines", more=_PARSED_B) + "SELECT bundle_id, artifact, count(*) AS lines, count(*) FILTER (WHERE contains(line, chr(0))) AS malformed_lines, count(DISTINCT correlation_id) AS correlations FROM tb GROUP BY ALL")
 def log_summary(spark, d):
     return intelligence.log_summary(_parsed_b(spark, d))

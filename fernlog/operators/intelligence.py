@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from fernlog import patterns as P
 from fernlog.functions import scalars as S
 from fernlog.operators.logs import K, privacy_counts, split_malformed
+from fernlog.storage import stored
 
 
 def errors(parsed: DataFrame) -> DataFrame:
@@ -71,30 +73,130 @@ class BurstQueue:
         return self.times[0] if len(self.times) == self.n else None
 
 
-def error_bursts(parsed: DataFrame, n: int = 5, seconds: int = 60) -> DataFrame:
+class BurstBlock:
+    """A block of a file's errors in line order, walked as if the queue were empty before it.
+
+    What the queue holds at the start only matters until an error comes that is more than the window later than all of it: this one drives
+    all of it out, and with it everything that the walk from an empty queue had dropped until then, so that from there on both queues are the
+    same. Before it no error of the block leaves. So a block is told by a few numbers, and a burst found in it by the latest
+    time up to there (``top``), which says from what starting queues on it holds.
+    """
+
+    def __init__(self, n: int, window: int) -> None:
+        self.n, self.window, self.queue = n, window, BurstQueue(n, window)
+        self.first: list[int] = []
+        self.top, self.count = None, 0
+        self.all_tail: deque[int] = deque(maxlen=n - 1)
+        self.all_rest: int | None = None
+
+    def add(self, us: int) -> int | None:
+        """Takes an error, and gives the head's time if it is a burst from an empty queue."""
+        if len(self.first) < self.n - 1:
+            self.first.append(us)
+        if len(self.all_tail) == self.n - 1:
+            out = self.all_tail[0] if self.n > 1 else us
+            self.all_rest = out if self.all_rest is None else max(self.all_rest, out)
+        self.all_tail.append(us)
+        self.top = us if self.top is None else max(self.top, us)
+        self.count += 1
+        return self.queue.add(us)
+
+    def told(self) -> dict:
+        """The block: its first errors, latest time, and what is in the queue at its end, from an empty queue or if nothing of it left: the last
+        n - 1 times and the latest of those before them."""
+        times = list(self.queue.times)
+        cut = max(0, len(times) - self.n + 1)
+        return {"first": self.first, "top": self.top, "tail": times[cut:], "rest": max(times[:cut], default=None), "all_tail": list(self.all_tail), "all_rest": self.all_rest}
+
+
+def _left(tail: list[int], rest: int | None, least: int) -> tuple[list[int], int | None]:
+    """The queue after all in front that is earlier than ``least`` has left: it stops at the first that isn't."""
+    if rest is not None and rest >= least:
+        return tail, rest
+    k = next((k for k, t in enumerate(tail) if t >= least), len(tail))
+    return tail[k:], None
+
+
+def fold_blocks(blocks: list[dict], n: int, window: int) -> tuple[list[int | None], list[tuple[int, int, int]]]:
+    """For each of a file's blocks in order the latest time in the queue before it (None: empty), and the bursts among its first errors that the
+    queue before it takes part in: (block, error, head's time)."""
+    tail, rest, before, found = [], None, [], []
+    for b, x in enumerate(blocks):
+        latest = max([*tail, *([rest] if rest is not None else [])], default=None)
+        before.append(latest)
+        if latest is None:
+            tail, rest = x["tail"], x["rest"]
+            continue
+        top = None
+        for i, us in enumerate(x["first"]):
+            top = us if top is None else max(top, us)
+            if top > latest + window:
+                break
+            held, more = _left(tail, rest, top - window)
+            if more is None and len(held) + i + 1 == n:
+                found.append((b, i, held[0]))
+        if x["top"] > latest + window:
+            tail, rest = x["tail"], x["rest"]
+        else:
+            tail, rest = _left(tail, rest, x["top"] - window)
+            both = [*tail, *x["all_tail"]]
+            cut = max(0, len(both) - n + 1)
+            rest = max([r for r in (rest, x["all_rest"], *both[:cut]) if r is not None], default=None)
+            tail = both[cut:]
+    return before, found
+
+
+def error_bursts(parsed: DataFrame, n: int = 5, seconds: int = 60, block: int = 1_000_000) -> DataFrame:
     """A row for each error after which exactly n errors are in the file's queue of the last ``seconds``.
 
-    The queue takes errors in line order, whatever their times are. A task walks its files line by line in sorted order
-    and holds no more of a file than its queue.
+    The queue takes errors in line order, whatever their times are. A file is cut into blocks of ``block`` lines, which any tasks walk line
+    by line from an empty queue, holding no more than the queue. A block gives its bursts and a row that tells it; these rows
+    are folded file by file, which tells what was in the queue before each block, which of its bursts hold, and the few at its start.
     """
-    rows = errors(parsed).where(F.col("ts").isNotNull()).select(*K, "line_no", F.unix_micros("ts").alias("us"))
-    rows = rows.repartition(*K).sortWithinPartitions(*K, "line_no")
+    window = seconds * 1_000_000
+    rows = errors(parsed).where(F.col("ts").isNotNull()).select(*K, F.floor(F.col("line_no") / block).alias("block"), "line_no", F.unix_micros("ts").alias("us"))
+    rows = rows.repartition(*K, "block").sortWithinPartitions(*K, "block", "line_no")
+    names = ["line_no", "a", "b", "top", "first", "lines", "tail", "rest", "all_tail", "all_rest"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+    spec = "bundle_id string, artifact string, block bigint, " + ", ".join(f"{c} {'array<bigint>' if pa.types.is_list(k) else 'bigint'}" for c, k in zip(names, kinds, strict=True))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, queue = None, None
+        batch_of = lambda found: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int64(), *kinds), strict=True)], [*K, "block", *names])
+        own, state, lines = None, None, []
+        tell = lambda: (*own, None, None, None, (t := state.told())["top"], t["first"], lines, t["tail"], t["rest"], t["all_tail"], t["all_rest"])
         for batch in batches:
             found = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if row[:2] != own:
-                    own, queue = row[:2], BurstQueue(n, seconds * 1_000_000)
-                head = queue.add(row[3])
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if row[:3] != own:
+                    if own:
+                        found.append(tell())
+                    own, state, lines = row[:3], BurstBlock(n, window), []
+                if len(lines) < n - 1:
+                    lines.append(row[3])
+                head = state.add(row[4])
                 if head is not None:
-                    found.append((*row[:3], head, row[3]))
-            columns = list(zip(*found, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], [*K, "line_no", "a", "b"])
-
-    out = rows.mapInArrow(walk, "bundle_id string, artifact string, line_no bigint, a bigint, b bigint")
-    return out.select(*K, "line_no", F.timestamp_micros("a").alias("started_at"), F.timestamp_micros("b").alias("ended_at"), F.lit(n).cast("long").alias("errors"))
+                    found.append((*own, row[3], head, row[4], state.top, *[None] * 6))
+            if found:
+                yield batch_of(found)
+        if own:
+            yield batch_of([tell()])
+
+    out = stored(rows.mapInArrow(walk, spec), "bursts")
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        blocks = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+        before, found = fold_blocks(blocks, n, window)
+        rows = [(*key, int(x["block"]), None, None, None, t) for x, t in zip(blocks, before, strict=True)]
+        rows += [(*key, int(blocks[b]["block"]), int(blocks[b]["lines"][i]), int(head), int(blocks[b]["first"][i]), None) for b, i, head in found]
+        return pd.DataFrame(rows, columns=[*K, "block", "line_no", "a", "b", "before"]).astype({c: "Int64" for c in ("block", "line_no", "a", "b", "before")})
+
+    told = out.where("line_no IS NULL").select(*K, "block", *names[3:])
+    folded = stored(told.groupBy(*K).applyInPandas(fold, "bundle_id string, artifact string, block bigint, line_no bigint, a bigint, b bigint, before bigint"), "folded")
+    start = folded.where("line_no IS NULL").select(*K, "block", "before")
+    fine = out.where("line_no IS NOT NULL").join(start, [*K, "block"]).where(F.col("before").isNull() | (F.col("top") > F.col("before") + window))
+    both = fine.select(*K, "line_no", "a", "b").unionByName(folded.where("line_no IS NOT NULL").select(*K, "line_no", "a", "b"))
+    return both.select(*K, "line_no", F.timestamp_micros("a").alias("started_at"), F.timestamp_micros("b").alias("ended_at"), F.lit(n).cast("long").alias("errors"))
 
 
 def correlation_chains(parsed: DataFrame, cap: int = 100) -> DataFrame:
