@@ -24,8 +24,8 @@ BUCKET_PIECES, PIECE_RADIUS, UNSEEN = 1 << 18, 4, 1e-4
 APART, APART_64 = 0.25, 23
 #: Rows of keys that are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Up to so many fingerprints of one variant are compared pair by pair; more are first linked to one of them.
-FEW = 16
+#: With how many of those that follow it among a variant's fingerprints, by nearness, one may be linked first.
+AHEAD = 4
 
 
 def simhash(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -132,26 +132,48 @@ def _meetings(fps: np.ndarray, who: np.ndarray, room: np.ndarray, bits: int) ->
     yield at[order], o[order]
 
 
-def local_pairs(values: np.ndarray, checks: np.ndarray, room: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b) of places that share a variant and whose checks are near, and the places that share one with many.
+def local_forest(values: np.ndarray, checks: np.ndarray, room: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of places that join all that share variants and whose checks are near, the nearest first: a spanning forest.
 
-    Of a variant with more than FEW fingerprints only the pairs with the first are given.
+    Of a variant's places those that follow each other by check, and each with the first, are candidates; what this leaves out is
+    looked at once more, as far as it isn't in one group by then (``apart_pairs``).
     """
-    n, found, many = len(values), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    n, found = len(values), [np.zeros(0, np.int64)]
+    order = np.argsort(checks, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
     for at, o in _meetings(values, np.arange(n), room, bits):
-        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        sizes = np.diff(np.append(starts, len(at)))
-        big = np.repeat(sizes > FEW, sizes)
-        pairs = [(np.repeat(o[starts], sizes)[big], o[big])]
-        for k in range(1, min(FEW, int(sizes.max()))):
-            ok = (at[k:] == at[:-k]) & ~big[k:]
-            pairs.append((o[:-k][ok], o[k:][ok]))
-        for a, b in pairs:
+        by = np.lexsort((place[o], at))
+        at, o = at[by], o[by]
+        head = np.concatenate([[True], at[1:] != at[:-1]])
+        first = o[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
+        for a, b in ((first, o), *((o[:-k], o[k:]) for k in range(1, AHEAD + 1))):
             ok = (a != b) & (np.bitwise_count(checks[a] ^ checks[b]) <= APART_64)
-            found.append(np.unique(a[ok].astype(np.int64) * n + b[ok]))
-        many.append(np.unique(o[big]))
+            if len(a) < len(at):
+                ok &= at[len(at) - len(a) :] == at[: len(a)]
+            found.append(np.unique(np.minimum(a[ok], b[ok]).astype(np.int64) * n + np.maximum(a[ok], b[ok])))
     codes = np.unique(np.concatenate(found))
-    return codes // max(n, 1), codes % max(n, 1), np.unique(np.concatenate(many))
+    a, b = codes // max(n, 1), codes % max(n, 1)
+    far = np.bitwise_count(checks[a] ^ checks[b])
+    ranked = np.lexsort((checks[b], checks[a], far))
+    a, b = a[ranked], b[ranked]
+    root, kept = np.arange(n), np.zeros(len(a), bool)
+    left = np.arange(len(a))
+    while len(left):  # each group takes its nearest pair to another one
+        best = np.full(n, len(a))
+        np.minimum.at(best, root[a[left]], left)
+        np.minimum.at(best, root[b[left]], left)
+        take = np.unique(best[best < len(a)])
+        kept[take] = True
+        x, y = a[take], b[take]
+        while True:
+            _find(root)
+            ra, rb = root[x], root[y]
+            if np.array_equal(ra, rb):
+                break
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        left = left[root[a[left]] != root[b[left]]]
+    return a[kept], b[kept]
 
 
 def apart_pairs(values: np.ndarray, checks: np.ndarray, roots: np.ndarray, room: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,10 +322,9 @@ def _sets(col: Column, width: int) -> Column:
 
 
 def _met(fps: DataFrame, bits: int) -> DataFrame:
-    """Pairs (a, b) of fingerprints that meet in a piece, and fingerprints (a, without b) that meet many.
+    """Pairs (a, b) of fingerprints that meet in a piece: forests of them, or, with a column ``root``, all pairs of different roots.
 
     ``fps`` has fp, check and pieces. As in ``links``: a piece goes once to each bucket that one of its variants falls in.
-    With a column ``root`` all pairs of different roots are found, and none is without b.
     """
     rooted = ["root"] if "root" in fps.columns else []
     half = PIECE_RADIUS // 2
@@ -318,13 +339,8 @@ def _met(fps: DataFrame, bits: int) -> DataFrame:
         group = group.sort_by("fp")
         fp, value, check, room = (group[c].to_numpy() for c in ("fp", "value", "check", "room"))
         own, room = (value.view(np.uint64), check.view(np.uint64)), room.astype(np.int64)
-        if rooted:
-            a, b = apart_pairs(*own, group["root"].to_numpy(), room, low)
-            many = a[:0]
-        else:
-            a, b, many = local_pairs(*own, room, low)
-        ends = [pa.array(np.concatenate([fp[a], fp[many]])), pa.concat_arrays([pa.array(fp[b]), pa.nulls(len(many), pa.int64())])]
-        return pa.Table.from_arrays(ends, ["a", "b"])
+        a, b = apart_pairs(*own, group["root"].to_numpy(), room, low) if rooted else local_forest(*own, room, low)
+        return pa.Table.from_arrays([pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b]))], ["a", "b"])
 
     return parts.groupBy("piece", "bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
 
@@ -362,8 +378,9 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
     cut into pieces (``pieces_of``), and the ball hashing that meets in the middle runs on each piece: two sets at the
     threshold are within its radius in one piece at least, but for one pair in 10,000 (sets of less than 20 shingles: one in
     100). Pairs that meet are verified by the long fingerprint and then by the exact sets. All pairs that meet count,
-    however many share a variant: of more than FEW the first is compared with the others, and what this leaves apart then
-    meets again and is compared pair by pair, so that a large group of near copies costs no square of its size.
+    however many share a variant: first each task joins what meets in it by the nearest pairs, a forest of them, and these are verified;
+    then all pairs that are in different groups still meet again and are compared, so that a large group of near copies costs no square
+    of its size.
 
     ``docs`` has doc_id and text and may have any other columns. Returns the struct ``_row`` of the input's columns,
     doc_id, component_id (smallest doc_id of the group) and keep: true for one row of each group, that of the smallest
@@ -381,18 +398,15 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
     some = fps.where("check IS NOT NULL")
     met = stored(_met(some, bits), "met")
     most = int(APART * bits * pieces)
-    links = _similar(_near(met.where("b IS NOT NULL"), some, most), some, base, width, threshold)
+    links = _similar(_near(met, some, most), some, base, width, threshold)
     roots = stored(connected_components(links, "a", "b"), "roots")
 
-    # those that met many are compared pair by pair as far as they are apart still
-    many = met.where("b IS NULL").select(F.col("a").alias("f"))
-    if not many.isEmpty():
-        rooted = some.join(many, F.col("fp") == F.col("f"), "left_semi").join(roots, F.col("fp") == F.col("node"), "left")
-        rest = _met(rooted.select("fp", "check", "pieces", F.coalesce("root", "fp").alias("root")), bits)
-        rest = stored(rest, "apart").join(met.where("b IS NOT NULL"), ["a", "b"], "left_anti")
-        more = _similar(_near(rest, some, most), some, base, width, threshold)
-        if not more.isEmpty():
-            roots = connected_components(links.unionByName(more), "a", "b")
+    # what is in different groups still meets again, and all of it is compared
+    rooted = some.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "check", "pieces", F.coalesce("root", "fp").alias("root"))
+    rest = stored(_met(rooted, bits), "apart").join(met, ["a", "b"], "left_anti")
+    more = _similar(_near(rest, some, most), some, base, width, threshold)
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(more), "a", "b")
 
     # rows that are alone need no group; the others find theirs
     rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))

@@ -61,7 +61,7 @@ def test_documents(spark, sf_dir):
 
 
 def test_places_against_all_pairs():
-    """The pairs of a task, and what a second look at large groups adds, against every pair."""
+    """The forest of a task, and the pairs of different groups, against every pair."""
     rng = np.random.default_rng(8)
     centres = rng.integers(0, 1 << 32, 12, np.uint64)
     values = np.concatenate([c ^ np.array([sum(1 << int(b) for b in rng.choice(32, k)) for k in rng.integers(0, 4, 40)], np.uint64) for c in centres])
@@ -69,9 +69,19 @@ def test_places_against_all_pairs():
     room = np.full(len(values), 2)
     near = (np.bitwise_count(values[:, None] ^ values) <= 4) & (np.bitwise_count(checks[:, None] ^ checks) <= simhash.APART_64)
     want = {(a, b) for a, b in np.argwhere(near) if a < b}
-    a, b, many = simhash.local_pairs(values, checks, room, 32)
-    got = set(zip(a.tolist(), b.tolist(), strict=True))
-    assert got < want and len(many) and {p for p in want - got if not set(p) <= set(many.tolist())} == set()
+    a, b = simhash.local_forest(values, checks, room, 32)
+    got = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    group = {k: k for k in range(len(values))}
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for x, y in got:  # no pair joins what others have joined
+        assert top(x) != top(y)
+        group[top(x)] = top(y)
+    assert got < want and len({top(x) for x in range(len(values))}) < 40
     roots = rng.integers(0, 5, len(values))
     a, b = simhash.apart_pairs(values, checks, roots, room, 32)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(x, y) for x, y in want if roots[x] != roots[y]}
