@@ -415,18 +415,9 @@ def artifact_routes(spark, d):
     return inventory.route(_inventory(spark, d)).select("bundle_id", "path", "route")
 
 
-# Analyzers and the types that they support.
-_ANALYZERS = [
-    ("jvm", ["jvm-thread-dump", "jvm-gc-log", "jvm-arguments", "jvm-properties", "jvm-heap-dump"]),
-    ("logs", ["generic-log", "json-log", "syslog", "docker-log"]),
-    ("web", ["php-log", "php-config", "nginx-access", "nginx-error", "apache-access", "apache-error"]),
-    ("windows", ["windows-event-xml", "windows-evtx"]),
-]
-
-
-@query_of("analyzer_plan", _with("artifacts", more=_INVENTORY) + ", n(name, type) AS (VALUES " + ", ".join(f"({_q(n)}, {_q(t)})" for n, ts in _ANALYZERS for t in ts) + "), z AS (SELECT bundle_id, path, CASE type WHEN 'windows-event' THEN 'windows-event-xml' WHEN 'windows-event-binary' THEN 'windows-evtx' WHEN 'recognized-large-binary-artifact' THEN 'jvm-heap-dump' ELSE type END AS type FROM i) SELECT bundle_id, path, type, name FROM z JOIN n USING (type)")
+@query_of("analyzer_plan", _with("artifacts", more=_INVENTORY) + ", n(name, type) AS (VALUES " + ", ".join(f"({_q(n)}, {_q(t)})" for n, ts in P.ANALYZERS for t in ts) + "), z AS (SELECT bundle_id, path, CASE type WHEN 'windows-event' THEN 'windows-event-xml' WHEN 'windows-event-binary' THEN 'windows-evtx' WHEN 'recognized-large-binary-artifact' THEN 'jvm-heap-dump' ELSE type END AS type FROM i) SELECT bundle_id, path, type, name FROM z JOIN n USING (type)")
 def analyzer_plan(spark, d):
-    return inventory.plan_analyzers(_inventory(spark, d), spark.createDataFrame(_ANALYZERS, "name string, supported array<string>"))
+    return inventory.plan_analyzers(_inventory(spark, d), spark.createDataFrame(P.ANALYZERS, "name string, supported array<string>"))
 
 
 @query_of("bundle_warnings", _with("artifacts", more=_INVENTORY) + f""", r AS (SELECT bundle_id, path, {_ROUTE} AS route FROM i),
@@ -524,6 +515,49 @@ def analyze_job(spark, d):
     return out.groupBy("bundle_id", "what").agg(F.sum("n").alias("n"))
 
 
+# all lines as one file of one bundle, so that its length grows with the table and caps bind
+_ONE = "WITH derived AS (" + SQL["lines"] + "), lines AS (SELECT 'all' AS bundle_id, 'all.log' AS artifact, CAST(substr(artifact, 9, length(artifact) - 12) AS BIGINT) * 100 + line_no AS line_no, line FROM derived),\n"
+
+
+def _one_file(spark, d):
+    number = F.regexp_extract("artifact", "svc([0-9]+)", 1).cast("long") * 100 + F.col("line_no")
+    return _lines(spark, d).select(F.lit("all").alias("bundle_id"), F.lit("all.log").alias("artifact"), number.alias("line_no"), "line")
+
+
+@query_of("one_file_timeline", _ONE + _PARSED_A + f" SELECT line_no, {_FMT.format('ts')} AS ts, severity FROM ta WHERE ts IS NOT NULL AND severity IN ('warning', 'error', 'critical') QUALIFY row_number() OVER (ORDER BY line_no) <= 500")
+def one_file_timeline(spark, d):
+    t = logs.cap_timeline(logs.log_timeline(logs.parse_log_a(_one_file(spark, d))), 500)
+    return t.select("line_no", stamp("ts"), "severity")
+
+
+@query_of("one_bundle_findings", _ONE + _FOUND + " SELECT rule_id, component, fingerprint, occurrences, line_start FROM found QUALIFY row_number() OVER (ORDER BY artifact, rule_id, component, fingerprint) <= 50")
+def one_bundle_findings(spark, d):
+    return logs.cap_findings(logs.log_findings(_one_file(spark, d)), 50).select("rule_id", "component", "fingerprint", "occurrences", "line_start")
+
+
+@query_of("one_file_chains", _ONE + _PARSED_B + f" SELECT correlation_id, line_no, {_FMT.format('ts')} AS ts, service, row_number() OVER (PARTITION BY correlation_id ORDER BY line_no) AS position FROM tb WHERE correlation_id IS NOT NULL QUALIFY position <= 10")
+def one_file_chains(spark, d):
+    return intelligence.correlation_chains(logs.parse_log_b(_one_file(spark, d)), 10).select("correlation_id", "line_no", stamp("ts"), "service", "position")
+
+
+@query_of("one_file_groups", _ONE + _GROUPS_SQL + " SELECT fingerprint, occurrences, row_number() OVER (ORDER BY occurrences DESC, fingerprint) AS rank FROM g QUALIFY rank <= 5")
+def one_file_groups(spark, d):
+    return intelligence.top_groups(intelligence.error_groups(logs.parse_log_b(_one_file(spark, d))), 5).select("fingerprint", "occurrences", "rank")
+
+
+@query_of("one_bundle_head", _ONE + _EVENTS_SQL + f" SELECT line_no, {_FMT.format('ts')} AS ts, row_number() OVER (ORDER BY t.ts, artifact, line_no) AS position FROM t QUALIFY position <= 1000")
+def one_bundle_head(spark, d):
+    return query.timeline_head(logs.log_timeline(logs.parse_log_a(_one_file(spark, d)))).select("line_no", stamp("ts"), "position")
+
+
+@query_of("page_keyset", _with("lines", more=_EVENTS_SQL) + f"SELECT id, {_FMT.format('ts')} AS ts, severity FROM t WHERE (t.ts, id) > (SELECT (ts, id) FROM t ORDER BY ts, id LIMIT 1 OFFSET 49) ORDER BY t.ts, id LIMIT 50")
+def page_keyset(spark, d):
+    """The second page of the timeline, by the cursor that the first one ends with."""
+    t = _events(spark, d)
+    keys = ["ts", "id"]
+    return query.page_after(t, keys, query.next_cursor(query.page_after(t, keys), keys)).select("id", stamp("ts"), "severity")
+
+
 @query_of("stored_lines", _with("lines") + "SELECT bundle_id, artifact, line_no, line FROM lines")
 def stored_lines(spark, d):
     """The derived lines, written as log files and read again with their numbers."""

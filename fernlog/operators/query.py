@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,6 +107,44 @@ def page(df: DataFrame, order: list, cursor: str | None = None, limit: int = 50)
     return rows[:size], encode_cursor(offset + size) if len(rows) > size else None
 
 
+def page_after(df: DataFrame, keys: list[str], cursor: str | None = None, limit: int = 50) -> DataFrame:
+    """The ``limit`` (1 to 200) rows that come after a cursor in the order of ``keys``, which together are unique and never null.
+
+    The cursor holds the keys of the last row that was seen. So a page costs the same wherever it is, the test of the first key reaches the
+    scan, and rows that come or go between two pages neither repeat nor hide others. ValueError for what is no cursor of these keys.
+    """
+    rows = df
+    if cursor:
+        values = _key_values(df, keys, cursor)
+        after, same = F.lit(False), F.lit(True)
+        for k, v in zip(keys, values, strict=True):
+            after, same = after | (same & (F.col(k) > v)), same & (F.col(k) == v)
+        rows = rows.where((F.col(keys[0]) >= values[0]) & after)
+    return rows.orderBy(*keys).limit(max(1, min(200, limit)))
+
+
+def next_cursor(page: DataFrame, keys: list[str]) -> str | None:
+    """The cursor behind a page, whose last row is looked up; None for an empty one. Times are held in microseconds."""
+    as_text = [F.unix_micros(k).cast("string") if t == "timestamp" else F.col(k).cast("string") for k, t in _types(page, keys)]
+    last = page.orderBy(*[F.desc(k) for k in keys]).select(F.array(*as_text).alias("v")).first()
+    return base64.urlsafe_b64encode(json.dumps(last.v).encode()).decode().rstrip("=") if last else None
+
+
+def _types(df: DataFrame, keys: list[str]) -> list[tuple[str, str]]:
+    kinds = dict(df.dtypes)
+    return [(k, kinds[k]) for k in keys]
+
+
+def _key_values(df: DataFrame, keys: list[str], cursor: str) -> list[Column]:
+    try:
+        held = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
+        if not isinstance(held, list) or len(held) != len(keys) or not all(isinstance(v, str) for v in held):
+            raise ValueError
+        return [F.timestamp_micros(F.lit(int(v))) if t == "timestamp" else F.lit(v).cast(t) for v, (_, t) in zip(held, _types(df, keys), strict=True)]
+    except ValueError:
+        raise ValueError("bad cursor") from None
+
+
 def report_summary(artifacts: DataFrame, findings: DataFrame, events: DataFrame, sensitive: DataFrame) -> DataFrame:
     """Cards of each bundle: artifacts, findings, grave findings, events, privacy matches; sums before one small join."""
     grave = F.when(F.col("severity").isin("critical", "high"), 1).otherwise(0)

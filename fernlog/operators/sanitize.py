@@ -6,11 +6,12 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernlog import patterns as P
 from fernlog.operators.logs import count_of, may_hold
+from fernlog.ordering import numbered
 from fernlog.patterns import java
 
 
@@ -71,18 +72,21 @@ def pseudonymize(artifacts: DataFrame, profile: str = "standard") -> DataFrame:
     marked = artifacts.select("export", key, "path", mark("text").alias("m")).select("export", "_e", "path", "m.text", "m.found")
     each = marked.select("_e", "path", F.explode("found").alias("f")).select("_e", "path", "f.kind", "f.digest", "f.at")
     first = each.groupBy("_e", "kind", "digest").agg(F.min(F.struct(F.split("path", "/").alias("parts"), "at")).alias("first"))
-    number = F.row_number().over(Window.partitionBy("_e", "kind").orderBy("first"))
-    labels = first.select("_e", "kind", "digest", F.concat(F.upper("kind"), F.lit("_"), F.format_string("%03d", number)).alias("label"))
+    first = numbered(first, ["_e", "kind"], ["first"])
+    labels = first.select("_e", "kind", "digest", F.concat(F.upper("kind"), F.lit("_"), F.format_string("%03d", "number")).alias("label"))
     own = each.select("_e", "path", "kind", "digest").distinct().join(labels, ["_e", "kind", "digest"])
     holder = F.concat(F.upper("kind"), F.lit("_"), F.translate("digest", "0123456789", "GHIJKLMNOP"))
     own = own.groupBy("_e", "path").agg(F.map_from_entries(F.collect_list(F.struct(holder.alias("h"), "label"))).alias("labels"))
 
+    # all placeholders have one shape: each is found by it and looked up
+    holders = re.compile("(?:" + "|".join(k.upper() for k, _ in kinds_of(profile)) + ")_[A-P]{32}")
+
     @F.arrow_udf("string")
     def put(texts: pa.Array, labels: pa.Array) -> pa.Array:
         out = []
         for text, pairs in zip(texts.to_pylist(), labels.to_pylist(), strict=True):
             names = dict(pairs or [])
-            out.append(text if not names or text is None else re.sub("|".join(map(re.escape, names)), lambda m: names[m[0]], text))
+            out.append(text if not names or text is None else holders.sub(lambda m: names.get(m[0], m[0]), text))
         return pa.array(out, pa.string())
 
     # a value inside a longer match has no placeholder of its own any more, and is not counted twice

@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 
 from fernlog import patterns as P
 from fernlog.functions import scalars as S
-from fernlog.storage import exists, publish, remove
+from fernlog.storage import exists, publish, remove, small
+
+#: Sessions that may be broadcast.
+BROADCAST_SESSIONS = 1_000_000
 
 # The tables of a workspace and their columns.
 _EVIDENCE = "array<struct<artifact string, line_start bigint, line_end bigint, json_pointer string, timestamp string, excerpt string>>"
@@ -68,9 +71,26 @@ def load_workspace(spark: SparkSession, path: str, names: list[str] | None = Non
 
 
 def write_store(tables: dict[str, DataFrame], path: str) -> None:
-    """Tables by session; filters on the session then read only its files."""
+    """Tables by session; filters on the session then read only its files.
+
+    What a session had in a table before is replaced, so that a second run leaves one copy, and a run that failed can be repeated. When all
+    tables are there the sessions are entered in ``commits`` with their tables and rows; ``load_store`` only gives sessions that are.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    counts = None
     for name, df in tables.items():
-        df.write.mode("append").partitionBy("session_id").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{path}/{name}")
+        kind = df.schema["session_id"].dataType
+        own = spark.read.schema(f"session_id {kind.simpleString()}").parquet(f"{path}/{name}").groupBy("session_id").agg(F.count("*").alias("rows"))
+        own = own.join(df.select("session_id").distinct(), "session_id", "left_semi").select("session_id", F.lit(name).alias("table"), "rows")
+        counts = own if counts is None else counts.unionByName(own)
+    counts.repartition("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{path}/commits")
+
+
+def load_store(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the store: the rows of the sessions that were written whole."""
+    done = spark.read.parquet(f"{path}/commits").where(F.col("table") == name).select("session_id")
+    return spark.read.parquet(f"{path}/{name}").join(small(done, BROADCAST_SESSIONS), "session_id", "left_semi")
 
 
 def upsert_dim(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
