@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlog import patterns as P
-from fernlog.jobs import analyze
+from fernlog.jobs import analyze, analyzers
 from fernlog.operators import audit, compare, har, intelligence, inventory, logs, platform_rules, query, sanitize, search
 from fernlog.functions import scalars as S
 from fernlog.sources import readers
@@ -420,6 +420,48 @@ def analyzer_plan(spark, d):
     return inventory.plan_analyzers(_inventory(spark, d), spark.createDataFrame(P.ANALYZERS, "name string, supported array<string>"))
 
 
+_WEB_COUNTS = _rules([(r, t, s, "web", p) for r, s, t, p in P.WEB_RULES]) + f""", wl AS (SELECT * FROM platform_lines WHERE NOT contains(line, '[gc,')), wf AS (SELECT bundle_id, artifact, rule_id, count(*) AS n FROM wl JOIN rules ON regexp_matches(line, pattern) GROUP BY ALL
+ UNION ALL SELECT bundle_id, artifact, 'WEB_REPEATED_5XX', count(*) FROM wl WHERE regexp_matches(line, {_q(P.HTTP_5XX)}) GROUP BY ALL HAVING count(*) >= 5)"""
+
+
+def _analyzer_files(spark, d):
+    """Web logs and JVM logs of the derived platform lines, application logs of the derived lines, event XML of the events: every third broken."""
+    joined = lambda df: df.groupBy("bundle_id", "artifact").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    named = lambda df, like: df.select("bundle_id", F.replace("artifact", F.lit("logs/svc"), F.lit(like)).alias("path"), F.col("text").cast("binary").alias("content"))
+    # a text that holds "[gc," is a collector's log, whatever its path is
+    web = joined(_platform(spark, d).where(~F.contains("line", F.lit("[gc,"))))
+    platform, app = joined(_platform(spark, d)), joined(_lines(spark, d).where(~F.contains("line", F.lit("\0"))))
+    e = table(spark, d, "events")
+    number = F.element_at(F.array(*map(F.lit, _IDS)), (F.col("event_id") % 7).cast("int") + 1)
+    xml = F.concat(F.lit("<Event><System><EventID>"), number, F.lit("</EventID></System><EventData><Data>"), "event_type", F.lit("</Data></EventData></Event>"))
+    by = e.groupBy(F.floor(F.col("event_id") / 300).alias("b"), F.floor(F.col("event_id") / 100).alias("f")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", xml.alias("x")))), lambda x: x["x"]), "").alias("x"))
+    end = F.when(F.col("f") % 3 == 0, "").otherwise("</Events>")
+    windows = by.select(F.concat(F.lit("b"), "b").alias("bundle_id"), F.concat(F.lit("events/e"), "f", F.lit(".xml")).alias("path"), F.concat(F.lit("<Events>"), "x", end).cast("binary").alias("content"))
+    return named(web, "nginx/error").unionByName(named(platform, "gc.log/j")).unionByName(named(app, "logs/svc")).unionByName(windows)
+
+
+@query_of("analyzers_job", _with("lines", "platform_lines", more=_ERRORS_SQL + ", " + _WEB_COUNTS + f""",
+jl AS (SELECT *, lower(line) AS low, {_first('line', P.THREAD_STATE, 1)} AS state, CAST({_first('line', P.GC_PAUSE, 1)} AS DOUBLE) AS pause FROM platform_lines),
+jf AS (SELECT bundle_id, artifact, bool_or(contains(low, 'found one java-level deadlock')) OR (bool_or(contains(low, 'found a total of')) AND bool_or(contains(low, 'deadlock'))) AS dead, bool_or(contains(low, 'outofmemoryerror')) AS oom, count(*) FILTER (WHERE state = 'BLOCKED') AS blocked, count(*) FILTER (WHERE pause > 1000) AS pauses FROM jl GROUP BY ALL),
+known(event_id, rule_id) AS (VALUES """ + ", ".join(f"({e}, {_q(r)})" for e, r, *_ in P.WINDOWS_EVENTS) + """),
+ev AS (SELECT event_id // 300 AS b, event_id // 100 AS f, [""" + ", ".join(map(str, _IDS)) + """][event_id % 7 + 1] AS id FROM events),
+y AS (SELECT bundle_id, 'web' AS analyzer, rule_id AS what, 1 AS findings, n AS occurrences FROM wf
+ UNION ALL SELECT bundle_id, 'jvm', 'JVM_DEADLOCK_INDICATOR', 1, 1 FROM jf WHERE dead UNION ALL SELECT bundle_id, 'jvm', 'JVM_OUT_OF_MEMORY', 1, 1 FROM jf WHERE oom
+ UNION ALL SELECT bundle_id, 'jvm', 'JVM_BLOCKED_THREADS', 1, blocked FROM jf WHERE blocked >= 3 UNION ALL SELECT bundle_id, 'jvm', 'JVM_LONG_GC_PAUSE', 1, pauses FROM jf WHERE pauses > 0
+ UNION ALL SELECT 'b' || b, 'windows', rule_id, count(DISTINCT f), count(*) FROM ev JOIN known ON known.event_id = ev.id WHERE f % 3 <> 0 GROUP BY ALL
+ UNION ALL SELECT bundle_id, 'logs', 'PY_REPEATED_ERROR', 1, count(*) FROM (SELECT bundle_id, artifact, """ + _normal("message") + """ AS fp FROM tb WHERE level IN ('ERROR', 'CRITICAL')) GROUP BY bundle_id, artifact, fp
+ UNION ALL SELECT bundle_id, 'logs', 'PY_ERROR_BURST', 1, 5 FROM (SELECT x.bundle_id, x.artifact, x.line_no FROM e x JOIN e y ON x.bundle_id = y.bundle_id AND x.artifact = y.artifact AND y.ts >= x.ts - INTERVAL 60 SECONDS AND y.line_no <= x.line_no GROUP BY ALL HAVING count(*) = 5)
+ UNION ALL SELECT DISTINCT 'b' || b, unnest(['web', 'jvm', 'logs']), 'run completed', 1, 0 FROM ev
+ UNION ALL SELECT 'b' || b, 'windows', 'run completed' || CASE WHEN sum(broken) > 0 THEN '_with_warnings' ELSE '' END, 1, CAST(sum(broken) AS INT) FROM (SELECT DISTINCT b, f, CASE WHEN f % 3 = 0 THEN 1 ELSE 0 END AS broken FROM ev) GROUP BY b)""") + """
+SELECT bundle_id, analyzer, what, CAST(sum(findings) AS BIGINT) AS findings, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM y GROUP BY ALL""")
+def analyzers_job(spark, d):
+    t = analyzers.run_analyzers(_analyzer_files(spark, d))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    found = t["findings"].select("bundle_id", "analyzer", F.col("rule_id").alias("what"), one.alias("findings"), "occurrences")
+    runs = t["runs"].select("bundle_id", F.col("name").alias("analyzer"), F.concat(F.lit("run "), "status").alias("what"), one.alias("findings"), (zero + F.size("warnings")).alias("occurrences"))
+    return found.unionByName(runs).groupBy("bundle_id", "analyzer", "what").agg(F.sum("findings").alias("findings"), F.sum("occurrences").alias("occurrences"))
+
+
 @query_of("bundle_warnings", _with("artifacts", more=_INVENTORY) + f""", r AS (SELECT bundle_id, path, {_ROUTE} AS route FROM i),
 w AS (SELECT bundle_id, list(path || ': HAR file is malformed' ORDER BY path) AS own FROM r WHERE path LIKE '%/trace.har' GROUP BY ALL),
 g AS (SELECT bundle_id, count(*) AS artifacts, list('nested archive ' || path || ' was indexed but not extracted' ORDER BY path) FILTER (WHERE route = 'nested-archive') AS nested, count(*) FILTER (WHERE route = 'log') AS logs, count(*) FILTER (WHERE route = 'har') AS hars FROM r GROUP BY ALL)
