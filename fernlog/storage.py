@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,8 +61,14 @@ def publish(spark: SparkSession, staging: str, path: str) -> None:
         raise OSError(f"cannot publish {path}")
 
 
-#: Scratch tables that are there, in the order in which they were made.
-_made: list[str] = []
+class _Made(threading.local):
+    """Scratch tables that are there, in the order in which they were made: a list for each thread, as jobs of one driver run in threads."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def stored(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
@@ -71,7 +78,7 @@ def stored(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     """
     path = scratch(df.sparkSession, what)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    _made.append(path)
+    _made.paths.append(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
     found._scratch = path
     return found
@@ -81,21 +88,22 @@ def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing needs any more."""
     for t in tables:
         remove(t.sparkSession, t._scratch)
-        _made.remove(t._scratch)
+        if t._scratch in _made.paths:
+            _made.paths.remove(t._scratch)
 
 
 def made() -> int:
-    """How many scratch tables there are."""
-    return len(_made)
+    """How many scratch tables this thread has made that are there."""
+    return len(_made.paths)
 
 
 def keep_only(spark: SparkSession, since: int, *tables: DataFrame) -> None:
-    """Delete the scratch tables made after ``since`` of them, but for ``tables``."""
+    """Delete the scratch tables that this thread made after ``since`` of them, but for ``tables``."""
     kept = [t._scratch for t in tables]
-    for path in _made[since:]:
+    for path in _made.paths[since:]:
         if path not in kept:
             remove(spark, path)
-    _made[since:] = kept
+    _made.paths[since:] = kept
 
 
 def small(df: DataFrame, most: int) -> DataFrame:

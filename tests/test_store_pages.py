@@ -77,3 +77,28 @@ def test_numbers_equal_a_window(spark):
     assert numbered(df.drop("_part").limit(0), ["g", "h"], ["k"]).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan or "windowspecdefinition(g#" not in plan
+
+
+def test_a_job_deletes_its_own_tables_only(spark):
+    import threading
+
+    from fernlog.storage import exists, keep_only, made, stored
+
+    seen = {}
+
+    def job(name):
+        before = made()
+        table = stored(spark.range(3), name)
+        barrier.wait()
+        if name == "a":
+            keep_only(spark, before)
+        barrier.wait()
+        seen[name] = exists(spark, table._scratch)
+
+    barrier = threading.Barrier(2, timeout=60)
+    threads = [threading.Thread(target=job, args=(n,)) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert seen == {"a": False, "b": True}
