@@ -75,16 +75,12 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     written to the shared folder. Returns ``node`` and ``root`` for nodes other than the roots themselves. Self-loops
     and repeated edges are allowed; edges with a null end are ignored.
     """
-    spark = edges.sparkSession
-
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
 
     a, b = F.col(u), F.col(v)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct()
-    path = scratch(spark, "links")
-    e.write.parquet(path)
-    e = spark.read.schema(e.schema).parquet(path)
+    e = stored(e, "links")
     seen = state(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -92,12 +88,9 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
         large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         near = large.join(low, F.col("u") == F.col("k")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = near.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        new = scratch(spark, "links")
-        small.write.parquet(new)
-        remove(spark, path)
-        e, path = spark.read.schema(small.schema).parquet(new), new
-        now = state(e)
+        new = stored(near.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "links")
+        discard(e)
+        e, now = new, state(new)
         if now == seen:
             break
         seen = now

@@ -14,6 +14,8 @@ from fernlog.llm.common import fold, stored, words
 RUN, LEAST = r"[A-Za-z0-9_+/=.:@\-]{12,}", 12
 #: A value that an assignment or key word introduces: any characters but quotes and commas, at least SHORT.
 VALUE, SHORT = r"[^\s\"'`,]{4,}", 4
+#: Log-probability of a pair that isn't two letters, or isn't in the dictionary.
+UNKNOWN = -8.0
 #: Labelled findings that the forest is fitted on, at most about; those planted in a context for either label; entries of the dictionary, at most.
 SAMPLE, PLANTS, DICTIONARY = 20_000, 4, 50_000
 # Words beside a candidate that speak for or against a secret.
@@ -23,8 +25,13 @@ AGAINST = "sha1|sha256|md5|commit|checksum|isbn|uuid|version|example|http|www|ma
 FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]+\.[\w-]+\.[\w-]*)$"
 # The same inside a word.
 FORMAT = f"(?<![A-Za-z0-9_])({FORMATS[2:-2]})(?![A-Za-z0-9_])"
-# An assignment inside a word (values may overlap), and the end of a word that introduces the next one.
-ASSIGNED = rf"(?<![A-Za-z0-9_.\-\]])([0-9_.\-\]]*+[A-Za-z][A-Za-z0-9_.\-\]]*+)[\"'`]?[=:]++(?!//)[\"'`]?(?=({VALUE}))"
+# An assignment inside a word: its value goes up to the next one that "&", ";", "?", "#", "|" or a bracket introduces, so that a list of them has values that don't overlap.
+KEY = r"[0-9_.\-\]]*+[A-Za-z][A-Za-z0-9_.\-\]]*+"
+NEXT = r"[&;?#|(){}<>\[][0-9_.\-]*+[A-Za-z][A-Za-z0-9_.\-]*+[\"'`]?[=:](?!//)"
+ASSIGNED = rf"(?<![A-Za-z0-9_.\-\]])({KEY})[\"'`]?[=:]++(?!//)[\"'`]?((?:(?!{NEXT})[^\s\"'`,]){{4,}}+)"
+# One inside such a value: its own value ends at the next sign of an assignment.
+INNER = rf"(?<![A-Za-z0-9_.\-\]])({KEY})[=:]++(?!//)(?=([^\s\"'`,=:]{{4,}}+))"
+# The end of a word that introduces the next one.
 INTRODUCES = rf"(?i)[=:][\"'`]?$|(^|[^a-z])({FOR})[\"'`]?$|^KEY-----$"
 FEATURES = ["length", "digits", "upper", "lower", "symbols", "hex", "kinds_change", "case_change", "distinct", "transitions", "coverage", "longest_word", "slashes", "dots", "path", "extension", "at_signs", "url", "assigned", "near_for", "near_against", "quoted"]
 
@@ -64,14 +71,18 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.struct(key.alias("key"), _trimmed(value).alias("candidate"))
 
     every = lambda pattern, group: F.regexp_extract_all("word", F.lit(pattern), F.lit(group))
-    assigned = F.transform(F.arrays_zip(every(ASSIGNED, 1).alias("k"), every(ASSIGNED, 2).alias("v")), lambda x: kept(x["k"], x["v"]))
+    zipped = lambda x, pattern: F.arrays_zip(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(x, F.lit(pattern), F.lit(2)).alias("v"))
+    assigned = F.transform(zipped(F.col("word"), ASSIGNED), lambda x: kept(x["k"], x["v"]))
+    inner = F.transform(F.flatten(F.transform(every(ASSIGNED, 2), lambda v: zipped(v, INNER))), lambda x: kept(x["k"], x["v"]))
     whole = F.regexp_extract("word", rf"^[\"'`(\[{{<]*({VALUE})", 1)
     after = F.when(F.col("introduced") & (whole != ""), F.array(kept(F.lit(""), whole))).otherwise(F.array())
     formats = F.transform(every(FORMAT, 1), lambda x: F.struct(F.lit("").alias("key"), x.alias("candidate")))
     runs = F.filter(F.transform(every(f"({RUN})", 1), of_run), lambda x: (F.length(x["candidate"]) >= LEAST) & x["candidate"].rlike("[0-9]"))
-    found = found.withColumn("all", F.concat(assigned, after, formats, runs))
-    once = F.filter("all", lambda x, i: F.array_position(F.transform("all", lambda y: y["candidate"]), x["candidate"]) == i + 1)
-    parts = found.select("*", F.posexplode(once).alias("part", "c"))
+    # of equal candidates the first stays: they lie side by side in the order of their texts
+    placed = F.transform(F.concat(assigned, inner, after, formats, runs), lambda x, i: F.struct(x["candidate"].alias("candidate"), i.alias("i"), x["key"].alias("key")))
+    found = found.withColumn("all", F.array_sort(placed))
+    once = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["candidate"] != x["candidate"]))
+    parts = found.select("*", F.posexplode(F.array_sort(F.transform(once, lambda x: F.struct(x["i"].alias("i"), x["key"].alias("key"), x["candidate"].alias("candidate"))))).alias("part", "c"))
     return parts.select("doc_id", "word_no", "part", F.col("c.key").alias("key"), F.col("c.candidate").alias("candidate"), "before", "after", F.col("word").rlike("[\"'`]").cast("int").alias("quoted"))
 
 
@@ -89,19 +100,21 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY) -> DataFrame:
     return stored(counts.where(F.col("c") >= least).select("entry", "c"), "dictionary")
 
 
-def _transitions(entries: DataFrame) -> DataFrame:
-    """Log-probabilities of a character given the one before, in the dictionary's words by their counts; at most 26 x 26."""
+def _transitions(entries: DataFrame) -> Column:
+    """Log-probabilities of a letter given the one before, in the dictionary's words by their counts: an array of 26 x 26 numbers."""
     pairs = entries.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.length("entry") - 1), lambda i: F.substr("entry", i, F.lit(2)))).alias("pair"))
     pairs = pairs.groupBy("pair").agg(F.sum("c").alias("n"))
     firsts = pairs.groupBy(F.substring("pair", 1, 1).alias("a")).agg(F.sum("n").alias("all"))
     joined = pairs.join(firsts, F.substring("pair", 1, 1) == F.col("a"))
-    return stored(joined.select("pair", F.ln((F.col("n") + 1) / (F.col("all") + 36)).alias("lp")), "transitions")
+    place = (F.ascii("pair") - 97) * 26 + F.ascii(F.substring("pair", 2, 1)) - 97
+    held = {r.i: r.lp for r in joined.select(place.alias("i"), F.ln((F.col("n") + 1) / (F.col("all") + 36)).alias("lp")).collect()}
+    return F.array(*[F.lit(held.get(i, UNKNOWN)) for i in range(26 * 26)])
 
 
 def features(found: DataFrame, entries: DataFrame) -> DataFrame:
     """``found`` (candidates with a unique ``row``) with the columns FEATURES.
 
-    The dictionary has at most DICTIONARY entries and there are at most 26 x 26 transitions: both are broadcast.
+    The dictionary has at most DICTIONARY entries, which are broadcast, and there are 26 x 26 transitions, which are a constant of the plan.
     """
     c = F.col("candidate")
     base = found.select(
@@ -129,11 +142,15 @@ def features(found: DataFrame, entries: DataFrame) -> DataFrame:
     runs = found.select("row", F.length("candidate").alias("of"), F.explode(F.regexp_extract_all(low, F.lit("([a-z]{3,})"), 1)).alias("run"))
     covered = runs.join(F.broadcast(entries.select("entry")), F.col("run") == F.col("entry"))
     covered = covered.groupBy(F.col("row").alias("_r1")).agg((F.sum(F.length("run")) / F.first("of")).alias("_covered"), F.max(F.length("run")).alias("_longest"))
-    pairs = found.select("row", F.explode(F.transform(F.sequence(F.lit(1), F.length("candidate") - 1), lambda i: F.substr(low, i, F.lit(2)))).alias("pair"))
-    rated = pairs.join(F.broadcast(_transitions(entries)).withColumnRenamed("pair", "_pair"), F.col("pair") == F.col("_pair"), "left")
-    rated = rated.groupBy(F.col("row").alias("_r2")).agg(F.avg(F.coalesce("lp", F.lit(-8.0))).alias("_lp"))
-    out = base.join(covered, F.col("row") == F.col("_r1"), "left").join(rated, F.col("row") == F.col("_r2"), "left")
-    out = out.withColumns({"coverage": F.coalesce("_covered", F.lit(0.0)), "longest_word": F.coalesce("_longest", F.lit(0)), "transitions": F.coalesce("_lp", F.lit(-8.0))})
+    # letters as numbers, once for a candidate; a pair's place in the array is found without a search
+    codes = F.transform(F.split(low, ""), lambda x: F.ascii(x) - 97)
+    base, rated = base.withColumn("_codes", codes), _transitions(entries)
+    letter = lambda x: (x >= 0) & (x < 26)
+    pairs = F.zip_with("_codes", F.slice("_codes", 2, F.greatest(F.length("candidate"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.when(letter(a) & letter(b), F.get(rated, a * 26 + b)).otherwise(UNKNOWN)))
+    total = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    base = base.withColumn("transitions", F.when(F.length("candidate") > 1, total / (F.length("candidate") - 1)).otherwise(UNKNOWN)).drop("_codes")
+    out = base.join(covered, F.col("row") == F.col("_r1"), "left")
+    out = out.withColumns({"coverage": F.coalesce("_covered", F.lit(0.0)), "longest_word": F.coalesce("_longest", F.lit(0))})
     return out.select(*found.columns, *[F.col(f).cast("double") for f in FEATURES if f != "quoted"])
 
 
