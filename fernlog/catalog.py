@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fernlog import patterns as P
 from fernlog.jobs import analyze, analyzers
-from fernlog.operators import audit, compare, har, intelligence, inventory, logs, platform_rules, query, sanitize, search
+from fernlog.operators import audit, compare, har, intelligence, inventory, logs, platform_rules, query, sanitize, schema, search
 from fernlog.functions import scalars as S
 from fernlog.sources import readers
 from fernlog.storage import scratch
@@ -939,3 +939,35 @@ SELECT tab AS "table", rule, CAST(checked AS BIGINT) AS checked, CAST(CASE WHEN
 def workspace_audit(spark, d):
     t = analyze.analyze_artifacts(_bundle_files(spark, d))
     return audit.audit_workspace({name: t[name] for name in _AUDITED})
+
+
+# ---- records against a schema ----
+
+_RECORD = {
+    "type": "object", "additionalProperties": False, "required": ["id", "rule", "severity", "evidence"],
+    "properties": {
+        "id": {"type": "string", "minLength": 1}, "rule": {"type": "string", "pattern": "^[A-Z0-9_]+$", "maxLength": 12}, "severity": {"enum": list(P.SEVERITIES)}, "score": {"type": "number", "maximum": 90},
+        "evidence": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["artifact"], "properties": {"artifact": {"type": "string"}, "line": {"type": "integer", "minimum": 1}}}},
+    },
+}
+# which events break which rule
+_BREAKS = {
+    "$: json": "event_id % 29 = 0", "$: required id": "event_id % 13 = 0", "$.id: minLength": "event_id % 13 <> 0 AND event_id % 11 = 0", "$.rule: pattern": "event_id % 7 = 0", "$.rule: maxLength": "event_id % 5 = 0",
+    "$.severity: enum": "event_id % 9 = 0", "$.score: type": "event_id % 23 = 0", "$.score: maximum": "event_id % 23 <> 0 AND value > 90", "$.evidence: minItems": "event_id % 17 = 0",
+    "$.evidence[*]: required artifact": "event_id % 17 <> 0 AND event_id % 4 = 0", "$.evidence[*].line: minimum": "event_id % 17 <> 0 AND event_id % 6 = 0", "$.evidence[*].line: type": "event_id % 17 <> 0 AND event_id % 10 = 3", "$: additionalProperties": "event_id % 19 = 0",
+}
+_HOLD = ["$: type", "$: required rule", "$: required severity", "$: required evidence", "$.id: type", "$.rule: type", "$.evidence: type", "$.evidence[*]: type", "$.evidence[*].artifact: type"]
+
+
+@query_of("schema_audit", "WITH r(rule, broken) AS (" + " UNION ALL ".join(f"SELECT {_q(n)}, count(*) FILTER ({'' if n == '$: json' else 'event_id % 29 <> 0 AND '}{c}) FROM events" for n, c in _BREAKS.items()) + " UNION ALL " + " UNION ALL ".join(f"SELECT {_q(n)}, 0" for n in _HOLD) + ") SELECT rule, (SELECT count(*) FROM events) AS checked, CAST(broken AS BIGINT) AS broken FROM r")
+def schema_audit(spark, d):
+    """JSON records of the events, some of which break a rule, against their schema."""
+    e = table(spark, d, "events")
+    n = lambda k: F.col("event_id") % k == 0
+    line = F.when(n(6), "0").when(F.col("event_id") % 10 == 3, "1.5").otherwise("3")
+    one = F.concat(F.lit('{"line": '), line, F.when(n(4), "").otherwise(', "artifact": "a"'), F.lit("}"))
+    text = F.concat(
+        F.lit("{"), F.when(n(13), "").when(n(11), '"id": "", ').otherwise('"id": "x", '), F.lit('"rule": "'), F.when(n(7), "low").otherwise("RULE_1"), F.when(n(5), "_VERY_LONG_NAME").otherwise(""), F.lit('", "severity": "'), F.when(n(9), "odd").otherwise("high"),
+        F.lit('", "score": '), F.when(n(23), '"many"').otherwise(F.col("value").cast("string")), F.when(n(19), ', "more": null').otherwise(""), F.lit(', "evidence": ['), F.when(n(17), "").otherwise(F.concat(F.lit('{"line": 2, "artifact": "b"}, '), one)), F.when(n(29), "]").otherwise("]}"),
+    )
+    return schema.check_json(e.select(text.alias("record")), "record", _RECORD)
