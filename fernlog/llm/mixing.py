@@ -56,17 +56,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return by.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, by_text: bool = False) -> DataFrame:
     """How often each document is taken so that sources meet their target shares of words.
 
     ``docs`` has doc_id, text, source and may have any other columns. Returns the struct ``_row`` of the input's
     columns, size (words), source_size, target (of the source), rate, copies = floor(rate), plus one more copy with
-    probability rate - floor(rate), drawn from a hash of the seed and doc_id.
+    probability rate - floor(rate), drawn from a hash of the seed and doc_id, and with ``by_text`` of the text as well, so that
+    documents with null or repeated ids draw apart too.
 
     Null or empty texts have size 0. A null source is a source of its own and the last. A null doc_id draws as an
-    empty id. Repeated rows draw alike. A source without words has rate 0. An empty table gives an empty table.
+    empty id. Repeated rows draw alike; without ``by_text`` so do all rows of one id, which then may miss their source's target. A source without words has rate 0. An empty table gives an empty table.
     """
-    base = docs.select(packed(docs), F.col("doc_id").alias("id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    drawn = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))) if by_text else F.col("doc_id")
+    base = docs.select(packed(docs), F.col("doc_id").alias("id"), _unit(drawn, seed).alias("unit"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     targets = stored(source_targets(base.select("source", "size"), weights, most), "targets")
     side = targets.withColumnRenamed("source", "_source")
     if side.count() <= BROADCAST_SOURCES:
@@ -74,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = base.join(side, F.col("source").eqNullSafe(F.col("_source"))).withColumn("rate", rate)
     whole = F.floor("rate")
-    copies = whole + F.when(_unit(F.col("id"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    copies = whole + F.when(F.col("unit") < F.col("rate") - whole, 1).otherwise(0)
     return joined.select("_row", F.col("id").alias("doc_id"), "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
 
 

@@ -54,6 +54,15 @@ def test_targets_and_copies(spark, seed):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_documents_of_one_id_draw_apart_by_their_texts(spark):
+    rows = [(None, f"w{k} b c", "a" if k < 60 else "b") for k in range(90)] + [(7, f"v{k} b c", "c") for k in range(110)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = {}
+    for r in mixing.mix(docs, by_text=True).collect():
+        taken.setdefault((r._row.source, r.target), []).append(r.size * r.copies)
+    assert len(taken) == 3 and all(abs(sum(n) - target) < 0.2 * target for (_, target), n in taken.items())
+
+
 def test_placement_keeps_bounds_and_goes_clockwise():
     points, owners = sharding.ring(5, 8)
     assert points == sorted(points) and sorted(owners) == sorted(list(range(5)) * 8)

@@ -57,7 +57,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert c.columns == columns and rows(c, "doc_id") == [x for x in kept if x[0] not in bad]
 
     d = stage["mixing"](spark, c, sf_dir).cache()
-    copies = {r.doc_id: r.copies for r in mixing.mix(c).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.mix(c, by_text=True).collect()}
     assert d.columns == columns and rows(d, "doc_id") == sorted([(i,) for i, n in copies.items() for _ in range(n)], key=repr)
 
     e = stage["sharding"](spark, d, sf_dir).collect()
