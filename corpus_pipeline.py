@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source of its own. Which documents get one copy more follows from a hash of their id and text, so that reruns
     agree, and repeated rows with the same id and text share it. A document without words is repeated like any other of its source.
     """
-    return mixing.emit(mixing.mix(docs))
+    return mixing.emit(mixing.mix(docs, by_text=True))
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
