@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fernlog import patterns as P
 from fernlog.functions import scalars as S
 from fernlog.patterns import java
+from fernlog.storage import stored
 
 K = ["bundle_id", "artifact"]
 #: Bytes of a line with which its file can't be read.
@@ -272,8 +273,11 @@ def sort_findings(findings: DataFrame) -> DataFrame:
 
 
 def sort_timeline(timeline: DataFrame) -> DataFrame:
-    """By time, then artifact, then line."""
-    return timeline.orderBy("ts", "artifact", "line_no")
+    """By time, then artifact, then line.
+
+    A sort into ranges looks at its input twice; the events are stored first, so that lines are parsed once.
+    """
+    return stored(timeline, "timeline").orderBy("ts", "artifact", "line_no")
 
 
 def failed_files(lines: DataFrame, most: int = LONGEST) -> DataFrame:
