@@ -13,6 +13,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -194,7 +195,8 @@ _HELD = 4 << 20
 
 def _opened(path: str) -> BinaryIO:
     """A file as a stream with seeks, from any store that Arrow knows."""
-    store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    # Spark's paths are as people write them
+    store, inner = fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", path), safe="/:@?=&"))
     return store.open_input_file(inner)
 
 
