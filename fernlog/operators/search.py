@@ -121,9 +121,12 @@ def index_findings(findings: DataFrame, keys: tuple[str, ...] = ("bundle_id", "i
     return each.select(*keys, term, "place", weight.alias("w")).groupBy(*keys, "term").agg((F.sum("w") / 100).alias("weight"), F.sort_array(F.collect_list("place")).alias("positions"))
 
 
-def write_search_index(findings: DataFrame, path: str) -> None:
-    """The index as Parquet by bundle, in the order of terms, so that a search reads a bundle's few row groups that may hold its terms."""
-    index_findings(findings).repartition("bundle_id").sortWithinPartitions("bundle_id", "term", "id").write.partitionBy("bundle_id").parquet(path)
+def write_search_index(findings: DataFrame, path: str, folders: bool = True) -> None:
+    """The index as Parquet in the order of bundles and terms inside its files, so that a search reads a bundle's few row groups that may hold its
+    terms. Each bundle has a folder; without ``folders``, for many bundles, the number of files follows the rows instead, and
+    the files' statistics tell where a bundle is."""
+    rows = index_findings(findings).repartition("bundle_id").sortWithinPartitions("bundle_id", "term", "id")
+    (rows.write.partitionBy("bundle_id") if folders else rows.write).parquet(path)
 
 
 @dataclass
