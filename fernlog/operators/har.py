@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from fernlog import patterns as P
 from fernlog.functions import scalars as S
-from fernlog.operators.logs import K
-from fernlog.patterns import java
+from fernlog.operators.logs import K, count_of
 
 SLOW_MS = 2000
 
@@ -44,17 +43,14 @@ def har_privacy(entries: DataFrame, kinds: list[tuple[str, str]] = P.STRICT_KIND
     """Sensitive header names, matches in header values and URLs, and requests with a body or cookies, by file and kind."""
     names = ["authorization", "cookie", "set-cookie", "x-api-key"]
 
-    def count(text, p):
-        return F.coalesce(F.regexp_count(text, F.lit(java(p))), F.lit(0))
-
     def named(n):
         return F.size(F.filter("headers", lambda h: F.lower(h["name"]) == n)).alias(n)
 
-    def of_headers(p):
-        return F.aggregate("headers", F.lit(0), lambda acc, h: acc + count(h["value"], p))
+    def of_headers(k, p):
+        return F.aggregate("headers", F.lit(0), lambda acc, h: acc + count_of(h["value"], k, p))
 
     of_name = [named(n) for n in names]
-    of_kind = [(of_headers(p) + count(F.col("url"), p)).alias(k) for k, p in kinds]
+    of_kind = [(of_headers(k, p) + count_of(F.col("url"), k, p)).alias(k) for k, p in kinds]
     columns = [*names, *[k for k, _ in kinds], "request_or_cookie_body"]
     rows = entries.select(*K, *of_name, *of_kind, F.col("has_body").cast("int").alias("request_or_cookie_body"))
     each = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(f"`{c}`").alias("n")) for c in columns])
