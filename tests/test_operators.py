@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from fernlog.jobs.analyze import analyze
 from fernlog.operators import audit, compare, har, inventory, logs, platform_rules, query, sanitize
 from fernlog.operators.registry import Registry
+from fernlog import testlines
 from fernlog.sources import readers, store
+from fernlog.storage import stored
 
 
 def lines_of(spark, *texts):
@@ -236,3 +238,14 @@ def test_streams(spark, tmp_path):
     progress = spark.readStream.schema("session_id int, sequence int, stage string").json(f"file://{tmp_path}/ev")
     assert {r.session_id: (r.stage, r.ended) for r in run(jobs.stream_sessions(progress), "t4", "complete")} == {1: ("completed", True), 2: ("running", False)}
     assert datetime(2026, 8, 1, 10) in {r.ts for r in spark.table("t1").collect()}
+
+
+def test_entries_are_shuffled_by_their_windows_alone(spark, sf_dir, monkeypatch):
+    """Stored entries aren't dealt out again behind the window that numbers them, and the audit shuffles neither names nor modes, once for both windows."""
+    seen = []
+    monkeypatch.setattr(testlines, "stored", lambda df, name: (seen.append(df), stored(df, name))[1])
+    entries = testlines.derived(spark, sf_dir + "/", "entries")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(seen[0]).count("Exchange") == 1
+    audited = plan(inventory.audit_entries(entries))
+    assert audited.count("Exchange") == 1 and "mode#" not in audited[: audited.index("Exchange")]
