@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import zlib
@@ -123,6 +122,27 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16_384, chu
     discard(base, same)
 
 
+def inflate(data: bytes, step: int = 1 << 13) -> bytes:
+    """The content of all gzip members of ``data``; zero bytes may fill its end.
+
+    It is fed in steps, so that what follows a member is copied once a step and not once for each member before it.
+    """
+    at, out, size = 0, [], len(data)
+    view, member = memoryview(data), zlib.decompressobj(31)
+    while at < size:
+        part = view[at : at + step]
+        out.append(member.decompress(part))
+        at += len(part)
+        if member.eof:
+            at -= len(member.unused_data)
+            while at < size and not view[at]:
+                at += 1
+            if at == size:
+                return b"".join(out)
+            member = zlib.decompressobj(31)
+    raise EOFError("the archive ends inside a gzip member")
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower-case names) and block of each record of an archive, by the declared lengths."""
     at, size = 0, len(data)
@@ -156,19 +176,22 @@ def _number(urn: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], segments: bool) -> Iterator[pa.RecordBatch]:
+    """The segments of records, or the records that are whole."""
     names = [x.split()[0] for x in _READ.split(", ")]
     kinds = {"page_id": pa.int64(), "segment": pa.int32(), "total": pa.int64(), "block": pa.binary(), "payload": pa.binary()}
     for batch in batches:
         for content in batch.column(0):
             data = content.as_py()
             rows = []
-            for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for head, block in parse(inflate(data) if data[:2] == b"\x1f\x8b" else data):
+                if segments != (head["warc-type"] != "revisit" and "warc-segment-number" in head):
+                    continue
                 name, digest = head["warc-record-id"], head.get("warc-payload-digest", "").removeprefix("sha1:") or None
                 row = dict.fromkeys(names) | {"page_id": _number(name), "record_type": head["warc-type"], "name": name, "digest": digest, "status": "ok"}
                 if head["warc-type"] == "revisit":
                     row["refers"] = head.get("warc-refers-to")
-                elif "warc-segment-number" in head:
+                elif segments:
                     total = head.get("warc-segment-total-length")
                     row |= {"origin": head.get("warc-segment-origin-id", name), "segment": int(head["warc-segment-number"]), "total": int(total) if total else None, "block": block}
                 else:
@@ -212,9 +235,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     sequence of records fails the read. An empty folder of archives gives no rows.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    found = files.mapInArrow(_read, _READ)
-    # the whole records are parsed and passed on where they are; only segments are shuffled
-    parts = found.where("segment IS NOT NULL").groupBy("origin").agg(
+    # the whole records are unpacked and passed on where they are; only segments are shuffled, by a look at the files that gives nothing else
+    parts = files.mapInArrow(lambda b: _read(b, True), _READ).groupBy("origin").agg(
         F.max(F.when(F.col("segment") == 1, F.col("page_id"))).alias("page_id"),
         F.max("digest").alias("digest"),
         F.max("total").alias("total"),
@@ -224,7 +246,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = parts.mapInArrow(_assemble, "page_id bigint, digest string, payload binary, status string, name string")
     columns = ["page_id", "record_type", "name", "refers", "digest", "payload", "status"]
     whole = whole.withColumns({"record_type": F.lit("response"), "refers": F.lit(None).cast("string")})
-    return found.where("segment IS NULL").select(columns).unionByName(whole.select(columns))
+    found = files.mapInArrow(lambda b: _read(b, False), _READ)
+    return found.select(columns).unionByName(whole.select(columns))
 
 
 def page_records(pages: DataFrame) -> DataFrame:

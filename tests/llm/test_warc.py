@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import time
 import zlib
 
 import pytest
@@ -106,3 +108,31 @@ def test_empty_and_repeated(spark):
     assert warc.page_records(df.where(F.lit(False))).count() == 0
     twice = warc.page_records(df.where("page_id in (1, 3)").union(df.where("page_id in (1, 3)"))).collect()
     assert sorted((r.page_id, r.record_type, r.payload_bytes) for r in twice) == [(1, "response", 5)] * 2 + [(3, "revisit", 5)] * 2
+
+
+def test_members_are_inflated_in_step_with_the_file():
+    """Many small members, a large one, empty ones and zeros at the end, as gzip reads them, in a time that doesn't grow with the square."""
+    member = zlib.compress(b"x" * 200, 4, 31)
+    odd = b"".join([member, zlib.compress(b"", 9, 31), zlib.compress(bytes(range(256)) * 4_000, 0, 31), member, bytes(9)])
+    assert warc.inflate(odd) == gzip.decompress(odd) and warc.inflate(member[:-1] + member[-1:]) == b"x" * 200
+    for bad in (odd[:100], member + b"junk", member[:-1]):
+        with pytest.raises((EOFError, zlib.error)):
+            warc.inflate(bad)
+    assert warc.inflate(b"".join([member] * 3)) == b"x" * 600
+
+    def seconds(n):
+        start = time.process_time()
+        assert len(warc.inflate(member * n)) == 200 * n
+        return time.process_time() - start
+
+    assert seconds(80_000) < 25 * max(seconds(8_000), 0.02)
+
+
+def test_only_segments_are_shuffled(spark, tmp_path):
+    """The look at the files for segments hands on no whole record, and that for whole ones no segment."""
+    path = tmp_path / "archives"
+    warc.write_archives(pages(spark), f"file://{path}", segment_bytes=700)
+    files = spark.read.format("binaryFile").load(f"file://{path}").select("content")
+    found = {s: files.mapInArrow(lambda b, s=s: warc._read(b, s), warc._READ).collect() for s in (True, False)}
+    assert all(r.segment for r in found[True]) and not any(r.segment for r in found[False])
+    assert len(found[True]) > 100 and {r.record_type for r in found[False]} == {"response", "revisit"}
