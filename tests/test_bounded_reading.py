@@ -42,6 +42,27 @@ def test_numbers_hold_when_files_are_packed_otherwise(spark, tmp_path, packing):
         assert max(Counter((r.artifact, r.line_no) for r in rows).values()) == 1
 
 
+def test_collected_lines_are_few_files_and_keep_their_numbers(spark, tmp_path, packing):
+    """Many small artifacts make no file each, a long one goes on in other files, and names and texts come back as they are."""
+    names = [*((f"b{k % 7}", f"logs/a{k}.log") for k in range(300)), (None, "tab\t and\nline"), ("", None), ("b%7E~", "é/\"x\".log")]
+    small = [(*name, i, f"\t{name} {i}" if i % 4 else "") for name in names for i in range(1, 4)]
+    long = [("b3", "logs/long.log", i, f"line {i}" + "\r" * (i % 2)) for i in range(1, 20_001)]
+    schema = "bundle_id string, artifact string, line_no bigint, line string"
+    lines = spark.createDataFrame(small + long, schema).repartition(5)
+    path, few = tmp_path / "logs", "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(few)
+    spark.conf.set(few, "false")
+    readers.write_collected(lines, f"file://{path}")
+    spark.conf.set(few, old)
+    files = list(path.glob("part-*"))
+    assert sum(b"logs/long.log" in f.read_bytes() for f in files) > 1
+    assert len(files) < 100 and not [f for f in path.iterdir() if f.is_dir()]
+    want = Counter([*small, *((*r[:3], r[3].rstrip("\r")) for r in long)])
+    for most, cost in (("4k", "0"), ("128m", "4m")):
+        packing(most, cost)
+        assert Counter(map(tuple, readers.read_collected(spark, f"file://{path}").collect())) == want
+
+
 def zipped(files, kind=zipfile.ZIP_DEFLATED):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", kind) as z:
