@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,10 @@ APART, APART_64 = 0.25, 23
 BROADCAST_ROWS = 500_000
 #: With how many of those that follow it among a variant's fingerprints, by nearness, one may be linked first.
 AHEAD = 4
+#: Bits of a set's sketch, in words of 64. Sets above SKETCHED hashes are sketched by a sample, whose test a pair at the threshold
+#: fails no oftener than one outside so many standard deviations.
+SKETCH, SKETCHED, DEVIATIONS = 4, 400, 5
+WORDS = [f"word{k}" for k in range(SKETCH)]
 
 
 def simhash(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -176,8 +180,38 @@ def local_forest(values: np.ndarray, checks: np.ndarray, room: np.ndarray, bits:
     return a[kept], b[kept]
 
 
-def apart_pairs(values: np.ndarray, checks: np.ndarray, roots: np.ndarray, room: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (a, b) of places with different roots that share a variant and whose checks are near."""
+def _level(sizes: np.ndarray) -> np.ndarray:
+    """Of a set of so many hashes those go into its sketch whose last so many bits are zero."""
+    return np.ceil(np.log2(np.maximum(sizes, SKETCHED) / SKETCHED)).astype(np.int64)
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """For each leading byte of a hash whether the set has an odd number of such hashes."""
+    some = found[found & np.uint64((1 << int(_level(np.array(len(found))))) - 1) == 0]
+    odd = np.bincount((some >> np.uint64(56)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd).view(">u8").astype(np.uint64)
+
+
+def may_reach(sizes: np.ndarray, sketches: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs (a, b) of places may have the similarity, by the sizes and sketches of their sets.
+
+    Two sets at the threshold have at most (1 - t) / (1 + t) of both sizes in hashes that only one of them has. A bit that differs stands
+    for one such hash at least, so that sets of at most SKETCHED hashes are told apart without error. Of sampled ones the differing bits
+    are as good as binomial; sets sampled at different rates aren't told apart.
+    """
+    x, y = sizes[a], sizes[b]
+    ok, level, bits = np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-6, _level(x), 64 * SKETCH
+    gap = (x + y) * (1 - threshold) / (1 + threshold)
+    odd = (1 - np.exp(-2 * gap / 2.0**level / bits)) / 2
+    most = np.where(level == 0, gap, bits * odd + DEVIATIONS * np.sqrt(bits * odd * (1 - odd))) + 1e-6
+    apart = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in sketches)
+    return ok & ((apart <= most) | (level != _level(y)))
+
+
+def apart_pairs(
+    values: np.ndarray, checks: np.ndarray, roots: np.ndarray, room: np.ndarray, bits: int, may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a, b) of places with different roots that share a variant, whose checks are near and that ``may`` leaves."""
     n, found = len(values), [np.zeros(0, np.int64)]
     for at, o in _meetings(values, np.arange(n), room, bits):
         order = np.lexsort((roots[o], at))
@@ -194,7 +228,11 @@ def apart_pairs(values: np.ndarray, checks: np.ndarray, roots: np.ndarray, room:
             j = end[i] - (cum[i] - pair)
             a, b = o[i], o[j]
             ok = np.bitwise_count(checks[a] ^ checks[b]) <= APART_64
-            found.append(np.unique(np.minimum(a[ok], b[ok]).astype(np.int64) * n + np.maximum(a[ok], b[ok])))
+            a, b = a[ok], b[ok]
+            if may:
+                ok = may(a, b)
+                a, b = a[ok], b[ok]
+            found.append(np.unique(np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b)))
     codes = np.unique(np.concatenate(found))
     return codes // max(n, 1), codes % max(n, 1)
 
@@ -295,7 +333,7 @@ def pieces_of(texts: int, apart: float = 0.152) -> tuple[int, int]:
 
 
 def _signatures(col: Column, width: int, bits: int, pieces: int) -> Column:
-    """A number for the whole shingle set, 64 bits of the long fingerprint, and its pieces. The empty set has no pieces."""
+    """A number for the whole shingle set, 64 bits of the long fingerprint, the set's size and sketch, and the pieces. The empty set has the number alone."""
 
     @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
@@ -306,7 +344,7 @@ def _signatures(col: Column, width: int, bits: int, pieces: int) -> Column:
             if len(found):
                 long = long_fingerprint(found, bits, pieces)
                 first = np.unpackbits(long.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - bits :].ravel()[:64]
-                own += [np.packbits(first).view(">u8").astype(np.uint64), long]
+                own += [np.packbits(first).view(">u8").astype(np.uint64), np.array([len(found)], np.uint64), sketch(found), long]
             out.append(np.concatenate(own).view(np.int64))
         return pa.array(out, pa.list_(pa.int64()))
 
@@ -321,12 +359,13 @@ def _sets(col: Column, width: int) -> Column:
     return of(col.cast("binary"))
 
 
-def _met(fps: DataFrame, bits: int) -> DataFrame:
-    """Pairs (a, b) of fingerprints that meet in a piece: forests of them, or, with a column ``root``, all pairs of different roots.
+def _met(fps: DataFrame, bits: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of fingerprints that meet in a piece: forests of them, or, with a column ``root``, all pairs of different roots that
+    may have the similarity by their sizes and sketches.
 
-    ``fps`` has fp, check and pieces. As in ``links``: a piece goes once to each bucket that one of its variants falls in.
+    ``fps`` has fp, check and pieces, and with ``root`` size and the words of the sketch. As in ``links``: a piece goes once to each bucket that one of its variants falls in.
     """
-    rooted = ["root"] if "root" in fps.columns else []
+    rooted = ["root", "size", *WORDS] if "root" in fps.columns else []
     half = PIECE_RADIUS // 2
     t = min(16, max(2, math.ceil(math.log2(max(1, fps.count()) / BUCKET_PIECES))))
     low = bits - t
@@ -339,7 +378,11 @@ def _met(fps: DataFrame, bits: int) -> DataFrame:
         group = group.sort_by("fp")
         fp, value, check, room = (group[c].to_numpy() for c in ("fp", "value", "check", "room"))
         own, room = (value.view(np.uint64), check.view(np.uint64)), room.astype(np.int64)
-        a, b = apart_pairs(*own, group["root"].to_numpy(), room, low) if rooted else local_forest(*own, room, low)
+        if rooted:
+            root, size, *words = (group[c].to_numpy() for c in rooted)
+            a, b = apart_pairs(*own, root, room, low, lambda a, b: may_reach(size, [w.view(np.uint64) for w in words], a, b, threshold))
+        else:
+            a, b = local_forest(*own, room, low)
         return pa.Table.from_arrays([pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b]))], ["a", "b"])
 
     return parts.groupBy("piece", "bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
@@ -380,7 +423,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
     100). Pairs that meet are verified by the long fingerprint and then by the exact sets. All pairs that meet count,
     however many share a variant: first each task joins what meets in it by the nearest pairs, a forest of them, and these are verified;
     then all pairs that are in different groups still meet again and are compared, so that a large group of near copies costs no square
-    of its size.
+    of its size. Texts of one kind that are no near copies are told apart where they meet, by sizes and sketches of their sets, and make no rows.
 
     ``docs`` has doc_id and text and may have any other columns. Returns the struct ``_row`` of the input's columns,
     doc_id, component_id (smallest doc_id of the group) and keep: true for one row of each group, that of the smallest
@@ -389,21 +432,22 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
     """
     bits, pieces = pieces_of(docs.count())
     base = docs.select(packed(docs), "doc_id", _signatures(F.col("text"), width, bits, pieces).alias("s"))
-    base = base.select("_row", "doc_id", F.get("s", F.lit(0)).alias("fp"), F.get("s", F.lit(1)).alias("check"), F.slice("s", 3, pieces).alias("pieces"))
+    numbers = [F.get("s", F.lit(k)).alias(c) for k, c in enumerate(["fp", "check", "size", *WORDS])]
+    base = base.select("_row", "doc_id", *numbers, F.slice("s", len(numbers) + 1, pieces).alias("pieces"))
     base = stored(base.withColumn("_uid", F.monotonically_increasing_id()), "signatures")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_uid").alias("uid"))
-    by = base.groupBy("fp").agg(F.min(rank).alias("low"), F.count("*").alias("n"), F.first("check").alias("check"), F.first("pieces").alias("pieces"))
+    by = base.groupBy("fp").agg(F.min(rank).alias("low"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("check", "size", *WORDS, "pieces")])
     fps = stored(by, "distinct")
 
     some = fps.where("check IS NOT NULL")
-    met = stored(_met(some, bits), "met")
+    met = stored(_met(some, bits, threshold), "met")
     most = int(APART * bits * pieces)
     links = _similar(_near(met, some, most), some, base, width, threshold)
     roots = stored(connected_components(links, "a", "b"), "roots")
 
-    # what is in different groups still meets again, and all of it is compared
-    rooted = some.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "check", "pieces", F.coalesce("root", "fp").alias("root"))
-    rest = stored(_met(rooted, bits), "apart").join(met, ["a", "b"], "left_anti")
+    # what is in different groups still meets again, and all of it that sizes and sketches don't tell apart is compared
+    rooted = some.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "check", "size", *WORDS, "pieces", F.coalesce("root", "fp").alias("root"))
+    rest = stored(_met(rooted, bits, threshold), "apart").join(met, ["a", "b"], "left_anti")
     more = _similar(_near(rest, some, most), some, base, width, threshold)
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), "a", "b")

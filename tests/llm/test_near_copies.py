@@ -87,6 +87,42 @@ def test_places_against_all_pairs():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(x, y) for x, y in want if roots[x] != roots[y]}
 
 
+def hashes(n, rng):
+    return np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + rng.integers(0, 2, n, np.uint64))
+
+
+def test_texts_of_one_kind_make_no_pairs():
+    """Of many sets that meet in one variant only those that may be near copies become pairs; none at the threshold is lost."""
+    rng = np.random.default_rng(5)
+    for size in (9, 150, 3_000):  # the last is sketched by a sample
+        base, sets = hashes(size, rng), []
+        for _ in range(120):  # of one kind: similarity 0.55 or so
+            sets.append(np.union1d(rng.choice(base, round(0.7 * size), replace=False), hashes(round(0.3 * size), rng)))
+        for k in range(60):  # at the threshold: eight of nine hashes in common, of either size or of a part
+            whole, part = hashes(size, rng), size // 9
+            other = np.union1d(whole[part:], hashes(part, rng)) if k % 2 else whole[: len(whole) * 4 // 5 + 1]
+            sets += [whole, other]
+        n = len(sets)
+        sizes, words = np.array([len(s) for s in sets]), np.array([simhash.sketch(s) for s in sets]).T.copy()
+        a, b = simhash.apart_pairs(*np.zeros((2, n), np.uint64), np.arange(n), np.zeros(n, int), 32, lambda x, y: simhash.may_reach(sizes, words, x, y, 0.8))
+        got = set(zip(a.tolist(), b.tolist(), strict=True))
+        near = {(k, k + 1) for k in range(120, n, 2) if (m := len(np.intersect1d(sets[k], sets[k + 1]))) >= 0.8 * (sizes[k] + sizes[k + 1] - m)}
+        assert len(near) >= 60 * (size > 9) and near <= got
+        assert size == 9 or len(got) < 0.1 * n * (n - 1) / 2
+
+
+def test_a_family_below_the_threshold(spark, monkeypatch):
+    """Texts that share much and are no near copies of each other: their pairs aren't rows."""
+    rng, seen, old = random.Random(6), [], simhash._near
+    base = [f"w{k}" for k in range(150)]
+    docs = [(k, " ".join(f"x{rng.random()}" if rng.random() < 0.04 else w for w in base)) for k in range(150)]
+    docs += [(200 + k, docs[k][1] + " end") for k in range(5)]
+    monkeypatch.setattr(simhash, "_near", lambda pairs, *rest: seen.append(pairs.count()) or old(pairs, *rest))
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(table).collect()} == firsts_of(docs)
+    assert seen[1] < 1_500  # of 11,935
+
+
 def test_large_groups(spark, sf_dir):
     """Groups in which many share a variant, with similarities on both sides of the threshold."""
     rng, docs = random.Random(4), []
