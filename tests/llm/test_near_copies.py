@@ -120,7 +120,7 @@ def test_a_family_below_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_near", lambda pairs, *rest: seen.append(pairs.count()) or old(pairs, *rest))
     table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in simhash.near_copies(table).collect()} == firsts_of(docs)
-    assert seen[1] < 1_500  # of 11,935
+    assert seen[1] < 1_500  # all pairs are 11,935
 
 
 def test_large_groups(spark, sf_dir):
