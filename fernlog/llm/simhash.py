@@ -17,8 +17,8 @@ from fernlog.llm.common import connected_components, discard, packed, stored
 
 #: Variants that one bucket should hold, and that one step of a task may hold in memory.
 BUCKET_VARIANTS, STEP_VARIANTS = 1 << 21, 1 << 21
-#: Near copies: fingerprints of a bucket, flips of a piece, and how rarely a pair at the threshold may go unseen.
-BUCKET_PIECES, PIECE_RADIUS, UNSEEN = 1 << 18, 4, 1e-4
+#: Near copies: fingerprints of a bucket, variants or pairs of one step, flips of a piece, and how rarely a pair at the threshold may go unseen.
+BUCKET_PIECES, STEP_PIECES, PIECE_RADIUS, UNSEEN = 1 << 18, 1 << 18, 4, 1e-4
 #: Share of bits in which two near copies may differ at most: of the whole long fingerprint, and of its first 64 bits.
 #: At similarity 0.8 it is 0.15 on average and, for sets of four and five shingles, 0.19.
 APART, APART_64 = 0.25, 23
@@ -81,16 +81,38 @@ def local_roots(fps: np.ndarray, room: np.ndarray, bits: int, radius: int) -> np
         first = o[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
         # two that share a variant differ in at most twice the half radius; the pairs are verified all the same
         ok = np.bitwise_count(fps[first] ^ fps[o]) <= radius
-        a, b = first[ok], o[ok]
-        while True:
-            _find(root)
-            ra, rb = root[a], root[b]
-            if np.array_equal(ra, rb):
-                break
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        _unite(root, first[ok], o[ok])
     return root
 
 
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    while True:
+        _find(root)
+        ra, rb = root[a], root[b]
+        if np.array_equal(ra, rb):
+            return
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+
+
+def _top(root: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The roots of some places; it looks at no other places than theirs and those above them."""
+    while True:
+        up = root[x]
+        if np.array_equal(up, x):
+            return x
+        x = up
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """As ``_unite``, at the cost of these pairs, however many places there are."""
+    while len(a):
+        ra, rb = _top(root, a), _top(root, b)
+        root[a], root[b] = ra, rb
+        if np.array_equal(ra, rb):
+            return
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+
+
 def _find(root: np.ndarray) -> np.ndarray:
     while True:
         up = root[root]
@@ -99,22 +121,22 @@ def _find(root: np.ndarray) -> np.ndarray:
         root[:] = up
 
 
-def _meetings(fps: np.ndarray, who: np.ndarray, room: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meetings(fps: np.ndarray, who: np.ndarray, room: np.ndarray, bits: int, most: int = STEP_VARIANTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Variants that two fingerprints or more share: numbers of the variants in order, and who has them.
 
-    Variants are made, sorted and compared; what needs more than STEP_VARIANTS of them at once is first split by further
+    Variants are made, sorted and compared; what needs more than ``most`` of them at once is first split by further
     bits, the same way as the buckets were.
     """
     if len(who) < 2:
         return
     sizes = np.array([sum(math.comb(bits, k) for k in range(r + 1)) for r in range(int(room.max()) + 1)])
-    if sizes[room].sum() > STEP_VARIANTS and bits > 4:
+    if sizes[room].sum() > most and bits > 4:
         low = bits - 4
         top = (fps[who] >> np.uint64(low)) & np.uint64(15)
         for at in range(16):
             left = room - np.bitwise_count(top ^ np.uint64(at)).astype(room.dtype)
             ok = left >= 0
-            yield from _meetings(fps, who[ok], left[ok], low)
+            yield from _meetings(fps, who[ok], left[ok], low, most)
         return
     low = np.uint64((1 << bits) - 1)
     variants, owners = [], []
@@ -136,26 +158,71 @@ def _meetings(fps: np.ndarray, who: np.ndarray, room: np.ndarray, bits: int) ->
     yield at[order], o[order]
 
 
-def local_forest(values: np.ndarray, checks: np.ndarray, room: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of places that join all that share variants and whose checks are near, the nearest first: a spanning forest.
+#: Which of the pairs (a, b) of places may be near copies.
+May = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _likely(checks: np.ndarray, may: May | None, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b) of places those whose checks are near and that ``may`` leaves, smaller place first."""
+    ok = (a != b) & (np.bitwise_count(checks[a] ^ checks[b]) <= APART_64)
+    a, b = a[ok], b[ok]
+    if may:
+        ok = may(a, b)
+        a, b = a[ok], b[ok]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _across(at: np.ndarray, o: np.ndarray, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of the places ``o`` that share a variant and have different ``roots``, so many at once."""
+    order = np.lexsort((roots, at))
+    at, o, roots = at[order], o[order], roots[order]
+    new = np.concatenate([at[1:] != at[:-1], [True]])
+    ends = np.flatnonzero(new) + 1
+    runs = np.flatnonzero(new | np.append(roots[1:] != roots[:-1], True)) + 1
+    places = np.arange(len(o))
+    run_end, end = runs[np.searchsorted(runs, places, side="right")], ends[np.searchsorted(ends, places, side="right")]
+    cum = np.cumsum(end - run_end)
+    for lo in range(0, int(cum[-1]), STEP_PIECES):
+        pair = np.arange(lo, min(lo + STEP_PIECES, int(cum[-1])))
+        i = np.searchsorted(cum, pair, side="right")
+        yield o[i], o[end[i] - (cum[i] - pair)]
 
-    Of a variant's places those that follow each other by check, and each with the first, are candidates; what this leaves out is
-    looked at once more, as far as it isn't in one group by then (``apart_pairs``).
+
+def _collect(found: list[np.ndarray], codes: np.ndarray) -> None:
+    """Add ``codes`` to those found; what was found again and again is held once."""
+    found.append(np.unique(codes))
+    if sum(map(len, found[1:])) > max(STEP_PIECES, len(found[0])):
+        found[:] = [np.unique(np.concatenate(found))]
+
+
+def local_forest(values: np.ndarray, checks: np.ndarray, room: np.ndarray, bits: int, may: May | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of places that join all that share variants, whose checks are near and that ``may`` leaves: a spanning forest.
+
+    Of a variant's places those that follow each other by check, and each with the first, are candidates; then, for any two of the groups
+    that this makes, the nearest pair of the variant. The forest takes the nearest candidates first.
     """
     n, found = len(values), [np.zeros(0, np.int64)]
-    order = np.argsort(checks, kind="stable")
+    order, root = np.argsort(checks, kind="stable"), np.arange(n)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    for at, o in _meetings(values, np.arange(n), room, bits):
+    for at, o in _meetings(values, np.arange(n), room, bits, STEP_PIECES):
         by = np.lexsort((place[o], at))
         at, o = at[by], o[by]
         head = np.concatenate([[True], at[1:] != at[:-1]])
         first = o[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
-        for a, b in ((first, o), *((o[:-k], o[k:]) for k in range(1, AHEAD + 1))):
-            ok = (a != b) & (np.bitwise_count(checks[a] ^ checks[b]) <= APART_64)
-            if len(a) < len(at):
-                ok &= at[len(at) - len(a) :] == at[: len(a)]
-            found.append(np.unique(np.minimum(a[ok], b[ok]).astype(np.int64) * n + np.maximum(a[ok], b[ok])))
+        for a, b, ok in ((first, o, slice(None)), *((o[:-k], o[k:], at[k:] == at[:-k]) for k in range(1, AHEAD + 1))):
+            a, b = _likely(checks, may, a[ok], b[ok])
+            _collect(found, a.astype(np.int64) * n + b)
+            _join(root, a, b)
+        for a, b in _across(at, o, _top(root, o)):
+            a, b = _likely(checks, may, a, b)
+            by = np.argsort(np.bitwise_count(checks[a] ^ checks[b]), kind="stable")
+            a, b = a[by], b[by]
+            x, y = _top(root, a), _top(root, b)
+            _, firsts = np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)
+            a, b = a[firsts], b[firsts]
+            _collect(found, a.astype(np.int64) * n + b)
+            _join(root, a, b)
     codes = np.unique(np.concatenate(found))
     a, b = codes // max(n, 1), codes % max(n, 1)
     far = np.bitwise_count(checks[a] ^ checks[b])
@@ -169,13 +236,7 @@ def local_forest(values: np.ndarray, checks: np.ndarray, room: np.ndarray, bits:
         np.minimum.at(best, root[b[left]], left)
         take = np.unique(best[best < len(a)])
         kept[take] = True
-        x, y = a[take], b[take]
-        while True:
-            _find(root)
-            ra, rb = root[x], root[y]
-            if np.array_equal(ra, rb):
-                break
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        _unite(root, a[take], b[take])
         left = left[root[a[left]] != root[b[left]]]
     return a[kept], b[kept]
 
@@ -208,31 +269,13 @@ def may_reach(sizes: np.ndarray, sketches: np.ndarray, a: np.ndarray, b: np.ndar
     return ok & ((apart <= most) | (level != _level(y)))
 
 
-def apart_pairs(
-    values: np.ndarray, checks: np.ndarray, roots: np.ndarray, room: np.ndarray, bits: int, may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
-) -> tuple[np.ndarray, np.ndarray]:
+def apart_pairs(values: np.ndarray, checks: np.ndarray, roots: np.ndarray, room: np.ndarray, bits: int, may: May | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (a, b) of places with different roots that share a variant, whose checks are near and that ``may`` leaves."""
     n, found = len(values), [np.zeros(0, np.int64)]
-    for at, o in _meetings(values, np.arange(n), room, bits):
-        order = np.lexsort((roots[o], at))
-        at, o = at[order], o[order]
-        new = np.concatenate([at[1:] != at[:-1], [True]])
-        ends = np.flatnonzero(new) + 1
-        runs = np.flatnonzero(new | np.append(roots[o[1:]] != roots[o[:-1]], True)) + 1
-        places = np.arange(len(o))
-        run_end, end = runs[np.searchsorted(runs, places, side="right")], ends[np.searchsorted(ends, places, side="right")]
-        cum = np.cumsum(end - run_end)
-        for lo in range(0, int(cum[-1]), STEP_VARIANTS):  # so many pairs at once
-            pair = np.arange(lo, min(lo + STEP_VARIANTS, int(cum[-1])))
-            i = np.searchsorted(cum, pair, side="right")
-            j = end[i] - (cum[i] - pair)
-            a, b = o[i], o[j]
-            ok = np.bitwise_count(checks[a] ^ checks[b]) <= APART_64
-            a, b = a[ok], b[ok]
-            if may:
-                ok = may(a, b)
-                a, b = a[ok], b[ok]
-            found.append(np.unique(np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b)))
+    for at, o in _meetings(values, np.arange(n), room, bits, STEP_PIECES):
+        for a, b in _across(at, o, roots[o]):
+            a, b = _likely(checks, may, a, b)
+            _collect(found, a.astype(np.int64) * n + b)
     codes = np.unique(np.concatenate(found))
     return codes // max(n, 1), codes % max(n, 1)
 
@@ -359,33 +402,60 @@ def _sets(col: Column, width: int) -> Column:
     return of(col.cast("binary"))
 
 
+def dealing(texts: int, bits: int) -> tuple[int, int, int, int]:
+    """How the pieces of so many texts go to buckets: blocks, bits of a block that a bucket's pieces agree in, further bits that its variants
+    agree in, and bits that are left.
+
+    Up to four buckets a piece goes to each that one of its variants falls in. For more of them this takes ever more copies of a row (22 for 64
+    buckets), while pieces within the radius agree in one of as many blocks and one more, whatever the buckets: five copies.
+    """
+    t = min(16, max(0, math.ceil(math.log2(max(1, texts) / BUCKET_PIECES))))
+    blocks = 1 if t <= 2 else PIECE_RADIUS + 1
+    same = 0 if blocks == 1 else min(t, bits // blocks)
+    return blocks, same, t - same, bits - t
+
+
+def _dealt(fps: DataFrame, columns: list[str], bits: int, texts: int) -> tuple[DataFrame, int]:
+    """The pieces of ``fps`` as value (without the bits that its bucket agrees in), bucket and room, with ``columns``; and the bits that are left."""
+    blocks, same, more, low = dealing(texts, bits)
+    half, starts = PIECE_RADIUS // 2, [k * (bits // blocks) for k in range(blocks)]
+    v = F.col("v")
+    cut = [
+        F.struct(
+            (F.shiftleft((F.col("piece") * blocks + k).cast("bigint"), same) + F.shiftrightunsigned(v, at).bitwiseAND((1 << same) - 1)).alias("key"),
+            F.shiftleft(F.shiftrightunsigned(v, at + same), at).bitwiseOR(v.bitwiseAND((1 << at) - 1)).alias("value"),
+        )
+        for k, at in enumerate(starts)
+    ]
+    masks = F.array(*[F.lit(int(m)) for m in _masks(more, half)])
+    parts = fps.select(*columns, F.posexplode("pieces").alias("piece", "v")).select(*columns, F.explode(F.array(*cut)).alias("c"))
+    parts = parts.select(*columns, "c.*", F.explode(masks).alias("flip"))
+    bucket = F.shiftleft("key", more) + F.shiftrightunsigned("value", low).bitwiseXOR(F.col("flip"))
+    return parts.select(*columns, "value", bucket.alias("bucket"), (F.lit(half) - F.bit_count("flip")).cast("int").alias("room")), low
+
+
 def _met(fps: DataFrame, bits: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of fingerprints that meet in a piece: forests of them, or, with a column ``root``, all pairs of different roots that
-    may have the similarity by their sizes and sketches.
+    """Pairs (a, b) of fingerprints that meet in a piece and may have the similarity by their sizes and sketches: forests of them, or, with a
+    column ``root``, all pairs of different roots.
 
-    ``fps`` has fp, check and pieces, and with ``root`` size and the words of the sketch. As in ``links``: a piece goes once to each bucket that one of its variants falls in.
+    ``fps`` has fp, check, size, the words of the sketch and pieces.
     """
-    rooted = ["root", "size", *WORDS] if "root" in fps.columns else []
-    half = PIECE_RADIUS // 2
-    t = min(16, max(2, math.ceil(math.log2(max(1, fps.count()) / BUCKET_PIECES))))
-    low = bits - t
-    masks = F.array(*[F.lit(int(m)) for m in _masks(t, half)])
-    parts = fps.select("fp", "check", *rooted, F.posexplode("pieces").alias("piece", "value")).select("*", F.explode(masks).alias("flip"))
-    bucket = F.shiftrightunsigned("value", low).bitwiseXOR(F.col("flip"))
-    parts = parts.select("fp", "check", *rooted, "piece", "value", bucket.alias("bucket"), (F.lit(half) - F.bit_count("flip")).cast("int").alias("room"))
+    rooted = "root" in fps.columns
+    parts, low = _dealt(fps, ["fp", "check", "size", *WORDS, *(["root"] if rooted else [])], bits, fps.count())
 
     def meet(group: pa.Table) -> pa.Table:
-        group = group.sort_by("fp")
-        fp, value, check, room = (group[c].to_numpy() for c in ("fp", "value", "check", "room"))
+        group = group.drop_columns("bucket").sort_by("fp")
+        fp, value, check, size, room, *words = (group[c].to_numpy() for c in ("fp", "value", "check", "size", "room", *WORDS))
+        words = [w.view(np.uint64) for w in words]
         own, room = (value.view(np.uint64), check.view(np.uint64)), room.astype(np.int64)
-        if rooted:
-            root, size, *words = (group[c].to_numpy() for c in rooted)
-            a, b = apart_pairs(*own, root, room, low, lambda a, b: may_reach(size, [w.view(np.uint64) for w in words], a, b, threshold))
-        else:
-            a, b = local_forest(*own, room, low)
+
+        def may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return may_reach(size, words, a, b, threshold)
+
+        a, b = apart_pairs(*own, group["root"].to_numpy(), room, low, may) if rooted else local_forest(*own, room, low, may)
         return pa.Table.from_arrays([pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b]))], ["a", "b"])
 
-    return parts.groupBy("piece", "bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+    return parts.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def _near(pairs: DataFrame, fps: DataFrame, most: int) -> DataFrame:
@@ -421,9 +491,10 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
     cut into pieces (``pieces_of``), and the ball hashing that meets in the middle runs on each piece: two sets at the
     threshold are within its radius in one piece at least, but for one pair in 10,000 (sets of less than 20 shingles: one in
     100). Pairs that meet are verified by the long fingerprint and then by the exact sets. All pairs that meet count,
-    however many share a variant: first each task joins what meets in it by the nearest pairs, a forest of them, and these are verified;
-    then all pairs that are in different groups still meet again and are compared, so that a large group of near copies costs no square
-    of its size. Texts of one kind that are no near copies are told apart where they meet, by sizes and sketches of their sets, and make no rows.
+    however many share a variant: first each task joins what meets in it, and may be near copies by sizes and sketches of the sets, by the nearest
+    pairs, a forest of them, and these are verified; then all pairs that are in different groups still meet again and are compared, so that a
+    large group of near copies costs no square of its size. Two that may be near copies are in one tree of the forest, so that those in no tree
+    don't meet again. Texts of one kind that are no near copies, and chance meetings, make no rows.
 
     ``docs`` has doc_id and text and may have any other columns. Returns the struct ``_row`` of the input's columns,
     doc_id, component_id (smallest doc_id of the group) and keep: true for one row of each group, that of the smallest
@@ -445,8 +516,10 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
     links = _similar(_near(met, some, most), some, base, width, threshold)
     roots = stored(connected_components(links, "a", "b"), "roots")
 
-    # what is in different groups still meets again, and all of it that sizes and sketches don't tell apart is compared
-    rooted = some.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "check", "size", *WORDS, "pieces", F.coalesce("root", "fp").alias("root"))
+    # what is in some tree and in different groups still meets again, and all of it that sizes and sketches don't tell apart is compared
+    inside = met.select(F.col("a").alias("f")).union(met.select("b")).distinct()
+    rooted = some.join(inside, F.col("fp") == F.col("f"), "left_semi").join(roots, F.col("fp") == F.col("node"), "left")
+    rooted = stored(rooted.select("fp", "check", "size", *WORDS, "pieces", F.coalesce("root", "fp").alias("root")), "again")
     rest = stored(_met(rooted, bits, threshold), "apart").join(met, ["a", "b"], "left_anti")
     more = _similar(_near(rest, some, most), some, base, width, threshold)
     if not more.isEmpty():

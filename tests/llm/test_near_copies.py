@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -123,6 +124,40 @@ def test_a_family_below_the_threshold(spark, monkeypatch):
     assert seen[1] < 1_500  # all pairs are 11,935
 
 
+def test_chance_meetings_make_no_rows(spark, monkeypatch):
+    """What meets and is no near copy by sizes and sketches is no pair of the first look either, and doesn't meet again."""
+    rng, seen, old = random.Random(7), [], simhash._near
+    base = [f"w{k}" for k in range(150)]
+    docs = [(k, " ".join(f"x{rng.random()}" if rng.random() < 0.06 else w for w in base)) for k in range(120)]
+    monkeypatch.setattr(simhash, "_near", lambda pairs, *rest: seen.append(pairs.count()) or old(pairs, *rest))
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(table).collect()} == firsts_of(docs)
+    assert sum(seen) < 60
+
+
+def test_many_buckets(spark, monkeypatch):
+    """Rows dealt for a text don't grow with the buckets: 22 copies of a piece for 64 of them before."""
+    assert [simhash.dealing(n, 32)[0] for n in (0, 1 << 18, 1 << 20, 1 << 21, 12_000_000)] == [1, 1, 1, 5, 5]
+    monkeypatch.setattr(simhash, "BUCKET_PIECES", 4)
+    docs = planted()
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(table).collect()} == firsts_of(docs)
+    pieces = spark.createDataFrame([(k, [k * 7919, k]) for k in range(200)], "fp bigint, pieces array<bigint>")
+    assert simhash._dealt(pieces, ["fp"], 32, 200)[0].count() == 200 * 2 * 5
+
+
+def test_pairs_in_bounded_memory():
+    """Of many places in one variant only so many pairs are held at once."""
+    n, rng = 3_000, np.random.default_rng(2)
+    sizes, words = np.full(n, 200), rng.integers(0, 1 << 63, (simhash.SKETCH, n), np.uint64)
+    args = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    tracemalloc.start()
+    a, _ = simhash.apart_pairs(*args, np.arange(n), np.zeros(n, int), 32, lambda x, y: simhash.may_reach(sizes, words, x, y, 0.8))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not len(a) and most < 60e6
+
+
 def test_large_groups(spark, sf_dir):
     """Groups in which many share a variant, with similarities on both sides of the threshold."""
     rng, docs = random.Random(4), []
