@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For str.translate in tasks: lower-cases A-Z only.
 ASCII_LOWER = dict(zip(map(ord, _UPPER), _LOWER, strict=True))
+#: Edges that a task joins at a time (4 MB of them).
+TASK_EDGES = 1 << 18
 
 
 def ascii_lower(col: Column) -> Column:
@@ -68,19 +70,58 @@ def packed(df: DataFrame, name: str = "_row") -> Column:
     return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name)
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (u, v) that reach a smaller one, each with the smallest that it reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(table["u"].to_numpy(), table["v"].to_numpy())], ["u", "v"])
+
+    parts, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            parts.append(batch.slice(0, TASK_EDGES - n))
+            n, batch = n + parts[-1].num_rows, batch.slice(parts[-1].num_rows)
+            if n == TASK_EDGES:
+                yield held(parts)
+                parts, n = [], 0
+    if parts:
+        yield held(parts)
+
+
 def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
-    """Smallest reachable node of every node that has an edge.
+    """Smallest reachable node of every node (a bigint) that has an edge.
 
-    Alternates the large-star and small-star steps; each round is joins and partial aggregates by node, and is
-    written to the shared folder. Returns ``node`` and ``root`` for nodes other than the roots themselves. Self-loops
+    First each task joins the edges that it holds, TASK_EDGES at a time, so that they become stars. If one task held them all, that is the
+    result; else the large-star and small-star steps alternate on what is left. Each round of these is joins and partial aggregates by
+    node, and is written to the shared folder. Returns ``node`` and ``root`` for nodes other than the roots themselves. Self-loops
     and repeated edges are allowed; edges with a null end are ignored.
     """
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
 
     a, b = F.col(u), F.col(v)
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct()
+    e = edges.select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b))
     e = stored(e, "links")
+    tasks = max(1, -(-e.count() // TASK_EDGES))
+    joined = stored(e.coalesce(tasks).mapInArrow(_joined, "u bigint, v bigint"), "links")
+    discard(e)
+    e = joined
+    if tasks == 1:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = state(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
