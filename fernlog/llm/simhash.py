@@ -17,8 +17,12 @@ from fernlog.llm.common import connected_components, discard, packed, stored
 
 #: Variants that one bucket should hold, and that one step of a task may hold in memory.
 BUCKET_VARIANTS, STEP_VARIANTS = 1 << 21, 1 << 21
-#: Near copies: fingerprints of a bucket, variants or pairs of one step, flips of a piece, and how rarely a pair at the threshold may go unseen.
-BUCKET_PIECES, STEP_PIECES, PIECE_RADIUS, UNSEEN = 1 << 18, 1 << 18, 4, 1e-4
+#: Pieces of longer fingerprints: how many a bucket holds at PIECE_RADIUS flips (twice as many for each flip less, as they have fewer
+#: variants), and variants or pairs of one step.
+BUCKET_PIECES, STEP_PIECES, PIECE_RADIUS = 1 << 18, 1 << 18, 4
+#: Near copies: flips of a piece, and how rarely a pair at the threshold, which differs in such a share of the bits, may go unseen. The
+#: second is for sets of four and five shingles.
+NEAR_RADIUS, UNSEEN = 2, {0.152: 1e-4, 0.19: 1e-2}
 #: Share of bits in which two near copies may differ at most: of the whole long fingerprint, and of its first 64 bits.
 #: At similarity 0.8 it is 0.15 on average and, for sets of four and five shingles, 0.19.
 APART, APART_64 = 0.25, 23
@@ -30,6 +34,8 @@ AHEAD = 4
 #: fails no oftener than one outside so many standard deviations.
 SKETCH, SKETCHED, DEVIATIONS = 4, 400, 5
 WORDS = [f"word{k}" for k in range(SKETCH)]
+#: Hashes of a set that are mixed at a time.
+MIXED = 1_024
 
 
 def simhash(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -146,6 +152,15 @@ def _meetings(fps: np.ndarray, who: np.ndarray, room: np.ndarray, bits: int, mos
         variants.append(((fps[own] & low)[:, None] ^ masks[None, :]).ravel())
         owners.append(np.repeat(own, len(masks)))
     v, o = np.concatenate(variants), np.concatenate(owners)
+    if bits <= 32:  # a variant and its owner are one number, sorted at once
+        both = np.sort(v << np.uint64(32) | o.astype(np.uint64))
+        v = both >> np.uint64(32)
+        new = v[1:] != v[:-1]
+        hit = ~(np.append(True, new) & np.append(new, True))
+        v, o = v[hit], (both[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        if len(v):
+            yield np.cumsum(np.append(False, v[1:] != v[:-1])), o
+        return
     s = np.sort(v)
     twice = np.unique(s[1:][s[1:] == s[:-1]])
     if not len(twice):
@@ -190,32 +205,39 @@ def _across(at: np.ndarray, o: np.ndarray, roots: np.ndarray) -> Iterator[tuple[
 
 def _collect(found: list[np.ndarray], codes: np.ndarray) -> None:
     """Add ``codes`` to those found; what was found again and again is held once."""
-    found.append(np.unique(codes))
+    found.append(_distinct(codes))
     if sum(map(len, found[1:])) > max(STEP_PIECES, len(found[0])):
-        found[:] = [np.unique(np.concatenate(found))]
+        found[:] = [_distinct(np.concatenate(found))]
 
 
 def local_forest(values: np.ndarray, checks: np.ndarray, room: np.ndarray, bits: int, may: May | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b) of places that join all that share variants, whose checks are near and that ``may`` leaves: a spanning forest.
 
     Of a variant's places those that follow each other by check, and each with the first, are candidates; then, for any two of the groups
-    that this makes, the nearest pair of the variant. The forest takes the nearest candidates first.
+    that this makes, the nearest pair of the variant. Of up to AHEAD + 1 places the first of these are all pairs. The forest takes the
+    nearest candidates first.
     """
-    n, found = len(values), [np.zeros(0, np.int64)]
-    order, root = np.argsort(checks, kind="stable"), np.arange(n)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    n, found, root = len(values), [np.zeros(0, np.int64)], np.arange(len(values))
+    order = np.argsort(checks, kind="stable")
+    values, checks, room = values[order], checks[order], room[order]
+    some = may and (lambda a, b: may(order[a], order[b]))
     for at, o in _meetings(values, np.arange(n), room, bits, STEP_PIECES):
-        by = np.lexsort((place[o], at))
-        at, o = at[by], o[by]
+        for k in range(1, AHEAD + 1):
+            ok = np.flatnonzero(at[k:] == at[:-k])
+            a, b = _likely(checks, some, o[ok], o[ok + k])
+            _collect(found, a * n + b)
+            _join(root, a, b)
+        many = (np.bincount(at) > AHEAD + 1)[at]
+        at, o = at[many], o[many]
+        if not len(o):
+            continue
         head = np.concatenate([[True], at[1:] != at[:-1]])
         first = o[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
-        for a, b, ok in ((first, o, slice(None)), *((o[:-k], o[k:], at[k:] == at[:-k]) for k in range(1, AHEAD + 1))):
-            a, b = _likely(checks, may, a[ok], b[ok])
-            _collect(found, a.astype(np.int64) * n + b)
-            _join(root, a, b)
+        a, b = _likely(checks, some, first, o)
+        _collect(found, a * n + b)
+        _join(root, a, b)
         for a, b in _across(at, o, _top(root, o)):
-            a, b = _likely(checks, may, a, b)
+            a, b = _likely(checks, some, a, b)
             by = np.argsort(np.bitwise_count(checks[a] ^ checks[b]), kind="stable")
             a, b = a[by], b[by]
             x, y = _top(root, a), _top(root, b)
@@ -223,7 +245,7 @@ def local_forest(values: np.ndarray, checks: np.ndarray, room: np.ndarray, bits:
             a, b = a[firsts], b[firsts]
             _collect(found, a.astype(np.int64) * n + b)
             _join(root, a, b)
-    codes = np.unique(np.concatenate(found))
+    codes = _distinct(np.concatenate(found))
     a, b = codes // max(n, 1), codes % max(n, 1)
     far = np.bitwise_count(checks[a] ^ checks[b])
     ranked = np.lexsort((checks[b], checks[a], far))
@@ -238,7 +260,8 @@ def local_forest(values: np.ndarray, checks: np.ndarray, room: np.ndarray, bits:
         kept[take] = True
         _unite(root, a[take], b[take])
         left = left[root[a[left]] != root[b[left]]]
-    return a[kept], b[kept]
+    a, b = order[a[kept]], order[b[kept]]
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def _level(sizes: np.ndarray) -> np.ndarray:
@@ -276,7 +299,7 @@ def apart_pairs(values: np.ndarray, checks: np.ndarray, roots: np.ndarray, room:
         for a, b in _across(at, o, roots[o]):
             a, b = _likely(checks, may, a, b)
             _collect(found, a.astype(np.int64) * n + b)
-    codes = np.unique(np.concatenate(found))
+    codes = _distinct(np.concatenate(found))
     return codes // max(n, 1), codes % max(n, 1)
 
 
@@ -342,41 +365,76 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
 
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; one for a text of fewer words, none for no word. A-Z count as lower case."""
+    """Sorted distinct 64-bit hashes of the word shingles; one for a text of fewer words, none for no word. A-Z count as lower case.
+
+    Words are hashed once each, and a shingle's hash is made of theirs.
+    """
     w = (text or b"").lower().split()  # bytes: ASCII only, splits at \x20 and \x09-\x0D
     if not w:
         return np.zeros(0, np.uint64)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[k : k + width])) for k in range(max(1, len(w) - width + 1))], np.uint64))
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, w)), ">u8").astype(np.uint64)
+    last, n = max(1, len(w) - width + 1), min(width, len(w))
+    weights = _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return _distinct(_mixed(sum(h[k : k + last] * weights[k] for k in range(n))))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """``h`` with the bits of each number mixed (splitmix), in its place."""
+    t = h >> np.uint64(30)
+    h ^= t
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= np.right_shift(h, np.uint64(27), out=t)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= np.right_shift(h, np.uint64(31), out=t)
+    return h
 
 
-def long_fingerprint(found: np.ndarray, bits: int, pieces: int) -> np.ndarray:
-    """SimHash of a set of hashes in ``pieces`` numbers of ``bits`` bits; each 64 bits come from another mix of the hashes."""
-    seeds = np.arange(1, -(-bits * pieces // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    votes = np.zeros(64 * len(seeds), np.int64)
-    for lo in range(0, len(found), 255):  # sums of 255 bits fit in a byte
-        h = found[lo : lo + 255, None] + seeds
-        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        votes += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    own = np.zeros((pieces, 64), np.uint8)
-    own[:, 64 - bits :] = (votes[: bits * pieces] * 2 > len(found)).reshape(pieces, bits)
-    return np.packbits(own, axis=1).view(">u8").ravel().astype(np.uint64)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """``np.unique`` by a sort, which for numbers of any order is several times faster than by the table that it uses."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
-def pieces_of(texts: int, apart: float = 0.152) -> tuple[int, int]:
+def long_fingerprint(found: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set of hashes in so many numbers of 64 bits, each from another mix of the hashes."""
+    seeds = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    votes = np.zeros(64 * words, np.int64)
+    for lo in range(0, len(found), MIXED):
+        votes += _column_sums(_mixed(found[lo : lo + MIXED, None] + seeds))
+    return np.packbits(votes * 2 > len(found)).view(">u8").astype(np.uint64)
+
+
+def _column_sums(h: np.ndarray) -> np.ndarray:
+    """How many rows have each bit of the columns. Three rows become their sum's two binary digits as long as there are many rows."""
+    sums, weight = np.zeros(64 * h.shape[1], np.int64), 1
+    while True:
+        carries = []
+        while len(h) > 96:
+            m = len(h) // 3
+            a, b, c = h[:m], h[m : 2 * m], h[2 * m : 3 * m]
+            x = a ^ b
+            carries.append(a & b | x & c)
+            h = np.concatenate([x ^ c, h[3 * m :]])
+        sums += np.unpackbits(h.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8) * np.int64(weight)
+        if not carries:
+            return sums
+        h, weight = np.concatenate(carries), 2 * weight
+
+
+def pieces_of(texts: int) -> tuple[int, int]:
     """Bits of a piece and number of pieces for so many texts.
 
-    Longer pieces keep chance meetings in step with the texts. There are so many that two texts at similarity 0.8, which
-    differ in a share ``apart`` of the bits, are within PIECE_RADIUS in none of them once in 1 / UNSEEN pairs.
+    Longer pieces keep chance meetings in step with the texts, which meet in classes of sizes. There are so many that two texts at similarity
+    0.8 are within NEAR_RADIUS in none of them no oftener than UNSEEN says. Two lie in each number of the long fingerprint.
     """
-    bits = min(64, 32 + 2 * max(0, math.ceil(math.log2(max(1, texts))) - 24))
-    near = sum(math.comb(bits, k) * apart**k * (1 - apart) ** (bits - k) for k in range(PIECE_RADIUS + 1))
-    return bits, math.ceil(math.log(UNSEEN) / math.log(1 - near))
+    bits = min(32, 24 + 2 * max(0, math.ceil(math.log2(max(1, texts))) - 24))
+    near = {p: sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(NEAR_RADIUS + 1)) for p in UNSEEN}
+    pieces = max(math.ceil(math.log(UNSEEN[p]) / math.log(1 - near[p])) for p in UNSEEN)
+    return bits, pieces + pieces % 2
 
 
-def _signatures(col: Column, width: int, bits: int, pieces: int) -> Column:
-    """A number for the whole shingle set, 64 bits of the long fingerprint, the set's size and sketch, and the pieces. The empty set has the number alone."""
+def _signatures(col: Column, width: int, words: int) -> Column:
+    """A number for the whole shingle set, the set's size and sketch, and its long fingerprint. The empty set has the number alone."""
 
     @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
@@ -385,9 +443,7 @@ def _signatures(col: Column, width: int, bits: int, pieces: int) -> Column:
             found = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, width)
             own = [np.array([xxhash.xxh64_intdigest(found.tobytes())], np.uint64)]
             if len(found):
-                long = long_fingerprint(found, bits, pieces)
-                first = np.unpackbits(long.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - bits :].ravel()[:64]
-                own += [np.packbits(first).view(">u8").astype(np.uint64), np.array([len(found)], np.uint64), sketch(found), long]
+                own += [np.array([len(found)], np.uint64), sketch(found), long_fingerprint(found, words)]
             out.append(np.concatenate(own).view(np.int64))
         return pa.array(out, pa.list_(pa.int64()))
 
@@ -402,46 +458,81 @@ def _sets(col: Column, width: int) -> Column:
     return of(col.cast("binary"))
 
 
-def dealing(texts: int, bits: int) -> tuple[int, int, int, int]:
+def dealing(texts: int, bits: int, radius: int = PIECE_RADIUS) -> tuple[int, int, int, int]:
     """How the pieces of so many texts go to buckets: blocks, bits of a block that a bucket's pieces agree in, further bits that its variants
     agree in, and bits that are left.
 
     Up to four buckets a piece goes to each that one of its variants falls in. For more of them this takes ever more copies of a row (22 for 64
-    buckets), while pieces within the radius agree in one of as many blocks and one more, whatever the buckets: five copies.
+    buckets at four flips), while pieces within the radius agree in one of as many blocks and one more, whatever the buckets: five copies, or
+    three at two flips.
     """
-    t = min(16, max(0, math.ceil(math.log2(max(1, texts) / BUCKET_PIECES))))
-    blocks = 1 if t <= 2 else PIECE_RADIUS + 1
+    t = min(16, max(0, math.ceil(math.log2(max(1, texts) / (BUCKET_PIECES << PIECE_RADIUS - radius)))))
+    blocks = 1 if t <= 2 else radius + 1
     same = 0 if blocks == 1 else min(t, bits // blocks)
     return blocks, same, t - same, bits - t
 
 
-def _dealt(fps: DataFrame, columns: list[str], bits: int, texts: int) -> tuple[DataFrame, int]:
-    """The pieces of ``fps`` as value (without the bits that its bucket agrees in), bucket and room, with ``columns``; and the bits that are left."""
-    blocks, same, more, low = dealing(texts, bits)
-    half, starts = PIECE_RADIUS // 2, [k * (bits // blocks) for k in range(blocks)]
-    v = F.col("v")
+def _dealt(fps: DataFrame, columns: list[str], bits: int, texts: int, radius: int = PIECE_RADIUS) -> tuple[DataFrame, int]:
+    """The pieces of ``fps`` as value (without the bits that its bucket agrees in), bucket and room, with ``columns``; and the bits that are left.
+
+    Pieces of different places, or of different values of a column ``kind``, don't meet.
+    """
+    blocks, same, more, low = dealing(texts, bits, radius)
+    half, starts = radius // 2, [k * (bits // blocks) for k in range(blocks)]
+    kind = F.col("kind") if "kind" in fps.columns else F.lit(0)
+    v, piece = F.col("v"), F.col("piece") + F.col("before")
     cut = [
         F.struct(
-            (F.shiftleft((F.col("piece") * blocks + k).cast("bigint"), same) + F.shiftrightunsigned(v, at).bitwiseAND((1 << same) - 1)).alias("key"),
+            (F.shiftleft((piece * blocks + k).cast("bigint"), same) + F.shiftrightunsigned(v, at).bitwiseAND((1 << same) - 1)).alias("key"),
             F.shiftleft(F.shiftrightunsigned(v, at + same), at).bitwiseOR(v.bitwiseAND((1 << at) - 1)).alias("value"),
         )
         for k, at in enumerate(starts)
     ]
     masks = F.array(*[F.lit(int(m)) for m in _masks(more, half)])
-    parts = fps.select(*columns, F.posexplode("pieces").alias("piece", "v")).select(*columns, F.explode(F.array(*cut)).alias("c"))
+    parts = fps.select(*columns, (kind * F.size("pieces")).alias("before"), F.posexplode("pieces").alias("piece", "v"))
+    parts = parts.select(*columns, F.explode(F.array(*cut)).alias("c"))
     parts = parts.select(*columns, "c.*", F.explode(masks).alias("flip"))
     bucket = F.shiftleft("key", more) + F.shiftrightunsigned("value", low).bitwiseXOR(F.col("flip"))
     return parts.select(*columns, "value", bucket.alias("bucket"), (F.lit(half) - F.bit_count("flip")).cast("int").alias("room")), low
 
 
+def _classes(fps: DataFrame, threshold: float) -> tuple[list[int], int]:
+    """The smallest size of each class of sizes but the first, and about how many texts of the largest class meet.
+
+    A step of sizes that may be similar is never cut, so that a text meets in its class and at most the one before it. A class takes as many
+    steps as half a bucket holds.
+    """
+    step = F.floor(F.log("size") / -math.log(threshold) + 1e-9)
+    counts = fps.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("size").alias("low")).orderBy("step").collect()
+    starts, held, most = [], [0], BUCKET_PIECES << PIECE_RADIUS - NEAR_RADIUS
+    for _, n, low in counts:
+        if held[-1] and held[-1] + n > most // 2:
+            starts.append(low)
+            held[-1] += n  # those that meet the class before
+            held.append(0)
+        held[-1] += n
+    return starts, max(held)
+
+
 def _met(fps: DataFrame, bits: int, threshold: float) -> DataFrame:
     """Pairs (a, b) of fingerprints that meet in a piece and may have the similarity by their sizes and sketches: forests of them, or, with a
     column ``root``, all pairs of different roots.
 
-    ``fps`` has fp, check, size, the words of the sketch and pieces.
+    ``fps`` has fp, size, the words of the sketch and the long fingerprint. Sets at the similarity have about the same size, so that texts
+    meet in classes of sizes: each in its own and in that of the smallest size that it may be similar to.
     """
     rooted = "root" in fps.columns
-    parts, low = _dealt(fps, ["fp", "check", "size", *WORDS, *(["root"] if rooted else [])], bits, fps.count())
+    starts, most = _classes(fps, threshold)
+
+    def of(size: Column) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(x) for x in starts]).cast("array<bigint>"), lambda x: x <= size))
+
+    halves = F.flatten(F.transform("long", lambda w: F.array(F.shiftrightunsigned(w, 32), w).cast("array<bigint>")))
+    pieces = F.transform(halves, lambda w: w.bitwiseAND((1 << bits) - 1)).alias("pieces")
+    columns = ["fp", "check", "size", *WORDS, *(["root"] if rooted else [])]
+    kinds = F.explode(F.sequence(of(F.ceil(F.col("size") * threshold - 1e-6)), of(F.col("size")))).alias("kind")
+    own = fps.withColumn("check", F.get("long", F.lit(0))).select(*columns, pieces, kinds)
+    parts, low = _dealt(own, columns, bits, most, NEAR_RADIUS)
 
     def meet(group: pa.Table) -> pa.Table:
         group = group.drop_columns("bucket").sort_by("fp")
@@ -460,7 +551,7 @@ def _met(fps: DataFrame, bits: int, threshold: float) -> DataFrame:
 
 def _near(pairs: DataFrame, fps: DataFrame, most: int) -> DataFrame:
     """The ``pairs`` (a, b) whose long fingerprints differ in ``most`` bits at most."""
-    left, right = fps.select(F.col("fp").alias("a"), F.col("pieces").alias("x")), fps.select(F.col("fp").alias("b"), F.col("pieces").alias("y"))
+    left, right = fps.select(F.col("fp").alias("a"), F.col("long").alias("x")), fps.select(F.col("fp").alias("b"), F.col("long").alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
     return stored(pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b"), "near")
 
@@ -502,24 +593,24 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
     duplicates: one is kept. An empty table gives an empty table.
     """
     bits, pieces = pieces_of(docs.count())
-    base = docs.select(packed(docs), "doc_id", _signatures(F.col("text"), width, bits, pieces).alias("s"))
-    numbers = [F.get("s", F.lit(k)).alias(c) for k, c in enumerate(["fp", "check", "size", *WORDS])]
-    base = base.select("_row", "doc_id", *numbers, F.slice("s", len(numbers) + 1, pieces).alias("pieces"))
+    base = docs.select(packed(docs), "doc_id", _signatures(F.col("text"), width, pieces // 2).alias("s"))
+    numbers = [F.get("s", F.lit(k)).alias(c) for k, c in enumerate(["fp", "size", *WORDS])]
+    base = base.select("_row", "doc_id", *numbers, F.slice("s", len(numbers) + 1, pieces // 2).alias("long"))
     base = stored(base.withColumn("_uid", F.monotonically_increasing_id()), "signatures")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_uid").alias("uid"))
-    by = base.groupBy("fp").agg(F.min(rank).alias("low"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("check", "size", *WORDS, "pieces")])
+    by = base.groupBy("fp").agg(F.min(rank).alias("low"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", *WORDS, "long")])
     fps = stored(by, "distinct")
 
-    some = fps.where("check IS NOT NULL")
+    some = fps.where("size IS NOT NULL")
     met = stored(_met(some, bits, threshold), "met")
-    most = int(APART * bits * pieces)
+    most = int(APART * 32 * pieces)
     links = _similar(_near(met, some, most), some, base, width, threshold)
     roots = stored(connected_components(links, "a", "b"), "roots")
 
     # what is in some tree and in different groups still meets again, and all of it that sizes and sketches don't tell apart is compared
     inside = met.select(F.col("a").alias("f")).union(met.select("b")).distinct()
     rooted = some.join(inside, F.col("fp") == F.col("f"), "left_semi").join(roots, F.col("fp") == F.col("node"), "left")
-    rooted = stored(rooted.select("fp", "check", "size", *WORDS, "pieces", F.coalesce("root", "fp").alias("root")), "again")
+    rooted = stored(rooted.select("fp", "size", *WORDS, "long", F.coalesce("root", "fp").alias("root")), "again")
     rest = stored(_met(rooted, bits, threshold), "apart").join(met, ["a", "b"], "left_anti")
     more = _similar(_near(rest, some, most), some, base, width, threshold)
     if not more.isEmpty():

@@ -178,3 +178,49 @@ def test_defined_cases(spark):
     got = simhash.near_copies(table).collect()
     assert sorted((r.component_id, r.keep) for r in got) == [(5, False), (5, True), (7, False), (7, False), (7, True), (9, True)]
     assert got[0]._row.__fields__ == table.columns
+
+
+def test_variants_of_a_text_dont_grow_with_the_texts(spark, monkeypatch):
+    """Of many buckets a text made 30,525 variants and had 75 rows; of one 7,935 and 15."""
+    rng, made, old = random.Random(9), [], simhash._dealt
+    docs = [(k, " ".join(f"w{rng.random()}" for _ in range(int(5 * 1.25 ** rng.uniform(0, 25))))) for k in range(400)]
+
+    def seen(*args):
+        parts, low = old(*args)
+        found = [int(r.room) for r in parts.select("room").collect()]
+        made.append((len(found) / 400, sum(len(simhash._masks(low, room)) for room in found) / 400))
+        return parts, low
+
+    monkeypatch.setattr(simhash, "_dealt", seen)
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    for most in (1 << 18, 40):  # the latter: as many buckets as millions of texts have
+        monkeypatch.setattr(simhash, "BUCKET_PIECES", most)
+        assert {r.component_id for r in simhash.near_copies(table).collect()} == set(range(400))
+    assert made[0] == (32, 32 * 25)
+    assert made[2][0] <= 64 and made[2][1] <= 64 * 25  # in two classes of sizes at most
+
+
+def test_sizes_on_both_sides_of_a_class(spark, monkeypatch):
+    """Sets of which one has four fifths of the other's shingles, at every size, meet wherever the classes of sizes are cut."""
+    monkeypatch.setattr(simhash, "BUCKET_PIECES", 1)
+    docs = []
+    for k in range(5, 65):
+        w = [f"t{k}w{j}" for j in range(5 * k + 4)]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: 4 * k + 4]))]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    want = firsts_of(docs)
+    assert sum(i != first for i, first in want.items()) == 60
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(table).collect()} == want
+
+
+def test_shingles_and_votes_against_plain_ones():
+    """Equal shingles have equal hashes, others don't, also of the same words; votes are counted bit by bit."""
+    texts = [list(p) for p in itertools.product("ab", repeat=5)] + [["a"], ["a", "b"], ["b", "a"], ["a", "a"], ["a"] * 4]
+    found = [tuple(simhash.shingle_set(" ".join(t).encode())) for t in texts]
+    assert len(set(found)) == len(texts) and all(len(f) == 1 for f in found)
+    assert set(simhash.shingle_set(b"a b a b a b b")) == {f for t in ("ababa", "babab", "ababb") for f in found[texts.index(list(t))]}
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 96, 97, 255, 256, 1_000, 3_001):
+        h = rng.integers(0, 1 << 64, (n, 3), np.uint64) & rng.integers(0, 1 << 64, (n, 3), np.uint64)
+        want = [int((h[:, w] >> np.uint64(63 - b) & np.uint64(1)).sum()) for w in range(3) for b in range(64)]
+        assert simhash._column_sums(h).tolist() == want
